@@ -134,9 +134,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         small = large.join(least, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("x")).select(F.col("x.v").alias("u"), F.col("x.m").alias("v")).where("u > v")
         new = materialize(small.distinct())
         # a star forest: every node has one parent, and no parent has one itself
-        roots = new.select("v").distinct()
-        loose = new.groupBy("u").count().where("count > 1").limit(1).count() + new.join(roots, new.u == roots.v, "left_semi").limit(1).count()
+        roots = new.select(F.col("v").alias("root")).distinct()
+        loose = new.groupBy("u").count().where("count > 1").limit(1).count() + new.join(roots, F.col("u") == F.col("root"), "left_semi").limit(1).count()
         e = new
         if not loose:
-            return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots.select("v", F.col("v").alias("component")))
+            return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots.select("root", F.col("root").alias("component")))
     raise RuntimeError("components did not settle")
