@@ -7,9 +7,34 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadline.llm import bpe
+from leadline.llm import bpe, decontaminate, neardup, pii, toxicity
 from leadline.llm.common import checkpoint_dir, table
-from leadline.llm.queries import tokenizer_path
+from leadline.llm.queries import tokenizer_path, toxicity_model
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity score rejects (0.5 or more) go."""
+    scored = toxicity.score(docs, toxicity_model(spark, docs, sf_dir))
+    return scored.where(F.col("toxicity") < 0.5).select(docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document of least id stays."""
+    groups = neardup.near_duplicates(docs.select("doc_id", "text"))
+    return docs.join(groups.where("component_id <> doc_id").select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the contamination rule marks go; the others stay as they are."""
+    found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    return found.where(~decontaminate.contaminated(F.col("n_hit"), F.col("n_words"))).select(docs.columns)
+
+
+def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data becomes its kind in angle brackets; n_chars follows the new text."""
+    found = pii.find_pii(docs)
+    text = pii.redact(F.col("text"), F.col("pii_spans"))
+    return found.withColumn("text", text).withColumn("n_chars", F.when(F.size("pii_spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -17,7 +42,8 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(docs, tokenizer_path()).withColumn("n_tokens", F.size("bpe_ids").cast("long"))
 
 
-STAGES = [("bpe", tokenize)]
+STAGES = [("toxicity", drop_toxic), ("ngram_join", drop_near_copies), ("decontaminate", drop_contaminated), ("pii", redact_pii), ("bpe", tokenize)]
+#: The toxicity vote and the BiLSTM-CRF can't be said in SQL: run() is tested against brute force.
 ORACLE_SQL = None
 
 
