@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadline.llm import bpe, decontaminate, neardup, pii, toxicity
+from leadline.llm import bpe, decontaminate, htmlextract, licenses, neardup, pii, suffixdedup, toxicity, urlfilter, vectordup
 from leadline.llm.common import table
 
 
@@ -55,5 +55,48 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {"op3_pii": op3_pii, "op5_bpe": op5_bpe, "op6_decontaminate": op6_decontaminate, "op8_toxicity": op8_toxicity, "op10_ngram_join": op10_ngram_join}
+def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmlextract.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = suffixdedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    removed = F.aggregate("removed_spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
+    return done.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), removed.alias("n_removed"), F.size("removed_spans").cast("long").alias("n_spans"), F.sha2("kept_bytes", 256).alias("kept_sha256"))
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: matching units, licences found (sorted, comma-joined), and the nearest one with its Dice coefficient (''; 0)."""
+    found = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    best = F.aggregate("licenses", F.struct(F.lit(0.0).alias("dice"), F.lit("").alias("license")), lambda a, m: F.when((m["dice"] > a["dice"]) | ((m["dice"] == a["dice"]) & (m["license"] < a["license"])), F.struct(m["dice"], m["license"])).otherwise(a))
+    names = F.array_sort(F.array_distinct(F.transform("licenses", lambda m: m["license"])))
+    return found.select("doc_id", F.size("licenses").cast("long").alias("n_matches"), F.array_join(names, ",").alias("license_ids"), best["license"].alias("best_license"), F.round(best["dice"], 6).alias("best_dice"))
+
+
+def url_entries(pages: DataFrame) -> DataFrame:
+    """Dated list entries by rule: of each host on the captures the md5 says which list it is on, and when."""
+    hosts = pages.select(urlfilter.host(F.col("url")).alias("h")).where("h <> ''").distinct()
+    b = F.conv(F.substring(F.md5("h"), 1, 4), 16, 10).cast("int")
+    first = F.date_add(F.to_date(F.lit("2022-01-01")), b % 700)
+    step = lambda action, days: F.struct(F.lit(action).alias("action"), F.date_add(first, days).alias("day"))
+    steps = F.array(step("add", F.lit(0)), step("remove", 90 + b % 200), step("add", F.lit(400)))
+    domain = F.when(b % 3 == 0, F.regexp_extract("h", r"[^.]*\.[^.]*\.[^.]*$", 0)).otherwise(F.col("h"))
+    listed = hosts.where(b % 2 == 0).select(F.when(b % 3 == 0, "spam").otherwise("adult").alias("list"), F.lit("domain").alias("kind"), domain.alias("value"), F.explode(steps).alias("s"))
+    paths = hosts.where(b % 5 == 1).select(F.lit("phishing").alias("list"), F.lit("url").alias("kind"), F.concat("h", F.lit("/en")).alias("value"), F.explode(steps).alias("s"))
+    return listed.union(paths).select("list", "kind", "value", "s.action", "s.day").where("value <> ''")
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per page: the day it was fetched (by rule: the table has none), lists and entries that held then, and whether any did."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    day = F.date_add(F.to_date(F.lit("2022-06-01")), ((F.col("page_id") * 37) % 700).cast("int"))
+    found = urlfilter.filter_urls(pages.withColumn("fetched_on", day), url_entries(pages))
+    return found.select("page_id", "url", "fetched_on", (F.size("url_hits") > 0).alias("blocked"), F.size("url_hits").cast("long").alias("n_hits"), F.array_join("url_lists", ",").alias("lists"), F.array_join("url_hits", ",").alias("hits"))
+
+
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectordup.near_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+QUERIES = {f.__name__: f for f in (op1_html_extract, op2_suffix_dedup, op3_pii, op4_license_scan, op5_bpe, op6_decontaminate, op7_url_filter, op8_toxicity, op9_embedding_dedup, op10_ngram_join)}
 ORACLE: dict[str, str] = {}
