@@ -243,7 +243,8 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     ranges = distinct.join(found, ["h", "s"], "left").select("h", "s", F.when(F.col("c") > 1, whole).otherwise(F.col("ranges")).alias("ranges")).where("ranges is not null")
     marks = occ.join(ranges, ["h", "s"]).select(F.col("id").alias("k"), F.transform("ranges", lambda r: F.struct((F.col("at") + r["a"]).alias("start"), (F.col("at") + r["z"] + length).alias("end"))).alias("m"))
     marks = marks.groupBy("k").agg(F.flatten(F.collect_list("m")).alias("m"))
-    both = docs.join(marks, F.col(key).cast("long") == F.col("k"), "left").drop("k")
+    # docs can have columns of any name: both sides are named apart
+    both = docs.alias("docs").join(marks.alias("marks"), F.col(f"docs.`{key}`").cast("long") == F.col("marks.k"), "left").select("docs.*", "marks.m")
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
     schema = T.StructType([*docs.schema.fields, T.StructField(names[0], span), T.StructField(names[1], T.BinaryType())])
     own, at = len(docs.columns), docs.columns.index(text)
