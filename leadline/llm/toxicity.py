@@ -1,9 +1,10 @@
 """Toxicity from the nearest labelled examples by exact TF-IDF cosine (operator 8).
 
-Terms are whole lower-cased words of letters and digits. A model is fitted on labelled rows alone: at
-most `sample` of them, least hash of the id first. Terms that the labels don't tell apart (a chi-square
-below `chi2`, or fewer than `min_df` examples) are no features: long prose would otherwise drown the few
-words that matter. Examples become unit TF-IDF vectors over the features in an inverted index whose
+Terms are whole lower-cased words of letters and digits, and the beginnings of longer ones (inflected and
+compound words share them). A model is fitted on labelled rows alone: at most `sample` of them, least hash
+of the id first. Terms that the labels don't tell apart (a log-likelihood ratio below `least`, examples that are toxic less
+than `lift` times as often as all are, or fewer than `min_df` examples) are no features: long prose would
+otherwise drown the few words that matter. Examples become unit TF-IDF vectors over the features in an inverted index whose
 postings are cut into blocks of examples; a block keeps each feature's greatest weight, so the product
 of a query with these bounds every cosine in the block, and blocks are read from the highest bound down
 until no bound can change the k nearest: the result is the exact k nearest.
@@ -30,14 +31,23 @@ from pyspark.sql import types as T
 from leadline.llm.common import byte_sizes, slices, words
 
 
+#: Code points of the word beginnings that are terms, where the word goes on.
+STEMS = (4, 5, 6)
+
+
+def terms_of(word: bytes) -> list[bytes]:
+    s = word.decode("utf-8", "replace")
+    return [word] + [s[:n].encode() + b"*" for n in STEMS if len(s) > n]
+
+
 class BlockMaxIndex:
     """Exact k nearest by cosine among sparse unit vectors, reading blocks of examples by falling bound."""
 
     def __init__(self, vectors: list[dict[int, float]], features: int, block: int = 64):
-        order = sorted(range(len(vectors)), key=lambda i: (sorted(vectors[i].items(), key=lambda x: (-x[1], x[0])), i))
+        order = sorted((i for i, v in enumerate(vectors) if v), key=lambda i: (sorted(vectors[i].items(), key=lambda x: (-x[1], x[0])), i))
         self.ids = np.array(order, np.int64)  # like examples share blocks: tighter bounds
         self.block = block
-        self.n = len(vectors)
+        self.n = len(order)
         self.blocks = -(-self.n // block)
         self.top = np.zeros((features, self.blocks))
         self.postings: list[dict[int, tuple[np.ndarray, np.ndarray]]] = [{} for _ in range(features)]
@@ -70,7 +80,7 @@ class BlockMaxIndex:
 
 class Model:
     def __init__(self, rows: list[tuple[int, int, dict[int, int]]], terms: list[bytes], idf: np.ndarray, k: int, prior: float):
-        rows = sorted(rows, key=lambda r: r[0])
+        rows = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1], sorted(r[2].items())))
         self.ids = [r[0] for r in rows]
         self.labels = np.array([r[1] for r in rows], float)
         self.terms = {t: i for i, t in enumerate(terms)}
@@ -80,9 +90,11 @@ class Model:
         self.curve = (1.0, 0.0)
         self.rates = [float((self.labels[m].sum() + 0.5) / (m.sum() + 1)) if (m := np.array([bool(v) == has for v in vectors], bool)).any() else 0.5 for has in (False, True)]
         if len(rows):
-            votes = np.array([self.vote(v, i)[0] for i, v in enumerate(vectors)])
+            own: dict[tuple, float] = {}  # examples without features vote alike
+            votes = np.array([self.vote(v, i)[0] if v else own.setdefault((), self.vote(v)[0]) for i, v in enumerate(vectors)])
             self.curve = _logistic(np.log(votes / (1 - votes)), self.labels)
         self.cache: dict[tuple, tuple[float, list[tuple[int, float]]]] = {}
+        self.known: dict[bytes, list[int]] = {}
 
     def vector(self, counts: dict[int, int]) -> dict[int, float]:
         w = {f: (1 + np.log(n)) * self.idf[f] for f, n in counts.items()}
@@ -90,8 +102,15 @@ class Model:
         return {f: float(x / norm) for f, x in w.items()}
 
     def counts(self, text: str | None) -> dict[int, int]:
-        get = self.terms.get
-        return dict(Counter([f for f in map(get, words(text)) if f is not None]))
+        known, out = self.known, {}
+        if len(known) > 500_000:
+            known.clear()
+        for w in words(text):
+            if (fs := known.get(w)) is None:
+                fs = known[w] = [f for t in terms_of(w) if (f := self.terms.get(t)) is not None]
+            for f in fs:
+                out[f] = out.get(f, 0) + 1
+        return out
 
     def vote(self, vector: dict[int, float], but: int = -1) -> tuple[float, list[tuple[int, float]]]:
         near = self.index.nearest(vector, self.k, but)
@@ -113,7 +132,7 @@ class Model:
         return got
 
     def __getstate__(self):
-        return self.__dict__ | {"cache": {}}
+        return self.__dict__ | {"cache": {}, "known": {}}
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 25) -> tuple[float, float]:
@@ -128,47 +147,64 @@ def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 25) -> tuple[float, fl
     return max(float(a), 0.0), float(b)
 
 
-def train(labelled: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = 20000, min_df: int = 4, chi2: float = 15.0, features: int = 3000, k: int = 15, prior: float = 1.0) -> Model:
+def train(labelled: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = 20000, min_df: int = 4, least: float = 20.0, lift: float = 3.0, features: int = 3000, k: int = 15, prior: float = 1.0) -> Model:
     """A model from (key, text, label) rows: at most `sample` rows, least xxhash64 of the key first, then least key.
 
-    Word counts are made on the executors and only the features' counts (at most `features` for each of
-    `sample` rows) reach the driver. Rows with a null label are left out.
+    The executors count terms, each partition adding up its own before they meet; only the features' counts
+    (at most `features` for each of `sample` rows) reach the driver. Rows with a null label are left out.
     """
     few = labelled.where(F.col(label).isNotNull()).select(F.col(key).cast("long").alias("key"), F.col(label).cast("int").alias("y"), F.col(text).alias("t"), F.xxhash64(F.col(key).cast("long")).alias("h"))
     # the cut by hash comes first, over ids alone; texts are read for the chosen rows
     last = few.select("h").orderBy("h").limit(sample).agg(F.max("h")).head()[0]
-    few = few.where(F.col("h") <= (last if last is not None else 0))
+    few = few.where(F.col("h") <= (last if last is not None else 0)).select("key", "y", "t")
 
-    def count(batches):
+    def added(batches):
+        found: dict[bytes, list[int]] = {}
+        total = [0, 0]
+
+        def rows():
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array([x[0] for x in found.values()], pa.int64()), pa.array([x[1] for x in found.values()], pa.int64())], ["w", "a", "df"])
+            found.clear()
+
+        for b in batches:
+            for y, t in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+                total = [total[0] + y, total[1] + 1]
+                for w in {x for w in set(words(t)) for x in terms_of(w)}:
+                    own = found.setdefault(w, [0, 0])
+                    own[0] += y
+                    own[1] += 1
+            if len(found) > 400_000:
+                yield from rows()
+        found[b""] = total  # the empty term counts all examples
+        yield from rows()
+
+    sums = few.mapInArrow(added, "w binary, a long, df long").groupBy("w").agg(F.sum("a").cast("double").alias("a"), F.sum("df").cast("double").alias("df"))
+    n1, n = few.agg(F.coalesce(F.sum("y"), F.lit(0)), F.count("*")).head()
+    a, b = F.col("a"), F.col("df") - F.col("a")
+    c, d = F.lit(float(n1)) - a, F.lit(float(n - n1)) - b
+    part = lambda o, row, col: F.when(o > 0, o * F.ln(o * float(max(n, 1)) / (row * col))).otherwise(0.0)
+    ratio = 2 * (part(a, a + b, a + c) + part(b, a + b, b + d) + part(c, c + d, a + c) + part(d, c + d, b + d))
+    stats = sums.where((F.col("df") >= min_df) & (F.col("w") != F.lit(b""))).withColumn("x", ratio).where((F.col("x") >= least) & (a * float(n) >= lift * float(n1) * F.col("df")))
+    chosen = stats.orderBy(F.desc(F.round("x", 6)), "w").limit(features).collect()
+    terms = [bytes(r["w"]) for r in chosen]
+    idf = np.log((1 + n) / (1 + np.array([r["df"] for r in chosen]))) + 1 if chosen else np.empty(0)
+    at = {t: i for i, t in enumerate(terms)}
+
+    def counted(batches):
         for b in batches:
-            out = [[], [], [], []]
-            for i, (kk, y, t) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist())):
-                c = Counter(words(t))
-                out[0] += [kk] * (len(c) + 1)
-                out[1] += [y] * (len(c) + 1)
-                out[2] += [b"", *c]  # the empty word keeps examples without any word
-                out[3] += [1, *c.values()]
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.binary()), pa.array(out[3], pa.int64())], ["key", "y", "w", "n"])
-
-    counts = few.select("key", "y", "t").mapInArrow(count, "key long, y int, w binary, n long").persist()
-    try:
-        n1, n = counts.where("w = X''").agg(F.coalesce(F.sum("y"), F.lit(0)), F.count("*")).head()
-        stats = counts.where("w <> X''").groupBy("w").agg(F.sum("y").cast("double").alias("a"), F.count("*").cast("double").alias("df")).where(F.col("df") >= min_df)
-        a, b, c, d = F.col("a"), F.col("df") - F.col("a"), F.lit(float(n1)) - F.col("a"), F.lit(float(n - n1)) - F.col("df") + F.col("a")
-        below = (a + b) * (c + d) * (a + c) * (b + d)
-        stats = stats.withColumn("x", F.when(below > 0, float(n) * (a * d - b * c) * (a * d - b * c) / below).otherwise(0.0)).where(F.col("x") >= chi2)
-        chosen = stats.orderBy(F.desc("x"), "w").limit(features).collect()
-        terms = [bytes(r["w"]) for r in chosen]
-        idf = np.log((1 + n) / (1 + np.array([r["df"] for r in chosen]))) + 1 if chosen else np.empty(0)
-        at = {t: i for i, t in enumerate(terms)}
-        rows: dict[tuple[int, int], dict[int, int]] = {}
-        for r in counts.where(F.col("w").isin([b"", *terms])).collect():
-            own = rows.setdefault((r["key"], r["y"]), {})
-            if (w := bytes(r["w"])) in at:
-                own[at[w]] = r["n"]
-    finally:
-        counts.unpersist()
-    return Model([(i, y, c) for (i, y), c in rows.items()], terms, idf, k, prior)
+            held = []
+            for t in b.column(2).to_pylist():
+                c: Counter = Counter()
+                for w, m in Counter(words(t)).items():
+                    for x in terms_of(w):
+                        if (f := at.get(x)) is not None:
+                            c[f] += m
+                held.append(sorted(c.items()))
+            flat = pa.array([[{"f": f, "n": m} for f, m in h] for h in held], pa.list_(pa.struct([("f", pa.int32()), ("n", pa.int32())])))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), flat], ["key", "y", "c"])
+
+    rows = few.mapInArrow(counted, "key long, y int, c array<struct<f:int,n:int>>").collect()
+    return Model([(r["key"], r["y"], {x["f"]: x["n"] for x in r["c"]}) for r in rows], terms, idf, k, prior)
 
 
 NEAR = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("cosine", T.DoubleType())])
