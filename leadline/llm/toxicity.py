@@ -2,8 +2,8 @@
 
 Terms are whole lower-cased words of letters and digits, and the beginnings of longer ones (inflected and
 compound words share them). A model is fitted on labelled rows alone: at most `sample` of them, least hash
-of the id first. Terms that the labels don't tell apart (a log-likelihood ratio below `least`, examples that are toxic less
-than `lift` times as often as all are, or fewer than `min_df` examples) are no features: long prose would
+of the id first. Terms that the labels don't tell apart (a log-likelihood ratio below `least`, odds of a toxic example less
+than `lift` times those of the other examples, or fewer than `min_df` examples) are no features: long prose would
 otherwise drown the few words that matter. Examples become unit TF-IDF vectors over the features in an inverted index whose
 postings are cut into blocks of examples; a block keeps each feature's greatest weight, so the product
 of a query with these bounds every cosine in the block, and blocks are read from the highest bound down
@@ -147,7 +147,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 25) -> tuple[float, fl
     return max(float(a), 0.0), float(b)
 
 
-def train(labelled: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = 20000, min_df: int = 4, least: float = 20.0, lift: float = 3.0, features: int = 3000, k: int = 15, prior: float = 1.0) -> Model:
+def train(labelled: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = 20000, min_df: int = 4, least: float = 20.0, lift: float = 4.0, features: int = 3000, k: int = 15, prior: float = 1.0) -> Model:
     """A model from (key, text, label) rows: at most `sample` rows, least xxhash64 of the key first, then least key.
 
     The executors count terms, each partition adding up its own before they meet; only the features' counts
@@ -184,7 +184,7 @@ def train(labelled: DataFrame, key: str = "doc_id", text: str = "text", label: s
     c, d = F.lit(float(n1)) - a, F.lit(float(n - n1)) - b
     part = lambda o, row, col: F.when(o > 0, o * F.ln(o * float(max(n, 1)) / (row * col))).otherwise(0.0)
     ratio = 2 * (part(a, a + b, a + c) + part(b, a + b, b + d) + part(c, c + d, a + c) + part(d, c + d, b + d))
-    stats = sums.where((F.col("df") >= min_df) & (F.col("w") != F.lit(b""))).withColumn("x", ratio).where((F.col("x") >= least) & (a * float(n) >= lift * float(n1) * F.col("df")))
+    stats = sums.where((F.col("df") >= min_df) & (F.col("w") != F.lit(b""))).withColumn("x", ratio).where((F.col("x") >= least) & ((a + 0.5) * (d + 0.5) >= lift * (b + 0.5) * (c + 0.5)))
     chosen = stats.orderBy(F.desc(F.round("x", 6)), "w").limit(features).collect()
     terms = [bytes(r["w"]) for r in chosen]
     idf = np.log((1 + n) / (1 + np.array([r["df"] for r in chosen]))) + 1 if chosen else np.empty(0)
