@@ -147,16 +147,18 @@ def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 25) -> tuple[float, fl
     return max(float(a), 0.0), float(b)
 
 
-def train(labelled: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = 20000, min_df: int = 4, least: float = 20.0, lift: float = 4.0, features: int = 3000, k: int = 15, prior: float = 1.0) -> Model:
-    """A model from (key, text, label) rows: at most `sample` rows, least xxhash64 of the key first, then least key.
+def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = 20000, min_df: int = 4, least: float = 20.0, lift: float = 4.0, features: int = 3000, k: int = 15, prior: float = 1.0) -> Model:
+    """A model from the texts of docs (key, text) and at most `sample` rows of labels (key, label), least xxhash64 of the key first.
 
-    The executors count terms, each partition adding up its own before they meet; only the features' counts
-    (at most `features` for each of `sample` rows) reach the driver. Rows with a null label are left out.
+    The sample is cut from the labels alone, so that it has at most two rows more (a key with both labels) and
+    can be broadcast: no text is shuffled. The executors count terms, each partition adding up its own before
+    they meet; only the features' counts (at most `features` for each of `sample` rows) reach the driver.
+    Rows with a null key or label are left out; equal rows of labels, or of docs by key, count once.
     """
-    few = labelled.where(F.col(label).isNotNull()).select(F.col(key).cast("long").alias("key"), F.col(label).cast("int").alias("y"), F.col(text).alias("t"), F.xxhash64(F.col(key).cast("long")).alias("h"))
-    # the cut by hash comes first, over ids alone; texts are read for the chosen rows
-    last = few.select("h").orderBy("h").limit(sample).agg(F.max("h")).head()[0]
-    few = few.where(F.col("h") <= (last if last is not None else 0)).select("key", "y", "t")
+    some = labels.select(F.col(key).cast("long").alias("key"), F.col(label).cast("int").alias("y")).dropna().distinct().withColumn("h", F.xxhash64("key"))
+    last = some.select("h").orderBy("h").limit(sample).agg(F.max("h")).head()[0]
+    some = some.where(F.col("h") <= (last if last is not None else 0)).select("key", "y")
+    few = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("t")).join(F.broadcast(some), "key").select("key", "y", "t")
 
     def added(batches):
         found: dict[bytes, list[int]] = {}
@@ -203,7 +205,7 @@ def train(labelled: DataFrame, key: str = "doc_id", text: str = "text", label: s
             flat = pa.array([[{"f": f, "n": m} for f, m in h] for h in held], pa.list_(pa.struct([("f", pa.int32()), ("n", pa.int32())])))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), flat], ["key", "y", "c"])
 
-    rows = few.mapInArrow(counted, "key long, y int, c array<struct<f:int,n:int>>").collect()
+    rows = few.mapInArrow(counted, "key long, y int, c array<struct<f:int,n:int>>").groupBy("key", "y").agg(F.max("c").alias("c")).collect()
     return Model([(r["key"], r["y"], {x["f"]: x["n"] for x in r["c"]}) for r in rows], terms, idf, k, prior)
 
 

@@ -301,8 +301,10 @@ def test_toxicity_query(spark):
 
 def test_toxicity_odd(spark):
     labelled = spark.createDataFrame([(i, "bad evil words" if i % 2 else "good kind words", i % 2) for i in range(40)] + [(90, None, 1), (91, "", 0), (92, "evil", None)], "doc_id long, text string, toxic int")
-    model = toxicity.train(labelled)
+    train = lambda rows: toxicity.train(rows.select("doc_id", "text"), rows.select("doc_id", "toxic"))
+    model = train(labelled.union(labelled))
+    assert len(model.ids) == 42
     got = toxicity.score(odd(spark), model).collect()
     assert len(got) == len(ODD) and all(0 <= r["toxicity"] <= 1 for r in got)
     assert model.score("evil bad")[0] > 0.5 > model.score("kind good")[0] and model.score(None)[0] == model.score("")[0]
-    assert toxicity.train(labelled.limit(0)).score("x")[0] == 0.5
+    assert train(labelled.limit(0)).score("x")[0] == 0.5
