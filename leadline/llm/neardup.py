@@ -5,14 +5,15 @@ one row. Every bound comes from sizes, and none can lose a pair:
 
 * a row keeps the `u + l` columns of least hash, u = n - ceil(t n) being what it can lack of a partner and
   l = ceil(n / 10): two partners have at least the lesser l in common among what both keep;
-* columns with one row, then rows with fewer shared columns than that, go;
-* columns are cut into blocks; a block's product yields the pairs that meet in it, once each, and a pair
-  is discarded if sizes differ too much, or if the rows' parity bitmaps differ in more bits than the sets
-  may differ in elements (equal elements cancel out, so the bitmaps can't differ in more).
+* columns with one row, then rows with fewer shared columns than that, go; of the rest a row leaves out the
+  fullest, one less than it must share, so that passages which many texts quote mostly bring none together;
+* columns are cut into blocks; a block's product yields pairs that meet in it, and a pair is discarded if
+  sizes differ too much, or if the rows' parity bitmaps differ in more bits than the sets may differ in
+  elements (equal elements cancel out, so the bitmaps can't differ in more).
 
-What is left is counted exactly. A first round verifies only a forest of each block's pairs; a second one
-verifies all pairs whose ends are not linked yet, so that a family of n near copies costs about n
-verifications where its members are linked. Components are those of all links.
+What is left is counted exactly. A first round pairs the rows of a column with its middle, linear in the
+entries; a second one takes all pairs whose ends are not linked yet, so that a family of n near copies costs
+about n verifications where its members are linked. Components are those of all links.
 
 Defined results: null and word-free texts have no shingle and link with nothing; texts of fewer words
 than a shingle are one shingle; repeated rows of one id are one document if they are equal.
@@ -25,10 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadline.llm.common import components, forest, materialize
+from leadline.llm.common import components, materialize
 from leadline.llm.shingles import batches_of_sets, digest
 
 U = np.uint64
+#: Columns of each row, the fullest ones first, in which the first round looks for links.
+SPANNED = 4
 #: Bits of a parity bitmap by set size.
 CLASSES = ((256, 512), (1024, 2048), (1 << 62, 8192))
 
@@ -87,9 +90,11 @@ def _shared(batches):
     h, d = h[new], d[new]
     same = h[1:] == h[:-1]
     keep = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-    h, d = h[keep], d[keep]
+    first = np.flatnonzero(np.concatenate([[True], ~same]))
+    held = np.repeat(np.diff(np.append(first, len(h))), np.diff(np.append(first, len(h))))
+    h, d, held = h[keep], d[keep], held[keep]
     for i in range(0, len(h), 1 << 18):
-        yield pa.RecordBatch.from_arrays([pa.array(h[i : i + (1 << 18)]), pa.array(d[i : i + (1 << 18)])], ["h", "d1"])
+        yield pa.RecordBatch.from_arrays([pa.array(x[i : i + (1 << 18)]) for x in (h, d, held)], ["h", "d1", "rows"])
 
 
 def _fold(x: np.ndarray, words: int) -> np.ndarray:
@@ -99,86 +104,123 @@ def _fold(x: np.ndarray, words: int) -> np.ndarray:
     return x
 
 
-def block_pairs(h: np.ndarray, row: np.ndarray, n: np.ndarray, bits: list[bytes], group: np.ndarray | None, percent: int, step: int = 1 << 19):
-    """Pairs of rows that meet in some column of this block and pass the size bounds.
+class Bitmaps:
+    """The rows' parity bitmaps by class, and the test of pairs with them."""
+
+    def __init__(self, n: np.ndarray, bits: list[bytes], percent: int):
+        self.n, self.percent = n, percent
+        widths = [b // 64 for _, b in CLASSES]
+        self.kind = np.array([widths.index(len(b) // 8) for b in bits])
+        self.place = np.zeros(len(bits), np.int64)
+        self.maps = {}
+        for k in range(len(CLASSES)):
+            at = np.flatnonzero(self.kind == k)
+            self.place[at] = np.arange(len(at))
+            x = np.frombuffer(b"".join(bits[i] for i in at), np.uint64).reshape(len(at), widths[k]) if len(at) else np.empty((0, widths[k]), np.uint64)
+            for low in range(k + 1):
+                self.maps[k, low] = _fold(x, widths[low])
+
+    def near(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Pairs whose sizes and bitmaps allow a link."""
+        n, p = self.n, self.percent
+        ok = 100 * np.minimum(n[a], n[b]) >= p * np.maximum(n[a], n[b])
+        # a set's difference from its partner has at most (100 - t) / (100 + t) of both sizes
+        most = (100 - p) * (n[a] + n[b]) // (100 + p)
+        for ka in range(len(CLASSES)):
+            for kb in range(len(CLASSES)):
+                m = np.flatnonzero(ok & (self.kind[a] == ka) & (self.kind[b] == kb))
+                for j in range(0, len(m), 1 << 15):
+                    q = m[j : j + (1 << 15)]
+                    low = min(ka, kb)
+                    x = self.maps[ka, low][self.place[a[q]]] ^ self.maps[kb, low][self.place[b[q]]]
+                    ok[q] = np.bitwise_count(x).sum(1) <= most[q]
+        return ok
+
+
+def spanning_pairs(h: np.ndarray, row: np.ndarray, maps: Bitmaps, rounds: int = 12) -> tuple[np.ndarray, np.ndarray]:
+    """Possible links that join the rows of a column: linear in the entries.
+
+    In each column the row nearest to the bitwise majority of the bitmaps is paired with all rows that can link
+    with it; those that are left look for a middle of their own, `rounds` times.
+    """
+    order = np.lexsort((row, maps.kind[row], h))
+    h, row = h[order], row[order]
+    first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (maps.kind[row[1:]] != maps.kind[row[:-1]])])) if len(h) else np.empty(0, np.int64)
+    out = []
+    for s, e in zip(first.tolist(), [*first[1:].tolist(), len(h)]):
+        left = row[s:e]
+        for _ in range(rounds):
+            if len(left) < 2:
+                break
+            x = maps.maps[int(maps.kind[left[0]]), int(maps.kind[left[0]])][maps.place[left]]
+            bits = np.unpackbits(x[:4096].view(np.uint8), axis=1)
+            middle = np.packbits(bits.sum(0) * 2 > len(bits)).view(np.uint64)
+            m = left[int(np.bitwise_count(x ^ middle).sum(1).argmin())]
+            rest = left[left != m]
+            ok = maps.near(np.full(len(rest), m), rest)
+            if ok.any():
+                out.append((np.full(int(ok.sum()), m), rest[ok]))
+            left = rest[~ok]
+    if not out:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    a, b = np.concatenate([x[0] for x in out]), np.concatenate([x[1] for x in out])
+    return np.divmod(np.unique(np.minimum(a, b) * len(maps.n) + np.maximum(a, b)), len(maps.n))
 
-    h and row: an entry of the incidence matrix each; n, bits, group: of each row. Rows of one group
-    (linked already) don't pair.
+
+def unlinked_pairs(h: np.ndarray, row: np.ndarray, maps: Bitmaps, group: np.ndarray, step: int = 1 << 20):
+    """All pairs of rows of different groups that meet in some column and pass the bounds, a bounded number at a time.
+
+    In a column the rows stand by group, and a row's partners are those after its group: rows of one group,
+    however many, cost nothing.
     """
-    widths = [b // 64 for _, b in CLASSES]
-    kind = np.array([widths.index(len(b) // 8) for b in bits])
-    maps = {}
-    place = np.zeros(len(bits), np.int64)
-    for k in range(len(CLASSES)):
-        at = np.flatnonzero(kind == k)
-        place[at] = np.arange(len(at))
-        x = np.frombuffer(b"".join(bits[i] for i in at), np.uint64).reshape(len(at), widths[k]) if len(at) else np.empty((0, widths[k]), np.uint64)
-        for low in range(k + 1):
-            maps[k, low] = _fold(x, widths[low])
-    order = np.lexsort((row, n[row], h))
+    order = np.lexsort((row, group[row], h))
     h, row = h[order], row[order]
-    at = np.arange(len(h))
+    g = group[row]
+    n = len(h)
+    new = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (g[1:] != g[:-1])]))
+    after = np.repeat(np.append(new[1:], n), np.diff(np.append(new, n)))
+    cols = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+    last = np.repeat(np.append(cols[1:], n), np.diff(np.append(cols, n)))
+    some = np.flatnonzero(last > after)
+    counts = (last - after)[some]
+    ends = np.cumsum(counts)
     seen = np.empty(0, np.int64)
-    out = []
-    k = 0
-    while len(at):
-        k += 1
-        at = at[at + k < len(h)]
-        at = at[h[at + k] == h[at]]
-        a, b = row[at], row[at + k]
-        near = 100 * n[a] >= percent * n[b]  # n[a] <= n[b], and later ones are larger still
-        at, a, b = at[near], a[near], b[near]
-        if group is not None:
-            far = group[a] != group[b]
-            a, b = a[far], b[far]
-        code = np.unique(np.minimum(a, b) * len(n) + np.maximum(a, b))
+    at = 0
+    while at < (int(ends[-1]) if len(ends) else 0):
+        upto = min(at + step, int(ends[-1]))
+        place = np.arange(at, upto)
+        i = np.searchsorted(ends, place, side="right")
+        a, b = row[some[i]], row[after[some[i]] + place - (ends[i] - counts[i])]
+        code = np.unique(np.minimum(a, b) * len(maps.n) + np.maximum(a, b))
+        a, b = np.divmod(code, len(maps.n))
+        code = code[maps.near(a, b)]
         if len(seen):
             code = code[seen[np.minimum(np.searchsorted(seen, code), len(seen) - 1)] != code]
         if len(code):
-            seen = np.union1d(seen, code) if len(seen) < (1 << 24) else code
-            for i in range(0, len(code), step):
-                a, b = np.divmod(code[i : i + step], len(n))
-                # a set's difference from its partner has at most (100 - t) / (100 + t) of both sizes
-                most = (100 - percent) * (n[a] + n[b]) // (100 + percent)
-                ok = np.zeros(len(a), bool)
-                for ka in range(len(CLASSES)):
-                    for kb in range(len(CLASSES)):
-                        m = np.flatnonzero((kind[a] == ka) & (kind[b] == kb))
-                        for j in range(0, len(m), 1 << 15):
-                            q = m[j : j + (1 << 15)]
-                            low = min(ka, kb)
-                            x = maps[ka, low][place[a[q]]] ^ maps[kb, low][place[b[q]]]
-                            ok[q] = np.bitwise_count(x).sum(1) <= most[q]
-                out.append((a[ok], b[ok]))
-    if not out:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    return np.concatenate([x[0] for x in out]), np.concatenate([x[1] for x in out])
+            seen = np.union1d(seen, code)
+            yield np.divmod(code, len(maps.n))
+        at = upto
 
 
-def _candidates(blocks: DataFrame, percent: int, spanning: bool) -> DataFrame:
-    """Distinct (a, b), a < b, of row digests, from rows (d1, n, bits, g, hs) of which a partition has whole columns."""
+def _candidates(entries: DataFrame, percent: int, spanning: bool) -> DataFrame:
+    """Distinct (a, b), a < b, of row digests, from entries (h, d1, n, g, bits) of which a partition has whole columns."""
 
     def run(batches):
-        d, n, bits, g, hs, row, count = [], [], [], [], [], [], 0
+        h, d, n, g, bits = [], [], [], [], []
         for b in batches:
-            d.append(b.column(0).to_numpy())
-            n.append(b.column(1).to_numpy())
-            bits += b.column(2).to_pylist()
-            g.append(b.column(3).to_numpy())
-            lists = b.column(4)
-            hs.append(lists.flatten().to_numpy())
-            row.append(np.repeat(np.arange(len(b)) + count, lists.value_lengths().to_numpy()))
-            count += len(b)
-        if not count:
+            for held, k in ((h, 0), (d, 1), (n, 2), (g, 3)):
+                held.append(b.column(k).to_numpy())
+            bits += b.column(4).to_pylist()
+        if not h:
             return
-        d = np.concatenate(d)
-        a, b = block_pairs(np.concatenate(hs), np.concatenate(row), np.concatenate(n), bits, None if spanning else np.concatenate(g), percent)
-        a, b = (forest(a, b) if len(a) else (a, b)) if spanning else (a, b)
-        for i in range(0, len(a), 1 << 18):
-            x, y = d[a[i : i + (1 << 18)]], d[b[i : i + (1 << 18)]]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+        d, at, row = np.unique(np.concatenate(d), return_index=True, return_inverse=True)
+        maps = Bitmaps(np.concatenate(n)[at], [bits[i] for i in at], percent)
+        h = np.concatenate(h)
+        for a, b in [spanning_pairs(h, row, maps)] if spanning else unlinked_pairs(h, row, maps, np.concatenate(g)[at]):
+            for i in range(0, len(a), 1 << 18):
+                yield pa.RecordBatch.from_arrays([pa.array(d[a[i : i + (1 << 18)]]), pa.array(d[b[i : i + (1 << 18)]])], ["a", "b"])
 
-    return blocks.select("d1", "n", "bits", "g", "hs").mapInArrow(run, "a long, b long").distinct()
+    return entries.select("h", "d1", "n", "g", "bits").mapInArrow(run, "a long, b long").distinct()
 
 
 def _verify(pairs: DataFrame, reps: DataFrame, docs: DataFrame, key: str, text: str, size: int, percent: int) -> DataFrame:
@@ -218,16 +260,21 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     own = materialize(_features(docs, key, text, size))
     some = own.where("n > 0")
     reps = materialize(some.groupBy("d1", "d2").agg(F.min(key).alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits")))
-    grid = materialize(_columns(docs, text, size, percent).repartition(parts, "h").mapInArrow(_shared, "h long, d1 long"))
-    shared = grid.groupBy("d1").agg(F.count("*").alias("held"))
-    live = reps.join(shared, "d1").where(F.col("held") >= least_shared(F.col("n"), percent)).select("d1", "n", "bits")
-    block = F.pmod(F.xxhash64("h"), F.lit(parts)).alias("block")
-    blocks = materialize(grid.join(live.select("d1"), "d1", "left_semi").groupBy("d1", block).agg(F.collect_list("h").alias("hs")).join(live, "d1").repartition(parts, "block").withColumn("g", F.lit(0).cast("long")).select("block", "d1", "n", "bits", "g", "hs"))
-    links = _verify(_candidates(blocks.repartition(parts, "block"), percent, True), reps, docs, key, text, size, percent)
+    grid = _columns(docs, text, size, percent).repartition(parts, "h").mapInArrow(_shared, "h long, d1 long, rows long")
+    held = grid.groupBy("d1").agg(F.array_sort(F.collect_list(F.struct(-F.col("rows").alias("r"), "h"))).alias("cols"))
+    # what every partner shares with a row is `must` columns or more: one of them is left without the must - 1 fullest
+    must = least_shared(F.col("n"), percent).cast("int")
+    live = held.join(reps, "d1").where(F.size("cols") >= must).select("d1", "n", "bits", F.transform(F.slice("cols", must, F.size("cols")), lambda c: c["h"]).alias("hs"))
+    live = materialize(live)
+    full = live.select(F.explode(F.slice("hs", 1, SPANNED)).alias("h"), "d1", "n", F.lit(0).cast("long").alias("g"), "bits")
+    links = _verify(_candidates(full.repartition(parts, "h"), percent, True), reps, docs, key, text, size, percent)
     named = components(links)
     known = reps.join(named, F.col("rep") == F.col("node")).select("d1", "component")
-    again = blocks.drop("g").join(known, "d1", "left").withColumn("g", F.coalesce("component", "d1")).drop("component")
-    more = _verify(_candidates(again.repartition(parts, "block"), percent, False), reps, docs, key, text, size, percent)
+    again = live.join(known, "d1", "left").withColumn("g", F.coalesce("component", "d1"))
+    every = again.select(F.explode("hs").alias("h"), "d1", "g")
+    mixed = every.groupBy("h").agg(F.min("g").alias("low"), F.max("g").alias("high")).where("low <> high").select("h")
+    some = every.join(mixed, "h").select("h", "d1", "g").join(live.select("d1", "n", "bits"), "d1")
+    more = _verify(_candidates(some.repartition(parts, "h"), percent, False), reps, docs, key, text, size, percent)
     final = components(named.selectExpr("node as u", "component as v").union(more))
     whole = reps.join(final, F.col("rep") == F.col("node"), "left").select("d1", "d2", F.coalesce("component", "rep").alias("component"))
     return own.join(whole, ["d1", "d2"], "left").select(key, F.col("n").alias("n_shingles"), F.coalesce("component", key).alias("component_id"))
