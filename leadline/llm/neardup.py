@@ -32,6 +32,8 @@ from leadline.llm.shingles import batches_of_sets, digest
 U = np.uint64
 #: Columns of each row, the fullest ones first, in which the first round looks for links.
 SPANNED = 4
+#: Ids that may be broadcast (8 bytes each).
+FEW_IDS = 1_000_000
 #: Bits of a parity bitmap by set size.
 CLASSES = ((256, 512), (1024, 2048), (1 << 62, 8192))
 
@@ -235,7 +237,9 @@ def _verify(pairs: DataFrame, reps: DataFrame, docs: DataFrame, key: str, text:
 
     pairs = pairs.join(reps.selectExpr("d1 as a", "rep as u"), "a").join(reps.selectExpr("d1 as b", "rep as v"), "b").select("u", "v")
     pairs = materialize(pairs)
-    ids = pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct()
+    ids = materialize(pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct())
+    if ids.count() <= FEW_IDS:  # else the texts are shuffled to meet them
+        ids = F.broadcast(ids)
     texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t")).join(ids, "id", "left_semi").dropDuplicates(["id"])
     sets = materialize(texts.mapInArrow(run, "id long, s array<long>"))
 
