@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Legal forms that a company name's slug leaves out.
-LEGAL_FORMS = ("inc", "llc", "ltd", "limited", "gmbh", "corp", "corporation", "co", "company", "plc", "pvt")
+#: Words that a company name's slug leaves out.
+LEGAL_FORMS = ("inc", "incorporated", "llc", "llp", "ltd", "limited", "pvt", "private", "plc", "co", "corp", "corporation", "company", "gmbh", "sa", "srl", "bv", "ag", "pty", "group", "holdings", "partners", "associates", "and", "the")
 #: Local parts of role mailboxes.
-ROLE_LOCALS = ("info", "sales", "admin", "support", "contact", "hr", "jobs", "careers", "office", "hello")
+ROLE_LOCALS = ("info", "support", "sales", "admin", "careers", "jobs", "hr", "marketing", "contact", "hello")
+#: Letters of Latin-1 and what is left of them without their marks.
+MARKED, PLAIN = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
 
 
@@ -30,7 +32,7 @@ def normalize_phone(c: Column) -> Column:
 
 def slug_name(c: Column) -> Column:
     """Lower-case words joined by hyphens, legal forms left out unless nothing else is there; null without words."""
-    words = F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda w: w != "")
+    words = F.filter(F.split(F.translate(F.lower(c), MARKED, PLAIN), "[^a-z0-9]+"), lambda w: w != "")
     kept = F.filter(words, lambda w: ~w.isin(*LEGAL_FORMS))
     return F.nullif(F.array_join(F.when(F.size(kept) > 0, kept).otherwise(words), "-"), F.lit(""))
 
@@ -45,20 +47,20 @@ def is_role(local: Column) -> Column:
     return F.arrays_overlap(F.split(F.lower(local), "[._+-]"), F.array(*map(F.lit, ROLE_LOCALS)))
 
 
-def decide(c: dict[str, Column]) -> Column:
-    """Final state of an address, the first rule that holds: suppressed, syntax, disposable, role, mx, llm, then the verifier's word."""
+def decide(c: dict[str, Column], role_ok: bool = False, llm_hard: bool = True, catch_all_ok: bool = False, risk_rejected: bool = False) -> Column:
+    """Final state of an address, the first rule that holds: suppressed, syntax, disposable, role, mx, llm (only if hard), then the verifier's word."""
     mv = c["mv_status"]
     return (
         F.when(c["suppressed"], "SUPPRESSED")
         .when(~c["syntax_ok"], "INVALID_SYNTAX")
         .when(c["disposable"], "DISPOSABLE_REJECTED")
-        .when(c["role_based"], "ROLE_BASED_REJECTED")
+        .when(c["role_based"] & F.lit(not role_ok), "ROLE_BASED_REJECTED")
         .when(c["mx_status"] == "fail", "MX_FAILED")
-        .when(c["llm_score"] < c["llm_threshold"], "LLM_LOW_CONFIDENCE")
+        .when(F.lit(llm_hard) & (c["llm_score"] < c["llm_threshold"]), "LLM_LOW_CONFIDENCE")
         .when(mv.isNull() | (mv == "valid"), "VERIFIED")
         .when(mv == "invalid", "PROVIDER_INVALID")
-        .when(mv == "catch_all", "CATCH_ALL_REVIEW")
-        .when(mv == "risk", "RISK_REVIEW")
+        .when(mv == "catch_all", "VERIFIED" if catch_all_ok else "CATCH_ALL_REVIEW")
+        .when(mv == "risk", "PROVIDER_INVALID" if risk_rejected else "RISK_REVIEW")
         .otherwise("UNKNOWN_RETRY")
     )
 

@@ -50,3 +50,25 @@ def latest_before(asks: DataFrame, facts: DataFrame, key: str, at: str, fact_at:
     f = facts.select(F.col(key).alias("_k"), F.col(fact_at).alias("_at"), F.col(value).alias("_v"))
     hit = (F.col(key) == F.col("_k")) & (F.col("_at") <= F.col(at)) & (F.col("_at") > F.col(at) - F.expr(f"INTERVAL {days} DAYS"))
     return asks.join(f, hit, "left").groupBy(*asks.columns).agg(F.max(F.struct("_at", "_v"))["_v"].alias(value))
+
+
+def bounce_actions(rows: DataFrame, recipient: str, order: list[str], budget: int = 3) -> DataFrame:
+    """rows with an action: kinds that say the mailbox is lost suppress at once, soft ones when the recipient has had `budget` of them, the row's own included; the rest only count."""
+    soft = F.count_if(F.col("kind") == "soft").over(Window.partitionBy(recipient).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    lost = F.col("kind").isin("spam_rejected", "hard", "invalid_domain", "mailbox_full", "blocked")
+    return rows.withColumn("_soft", soft).withColumn("action", F.when(lost | ((F.col("kind") == "soft") & (F.col("_soft") >= budget)), "suppress").otherwise("count")).drop("_soft")
+
+
+def plan_recipients(contacts: DataFrame, messages: DataFrame) -> DataFrame:
+    """contacts (id, email, verified, suppressed) with a reason: no_email, duplicate, not_verified, suppressed, what an earlier message came to (bounced before unsubscribed before replied), else eligible.
+
+    Contacts without an address are set apart before the window, so that they make no group of their own.
+    """
+    s = F.col("status")
+    past = messages.groupBy(F.lower("email").alias("_e")).agg(F.min(F.when(s.isin("bounced", "blocked"), 0).when(s == "unsubscribed", 1).when(s == "replied", 2)).alias("_t"))
+    mailed = contacts.where(F.col("email").isNotNull()).withColumn("_e", F.lower("email"))
+    first = mailed.withColumn("_n", F.row_number().over(Window.partitionBy("_e").orderBy("id")))
+    t = F.col("_t")
+    reason = F.when(F.col("_n") > 1, "duplicate").when(~F.col("verified"), "not_verified").when(F.col("suppressed"), "suppressed").when(t == 0, "already_bounced").when(t == 1, "already_unsubscribed").when(t == 2, "already_replied").otherwise("eligible")
+    planned = first.join(past, "_e", "left").select(*contacts.columns, reason.alias("reason"))
+    return planned.unionByName(contacts.where(F.col("email").isNull()).withColumn("reason", F.lit("no_email")))

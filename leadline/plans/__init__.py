@@ -11,19 +11,9 @@ from pyspark.sql import functions as F
 
 from leadline import functions as fn
 from leadline import operators as op
+from leadline.plans.registry import ORACLE, QUERIES, query
 from leadline.sources import content_hash, table, union_tabs
 
-QUERIES, ORACLE = {}, {}
-
-
-def query(sql: str):
-    def keep(f):
-        QUERIES[f.__name__], ORACLE[f.__name__] = f, sql
-        return f
-
-    return keep
-
-
 @query("""SELECT c_custkey, c_name, c_mktsegment FROM customer WHERE c_mktsegment ILIKE '%build%' AND c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F') ORDER BY c_custkey LIMIT 50 OFFSET 10""")
 def list_companies(spark: SparkSession, d: str) -> DataFrame:
     """OP-F01, J05, L01: filter, semi-join on a source, one page."""
@@ -137,3 +127,8 @@ def export_tabs(spark: SparkSession, d: str) -> DataFrame:
     region = table(spark, d, "region").select(F.col("r_regionkey").alias("id"), F.col("r_name").alias("name"))
     nation = table(spark, d, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"), F.col("n_regionkey").alias("parent"))
     return union_tabs({"region": region, "nation": nation})
+
+
+from leadline.plans import outreach, web  # noqa: E402, F401  (they register their own queries)
+
+__all__ = ["ORACLE", "QUERIES"]
