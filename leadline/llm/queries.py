@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from leadline.llm import bpe, decontaminate, htmlextract, licenses, neardup, pii, suffixdedup, toxicity, urlfilter, vectordup
 from leadline.llm.common import table
+from leadline.llm.oracles import ORACLE  # noqa: F401
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -100,4 +101,3 @@ def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_html_extract, op2_suffix_dedup, op3_pii, op4_license_scan, op5_bpe, op6_decontaminate, op7_url_filter, op8_toxicity, op9_embedding_dedup, op10_ngram_join)}
-ORACLE: dict[str, str] = {}
