@@ -179,3 +179,39 @@ def tiles(lat: Column, lng: Column, km: Column) -> Column:
         turn = F.radians(F.lit(60.0 * k))
         out.append(at(k + 1, lat + F.degrees(ring * F.cos(turn) / 6371.0), lng + F.degrees(ring * F.sin(turn) / (F.lit(6371.0) * F.cos(F.radians(lat)))), km / 2))
     return F.when(km <= 1, F.array(at(0, lat, lng, F.greatest(km, F.lit(0.1))))).otherwise(F.array(*out))
+
+
+#: Paths of a social network that are no business page, and marks of pages drawn by scripts.
+FACEBOOK_NONPAGES = ("sharer", "share.php", "dialog", "plugins", "tr?", "login", "profile.php")
+SPA_MARKERS = ('id="root"', 'id="app"', 'id="__next"', "data-reactroot", "ng-app", "ng-version")
+
+
+def social_kind(url: Column) -> Column:
+    """linkedin, linkedin_person or facebook; null for other links and for pages that are no business's."""
+    u = F.lower(F.trim(url))
+    other = u.rlike("|".join(x.replace(".", "[.]").replace("?", "[?]") for x in FACEBOOK_NONPAGES))
+    return F.when(u.rlike(r"linkedin[.]com/(company|school)/"), "linkedin").when(u.rlike(r"linkedin[.]com/in/"), "linkedin_person").when(u.rlike(r"facebook[.]com/+[^/?#]") & ~other, "facebook")
+
+
+def visible_length(html: Column) -> Column:
+    """Characters left without scripts, styles and tags, white space collapsed."""
+    t = F.regexp_replace(F.regexp_replace(html, r"(?is)<script[^>]*>.*?</script>", " "), r"(?is)<style[^>]*>.*?</style>", " ")
+    return F.length(F.trim(F.regexp_replace(F.regexp_replace(t, r"<[^>]+>", " "), r"[ \t\n\x0B\f\r]+", " ")))
+
+
+def needs_browser(html: Column) -> Column:
+    """Fewer than 400 visible characters, or the mark of a scripted page and fewer than 1200."""
+    n = visible_length(html)
+    return (n < 400) | (F.lower(html).rlike("|".join(SPA_MARKERS)) & (n < 1200))
+
+
+def gate(posture: Column, enabled: Column, signed_off: Column, flag: Column) -> Column:
+    """Why a source may not run: the first gate that fails; null where it may. Green ones always may."""
+    return F.when(posture == "green", None).when(~enabled, "not_enabled").when(~signed_off, "not_signed_off").when(~flag, "flag_off")
+
+
+def box(lat: Column, lng: Column, km: Column) -> Column:
+    """(south, west, north, east) around a circle of 0.1 to 100 km."""
+    r = F.greatest(F.lit(0.1), F.least(F.lit(100.0), km))
+    dy, dx = F.degrees(r / 6371.0), F.degrees(r / (F.lit(6371.0) * F.cos(F.radians(lat))))
+    return F.struct((lat - dy).alias("south"), (lng - dx).alias("west"), (lat + dy).alias("north"), (lng + dx).alias("east"))
