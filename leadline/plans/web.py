@@ -116,12 +116,25 @@ def deobfuscated(spark: SparkSession, d: str) -> DataFrame:
 
 @query(r"""SELECT conv_id, turn, 'now hiring' AS phrase, trim(regexp_replace(substr(t, greatest(b - 40, 0) + 1, b + 70 - greatest(b - 40, 0)), '\s+', ' ', 'g')) AS snippet FROM (SELECT conv_id, turn, 'Team  ' || turn || ' is Now Hiring in  the north of region ' || conv_id || '. ' || repeat('word ', 20) AS t, 9 + length(turn::VARCHAR) + 1 AS b FROM conversations WHERE turn % 3 = 1)""")
 def hiring_phrases(spark: SparkSession, d: str) -> DataFrame:
-    """OP-S16: the first hit of each phrase with its surroundings."""
+    """The phrase scan on one made sentence of every third turn; `document_hiring` (OP-S16) looks into texts."""
     text = F.concat(F.lit("Team  "), "turn", F.lit(" is Now Hiring in  the north of region "), "conv_id", F.lit(". "), F.repeat(F.lit("word "), 20))
     rows = table(spark, d, "conversations").where("turn % 3 = 1").select("conv_id", "turn", F.explode(web.hiring_signals(text)).alias("x"))
     return rows.select("conv_id", "turn", "x.phrase", "x.snippet")
 
 
+def _hiring_hit(phrase: str) -> str:
+    p = phrase.replace("'", "''")
+    before = rf"length(regexp_extract(lower(text), '(?s)^(.*?)\b{p}\b', 1))"
+    return rf"CASE WHEN regexp_matches(lower(text), '\b{p}\b') THEN '{p}: ' || trim(regexp_replace(substr(text, greatest({before} - 40, 0) + 1, {before} + {len(phrase) + 60} - greatest({before} - 40, 0)), '\s+', ' ', 'g')) END"
+
+
+@query(f"""SELECT doc_id, array_to_string(list_filter([{', '.join(map(_hiring_hit, web.HIRING_PHRASES))}], lambda x: x IS NOT NULL), chr(10)) AS signals FROM documents""")
+def document_hiring(spark: SparkSession, d: str) -> DataFrame:
+    """OP-S16: of every document the hiring phrases, each with the surroundings of its first hit, one a line; '' if none."""
+    hits = F.transform(web.hiring_signals(F.coalesce("text", F.lit(""))), lambda x: F.concat(x["phrase"], F.lit(": "), x["snippet"]))
+    return table(spark, d, "documents").select("doc_id", F.array_join(hits, "\n").alias("signals"))
+
+
 RESULTS = (" OK ", "valid", "Catchall", "risky", "disposable", "odd", "unknown")
 
 
