@@ -59,9 +59,10 @@ def bounce_actions(rows: DataFrame, recipient: str, order: list[str], budget: in
     return rows.withColumn("_soft", soft).withColumn("action", F.when(lost | ((F.col("kind") == "soft") & (F.col("_soft") >= budget)), "suppress").otherwise("count")).drop("_soft")
 
 
-def plan_recipients(contacts: DataFrame, messages: DataFrame) -> DataFrame:
-    """contacts (id, email, verified, suppressed) with a reason: no_email, duplicate, not_verified, suppressed, what an earlier message came to (bounced before unsubscribed before replied), else eligible.
+def plan_recipients(contacts: DataFrame, messages: DataFrame, role: list[str] | None = None, exclude_keywords: list[str] | None = None, include_roles: list[str] | None = None) -> DataFrame:
+    """contacts (id, email, verified, suppressed) with a reason: no_email, duplicate, not_verified, suppressed, what an earlier message came to (bounced before unsubscribed before replied), excluded_keyword, role_filtered, else eligible.
 
+    The last two look into the columns `role` in lower case: any of `exclude_keywords` is there; `include_roles` are given and none of them is.
     Contacts without an address are set apart before the window, so that they make no group of their own.
     """
     s = F.col("status")
@@ -69,6 +70,10 @@ def plan_recipients(contacts: DataFrame, messages: DataFrame) -> DataFrame:
     mailed = contacts.where(F.col("email").isNotNull()).withColumn("_e", F.lower("email"))
     first = mailed.withColumn("_n", F.row_number().over(Window.partitionBy("_e").orderBy("id")))
     t = F.col("_t")
-    reason = F.when(F.col("_n") > 1, "duplicate").when(~F.col("verified"), "not_verified").when(F.col("suppressed"), "suppressed").when(t == 0, "already_bounced").when(t == 1, "already_unsubscribed").when(t == 2, "already_replied").otherwise("eligible")
+    hay = F.lower(F.concat_ws(" ", *[F.nullif(F.col(c), F.lit("")) for c in role or []]))
+    among = lambda words: F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(hay, w)) if words else F.lit(False)
+    excluded = among([w.lower() for w in exclude_keywords or [] if w])
+    filtered = ~among([w.lower() for w in include_roles if w]) if include_roles else F.lit(False)
+    reason = F.when(F.col("_n") > 1, "duplicate").when(~F.col("verified"), "not_verified").when(F.col("suppressed"), "suppressed").when(t == 0, "already_bounced").when(t == 1, "already_unsubscribed").when(t == 2, "already_replied").when(excluded, "excluded_keyword").when(filtered, "role_filtered").otherwise("eligible")
     planned = first.join(past, "_e", "left").select(*contacts.columns, reason.alias("reason"))
     return planned.unionByName(contacts.where(F.col("email").isNull()).withColumn("reason", F.lit("no_email")))

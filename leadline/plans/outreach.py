@@ -12,7 +12,7 @@ from leadline import functions as fn
 from leadline import operators as op
 from leadline.functions import web
 from leadline.plans.registry import query
-from leadline.plans.web import pick, sql_case, sql_pick
+from leadline.plans.web import TITLES, pick, sql_case, sql_list, sql_pick
 from leadline.sources import table
 
 STATES = ("queued", "sent", "delivered", "opened", "clicked", "replied", "bounced", "blocked", "unsubscribed")
@@ -142,7 +142,7 @@ PLAN = f"""WITH m AS (SELECT lower(email) AS email, min(CASE {TERMINAL} WHEN 'al
 
 @query(PLAN)
 def recipient_plan(spark: SparkSession, d: str) -> DataFrame:
-    """OP-M13, J08, W07, Q5: why each contact is or isn't written to; the first row of an address counts."""
+    """OP-J08, W07, Q5: why each contact is or isn't written to, without roles and by every fourth message; `outreach_plan` (OP-M13) has all of both."""
     k = F.col("c_custkey")
     base = k - k % 19 % 2
     email = F.when(k % 17 != 0, F.concat(F.lit("c"), base, F.lit("@h"), base % 7, F.lit(".org")))
@@ -156,6 +156,26 @@ def eligibility_summary(spark: SparkSession, d: str) -> DataFrame:
     return recipient_plan(spark, d).groupBy("reason").agg(F.count("*").alias("n"))
 
 
+EXCLUDE, INCLUDE = ("worker", "consultant"), ("founder", "partner", "head", "chief", "cto", "owner", "president", "director")
+OUTREACH = f"""WITH m AS (SELECT lower(email) AS email, min(CASE {TERMINAL} WHEN 'already_bounced' THEN 0 WHEN 'already_unsubscribed' THEN 1 WHEN 'already_replied' THEN 2 END) AS t FROM ({MESSAGES}) GROUP BY 1), c AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 17 = 0 THEN NULL ELSE 'c' || (c_custkey - c_custkey % 19 % 2) || '@h' || ((c_custkey - c_custkey % 19 % 2) % 7) || '.org' END AS email, c_custkey % 6 <> 0 AS verified, c_custkey % 23 = 0 AS suppressed, lower({sql_pick(TITLES, 'c_custkey')}) AS title FROM customer), f AS (SELECT *, row_number() OVER (PARTITION BY email ORDER BY id) AS seen FROM c) SELECT id, CASE WHEN f.email IS NULL THEN 'no_email' WHEN seen > 1 THEN 'duplicate' WHEN NOT verified THEN 'not_verified' WHEN suppressed THEN 'suppressed' WHEN t = 0 THEN 'already_bounced' WHEN t = 1 THEN 'already_unsubscribed' WHEN t = 2 THEN 'already_replied' WHEN list_bool_or(list_transform([{sql_list(EXCLUDE)}], lambda x: contains(title, x))) THEN 'excluded_keyword' WHEN NOT list_bool_or(list_transform([{sql_list(INCLUDE)}], lambda x: contains(title, x))) THEN 'role_filtered' ELSE 'eligible' END AS reason FROM f LEFT JOIN m ON f.email = m.email"""
+
+
+@query(OUTREACH)
+def outreach_plan(spark: SparkSession, d: str) -> DataFrame:
+    """OP-M13: why each contact is or isn't written to, with keywords and roles, by the outcomes of all messages."""
+    k = F.col("c_custkey")
+    base = k - k % 19 % 2
+    email = F.when(k % 17 != 0, F.concat(F.lit("c"), base, F.lit("@h"), base % 7, F.lit(".org")))
+    contacts = table(spark, d, "customer").select(k.alias("id"), email.alias("email"), (k % 6 != 0).alias("verified"), (k % 23 == 0).alias("suppressed"), pick(TITLES, "c_custkey").alias("title"))
+    return op.plan_recipients(contacts, messages(spark, d), ["title"], list(EXCLUDE), list(INCLUDE)).select("id", "reason")
+
+
+@query(f"SELECT reason, count(*) AS n FROM ({OUTREACH}) GROUP BY 1")
+def outreach_summary(spark: SparkSession, d: str) -> DataFrame:
+    """OP-A13, A28: contacts by reason, of outreach_plan."""
+    return outreach_plan(spark, d).groupBy("reason").agg(F.count("*").alias("n"))
+
+
 TEMPLATES = ("Dear {{FullName}} of {{Company}}, {{ City }}?", "Hi {{FirstName}}", "{{Nonsense}} {{FullName}}", "{{Services}} for you")
 
 
