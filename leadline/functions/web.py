@@ -62,6 +62,19 @@ def link_score(url: Column, anchor: Column, footer: Column) -> Column:
     return F.least(out.otherwise(0) + F.when(footer & out.isNotNull(), 10).otherwise(0), F.lit(200))
 
 
+#: Second-level names under which domains are registered; not the whole public-suffix list.
+SECOND_LEVELS = ("co", "com", "org", "net", "edu", "gov", "ac", "or", "ne", "gob", "gouv", "go", "ltd", "plc", "me")
+RESERVED_TLDS = ("example", "test", "invalid", "localhost", "local", "internal")
+
+
+def registrable_domain(url: Column) -> Column:
+    """The last two labels of the host, three under a second level of a country; the whole host of an IP address, a single label or a reserved name."""
+    h = F.regexp_replace(host(url), r"\.+$", "")
+    whole = h.rlike(r"^[0-9.]+$|^\[|^[^.]*$|[.](" + "|".join(RESERVED_TLDS) + ")$")
+    three = F.regexp_extract(h, r"([^.]+[.](?:" + "|".join(SECOND_LEVELS) + r")[.][a-z]{2})$", 1)
+    return F.when(whole, h).when(three != "", three).otherwise(F.regexp_extract(h, r"([^.]+[.][^.]+)$", 1))
+
+
 def is_non_company(url: Column) -> Column:
     h = host(url)
     return F.coalesce(h.rlike("^(.*[.])?(" + "|".join(x.replace(".", "[.]") for x in NON_COMPANY_HOSTS) + ")$"), F.lit(False))
