@@ -40,7 +40,10 @@ def keys(url: Column) -> Column:
 
 def intervals(entries: DataFrame) -> DataFrame:
     """(list, key, since, until) from entries (list, kind 'domain' or 'url', value, action 'add' or 'remove', day); until is the first day after, null: open."""
-    key = F.concat(F.when(F.col("kind") == "domain", "d:").when(F.col("kind") == "url", "u:"), F.lower("value"))
+    # as in keys(): only the host in lower case; no slashes at the end of a path
+    front, rest = F.regexp_extract("value", "^([^/?]*)", 1), F.regexp_extract("value", "^[^/?]*(.*)", 1)
+    address = F.concat(F.lower(front), F.when(rest.contains("?"), rest).otherwise(F.regexp_replace(rest, "/+$", "")))
+    key = F.when(F.col("kind") == "domain", F.concat(F.lit("d:"), F.lower("value"))).when(F.col("kind") == "url", F.concat(F.lit("u:"), address))
     each = entries.select("list", key.alias("key"), F.col("day").cast("date").alias("since"), (F.col("action") == "add").alias("on")).dropna()
     daily = each.groupBy("list", "key", "since").agg(F.min("on").alias("on"))
     w = Window.partitionBy("list", "key").orderBy("since")
