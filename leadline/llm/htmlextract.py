@@ -1,15 +1,19 @@
 """Main text of web pages by minimum-cut labelling of their blocks (operator 1).
 
-A page is cut into blocks: runs of text between block-level tags, each with the elements it lies in. A
-classifier's cost of either label (length, punctuation, link density, and what the enclosing tags, roles,
-classes and ids say) becomes the capacity of the block's terminal edge; blocks that follow one another, and
-blocks that share a parent, are joined by smoothness edges that weaken with the DOM distance. The minimum
-cut (max-flow) parts content from boilerplate.
+A page is cut into blocks: runs of text between block-level tags, each with the elements it lies in. The nodes of
+the cut are the blocks and those elements of which a tag, role, class or id says something. A block's terminal
+capacity is a classifier's cost of either label from its text alone (length, punctuation, share of linked text,
+heading); an element's is what it says, once for each block below it. What an element says reaches the text only
+over edges: DOM proximity joins each block, and each such element, to the next one around it, adjacency joins
+blocks that follow one another, and blocks that share a parent, weaker with the DOM distance. The minimum cut
+(max-flow) parts content from boilerplate: prose in a comment section goes, a bare link in an article stays.
 
 Defined results: null, empty and markup-only pages have the text ''; text outside any element counts;
 comments, scripts, styles, templates, controls and hidden elements have no text; unclosed and misnested tags
-are read leniently (a block-level tag ends an open paragraph, an unknown end tag is ignored); character
-references are decoded once; rows that repeat are extracted alike; a page of any length is read whole.
+are read leniently (a block-level tag ends an open paragraph, an unknown end tag is ignored, a tag, comment or
+quoted value that never ends reaches to the end of the page); character references are decoded once; rows that
+repeat are extracted alike; an empty table gives an empty table; a column named as the output is replaced, all
+others are kept whatever their names; a page of any length is read whole, in time about linear in it.
 """
 
 from __future__ import annotations
@@ -27,7 +31,7 @@ from pyspark.sql import types as T
 
 from leadline.llm.common import byte_sizes, slices
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<raw>.*?)(?:\]\]>|\Z)|<[!?][^>]*>|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<raw>.*?)(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*+)(?P<attrs>(?:[^>=]++|=\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z))?+)*+)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([a-zA-Z_:][-a-zA-Z0-9_:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 SPACE = re.compile(r"\s+")
 NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
@@ -43,11 +47,14 @@ BLOCK = frozenset(
 )
 #: Start tags that end an open element of these names, within the nearest of the scopes.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "body": {"head"}}
+ENDED = {"p"}.union(*ENDS.values())
 SCOPE = frozenset("ul ol dl table div section article body html select menu nav".split())
 
+#: The strongest word against: more than any text of a block can say for it.
+AGAINST = -12.0
 #: What an enclosing element says for (+) or against (-) content: by tag, role, and word of its class or id.
-TAG_WEIGHT = {"article": 3.0, "main": 2.5, "nav": -8.0, "footer": -8.0, "aside": -8.0, "form": -8.0, "menu": -8.0, "dialog": -8.0, "search": -8.0, "fieldset": -4.0}
-ROLE_WEIGHT = {"main": 2.5, "article": 3.0} | dict.fromkeys("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar menuitem toolbar tablist status note doc-footnote".split(), -8.0)
+TAG_WEIGHT = {"article": 3.0, "main": 2.5, "fieldset": -4.0} | dict.fromkeys("nav footer aside form menu dialog search".split(), AGAINST)
+ROLE_WEIGHT = {"main": 2.5, "article": 3.0} | dict.fromkeys("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar menuitem toolbar tablist status note doc-footnote".split(), AGAINST)
 GOOD = frozenset("article content entry main story post body text prose".split())
 BAD = frozenset(
     (
@@ -62,7 +69,9 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
 class Element:
-    __slots__ = ("tag", "parent", "depth", "weight", "silent", "link", "heading", "article")
+    """An open or closed element. `said` is what it says itself; `named` is the next one around (or itself) that says something."""
+
+    __slots__ = ("tag", "parent", "depth", "said", "named", "worst", "best", "silent", "link", "heading", "article", "home", "block", "ended", "scope")
 
     def __init__(self, tag: str, parent: Element | None, attrs: str = ""):
         self.tag, self.parent = tag, parent
@@ -71,14 +80,28 @@ class Element:
         self.link = tag == "a" or bool(parent and parent.link)
         self.heading = tag in HEADINGS or bool(parent and parent.heading)
         self.article = tag in ("article", "main") or bool(parent and parent.article)
-        own = TAG_WEIGHT.get(tag, 0.0)
+        self.said = TAG_WEIGHT.get(tag, 0.0)
         if tag == "header":
-            own = -2.0 if parent and parent.article else -8.0
+            self.said = -2.0 if parent and parent.article else AGAINST
         if attrs and tag not in ("html", "body"):
-            own += self._said(attrs)
-        inherited = parent.weight if parent else 0.0
-        # the strongest word against holds for all that lies inside; words for are not summed up
-        self.weight = min(inherited, own) if min(inherited, own) <= -4 else min(inherited, own) + max(inherited, own, 0.0) if min(inherited, own) < 0 else max(inherited, own)
+            self.said += self._said(attrs)
+        self.named = self if self.said or not parent else parent.named
+        # the strongest words for and against around the text
+        self.worst = min(self.said, parent.worst if parent else 0.0)
+        self.best = max(self.said, parent.best if parent else 0.0)
+        inline = parent is not None and tag not in BLOCK
+        # inline elements speak only where they say something against
+        self.home = parent.home if inline and self.said >= min(0.0, parent.worst) else self
+        self.block = self if not inline else parent.block
+        # the outermost open elements of one scope that a start tag can end
+        self.scope = self.depth if not parent or tag in SCOPE else parent.scope
+        self.ended = {} if self.scope == self.depth else parent.ended
+        if tag in ENDED and tag not in self.ended:
+            self.ended = self.ended | {tag: self}
+
+    @property
+    def against(self) -> bool:
+        return self.worst <= -4
 
     def _said(self, attrs: str) -> float:
         own = 0.0
@@ -90,9 +113,9 @@ class Element:
                 named = [[w.lower() for w in NAME.findall(c)] for c in value.split()]
                 said = {w for ws in named if ws and ws[0] not in NEGATED for w in ws}
                 if said & BAD:
-                    own -= 8.0
+                    own += AGAINST
                 elif "header" in said and not said & GOOD:
-                    own -= 2.0 if self.parent and self.parent.article else 8.0
+                    own += -2.0 if self.parent and self.parent.article else AGAINST
                 elif said & GOOD:
                     own += 1.5
             elif name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I)):
@@ -107,12 +130,44 @@ class Block:
         self.text, self.element, self.linked = text, element, linked
 
 
+class Tree:
+    """The open elements of a page: a step down or up costs the same at any depth."""
+
+    def __init__(self):
+        self.root = self.at = Element("", None)
+        self.open: dict[str, list[Element]] = {}
+
+    def enter(self, element: Element) -> None:
+        self.open.setdefault(element.tag, []).append(element)
+        self.at = element
+
+    def leave(self, element: Element) -> None:
+        """Close `element` and all that is open in it."""
+        while self.at.depth >= element.depth:
+            self.open[self.at.tag].pop()
+            self.at = self.at.parent
+
+    def end(self, tag: str) -> None:
+        held = self.open.get(tag)
+        # an inline end tag doesn't reach past its block
+        if held and (tag in BLOCK or held[-1].depth > self.at.block.depth):
+            self.leave(held[-1])
+
+    def start_block(self, tag: str) -> None:
+        """A block-level tag ends an open paragraph with all inside it, or an open element of its like."""
+        ended = [e for t in ("p", *ENDS.get(tag, ())) if (e := self.at.ended.get(t)) is not None and e.depth > 0]
+        if ended:
+            self.leave(min(ended, key=lambda e: e.depth))
+        if tag == "body" and self.at.tag == "head":
+            self.leave(self.at)
+
+
 def blocks(page: str) -> list[Block]:
     """The text blocks of a page in order, white space collapsed and character references decoded."""
     out: list[Block] = []
-    root = Element("", None)
-    at, parts, linked = root, [], 0
-    home = root
+    tree = Tree()
+    parts, linked = [], 0
+    home = tree.root
 
     def flush() -> None:
         nonlocal parts, linked
@@ -129,11 +184,7 @@ def blocks(page: str) -> list[Block]:
         if not parts:
             if text.isspace():
                 return
-            home = element
-            while home.parent and home.tag not in BLOCK:  # inline elements speak only where they say something against
-                if home.weight < min(0.0, home.parent.weight):
-                    break
-                home = home.parent
+            home = element.home
         parts.append(text)
         if element.link:
             linked += len(text)
@@ -141,10 +192,10 @@ def blocks(page: str) -> list[Block]:
     pos, end = 0, len(page)
     for m in iter(lambda: TOKEN.search(page, pos), None):
         if m.start() > pos:
-            add(entities.unescape(page[pos : m.start()]), at)
+            add(entities.unescape(page[pos : m.start()]), tree.at)
         pos = m.end()
         if m["raw"] is not None:
-            add(m["raw"], at)
+            add(m["raw"], tree.at)
             continue
         tag = m["tag"]
         if not tag:
@@ -153,57 +204,39 @@ def blocks(page: str) -> list[Block]:
         if m["end"]:
             if tag == "p" or tag in BLOCK:
                 flush()
-            e = at
-            while e.parent and e.tag != tag:
-                if tag not in BLOCK and e.tag in BLOCK:  # an inline end tag doesn't reach past its block
-                    e = root
-                    break
-                e = e.parent
-            if e.parent:
-                at = e.parent
+            tree.end(tag)
             continue
         if tag in ("br", "hr", "img", "wbr"):
             if tag == "hr":
                 flush()
             elif tag == "br":
-                add(" ", at)
+                add(" ", tree.at)
             continue
         if tag in VOID:
             continue
         if tag in BLOCK:
             flush()
-            e = at
-            while e.parent and e.tag not in SCOPE:  # a block-level tag ends an open paragraph with all inside it
-                if e.tag == "p" or e.tag in ENDS.get(tag, ()):
-                    at = e.parent
-                e = e.parent
-            if e.tag == "p":
-                at = e.parent
-            if tag == "body" and at.tag == "head":
-                at = at.parent
-        child = Element(tag, at, m["attrs"])
+            tree.start_block(tag)
         if tag in RAW:
-            close = re.compile(rf"</{tag}\s*>", re.I).search(page, pos)
+            close = re.compile(rf"</{tag}\s*+>", re.I).search(page, pos)
             pos = close.end() if close else end
             continue
         if not m["attrs"].rstrip().endswith("/") or tag in BLOCK:
-            if child.weight <= -4 and child.weight < at.weight and tag not in BLOCK:
+            child = Element(tag, tree.at, m["attrs"])
+            if child.against and child.worst < tree.at.worst and tag not in BLOCK:
                 flush()
-            at = child
+            tree.enter(child)
     if pos < end:
-        rest = page[pos:]
-        cut = re.search(r"<[a-zA-Z/!]", rest)  # a tag that never ends
-        add(entities.unescape(rest[: cut.start()] if cut else rest), at)
+        add(entities.unescape(page[pos:]), tree.at)
     flush()
     return out
 
 
 def score(b: Block) -> float:
-    """Log-odds that a block is content."""
+    """Log-odds that a block is content, from its text alone."""
     words = len(WORD.findall(b.text))
     links = b.linked / max(1, len(b.text))
-    s = -0.4 + 0.75 * math.log1p(words) + (0.6 if SENTENCE.search(b.text) else 0.0) - 4.0 * links + b.element.weight
-    return s + (0.5 if b.element.heading else 0.0)
+    return -0.4 + 0.75 * math.log1p(words) + (0.6 if SENTENCE.search(b.text) else 0.0) - 4.0 * links + (0.5 if b.element.heading else 0.0)
 
 
 def distance(a: Element, b: Element) -> int:
@@ -287,10 +320,10 @@ def smoothness(found: list[Block], adjacent: float, proximity: float) -> dict[tu
     out: dict[tuple[int, int], float] = {}
     last: dict[tuple[int, bool], int] = {}
     for i, b in enumerate(found):
-        against = b.element.weight <= -4
+        against = b.element.against
         if i:
             a = found[i - 1].element
-            out[i - 1, i] = adjacent / max(1, distance(a, b.element)) * (1.0 if (a.weight <= -4) == against else 0.2)
+            out[i - 1, i] = adjacent / max(1, distance(a, b.element)) * (1.0 if a.against == against else 0.2)
         parent = id(b.element.parent or b.element), against
         j = last.get(parent)
         if j is not None:
@@ -299,20 +332,91 @@ def smoothness(found: list[Block], adjacent: float, proximity: float) -> dict[tu
     return out
 
 
-def label(found: list[Block], adjacent: float = 1.0, proximity: float = 1.5) -> list[bool]:
-    """Which blocks are content: the side of the source in the minimum cut."""
-    n = len(found)
-    flow = Flow(n + 2)
+Edges = dict[tuple[int, int], tuple[float, float]]
+
+
+def network(found: list[Block], adjacent: float = 1.0, proximity: float = 1.5) -> tuple[list[float], Edges]:
+    """Costs of the nodes (the blocks, then the elements that say something; content where positive) and the
+    capacities (there, back) of their edges: (i, j) is paid there where i alone is content, back where j alone is."""
+    costs = [score(b) for b in found]
+    edges: Edges = {ij: (c, c) for ij, c in smoothness(found, adjacent, proximity).items()}
+    node: dict[int, int] = {}
+    held: list[Element] = []
+    for b in found:
+        e = b.element.named
+        while e.said and id(e) not in node:
+            node[id(e)] = -1
+            held.append(e)
+            if not e.parent:
+                break
+            e = e.parent.named
+    held.sort(key=lambda e: e.depth)
+    below = dict.fromkeys(map(id, held), 0)
+    for k, e in enumerate(held):
+        node[id(e)] = len(found) + k
+
+    def join(child: int, e: Element | None, size: int) -> None:
+        if e is not None and e.said:
+            below[id(e)] += size
+            edges[child, node[id(e)]] = (-min(e.worst, 0.0) * size, max(e.best, 0.0) * size)
+
     for i, b in enumerate(found):
-        s = score(b)
-        if s > 0:
-            flow.edge(n, i, s)
-        elif s < 0:
-            flow.edge(i, n + 1, -s)
-    for (i, j), c in smoothness(found, adjacent, proximity).items():
-        flow.edge(i, j, c, c)
+        join(i, b.element.named, 1)
+    for e in reversed(held):
+        join(node[id(e)], e.parent.named if e.parent else None, below[id(e)])
+    return costs + [e.said * below[id(e)] for e in held], edges
+
+
+def min_cut(costs: list[float], edges: Edges) -> list[bool]:
+    """Which nodes lie on the source's side of the minimum cut (the least such side).
+
+    A node whose cost outweighs all its edges has its label whatever the others have; such nodes are settled first and
+    their edges become costs of their neighbours. Max-flow decides the rest.
+    """
+    costs, near = costs[:], [[] for _ in costs]
+    for (i, j), (there, back) in edges.items():
+        near[i].append((j, there, back))
+        near[j].append((i, back, there))
+    side: list[bool | None] = [None] * len(costs)
+    queue = deque(range(len(costs)))
+    while queue:
+        i = queue.popleft()
+        if side[i] is not None:
+            continue
+        rest = [x for x in near[i] if side[x[0]] is None]
+        if costs[i] > sum(x[1] for x in rest) + 1e-9:
+            side[i] = True
+        elif -costs[i] > sum(x[2] for x in rest) + 1e-9:
+            side[i] = False
+        else:
+            near[i] = rest
+            continue
+        for j, there, back in rest:
+            costs[j] += there if side[i] else -back
+            queue.append(j)
+    left = [i for i, x in enumerate(side) if x is None]
+    if all(costs[i] > 0 for i in left) or all(costs[i] <= 0 for i in left):  # no flow from one side to the other
+        return [bool(costs[i] > 0 if x is None else x) for i, x in enumerate(side)]
+    place = {i: k for k, i in enumerate(left)}
+    n = len(left)
+    flow = Flow(n + 2)
+    for k, i in enumerate(left):
+        if costs[i] > 0:
+            flow.edge(n, k, costs[i])
+        elif costs[i] < 0:
+            flow.edge(k, n + 1, -costs[i])
+    for (i, j), (there, back) in edges.items():
+        if side[i] is None and side[j] is None:
+            flow.edge(place[i], place[j], there, back)
     flow.run(n, n + 1)
-    return flow.min_side()[:n]
+    for k, kept in zip(left, flow.min_side()):
+        side[k] = kept
+    return [bool(x) for x in side]
+
+
+def label(found: list[Block], adjacent: float = 1.0, proximity: float = 1.5) -> list[bool]:
+    """Which blocks are content: the side of the source in the minimum cut."""
+    return min_cut(*network(found, adjacent, proximity))[: len(found)]
 
 
 def main_text(page: str | None) -> str:

@@ -6,6 +6,7 @@ import datetime
 import hashlib
 import html
 import re
+import time
 import zlib
 
 import numpy as np
@@ -85,6 +86,41 @@ def test_html_cut_is_minimal():
         assert abs(total - best) < 1e-6 and abs(cost(flow.min_side()[:n]) - best) < 1e-6
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [  # no tag, class or id tells: neighbours correct the cost of a block's own text
+        (f"<div><p>{PROSE * 3}</p><p><a href=x>Read the table</a></p><p>{PROSE * 3}</p></div>", f"{PROSE.strip()} {PROSE}{PROSE}".strip() + "\n\nRead the table\n\n" + f"{PROSE}{PROSE}{PROSE}".strip()),
+        ("<ul><li><a href=a>One page</a><li><a href=b>Two pages</a><li>More<li><a href=c>Three pages</a><li><a href=d>Four pages</a></ul>", ""),
+        # what an element says outweighs prose in it, over any number of nameless elements
+        (f"<div id=comments><div><div><p>{PROSE * 40}</p></div><p>{PROSE * 9}</p></div></div><p>{PROSE}</p>", PROSE.strip()),
+    ],
+)
+def test_html_cut_corrects_costs(page, text):
+    found = htmlextract.blocks(page)
+    kept, alone = htmlextract.label(found), [htmlextract.score(b) > 0 for b in found]
+    assert kept != alone
+    assert htmlextract.main_text(page) == text
+
+
+def test_html_settled_nodes_keep_the_cut_minimal():
+    rng = np.random.default_rng(1)
+    for _ in range(200):
+        n = int(rng.integers(1, 9))
+        costs = rng.normal(0, 2, n).tolist()
+        edges = {(i, j): (float(rng.random() * 2), float(rng.random() * 2)) for i in range(n) for j in range(i + 1, n) if rng.random() < 0.5}
+        paid = lambda y: sum(max(s, 0) if not v else max(-s, 0) for s, v in zip(costs, y)) + sum(t * (y[i] and not y[j]) + b * (y[j] and not y[i]) for (i, j), (t, b) in edges.items())  # noqa: B023, E731
+        best = min(paid([bool(k >> i & 1) for i in range(n)]) for k in range(1 << n))
+        assert abs(paid(htmlextract.min_cut(costs, edges)) - best) < 1e-6
+
+
+@pytest.mark.parametrize("part", ["<a ", "<blockquote>word ", "<b>x", "<p>a", "<nav>some text ", "<li>x<ul>", "</aside><i></b>", "<a x=\""])
+def test_html_long_pages_take_linear_time(part):
+    page = part * ((1 << 20) // len(part))
+    start = time.monotonic()
+    htmlextract.main_text(page + "<b>" * 50_000 + "<p>end")
+    assert time.monotonic() - start < 20  # some 2 s; hours where a step walks all ancestors
+
+
 def test_html_rows(spark):
     df = spark.createDataFrame([(1, None, "x"), (1, "<p>Hello there, world of words.</p>", "x"), (None, "<p>Hello there, world of words.</p>", None)], "page_id long, html string, text string")
     assert [r["text"] for r in htmlextract.extract(df).collect()] == ["", "Hello there, world of words.", "Hello there, world of words."]
