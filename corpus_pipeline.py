@@ -13,9 +13,9 @@ from leadline.llm.queries import tokenizer_path, toxicity_model
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity score rejects (0.5 or more) go; all stay where no term was learnt."""
+    """Documents that the toxicity score rejects (0.5 or more) go; all stay where the labels teach nothing."""
     model = toxicity_model(spark, docs, sf_dir)
-    if not model.terms:
+    if not model.learnt:
         return docs
     scored = toxicity.score(docs, model)
     return scored.where(F.col("toxicity") < 0.5).select(docs.columns)
