@@ -6,6 +6,7 @@ import hashlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -114,24 +115,62 @@ def test_vector_query(spark):
     with np.errstate(over="ignore", divide="ignore", invalid="ignore"):
         scaled = [None if v is None else v if not v or any(x is None for x in v) or not np.isfinite(v).all() or not any(v) else (np.array(v) / np.abs(v).max()).tolist() for v in rows]
     edges = plain_links(range(len(rows)), scaled, 0.95)
-    for tile in (512, 8):
-        got = {r["vec_id"]: r for r in vectordup.near_vectors(df, tile=tile).collect()}
+    for tile, recall in ((8192, 0.985), (16, 0.985), (64, 1.0)):
+        got = {r["vec_id"]: r for r in vectordup.near_vectors(df, tile=tile, recall=recall).collect()}
         assert len(got) == len(rows)
         true, found = Counter(x for e in edges for x in e), {i: r["n_links"] for i, r in got.items()}
         assert all(found[i] <= true[i] for i in found)
         assert sum(found.values()) >= 0.97 * sum(true.values())
+        if recall == 1:
+            at = least(range(len(rows)), edges)
+            assert found == {i: true[i] for i in found} and all(r["component_id"] == at[i] for i, r in got.items())
         assert all(r["kept"] == (r["vec_id"] == r["component_id"]) and r["component_id"] <= r["vec_id"] for r in got.values())
     assert vectordup.near_vectors(df.limit(0)).collect() == []
 
 
-def test_vector_query_on_whole_table(spark):
+def test_codes_estimate_without_bias():
+    rng = np.random.default_rng(4)
+    for d in (64, 100, 384):
+        x = vectordup.unit(rng.normal(size=(2000, d)))
+        y = vectordup.unit(x + rng.normal(size=(2000, d)) * rng.choice([0.02, 0.05, 0.3], (2000, 1)) * 3 / np.sqrt(d) ** 0.5)
+        codes = vectordup.Codes.read(vectordup.Codes.of(np.concatenate([x, y])).rows(), d)
+        i = np.arange(2000)
+        guess, error = codes.estimates(i, i + 2000)
+        off = guess - (x * y).sum(1)
+        assert abs(off.mean()) < 0.006 and (np.abs(off) <= vectordup.SPREAD * error).mean() > 0.999
+        near = np.flatnonzero((x * y).sum(1) >= 0.95)
+        found = {p for a, b in codes.possible(i, i + 2000, 0.95) for p in zip(a.tolist(), (b - 2000).tolist())}
+        assert len(near) and len(found & set(zip(near.tolist(), near.tolist()))) >= 0.995 * len(near)
+        assert len(found) < 20 * 2000  # of 4,000,000
+
+
+def test_vector_recall_of_50000(spark):
+    """Pairs planted at the threshold among 50,000 vectors, with the bits and tables that go with that number."""
+    rng = np.random.default_rng(8)
+    base = vectordup.unit(rng.normal(size=(40_000, 64)))
+    other = vectordup.unit(rng.normal(size=(10_000, 64)))
+    other = vectordup.unit(other - (other * base[:10_000]).sum(1, keepdims=True) * base[:10_000])
+    c = rng.uniform(0.9501, 0.97, (10_000, 1))
+    rows = np.concatenate([base, c * base[:10_000] + np.sqrt(1 - c * c) * other])
+    assert vectordup.plan(50_000, 0.95, 0.985)[0] == 5
+    df = spark.createDataFrame(pa.table({"vec_id": np.arange(50_000), "embedding": pa.FixedSizeListArray.from_arrays(rows.ravel(), 64).cast(pa.list_(pa.float64()))}))
+    got = vectordup.near_vectors(df).where("n_links > 0").collect()
+    named = {r["vec_id"]: r["component_id"] for r in got}
+    assert sum(named.get(40_000 + i) == i for i in range(10_000)) >= 9_800
+    x = vectordup.unit(rows)
+    assert all(float((x[i] * x[r]).sum()) >= 0.95 for i, r in named.items() if i != r and i - r == 40_000)
+
+
+def test_vectors_from_tables_brought_near(spark):
+    """The table's own vectors have no pair at the threshold: each fourth one is copied nearby."""
     sf = SMALL.replace("0.001", "0.01")
-    rows = spark.read.parquet(f"{sf}/embeddings.parquet").collect()
-    x = np.array([r["embedding"] for r in rows], float)
-    x /= np.sqrt((x * x).sum(1, keepdims=True))
-    true = (x @ x.T >= 0.95).sum(1) - 1
-    got = {r["vec_id"]: r["n_links"] for r in queries.op9_embedding_dedup(spark, sf).collect()}
-    assert sum(got.values()) >= 0.9 * true.sum() and all(got[r["vec_id"]] <= t for r, t in zip(rows, true))
+    x = np.array([r["embedding"] for r in spark.read.parquet(f"{sf}/embeddings.parquet").orderBy("vec_id").collect()], float)
+    x = np.concatenate([x, x[::4] + np.random.default_rng(9).normal(0, 0.02, x[::4].shape)])
+    u = x / np.sqrt((x * x).sum(1, keepdims=True))
+    true = (u @ u.T >= 0.95).sum(1) - 1
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r["n_links"] for r in vectordup.near_vectors(df).collect()}
+    assert true.sum() >= 200 and sum(got.values()) >= 0.97 * true.sum() and all(got[i] <= t for i, t in enumerate(true))
 
 
 # ---- operator 10
