@@ -75,6 +75,21 @@ def words(text: str | None, kind: bytes = ALNUM) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(kind).split() if text else []
 
 
+def skew_join(many: DataFrame, few: DataFrame, on: list[str], rows: str, spread: list[str]) -> DataFrame:
+    """many joined with few on `on`; few has one row a key, whose column `rows` says how many rows of many hold it.
+
+    Keys of more rows than a share of the total are split by a hash of the columns `spread` of many: a task gets at most about
+    that share of one key. At most 50,000 keys can hold so much, which bounds what is broadcast.
+    """
+    total = few.agg(F.coalesce(F.sum(rows), F.lit(0))).head()[0]
+    most = max(4096, total // 50_000)
+    salts = F.ceil(F.col(rows) / most).cast("int")
+    hot = few.where(F.col(rows) > most).select(*on, salts.alias("_salts"))
+    few = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.when(F.col(rows) > most, salts - 1).otherwise(0))))
+    many = many.join(F.broadcast(hot), on, "left").withColumn("_salt", F.pmod(F.xxhash64(*spread), F.coalesce("_salts", F.lit(1))).cast("int")).drop("_salts")
+    return many.join(few, [*on, "_salt"]).drop("_salt")
+
+
 def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Edges from each node to its component's least node, over these edges alone."""
     nodes, flat = np.unique(np.concatenate([u, v]), return_inverse=True)

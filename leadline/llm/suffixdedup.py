@@ -8,12 +8,17 @@ has different segments, a suffix array of them is built by two-stage sorting: su
 their successors are sorted directly, all others are induced by one scan over the buckets, and adjacent
 common prefixes of `length` or more mark the windows which repeat.
 
-An anchor with more than `most` different segments (a short passage in ever new surroundings) would be
-one task's work; its windows are compared by 128-bit digests instead, which spread over all tasks.
+An anchor with more than `split` different segments (a short passage in ever new surroundings) would be one task's work. Its
+segments are first cut into finer ones by content: windows whose digest stands nowhere else can't repeat and go, and
+the others are filed under further anchors, one for each of `LEVELS` other hashes. These again depend on a window's bytes
+alone, so that equal windows meet; equal finer segments collapse, and the suffix arrays decide the rest as everywhere.
 
-Defined results: null and empty texts have no bytes; a text shorter than `length` keeps all; offsets are
-bytes of the UTF-8 text; matches never cross texts; rows that repeat an id must be equal rows; a null id
-keeps its text, and its strings count as elsewhere for the others.
+Keys that very many rows hold are split before rows meet: no task has more of one key than a small share of the total.
+
+Defined results: null and empty texts have no bytes; a text shorter than `length` keeps all; offsets are bytes of the
+UTF-8 text; matches never cross texts; ids are integers; rows that repeat an id must be equal rows, and repeat one another's
+strings; rows with a null id are texts like others; an empty table gives an empty result; columns of the outputs' names are
+replaced, all others are kept whatever their names; texts are read whole.
 """
 
 from __future__ import annotations
@@ -24,11 +29,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leadline.llm.common import byte_sizes, materialize, slices
+from leadline.llm.common import byte_sizes, materialize, skew_join, slices
 from leadline.llm.shingles import BYTES, mix, powers, raw
 
 U = np.uint64
 GRAM = 100
+#: Further anchors of the segments of a crowded anchor.
+LEVELS = 6
 PIECE = 1 << 20  # window starts read at once
 PLACE = U((1 << 24) - 1)
 
@@ -157,18 +164,37 @@ def runs(x: np.ndarray) -> list[dict[str, int]]:
 RANGES = pa.list_(pa.struct([("a", pa.int64()), ("z", pa.int64())]))
 
 
-def _occurrences(docs: DataFrame, key: str, text: str, length: int) -> DataFrame:
+def finer(part: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each window of a segment its digest, and a hash of its further anchors."""
+    p, inv = powers(len(part) + 1)
+    digest, anchors = None, np.zeros(len(part) - length + 1, np.uint64)
+    for level in range(LEVELS):
+        c = np.concatenate([[U(0)], np.cumsum(mix(BYTES, 3 + level)[part] * p[: len(part)])])
+        if not level:
+            digest = mix((c[length:] - c[:-length]) * inv[: len(c) - length])
+        g = mix((c[GRAM:] - c[:-GRAM]) * inv[: len(part) - GRAM + 1], level)
+        anchors = mix(anchors * U(31) + sliding_min(g, length - GRAM + 1))
+    return digest.view(np.int64), anchors.view(np.int64)
+
+
+def _named(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(none, k, t): a row without id is named by its text."""
+    id = F.col(f"`{key}`").cast("long")
+    return docs.select(id.isNull().alias("none"), F.coalesce(id, F.xxhash64(F.col(f"`{text}`"))).alias("k"), F.col(f"`{text}`").alias("t"))
+
+
+def _occurrences(docs: DataFrame, length: int) -> DataFrame:
     def run(batches):
         for b in batches:
-            for i, j in slices(byte_sizes(b.column(1)), 8 << 20):
+            for i, j in slices(byte_sizes(b.column(2)), 8 << 20):
                 part = b.slice(i, j - i)
-                data, ends = raw(part.column(1))
-                ids = part.column(0)
+                data, ends = raw(part.column(2))
                 for buffer, where in pieces(np.frombuffer(data, np.uint8), ends, length):
                     row, at, size, h, s = segments(buffer, where, length)
-                    yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(s), ids.take(pa.array(row)), pa.array(at.astype(np.int32)), pa.array(size.astype(np.int32))], ["h", "s", "id", "at", "size"])
+                    row = pa.array(row)
+                    yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(s), part.column(0).take(row), part.column(1).take(row), pa.array(at.astype(np.int32)), pa.array(size.astype(np.int32))], ["h", "s", "none", "k", "at", "size"])
 
-    return docs.select(F.col(key).cast("long"), F.col(text)).mapInArrow(run, "h long, s long, id long, at int, size int")
+    return docs.mapInArrow(run, "h long, s long, none boolean, k long, at int, size int")
 
 
 def _sort_segments(parts: DataFrame, length: int, batch: int) -> DataFrame:
@@ -193,58 +219,70 @@ def _sort_segments(parts: DataFrame, length: int, batch: int) -> DataFrame:
     return parts.mapInArrow(run, "h long, s long, ranges array<struct<a:long,z:long>>")
 
 
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 400, most: int = 4000, batch: int = 1 << 18) -> DataFrame:
+def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 400, split: int = 2000, batch: int = 1 << 18) -> DataFrame:
     """docs with removed_spans (array<struct<start,end>> of bytes) and kept_bytes (binary); columns of these names are replaced."""
     if length < GRAM + 8:
         raise ValueError(f"length must be {GRAM + 8} or more")
     names = ("removed_spans", "kept_bytes")
     docs = docs.select([F.col(f"`{c}`") for c in docs.columns if c not in names])
-    occ = _occurrences(docs, key, text, length)
-    again = occ.groupBy("h").agg(F.count("*").alias("c"), (F.min("s") != F.max("s")).alias("mixed")).where("c > 1")
-    occ = materialize(occ.join(again.select("h", "mixed"), "h").select("h", "s", "id", "at", "size", "mixed"))
-    distinct = materialize(occ.groupBy("h", "s").agg(F.count("*").alias("c"), F.min(F.struct(F.col("id").isNull().alias("none"), "id", "at", "size")).alias("x"), F.first("mixed").alias("mixed")).select("h", "s", "c", "x.id", "x.at", "x.size", "mixed"))
+    named = _named(docs, key, text)
+    occ = _occurrences(named, length)
+    again = materialize(occ.groupBy("h").agg(F.count("*").alias("c"), (F.min("s") != F.max("s")).alias("mixed")).where("c > 1"))
+    occ = materialize(skew_join(occ, again, ["h"], "c", ["s", "k", "at"]).select("h", "s", "none", "k", "at", "size", "mixed"))
+    distinct = materialize(occ.groupBy("h", "s").agg(F.count("*").alias("c"), F.min(F.struct("none", "k", "at", "size")).alias("x"), F.first("mixed").alias("mixed")).select("h", "s", "c", "x.none", "x.k", "x.at", "x.size", "mixed"))
     mixed = distinct.where("mixed")
-    kinds = mixed.groupBy("h").agg((F.count("*") > most).alias("hot"))
-    asked = mixed.join(kinds, "h").groupBy(F.col("id").alias("k")).agg(F.collect_list(F.struct("h", "s", "at", "size", "hot")).alias("asked"))
-    texts = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).join(asked, "k")
+    kinds = mixed.groupBy("h").agg(F.count("*").alias("n"))
+    asked = skew_join(mixed, kinds, ["h"], "n", ["s"]).groupBy("none", "k").agg(F.collect_list(F.struct("h", "s", "at", "size", (F.col("n") > split).alias("hot"))).alias("asked"))
+    texts = named.join(asked, ["none", "k"]).dropDuplicates(["none", "k"])
 
     def cut(batches):
         for b in batches:
-            for i, j in slices(byte_sizes(b.column(1)), 2 << 20):
+            for i, j in slices(byte_sizes(b.column(0)), 2 << 20):
                 out = [[], [], [], [], [], []]
                 for r in range(i, j):
-                    x = np.frombuffer((b.column(1)[r].as_py() or "").encode("utf-8", "surrogatepass"), np.uint8)
-                    for a in b.column(2)[r].as_py():
+                    x = np.frombuffer((b.column(0)[r].as_py() or "").encode("utf-8", "surrogatepass"), np.uint8)
+                    for a in b.column(1)[r].as_py():
                         part = x[a["at"] : a["at"] + a["size"]]
-                        if not a["hot"]:
-                            rows = [(a["h"], a["s"], part.tobytes(), None, None, None)]
-                        else:
-                            p, inv = powers(len(part) + 1)
-                            w = []
-                            for salt in (3, 4):
-                                table = mix(BYTES, salt)
-                                c = np.concatenate([[U(0)], np.cumsum(table[part] * p[: len(part)])])
-                                w.append(mix((c[length:] - c[:-length]) * inv[: len(c) - length]).view(np.int64).tolist())
-                            rows = [(a["h"], a["s"], None, q, *y) for q, y in enumerate(zip(*w))]
-                        for row in rows:
-                            for o, v in zip(out, row):
-                                o.append(v)
-                kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(o, k) for o, k in zip(out, kinds)], ["h", "s", "x", "q", "w1", "w2"])
-
-    parts = materialize(texts.select("k", "t", "asked").mapInArrow(cut, "h long, s long, x binary, q long, w1 long, w2 long"))
+                        out[0].append(a["h"])
+                        out[1].append(a["s"])
+                        out[2].append(part.tobytes())
+                        out[3].append(a["hot"])
+                        w, k = finer(part, length) if a["hot"] else (None, None)
+                        out[4].append(w)
+                        out[5].append(k)
+                kinds = (pa.int64(), pa.int64(), pa.binary(), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(o, k) for o, k in zip(out, kinds)], ["h", "s", "x", "hot", "ws", "ks"])
+
+    parts = materialize(texts.select("t", "asked").mapInArrow(cut, "h long, s long, x binary, hot boolean, ws array<long>, ks array<long>"))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cold = parts.where("x is not null").select("h", "s", "x").dropDuplicates(["h", "s"]).repartition(n, "h").sortWithinPartitions("h")
-    hot = parts.where("x is null").select("h", "s", "q", "w1", "w2").distinct()
-    twice = hot.groupBy("w1", "w2").agg(F.count("*").alias("c")).where("c > 1").select("w1", "w2")
-    hot = hot.join(twice, ["w1", "w2"]).groupBy("h", "s").agg(F.collect_list(F.struct(F.col("q").alias("a"), F.col("q").alias("z"))).alias("ranges"))
-    found = materialize(_sort_segments(cold, length, batch).where(F.size("ranges") > 0).unionByName(hot))
+    sort = lambda df, *by: _sort_segments(df.repartition(n, *by).sortWithinPartitions(*by), length, batch)
+    cold = sort(parts.where("not hot").select("h", "s", "x"), "h")
+    # crowded anchors: windows that can repeat, in runs of one finer key, and the bytes of each run
+    each = parts.where("hot").select("h", "s", F.posexplode(F.arrays_zip("ws", "ks")).alias("q", "w")).select("h", "s", "q", "w.ws", "w.ks")
+    twice = each.groupBy("ws").agg(F.count("*").alias("n")).where("n > 1")
+    kept = skew_join(each, twice, ["ws"], "n", ["s", "q"]).groupBy("h", "s").agg(F.sort_array(F.collect_list(F.struct("q", "ks"))).alias("qs"))
+    start = F.expr("filter(qs, (x, i) -> i = 0 or x.ks <> qs[i - 1].ks or x.q <> qs[i - 1].q + 1)")
+    end = F.expr("filter(qs, (x, i) -> i = size(qs) - 1 or x.ks <> qs[i + 1].ks or qs[i + 1].q <> x.q + 1)")
+    runs_ = kept.select("h", "s", F.explode(F.arrays_zip(start.alias("a"), end.alias("z"))).alias("r")).select("h", "s", F.col("r.a.ks").alias("ks"), F.col("r.a.q").alias("a"), F.col("r.z.q").alias("z"))
+    bytes_ = F.expr(f"substring(x, a + 1, z - a + {length})")
+    fine = materialize(parts.where("hot").select("h", "s", "x").join(runs_, ["h", "s"]).select("h", "s", "ks", "a", bytes_.alias("x")).withColumn("s2", F.xxhash64("x")))
+    one = fine.groupBy("h", "ks", "s2").agg(F.count("*").alias("c"), F.first("x").alias("x"))
+    crowded = one.select(F.xxhash64("h", "ks").alias("h"), "s2", "c", "x")
+    sorted_ = sort(crowded.select("h", F.col("s2").alias("s"), "x"), "h")
+    answers = crowded.select("h", "s2", "c", F.octet_length("x").alias("size")).join(sorted_.select("h", F.col("s").alias("s2"), "ranges"), ["h", "s2"], "left")
     whole = F.array(F.struct(F.lit(0).cast("long").alias("a"), (F.col("size") - length).cast("long").alias("z")))
-    ranges = distinct.join(found, ["h", "s"], "left").select("h", "s", F.when(F.col("c") > 1, whole).otherwise(F.col("ranges")).alias("ranges")).where("ranges is not null")
-    marks = occ.join(ranges, ["h", "s"]).select(F.col("id").alias("k"), F.transform("ranges", lambda r: F.struct((F.col("at") + r["a"]).alias("start"), (F.col("at") + r["z"] + length).alias("end"))).alias("m"))
-    marks = marks.groupBy("k").agg(F.flatten(F.collect_list("m")).alias("m"))
+    answers = answers.select("h", "s2", "c", F.when(F.col("c") > 1, whole).otherwise(F.col("ranges")).alias("ranges")).where(F.size("ranges") > 0)
+    back = skew_join(fine.select(F.xxhash64("h", "ks").alias("g"), "s2", "h", "s", "a"), answers.withColumnRenamed("h", "g"), ["g", "s2"], "c", ["s", "a"])
+    hot = back.select("h", "s", F.transform("ranges", lambda r: F.struct((F.col("a") + r["a"]).alias("a"), (F.col("a") + r["z"]).alias("z"))).alias("ranges")).groupBy("h", "s").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
+    found = materialize(cold.where(F.size("ranges") > 0).unionByName(hot))
+    ranges = distinct.join(found, ["h", "s"], "left").select("h", "s", "c", F.when(F.col("c") > 1, whole).otherwise(F.col("ranges")).alias("ranges")).where("ranges is not null")
+    marks = skew_join(occ, materialize(ranges), ["h", "s"], "c", ["k", "at"]).select("none", "k", F.transform("ranges", lambda r: F.struct((F.col("at") + r["a"]).alias("start"), (F.col("at") + r["z"] + length).alias("end"))).alias("m"))
+    # equal rows have equal marks
+    marks = marks.distinct().groupBy("none", "k").agg(F.flatten(F.collect_list("m")).alias("m"))
     # docs can have columns of any name: both sides are named apart
-    both = docs.alias("docs").join(marks.alias("marks"), F.col(f"docs.`{key}`").cast("long") == F.col("marks.k"), "left").select("docs.*", "marks.m")
+    id = F.col(f"docs.`{key}`").cast("long")
+    same = (id.isNull() == F.col("marks.none")) & (F.coalesce(id, F.xxhash64(F.col(f"docs.`{text}`"))) == F.col("marks.k"))
+    both = docs.alias("docs").join(marks.alias("marks"), same, "left").select("docs.*", "marks.m")
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
     schema = T.StructType([*docs.schema.fields, T.StructField(names[0], span), T.StructField(names[1], T.BinaryType())])
     own, at = len(docs.columns), docs.columns.index(text)

@@ -71,15 +71,17 @@ def test_suffix_dedup_query(spark):
     assert {r["doc_id"]: tuple(r)[1:] for r in queries.op2_suffix_dedup(spark, SMALL).collect()} == want
 
 
-@pytest.mark.parametrize("most", [4000, 2])
-def test_suffix_dedup_odd(spark, most):
+@pytest.mark.parametrize("split", [2000, 2])
+def test_suffix_dedup_odd(spark, split):
     rng = np.random.default_rng(5)
     letters = lambda n: "".join(rng.choice(list("ab é"), n))
     passage = letters(260)
     rows = [None, "", "short", "a" * 5000, "a" * 900, "ab" * 700, letters(3000), passage, passage + letters(300)] + [letters(150) + passage + letters(int(rng.integers(0, 300))) for _ in range(12)]
     rows += [rows[6], rows[6][500:1500] + "tail" * 60, "x" * 119, "x" * 120, rows[-1][:200]]
-    df = spark.createDataFrame([(i, t, 1, 2) for i, t in enumerate(rows)], "doc_id long, text string, removed_spans int, k int")
-    got = suffixdedup.remove_repeats(df, length=120, most=most).orderBy("doc_id").collect()
+    rows += [letters(150) + passage + letters(200), letters(400)]
+    rows += [rows[-1][100:] + "x"]
+    df = spark.createDataFrame([(i if i < len(rows) - 3 else None, t, 1, 2, i, "x") for i, t in enumerate(rows)], "doc_id long, text string, removed_spans int, k int, t int, none string")
+    got = suffixdedup.remove_repeats(df, length=120, split=split).orderBy("t").collect()
     mine = [(len((t or "").encode()), sum(s["end"] - s["start"] for s in r["removed_spans"]), len(r["removed_spans"]), sha(bytes(r["kept_bytes"]))) for t, r in zip(rows, got)]
     assert mine == plain_removed(rows, 120)
     assert suffixdedup.remove_repeats(df.limit(0)).collect() == []
