@@ -75,14 +75,15 @@ def words(text: str | None, kind: bytes = ALNUM) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(kind).split() if text else []
 
 
-def skew_join(many: DataFrame, few: DataFrame, on: list[str], rows: str, spread: list[str]) -> DataFrame:
+def skew_join(many: DataFrame, few: DataFrame, on: list[str], rows: str, spread: list[str], total: int | None = None) -> DataFrame:
     """many joined with few on `on`; few has one row a key, whose column `rows` says how many rows of many hold it.
 
     Keys of more rows than a share of the total are split by a hash of the columns `spread` of many: a task gets at most about
     that share of one key. At most 50,000 keys can hold so much, which bounds what is broadcast.
     """
-    total = few.agg(F.coalesce(F.sum(rows), F.lit(0))).head()[0]
-    most = max(4096, total // 50_000)
+    if total is None:
+        total = few.agg(F.coalesce(F.sum(rows), F.lit(0))).head()[0]
+    most = max(256, total // 50_000)
     salts = F.ceil(F.col(rows) / most).cast("int")
     hot = few.where(F.col(rows) > most).select(*on, salts.alias("_salts"))
     few = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.when(F.col(rows) > most, salts - 1).otherwise(0))))
@@ -138,15 +139,17 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(u long, v long) links to (node, component), component the least node reachable; nodes without links have no row.
 
     Alternating large and small stars, each a grouped minimum joined back, until nothing changes; a
-    partition first shrinks its own edges to a forest. Null ends and loops count as no link.
+    partition first shrinks its own edges to a forest, and a hub's edges are split in the joins. Null ends and loops count
+    as no link.
     """
     e = materialize(_local(edges.where("u <> v").select("u", "v")).selectExpr("u", "v").where("u > v").distinct())
     for _ in range(rounds):
+        size = e.count()
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("x")).select(F.col("x.v").alias("u"), F.col("x.m").alias("v")).where("u > v")
+        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = materialize(skew_join(both, low, ["u"], "n", ["v"], 2 * size).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v"))
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = skew_join(large, least, ["u"], "n", ["v"], 2 * size).select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("x")).select(F.col("x.v").alias("u"), F.col("x.m").alias("v")).where("u > v")
         new = materialize(small.distinct())
         # a star forest: every node has one parent, and no parent has one itself
         roots = new.select(F.col("v").alias("root")).distinct()

@@ -15,8 +15,14 @@ What is left is counted exactly. A first round pairs the rows of a column with i
 entries; a second one takes all pairs whose ends are not linked yet, so that a family of n near copies costs
 about n verifications where its members are linked. Components are those of all links.
 
-Defined results: null and word-free texts have no shingle and link with nothing; texts of fewer words
-than a shingle are one shingle; repeated rows of one id are one document if they are equal.
+Columns come sorted and are read a bounded number of entries at a time. A column of more than `TILE` rows is split: in the
+first round into tiles with middles of their own, which then meet in the column; in the second every two tiles are one
+group. Joins split the keys that very many rows hold.
+
+Defined results: null and word-free texts have no shingle and link with nothing; texts of fewer words than a shingle are
+one shingle; ids are integers; repeated rows of one id are one document if they are equal; a row with a null id links with
+nothing and is its own component (null); an empty table gives an empty result; columns beside key and text are not read;
+texts are read whole.
 """
 
 from __future__ import annotations
@@ -26,14 +32,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadline.llm.common import components, materialize
-from leadline.llm.shingles import batches_of_sets, digest
+from leadline.llm.common import components, materialize, skew_join
+from leadline.llm.shingles import batches_of_sets, digest, mix
 
 U = np.uint64
 #: Columns of each row, the fullest ones first, in which the first round looks for links.
 SPANNED = 4
 #: Ids that may be broadcast (8 bytes each).
 FEW_IDS = 1_000_000
+#: Rows of a column that one task compares at once.
+TILE = 1 << 14
+#: Entries of sorted columns that are read at once.
+READ = 1 << 16
+#: Rows of a column that are counted; beyond it they are no longer told apart by number.
+COUNTED = 1 << 22
 #: Bits of a parity bitmap by set size.
 CLASSES = ((256, 512), (1024, 2048), (1 << 62, 8192))
 
@@ -78,25 +90,36 @@ def _columns(docs: DataFrame, text: str, size: int, percent: int) -> DataFrame:
 
 
 def _shared(batches):
-    """Of a partition that has all rows of its columns: those of columns with two rows or more, without repeats."""
-    hs, ds = [], []
+    """Of sorted columns (h, d1) those with two rows or more, without repeats, and their numbers of rows (at most COUNTED)."""
+    held_h, held_d, done = np.empty(0, np.int64), np.empty(0, np.int64), None  # done: a column of COUNTED rows or more, partly given out
+
+    def given(h, d, rows):
+        for i in range(0, len(h), 1 << 18):
+            yield pa.RecordBatch.from_arrays([pa.array(x[i : i + (1 << 18)]) for x in (h, d, rows)], ["h", "d1", "rows"])
+
+    def settle(h, d):
+        """Whole columns."""
+        if len(h):
+            first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+            size = np.diff(np.append(first, len(h)))
+            size = np.where(h[first] == done, COUNTED, size)
+            rows = np.repeat(size, np.diff(np.append(first, len(h))))
+            yield from given(h[rows > 1], d[rows > 1], rows[rows > 1])
+
     for b in batches:
-        hs.append(b.column(0).to_numpy())
-        ds.append(b.column(1).to_numpy())
-    if not hs:
-        return
-    h, d = np.concatenate(hs), np.concatenate(ds)
-    order = np.lexsort((d, h))
-    h, d = h[order], d[order]
-    new = np.concatenate([[True], (h[1:] != h[:-1]) | (d[1:] != d[:-1])])
-    h, d = h[new], d[new]
-    same = h[1:] == h[:-1]
-    keep = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-    first = np.flatnonzero(np.concatenate([[True], ~same]))
-    held = np.repeat(np.diff(np.append(first, len(h))), np.diff(np.append(first, len(h))))
-    h, d, held = h[keep], d[keep], held[keep]
-    for i in range(0, len(h), 1 << 18):
-        yield pa.RecordBatch.from_arrays([pa.array(x[i : i + (1 << 18)]) for x in (h, d, held)], ["h", "d1", "rows"])
+        h, d = np.concatenate([held_h, b.column(0).to_numpy()]), np.concatenate([held_d, b.column(1).to_numpy()])
+        if not len(h):
+            continue
+        new = np.concatenate([[True], (h[1:] != h[:-1]) | (d[1:] != d[:-1])])
+        h, d = h[new], d[new]
+        last = int(np.searchsorted(h, h[-1]))
+        yield from settle(h[:last], d[:last])
+        held_h, held_d = h[last:], d[last:]
+        if len(held_h) > COUNTED:  # all but the last row, against which the next one is compared
+            done = held_h[0]
+            yield from given(held_h[:-1], held_d[:-1], np.full(len(held_h) - 1, COUNTED))
+            held_h, held_d = held_h[-1:], held_d[-1:]
+    yield from settle(held_h, held_d)
 
 
 def _fold(x: np.ndarray, words: int) -> np.ndarray:
@@ -139,11 +162,11 @@ class Bitmaps:
         return ok
 
 
-def spanning_pairs(h: np.ndarray, row: np.ndarray, maps: Bitmaps, rounds: int = 12) -> tuple[np.ndarray, np.ndarray]:
+def spanning_pairs(h: np.ndarray, row: np.ndarray, maps: Bitmaps, rounds: int = 12, middles: list[tuple[int, int]] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Possible links that join the rows of a column: linear in the entries.
 
     In each column the row nearest to the bitwise majority of the bitmaps is paired with all rows that can link
-    with it; those that are left look for a middle of their own, `rounds` times.
+    with it; those that are left look for a middle of their own, `rounds` times. (column, row) of the middles are added to `middles`.
     """
     order = np.lexsort((row, maps.kind[row], h))
     h, row = h[order], row[order]
@@ -158,6 +181,8 @@ def spanning_pairs(h: np.ndarray, row: np.ndarray, maps: Bitmaps, rounds: int =
             bits = np.unpackbits(x[:4096].view(np.uint8), axis=1)
             middle = np.packbits(bits.sum(0) * 2 > len(bits)).view(np.uint64)
             m = left[int(np.bitwise_count(x ^ middle).sum(1).argmin())]
+            if middles is not None:
+                middles.append((int(h[s]), m))
             rest = left[left != m]
             ok = maps.near(np.full(len(rest), m), rest)
             if ok.any():
@@ -173,7 +198,7 @@ def unlinked_pairs(h: np.ndarray, row: np.ndarray, maps: Bitmaps, group: np.ndar
     """All pairs of rows of different groups that meet in some column and pass the bounds, a bounded number at a time.
 
     In a column the rows stand by group, and a row's partners are those after its group: rows of one group,
-    however many, cost nothing.
+    however many, cost nothing. A pair can come again.
     """
     order = np.lexsort((row, group[row], h))
     h, row = h[order], row[order]
@@ -186,7 +211,6 @@ def unlinked_pairs(h: np.ndarray, row: np.ndarray, maps: Bitmaps, group: np.ndar
     some = np.flatnonzero(last > after)
     counts = (last - after)[some]
     ends = np.cumsum(counts)
-    seen = np.empty(0, np.int64)
     at = 0
     while at < (int(ends[-1]) if len(ends) else 0):
         upto = min(at + step, int(ends[-1]))
@@ -195,34 +219,80 @@ def unlinked_pairs(h: np.ndarray, row: np.ndarray, maps: Bitmaps, group: np.ndar
         a, b = row[some[i]], row[after[some[i]] + place - (ends[i] - counts[i])]
         code = np.unique(np.minimum(a, b) * len(maps.n) + np.maximum(a, b))
         a, b = np.divmod(code, len(maps.n))
-        code = code[maps.near(a, b)]
-        if len(seen):
-            code = code[seen[np.minimum(np.searchsorted(seen, code), len(seen) - 1)] != code]
-        if len(code):
-            seen = np.union1d(seen, code)
-            yield np.divmod(code, len(maps.n))
+        ok = maps.near(a, b)
+        if ok.any():
+            yield a[ok], b[ok]
         at = upto
 
 
-def _candidates(entries: DataFrame, percent: int, spanning: bool) -> DataFrame:
-    """Distinct (a, b), a < b, of row digests, from entries (h, d1, n, g, bits) of which a partition has whole columns."""
+def _columns_of(batches, width: int, most: int = READ):
+    """Whole groups of sorted columns, `most` entries or more at a time; a group is told by the first `width` columns."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not len(b):
+            continue
+        held.append(b)
+        if sum(map(len, held)) >= most:
+            whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            names = [whole.column(k).to_numpy() for k in range(width)]
+            cut = max(np.flatnonzero(x[:-1] != x[1:])[-1] + 1 if (x[:-1] != x[1:]).any() else 0 for x in names)
+            if cut:
+                yield whole.slice(0, cut)
+            held = [whole.slice(cut)] if cut < len(whole) else []
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+def _rows_of(b: pa.RecordBatch, percent: int):
+    """(columns, rows, bitmaps, row digests, groups) of entries (h, ..., d1, n, g, bits)."""
+    named = b.schema.names
+    d, at, row = np.unique(b.column(named.index("d1")).to_numpy(), return_index=True, return_inverse=True)
+    bits = b.column(named.index("bits")).take(pa.array(at)).to_pylist()
+    return b.column(0).to_numpy(), row, Bitmaps(b.column(named.index("n")).to_numpy()[at], bits, percent), d, b.column(named.index("g")).to_numpy()[at]
+
+
+def _pairs_out(d, a, b):
+    for i in range(0, len(a), 1 << 18):
+        none = pa.nulls(len(a[i : i + (1 << 18)]), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(d[a[i : i + (1 << 18)]]), pa.array(d[b[i : i + (1 << 18)]]), none], ["a", "b", "h"])
+
+
+PAIRS = "a long, b long, h long"
+
+
+def _spanned(entries: DataFrame, percent: int) -> DataFrame:
+    """(a, b, null) of row digests that may link, and (middle, null, h), from entries (h, tile, d1, n, g, bits)."""
 
     def run(batches):
-        h, d, n, g, bits = [], [], [], [], []
-        for b in batches:
-            for held, k in ((h, 0), (d, 1), (n, 2), (g, 3)):
-                held.append(b.column(k).to_numpy())
-            bits += b.column(4).to_pylist()
-        if not h:
-            return
-        d, at, row = np.unique(np.concatenate(d), return_index=True, return_inverse=True)
-        maps = Bitmaps(np.concatenate(n)[at], [bits[i] for i in at], percent)
-        h = np.concatenate(h)
-        for a, b in [spanning_pairs(h, row, maps)] if spanning else unlinked_pairs(h, row, maps, np.concatenate(g)[at]):
-            for i in range(0, len(a), 1 << 18):
-                yield pa.RecordBatch.from_arrays([pa.array(d[a[i : i + (1 << 18)]]), pa.array(d[b[i : i + (1 << 18)]])], ["a", "b"])
+        for part in _columns_of(batches, 2):
+            # a tile that outgrew its size is read in pieces, which meet in their middles
+            for i in range(0, len(part), max(READ, 2 * TILE)):
+                h, row, maps, d, _ = _rows_of(part.slice(i, max(READ, 2 * TILE)), percent)
+                middles: list[tuple[int, int]] = []
+                yield from _pairs_out(d, *spanning_pairs(h, row, maps, middles=middles))
+                split = {int(x) for x in h[part.column(1).to_numpy()[i : i + len(h)] >= 0]} | ({int(h[0]), int(h[-1])} if len(part) > len(h) else set())
+                some = [(x, m) for x, m in middles if x in split]
+                if some:
+                    yield pa.RecordBatch.from_arrays([pa.array(d[[m for _, m in some]]), pa.nulls(len(some), pa.int64()), pa.array([x for x, _ in some], pa.int64())], ["a", "b", "h"])
+
+    return entries.select("h", "tile", "d1", "n", "g", "bits").mapInArrow(run, PAIRS)
+
+
+def _unlinked(entries: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of row digests that may link and are of different groups, from entries (h, i, j, d1, n, g, bits)."""
+
+    def run(batches):
+        seen = np.empty(0, np.uint64)  # of the pairs given out last
+
+        for part in _columns_of(batches, 3):
+            h, row, maps, d, g = _rows_of(part, percent)
+            for a, b in unlinked_pairs(h, row, maps, g):
+                code = mix(d[a].view(np.uint64) * U(31)) + mix(d[b].view(np.uint64), 1)
+                new = ~np.isin(code, seen)
+                seen = np.concatenate([seen, code[new]])[-(1 << 20) :]
+                yield from _pairs_out(d, a[new], b[new])
 
-    return entries.select("h", "d1", "n", "g", "bits").mapInArrow(run, "a long, b long").distinct()
+    return entries.select("h", "i", "j", "d1", "n", "g", "bits").mapInArrow(run, PAIRS).select("a", "b").distinct()
 
 
 def _verify(pairs: DataFrame, reps: DataFrame, docs: DataFrame, key: str, text: str, size: int, percent: int) -> DataFrame:
@@ -235,8 +305,11 @@ def _verify(pairs: DataFrame, reps: DataFrame, docs: DataFrame, key: str, text:
                 flat = np.concatenate(sets).view(np.int64) if sets else np.empty(0, np.int64)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["id", "s"])
 
-    pairs = pairs.join(reps.selectExpr("d1 as a", "rep as u"), "a").join(reps.selectExpr("d1 as b", "rep as v"), "b").select("u", "v")
     pairs = materialize(pairs)
+    for digest_, own in (("a", "u"), ("b", "v")):
+        often = pairs.groupBy(digest_).agg(F.count("*").alias("often")).join(reps.selectExpr(f"d1 as {digest_}", f"rep as {own}"), digest_)
+        pairs = skew_join(pairs, often, [digest_], "often", [c for c in pairs.columns if c != digest_]).drop("often")
+    pairs = materialize(pairs.select("u", "v"))
     ids = materialize(pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct())
     if ids.count() <= FEW_IDS:  # else the texts are shuffled to meet them
         ids = F.broadcast(ids)
@@ -253,32 +326,46 @@ def _verify(pairs: DataFrame, reps: DataFrame, docs: DataFrame, key: str, text:
                 ok.append(100 * both >= percent * (len(s) + len(t) - both))
             yield b.filter(pa.array(ok, pa.bool_())).select([0, 1])
 
-    joined = pairs.join(sets.selectExpr("id as u", "s as su"), "u").join(sets.selectExpr("id as v", "s as sv"), "v").select("u", "v", "su", "sv")
-    return materialize(joined.mapInArrow(overlap, "u long, v long"))
+    joined = pairs
+    for own, other in (("u", "v"), ("v", "u")):
+        often = pairs.groupBy(own).agg(F.count("*").alias("often")).join(sets.selectExpr(f"id as {own}", f"s as s{own}"), own)
+        joined = skew_join(joined, often, [own], "often", [other], pairs.count()).drop("often")
+    return materialize(joined.select("u", "v", "su", "sv").mapInArrow(overlap, "u long, v long"))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """(key, n_shingles, component_id): documents linked at a Jaccard similarity of `percent` / 100 or more."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    own = materialize(_features(docs, key, text, size))
-    some = own.where("n > 0")
+    features = materialize(_features(docs, key, text, size))
+    some = features.where(f"n > 0 and `{key}` is not null")
     reps = materialize(some.groupBy("d1", "d2").agg(F.min(key).alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits")))
-    grid = _columns(docs, text, size, percent).repartition(parts, "h").mapInArrow(_shared, "h long, d1 long, rows long")
-    held = grid.groupBy("d1").agg(F.array_sort(F.collect_list(F.struct(-F.col("rows").alias("r"), "h"))).alias("cols"))
+    grid = _columns(docs, text, size, percent).repartition(parts, "h").sortWithinPartitions("h", "d1").mapInArrow(_shared, "h long, d1 long, rows long")
+    held = grid.groupBy("d1").agg(F.array_sort(F.collect_list(F.struct((-F.col("rows")).alias("r"), "h"))).alias("cols"))
     # what every partner shares with a row is `must` columns or more: one of them is left without the must - 1 fullest
     must = least_shared(F.col("n"), percent).cast("int")
-    live = held.join(reps, "d1").where(F.size("cols") >= must).select("d1", "n", "bits", F.transform(F.slice("cols", must, F.size("cols")), lambda c: c["h"]).alias("hs"))
+    live = held.join(reps, "d1").where(F.size("cols") >= must).select("d1", "n", "bits", F.slice("cols", must, F.size("cols")).alias("cols"))
     live = materialize(live)
-    full = live.select(F.explode(F.slice("hs", 1, SPANNED)).alias("h"), "d1", "n", F.lit(0).cast("long").alias("g"), "bits")
-    links = _verify(_candidates(full.repartition(parts, "h"), percent, True), reps, docs, key, text, size, percent)
+    tiles = F.ceil(-F.col("c.r") / F.lit(TILE))
+    full = live.select(F.explode(F.slice("cols", 1, SPANNED)).alias("c"), "d1", "n", F.lit(0).cast("long").alias("g"), "bits")
+    full = full.select("c.h", F.when(tiles > 1, F.pmod(F.xxhash64("d1"), tiles)).otherwise(-1).alias("tile"), "d1", "n", "g", "bits")
+    sort = lambda df, *by: df.repartition(parts, *by).sortWithinPartitions(*by)
+    spanned = materialize(_spanned(sort(full, "h", "tile"), percent))
+    middles = spanned.where("b is null").select("h", F.col("a").alias("d1")).distinct().join(live.select("d1", "n", "bits"), "d1")
+    middles = middles.select("h", F.lit(-1).cast("long").alias("tile"), "d1", "n", F.lit(0).cast("long").alias("g"), "bits")
+    near = spanned.where("b is not null").select("a", "b").union(_spanned(sort(middles, "h", "tile"), percent).where("b is not null").select("a", "b")).distinct()
+    links = _verify(near, reps, docs, key, text, size, percent)
     named = components(links)
     known = reps.join(named, F.col("rep") == F.col("node")).select("d1", "component")
     again = live.join(known, "d1", "left").withColumn("g", F.coalesce("component", "d1"))
-    every = again.select(F.explode("hs").alias("h"), "d1", "g")
-    mixed = every.groupBy("h").agg(F.min("g").alias("low"), F.max("g").alias("high")).where("low <> high").select("h")
-    some = every.join(mixed, "h").select("h", "d1", "g").join(live.select("d1", "n", "bits"), "d1")
-    more = _verify(_candidates(some.repartition(parts, "h"), percent, False), reps, docs, key, text, size, percent)
+    every = again.select(F.explode("cols").alias("c"), "d1", "g").select("c.h", "d1", "g")
+    mixed = materialize(every.groupBy("h").agg(F.min("g").alias("low"), F.max("g").alias("high"), F.count("*").alias("rows")).where("low <> high").select("h", "rows"))
+    some = skew_join(every, mixed, ["h"], "rows", ["d1"]).join(live.select("d1", "n", "bits"), "d1").withColumn("tiles", F.ceil(F.col("rows") / TILE))
+    # each row goes to every pair of tiles that has its own
+    own = F.pmod(F.xxhash64("d1"), F.col("tiles"))
+    some = some.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1))).withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
+    more = _verify(_unlinked(sort(some, "h", "i", "j"), percent), reps, docs, key, text, size, percent)
     final = components(named.selectExpr("node as u", "component as v").union(more))
     whole = reps.join(final, F.col("rep") == F.col("node"), "left").select("d1", "d2", F.coalesce("component", "rep").alias("component"))
-    return own.join(whole, ["d1", "d2"], "left").select(key, F.col("n").alias("n_shingles"), F.coalesce("component", key).alias("component_id"))
+    component = F.when(F.col(key).isNotNull(), F.coalesce("component", key)).alias("component_id")
+    return features.join(whole, ["d1", "d2"], "left").select(key, F.col("n").alias("n_shingles"), component)

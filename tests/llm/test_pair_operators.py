@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from leadline.llm import neardup, queries, suffixdedup, vectordup
-from leadline.llm.common import components
+from leadline.llm.common import components, skew_join
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -197,7 +197,9 @@ def test_ngram_query(spark):
     assert {tuple(r) for r in queries.op10_ngram_join(spark, sf).collect()} == plain_near(rows)
 
 
-def test_ngram_odd(spark):
+@pytest.mark.parametrize("tile", [1 << 14, 4])
+def test_ngram_odd(spark, monkeypatch, tile):
+    monkeypatch.setattr(neardup, "TILE", tile)
     rng = np.random.default_rng(9)
     base = [" ".join(rng.choice([f"w{i}" for i in range(50)], n)) for n in (6, 12, 40, 90, 300)]
     rows = [None, "", " \t", "one", "One", "one two", "a b c d", "A B\nC d", "x " * 20000] + base
@@ -213,6 +215,33 @@ def test_ngram_odd(spark):
     assert neardup.near_duplicates(df.limit(0)).collect() == []
 
 
+def test_columns_come_in_pieces(monkeypatch):
+    """Whatever the batches, and where a column has more rows than are counted."""
+    rng = np.random.default_rng(11)
+    h = np.sort(rng.choice([1, 2, 3, 5, 8, 9], 400, p=[0.6, 0.1, 0.1, 0.1, 0.09, 0.01]))
+    d = np.concatenate([np.sort(rng.integers(0, 150, int((h == x).sum()))) for x in np.unique(h)])
+    batches = lambda size: [pa.RecordBatch.from_arrays([pa.array(h[i : i + size]), pa.array(d[i : i + size])], ["h", "d1"]) for i in range(0, 400, size)]
+    rows = Counter(x for x, _ in set(zip(h.tolist(), d.tolist())))
+    for counted in (1 << 22, 10):
+        monkeypatch.setattr(neardup, "COUNTED", counted)
+        for size in (1, 7, 400):
+            got = [tuple(r.values()) for b in neardup._shared(batches(size)) for r in b.to_pylist()]
+            assert [g[:2] for g in got] == sorted({x for x in zip(h.tolist(), d.tolist()) if rows[x[0]] > 1})
+            if counted > 400:
+                assert all(n == rows[x] for x, _, n in got)
+            assert len({(x, n) for x, _, n in got}) == len({x for x, _, _ in got})  # one number a column
+    for most in (1, 50, 1000):
+        parts = list(neardup._columns_of(iter(batches(7)), 1, most))
+        assert sum(map(len, parts)) == 400 and not any(set(a.column(0).to_pylist()) & set(b.column(0).to_pylist()) for a, b in zip(parts, parts[1:]))
+
+
+def test_skew_join(spark):
+    many = spark.range(3000).selectExpr("if(id % 3 = 0, 7, id % 50) as k", "id").union(spark.createDataFrame([(None, 1)], "k long, id long"))
+    few = many.groupBy("k").agg(F.count("*").alias("n"))
+    assert sorted(map(tuple, skew_join(many, few, ["k"], "n", ["id"]).collect())) == sorted(map(tuple, many.join(few, "k").select("k", "id", "n").collect()))
+    assert skew_join(many.limit(0), few.limit(0), ["k"], "n", ["id"]).collect() == []
+
+
 # ---- the pipeline
 
 
