@@ -1,24 +1,27 @@
 """Benchmark decontamination with an FM-index per training shard (operator 6).
 
 A shard is one Arrow batch of documents. Its text is the sequence of word ids, documents parted by a
-separator; words that can't be inside an occurrence are left out by an exact condition (each adjacent
-word pair of an occurrence is a pair of some benchmark window), so the index holds what can match.
+separator. Not the whole shard is indexed: words that can't be inside an occurrence are left out first by an exact
+condition (each adjacent word pair of an occurrence is a pair of some benchmark window), so the index holds the runs that
+can match, in most shards a small part.
 `FmIndex` has the Burrows-Wheeler transform in a wavelet tree; all windows are searched backwards at
 once through its ranks, their rows are located by walking to sampled suffix positions, and the spans of
 a document are merged.
 
 A window is `size` consecutive words of an item; an item of fewer words, but not none, is one window.
-The benchmark is read in blocks of at most `block_bytes` of text; a block's windows travel with the
-tasks, so that what is sent is bounded whatever the benchmark's size, and each block is a pass over all
-documents.
-
-Defined results: null or word-free documents have 0 words, no hit and no span; null or word-free items
-match nothing; items equal in words each count; an empty benchmark hits nothing.
+The benchmark is read in blocks of about `block_bytes` of text (a longer item stands in one block); a block's windows
+travel with the tasks of one pass over all documents, and a pass is written before the next one: what is held and sent at
+a time does not grow with the benchmark, the number of passes does.
+
+Defined results: null or word-free documents have 0 words, no hit and no span; null or word-free items match nothing; items
+equal in words each count; ids of items are read as strings, in whose order they are listed; an item without id marks words
+but is not listed; items that repeat an id are listed once; an empty benchmark hits nothing; an empty table of documents
+gives an empty result; ids of documents aren't read, and equal texts have equal results; texts are read whole; columns of
+the outputs' names are replaced, all others are kept whatever their names.
 """
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,10 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadline.llm.common import byte_sizes, slices, words
-
-WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-
+from leadline.llm.common import byte_sizes, materialize, slices, words
 
 class FmIndex:
     """Over a sequence of small non-negative ints; 0 parts texts and is never searched."""
@@ -117,12 +117,12 @@ class Windows:
     vocab: dict[bytes, int]
     pairs: np.ndarray
     least: int
-    patterns: list[tuple[np.ndarray, list[list[int]]]]
+    patterns: list[tuple[np.ndarray, list[list[str | None]]]]
 
 
-def windows(items: list[tuple[int, str | None]], size: int) -> Windows:
+def windows(items: list[tuple[str | None, str | None]], size: int) -> Windows:
     vocab: dict[bytes, int] = {}
-    found: dict[int, dict[tuple[int, ...], list[int]]] = {}
+    found: dict[int, dict[tuple[int, ...], list[str | None]]] = {}
     pairs = set()
     for item, text in items:
         ids = [vocab.setdefault(w, len(vocab) + 1) for w in words(text)]
@@ -142,7 +142,7 @@ def _inside(sorted_values: np.ndarray, x: np.ndarray) -> np.ndarray:
     return sorted_values[np.minimum(np.searchsorted(sorted_values, x), len(sorted_values) - 1)] == x
 
 
-def hits(ids: np.ndarray, w: Windows) -> list[tuple[int, int, list[int]]]:
+def hits(ids: np.ndarray, w: Windows) -> list[tuple[int, int, list[str | None]]]:
     """(start, end, items) of every occurrence in a shard's word ids (0: no benchmark word, or a separator)."""
     if not w.least or not len(ids):
         return []
@@ -181,7 +181,7 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def _shard(texts: list[str | None], w: Windows) -> list[tuple[int, list[tuple[int, int]], list[int]]]:
+def _shard(texts: list[str | None], w: Windows) -> list[tuple[int, list[tuple[int, int]], list[str]]]:
     """Of each document its words, its merged spans of words, and its items."""
     get = w.vocab.get
     ids, starts, counts = [], [], []
@@ -193,30 +193,30 @@ def _shard(texts: list[str | None], w: Windows) -> list[tuple[int, list[tuple[in
         counts.append(len(ws))
         n += len(ws) + 1
     spans: list[list[tuple[int, int]]] = [[] for _ in texts]
-    items: list[set[int]] = [set() for _ in texts]
+    items: list[set[str | None]] = [set() for _ in texts]
     found = hits(np.concatenate(ids) if ids else np.empty(0, np.int64), w)
     for (a, b, its), d in zip(found, np.searchsorted(starts, [f[0] for f in found], side="right") - 1):
         spans[d].append((a - starts[d], b - starts[d]))
         items[d].update(its)
-    return [(c, merged(s), sorted(i)) for c, s, i in zip(counts, spans, items)]
+    return [(c, merged(s), sorted(x for x in i if x is not None)) for c, s, i in zip(counts, spans, items)]
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", size: int = 13, shard_bytes: int = 8 << 20, block_bytes: int = 16 << 20) -> DataFrame:
-    """docs with n_words, spans (array<struct<start,end>> in words), items (array<long>) and n_hit; columns of these names are replaced.
+    """docs with n_words, spans (array<struct<start,end>> in words), items (array<string>, sorted) and n_hit; columns of these names are replaced.
 
-    One pass over the documents for each benchmark block, each merging its spans and items into the
-    last one's; nothing is shuffled.
+    One pass over the documents for each benchmark block of about `block_bytes` bytes, each merging its spans and items into
+    the last one's, which were written: a pass holds and sends one block. Nothing is shuffled.
     """
-    sized = benchmark.select(F.col(item).cast("long").alias("i"), F.col(item_text).alias("t"))
+    sized = benchmark.select(F.col(f"`{item}`").cast("string").alias("i"), F.col(f"`{item_text}`").alias("t"))
     total = sized.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).head()[0]
     n = max(1, -(-total // block_bytes))
     span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
     kept = [c for c in docs.columns if c not in ("n_words", "spans", "items", "n_hit")]
-    made = docs.select(*[F.col(f"`{c}`") for c in kept], F.lit(0).cast("long").alias("n_words"), F.expr("cast(array() as array<struct<start:long,end:long>>)").alias("spans"), F.expr("cast(array() as array<long>)").alias("items"))
+    made = docs.select(*[F.col(f"`{c}`") for c in kept], F.lit(0).cast("long").alias("n_words"), F.expr("cast(array() as array<struct<start:long,end:long>>)").alias("spans"), F.expr("cast(array() as array<string>)").alias("items"))
     schema, at, own = made.schema, kept.index(text), len(kept)
     for k in range(n):
-        block = [tuple(r) for r in sized.where(F.pmod(F.xxhash64("i"), F.lit(n)) == k).collect()]
-        w = windows(sorted(block, key=lambda r: (r[0] is None, r[0])), size)
+        block = [tuple(r) for r in sized.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k).collect()]
+        w = windows(sorted(block, key=lambda r: (r[0] is None, r[0] or "", r[1] or "")), size)
 
         def run(batches, w=w):
             for b in batches:
@@ -231,12 +231,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
                             *(part.column(c) for c in range(own)),
                             pa.array([g[0] for g in got], pa.int64()),
                             pa.array([[{"start": a, "end": z} for a, z in g[1]] for g in got], pa.list_(span)),
-                            pa.array([g[2] for g in got], pa.list_(pa.int64())),
+                            pa.array([g[2] for g in got], pa.list_(pa.string())),
                         ],
                         schema.names,
                     )
 
         made = made.mapInArrow(run, schema)
+        if k < n - 1:
+            made = materialize(made)
     return made.withColumn("n_hit", F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"]))
 
 
@@ -244,8 +246,3 @@ def contaminated(n_hit, n_words, per: int = 20):
     """The rule: some word is hit, and at least one in `per` words."""
     return (n_hit > 0) & (per * n_hit >= n_words)
 
-
-def char_spans(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Word spans as code point spans of the text."""
-    at = [m.span() for m in WORD.finditer(text)]
-    return [(at[a][0], at[b - 1][1]) for a, b in spans]

@@ -4,11 +4,16 @@ Base spans of four kinds come from linear scans of the whole text. The model is
 over characters with CRF transitions between BIO tags, trained here in numpy from labelled spans: up to
 `sample` windows of the documents, tagged by their base spans, and generated windows in which values
 stand side by side (base patterns run over such neighbours and drop both). Every digit or '@' of a text
-lies well inside some window of `WINDOW` characters; windows overlap by half, each is decoded by
-Viterbi, and one reconciliation over the whole text picks the best spans that neither overlap each
-other nor a base span. A model span counts only if its kind's form check holds for it.
-
-Defined results: null and empty texts have no spans; offsets are code points, end exclusive.
+lies well inside some window of `WINDOW` characters; windows overlap by half and each is decoded by Viterbi. A span that a
+window cuts is decoded again in those of `LONG` characters around it, so that every span of up to `LONG` - 3 `MARGIN`
+characters is seen whole; longer runs are none of these kinds. One reconciliation over the whole text picks the best spans
+that neither overlap each other nor a base span. A model span counts only if its kind's form check holds for it.
+
+Defined results: null and empty texts have no spans; offsets are code points, end exclusive; equal texts have equal spans,
+whatever their rows; of base spans with one start the first kind as listed comes first; of model spans that overlap those of
+greatest total score stay, of equal ones those found first from the left; texts without any window to learn from leave the
+generated windows; an empty table gives an empty result; a column of the output's name is replaced, all others are kept
+whatever their names; texts are read whole.
 """
 
 from __future__ import annotations
@@ -87,12 +92,14 @@ def base_spans(text: str | None) -> list[tuple[str, int, int]]:
 # ---- the model
 
 WINDOW, STRIDE, MARGIN = 96, 48, 24
+#: Characters of the windows around spans that a window cuts.
+LONG = 384
 TAGS = 1 + 2 * len(KINDS)  # O, then B and I of each kind
 LETTERS = 100  # character classes: ASCII 32..126 one by one, white space, other letters, anything else
 
 
-def encode(windows: list[str]) -> np.ndarray:
-    out = np.full((len(windows), WINDOW), LETTERS - 1, np.int64)
+def encode(windows: list[str], width: int = WINDOW) -> np.ndarray:
+    out = np.full((len(windows), width), LETTERS - 1, np.int64)
     for i, w in enumerate(windows):
         a = np.frombuffer(w.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
         out[i, : len(a)] = np.where((a >= 32) & (a < 127), a - 32, np.where(a < 32, 95, np.where(a < 0x2000, 96, 97)))
@@ -283,25 +290,40 @@ def reconcile(found: list[tuple[float, int, int, int]]) -> list[tuple[int, int,
     return out[::-1]
 
 
-def model_spans(texts: list[str | None], base: list[list[tuple[str, int, int]]], model: BiLstmCrf, batch: int = 512) -> list[list[tuple[str, int, int]]]:
-    """Spans that the model adds to the base spans of each text."""
-    where = [(i, s) for i, t in enumerate(texts) if t for s in window_starts(t)]
-    found: list[list[tuple[float, int, int, int]]] = [[] for _ in texts]
+def _decoded(texts: list[str | None], where: list[tuple[int, int]], model: BiLstmCrf, width: int, batch: int):
+    """(text, kind, start, end, score, cut on the left, on the right) of the tagged spans of windows (text, start)."""
     for k in range(0, len(where), batch):
         part = where[k : k + batch]
-        tags, lead = model.decode(encode([texts[i][s : s + WINDOW] for i, s in part]))
+        tags, lead = model.decode(encode([texts[i][s : s + width] for i, s in part], width))
         for (i, s), row, sure in zip(part, tags, lead):
-            n = min(WINDOW, len(texts[i]) - s)
+            n = min(width, len(texts[i]) - s)
             for a in np.flatnonzero((row[:n] > 0) & (row[:n] % 2 == 1)).tolist():
                 kind = (row[a] - 1) // 2
                 b = a + 1
                 while b < n and row[b] == 2 + 2 * kind:
                     b += 1
-                if (a == 0 and s > 0) or (b == n and s + n < len(texts[i])):
-                    continue  # cut by the window: the neighbour has it whole
-                text = texts[i][s + a : s + b].rstrip(" .,;(")
-                if FORMS[KINDS[kind]].fullmatch(text) and holds(KINDS[kind], text):
-                    found[i].append((len(text) + float(np.tanh(sure[a:b].mean())), int(kind), s + a, s + a + len(text)))
+                yield i, int(kind), s + a, s + b, float(np.tanh(sure[a:b].mean())), a == 0 and s > 0, b == n and s + n < len(texts[i])
+
+
+def model_spans(texts: list[str | None], base: list[list[tuple[str, int, int]]], model: BiLstmCrf, batch: int = 512) -> list[list[tuple[str, int, int]]]:
+    """Spans that the model adds to the base spans of each text."""
+    found: list[list[tuple[float, int, int, int]]] = [[] for _ in texts]
+    again: set[tuple[int, int]] = set()
+
+    def take(i, kind, a, b, sure):
+        text = texts[i][a:b].rstrip(" .,;(")
+        if FORMS[KINDS[kind]].fullmatch(text) and holds(KINDS[kind], text):
+            found[i].append((len(text) + sure, kind, a, a + len(text)))
+
+    for i, kind, a, b, sure, left, right in _decoded(texts, [(i, s) for i, t in enumerate(texts) if t for s in window_starts(t)], model, WINDOW, batch):
+        if not left and not right:
+            take(i, kind, a, b, sure)
+        else:  # every place that the whole span can have; in steps, so that the cuts of neighbours share windows
+            first, last = b + MARGIN - LONG if left else a - MARGIN, a - MARGIN if right else b + MARGIN - LONG
+            again |= {(i, max(0, s)) for s in range(first // MARGIN * MARGIN, last + 1, MARGIN)}
+    for i, kind, a, b, sure, left, right in _decoded(texts, sorted(again), model, LONG, batch // 4):
+        if not left and not right:
+            take(i, kind, a, b, sure)
     out = []
     for spans, own in zip(found, base):
         free = [f for f in spans if all(f[3] <= a or f[2] >= b for _, a, b in own)] if own else spans
@@ -317,7 +339,7 @@ def _training_windows(batches):
         rows = []
         for t in b.column(0).to_pylist():
             spans = base_spans(t)
-            for s in window_starts(t)[:64] if spans else ():
+            for s in window_starts(t) if spans else ():
                 w = t[s : s + WINDOW]
                 inside = [(KINDS.index(k), a - s, z - s) for k, a, z in spans if a >= s and z <= s + len(w)]
                 rest = list(w)
@@ -328,12 +350,17 @@ def _training_windows(batches):
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.list_(pa.int64()))], ["o", "w", "spans"])
 
 
-def train(docs: DataFrame, text: str = "text", sample: int = 600, generated: int = 1400) -> BiLstmCrf:
+def train(docs: DataFrame, text: str = "text", sample: int = 600, generated: int = 1400, read: int = 4000) -> BiLstmCrf:
     """A model from at most `sample` labelled windows of the documents, least hash first, and generated ones.
 
-    The windows are labelled on the executors; only the sample, of bounded size, reaches the driver.
+    The windows are those of about `read` documents with a digit or an '@', chosen by the hash of their texts below a bound
+    that comes from their number: what is read and sent does not grow with the table. They are labelled on the executors.
     """
-    own = docs.select(F.col(text).alias("t")).where(F.col("t").rlike("[0-9@]")).mapInArrow(_training_windows, "o long, w string, spans array<long>").orderBy("o", "w", "spans").limit(sample).collect()
+    some = docs.select(F.col(f"`{text}`").alias("t")).where(F.col("t").rlike("[0-9@]"))
+    n = some.count()
+    if n > read:
+        some = some.where(F.pmod(F.xxhash64("t"), F.lit(1 << 40)) < int((1 << 40) * read / n))
+    own = some.mapInArrow(_training_windows, "o long, w string, spans array<long>").distinct().orderBy("o", "w", "spans").limit(sample).collect()
     texts, tags = generate(np.random.default_rng(11), generated)
     for r in own:
         texts.append(r["w"])

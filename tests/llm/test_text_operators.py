@@ -6,6 +6,7 @@ import collections
 import datetime
 import hashlib
 import html
+import itertools
 import math
 import re
 import time
@@ -166,6 +167,89 @@ def test_pii_model_finds_generated_spans():
     assert (got == want).mean() > 0.93
 
 
+def run_on(rows, seed):
+    """Texts with values that stand side by side between their words, which base patterns run over, and the values' places."""
+    rng = np.random.default_rng(seed)
+    digits = lambda n: "".join(map(str, rng.integers(0, 10, n)))
+
+    def card():
+        c = "4" + digits(14)
+        return c + next(x for x in "0123456789" if pii.luhn(c + x))
+
+    made = {"ip": lambda: ".".join(str(x) for x in rng.integers(1, 255, 4)), "card": card, "phone": lambda: f"+{rng.integers(1, 99)} {digits(3)} {digits(3)} {digits(4)}"}
+    out = []
+    for t in rows:
+        words, at = t.split(" "), 0
+        parts, want = [], []
+        for k, w in enumerate(words[:400]):
+            parts.append(w)
+            at += len(w) + 1
+            if k % 40 == 20:
+                for kind in rng.choice(["ip", "card", "phone"], 2):
+                    v = made[kind]()
+                    parts.append(v)
+                    want.append((kind, at, at + len(v)))
+                    at += len(v) + 1
+        out.append((" ".join(parts), want))
+    return out
+
+
+def test_pii_added_spans_held_out(spark):
+    """Precision and recall of base and added spans on values within the table's texts, of which none was learnt from."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    model = pii.train(docs)
+    rows = [t for _, t in texts(spark) if t and not pii.CUE.search(t)][:120]
+    made = run_on(rows, 5)
+    base = [pii.base_spans(t) for t, _ in made]
+    added = pii.model_spans([t for t, _ in made], base, model)
+    want = {(i, *v) for i, (_, vs) in enumerate(made) for v in vs}
+    plain = {(i, *v) for i, vs in enumerate(base) for v in vs}
+    more = {(i, *v) for i, vs in enumerate(added) for v in vs}
+    print(f"values {len(want)}: base patterns find {len(want & plain)}; the model adds {len(more)}, of which {len(want & more)} are values")
+    assert len(want) > 200
+    assert len(want & (plain | more)) - len(want & plain) > 0.5 * len(want - plain)
+    assert len(want & more) > 0.8 * len(more)
+
+
+def test_pii_reconciles_by_enumeration():
+    rng = np.random.default_rng(12)
+    for _ in range(150):
+        found = []
+        for _ in range(int(rng.integers(0, 8))):
+            a = int(rng.integers(0, 20))
+            found.append((float(rng.integers(1, 30)) + 0.25, int(rng.integers(0, 4)), a, a + int(rng.integers(1, 8))))
+        apart = lambda xs: all(x[3] <= y[2] or y[3] <= x[2] for i, x in enumerate(xs) for y in xs[:i])
+        best = max(sum(x[0] for x in xs) for n in range(len(found) + 1) for xs in itertools.combinations(found, n) if apart(xs))
+        got = pii.reconcile(found)
+        score = {(a, k, b): s for s, k, a, b in sorted(found)}
+        assert apart([(0, k, a, b) for a, k, b in got]) and abs(sum(score[g] for g in got) - best) < 1e-9
+
+
+def test_pii_spans_that_windows_cut():
+    """A tagger that marks every run of 'x' as an address: runs longer than a window are found whole, once."""
+
+    class Tagger:
+        def decode(self, x):
+            inside = x == ord("x") - 32
+            first = inside & ~np.concatenate([np.zeros((len(x), 1), bool), inside[:, :-1]], axis=1)
+            return np.where(first, 1, np.where(inside, 2, 0)), np.ones(x.shape)
+
+    form, pii.FORMS["email"] = pii.FORMS["email"], re.compile("x+")
+    try:
+        for n in (5, 60, 90, 150, 312):
+            text = "a " * 50 + "1 " + "x" * n + " 1 a" * 30
+            assert pii.model_spans([text], [[]], Tagger()) == [[("email", 102, 102 + n)]]
+    finally:
+        pii.FORMS["email"] = form
+
+
+def test_pii_training_is_bounded(spark):
+    docs = spark.range(300).selectExpr("concat('mail a', id, '@example.com now ', repeat('word ', 40), 'b', id, '@example.org') as text")
+    assert pii.train(docs, sample=20, generated=10, read=5) is not None
+    seen = list(pii._training_windows([pa.RecordBatch.from_arrays([pa.array([" ".join(f"m{i}@ex.com" + " word" * 30 for i in range(100))])], ["t"])]))
+    assert sum(map(len, seen)) >= 100  # all windows of a text, not the first ones
+
+
 def test_pii_odd(spark):
     got = pii.find_pii(odd(spark)).collect()
     assert len(got) == len(ODD)
@@ -273,6 +357,11 @@ def test_decontamination_odd(spark):
         got = decontaminate.decontaminate(df, spark.createDataFrame(items, "item_id long, text string"), block_bytes=blocks).collect()
         want = plain_hits([(r[0], r[1]) for r in docs], items)
         assert sorted((str(r["doc_id"]), r["n_words"], r["n_hit"], len(r["items"])) for r in got) == sorted((str(w[0]), *w[1:4]) for w in want)
+    named = [("b", "hello world"), (None, "hello world"), ("a10", "Hello world"), ("a9", "hello world"), ("a9", "say hello")]
+    for blocks in (16 << 20, 8):
+        got = decontaminate.decontaminate(df, spark.createDataFrame(named, "item_id string, text string"), block_bytes=blocks).where("doc_id = 20").head()
+        assert got["items"] == ["a10", "a9", "b"] and got["n_hit"] == 5
+    assert decontaminate.decontaminate(df.limit(0), spark.createDataFrame(named, "item_id string, text string")).collect() == []
     none = decontaminate.decontaminate(df, spark.createDataFrame([], "item_id long, text string")).collect()
     assert len(none) == len(docs) and not any(r["n_hit"] for r in none)
 
