@@ -37,6 +37,8 @@ from leadline.llm.shingles import BYTES, U, mix, powers, raw
 STEM = 5
 #: Bits of a term's hash; the others of 64 number the texts that are sorted at once.
 BITS = U(52)
+#: Bytes of texts that are read at once: the arrays over them take some fifty times as much.
+PART = 1 << 20
 
 
 def terms(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -231,7 +233,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
     def counted(batches):
         for b in batches:
-            for i, j in slices(byte_sizes(b.column(2)), 8 << 20):
+            for i, j in slices(byte_sizes(b.column(2)), PART):
                 part = b.slice(i, j - i)
                 row, h, n = terms(part.column(2))
                 ends = np.searchsorted(row, np.arange(len(part) + 1))
@@ -248,7 +250,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
         found, n = np.zeros(len(vocabulary), np.int64), 0
         for b in batches:
             n += len(b)
-            for i, j in slices(byte_sizes(b.column(0)), 8 << 20):
+            for i, j in slices(byte_sizes(b.column(0)), PART):
                 h = terms(b.column(0).slice(i, j - i))[1]
                 at = np.minimum(np.searchsorted(vocabulary, h), len(vocabulary) - 1)
                 found += np.bincount(at[vocabulary[at] == h], minlength=len(vocabulary))
@@ -275,7 +277,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "toxicit
 
     def run(batches):
         for b in batches:
-            for i, j in slices(byte_sizes(b.column(at)), 8 << 20):
+            for i, j in slices(byte_sizes(b.column(at)), PART):
                 part = b.slice(i, j - i)
                 scores, cosines, ids = model.score(part.column(at))
                 ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
