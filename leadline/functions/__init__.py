@@ -73,3 +73,20 @@ def rate(part: Column, whole: Column) -> Column:
 def haversine_km(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Column:
     h = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lng2 - lng1) / 2), 2)
     return F.lit(2 * 6371.0) * F.asin(F.sqrt(F.least(h, F.lit(1.0))))
+
+
+def holds_keyword(keywords: list[str], *columns: Column) -> Column:
+    """Some keyword stands in the columns, joined by spaces, whatever the case; empty keywords and null columns don't count."""
+    hay = F.lower(F.concat_ws(" ", *columns))
+    words = [k.strip().lower() for k in keywords if k.strip()]
+    return F.exists(F.array(*map(F.lit, words)), lambda k: F.contains(hay, k)) if words else F.lit(False)
+
+
+def merge_maps(old: Column, new: Column) -> Column:
+    """All keys of both; the new value where both have one."""
+    return F.map_concat(F.map_filter(old, lambda k, _: ~F.map_contains_key(new, k)), new)
+
+
+def remaining(elapsed: Column, per_cent: Column) -> Column:
+    """What is left at the pace so far; null unless 0 < per_cent < 100."""
+    return F.when((per_cent > 0) & (per_cent < 100), F.round(elapsed / (per_cent / 100.0) - elapsed, 3))

@@ -22,6 +22,11 @@ def top_by(rows: DataFrame, group: list[str], order: list[Column], n: int = 1, r
     return rows.withColumn(rank, F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col(rank) <= n)
 
 
+def ranked(rows: DataFrame, group: list[str], order: list[Column], out: str) -> DataFrame:
+    """rows with the place of each in its group, from 1."""
+    return rows.withColumn(out, F.row_number().over(Window.partitionBy(*group).orderBy(*order)).cast("long"))
+
+
 def snapshot_diff(old: DataFrame, new: DataFrame, key: str, digest: str) -> DataFrame:
     """(key, action): append, update, skip or delete."""
     o, n = old.select(F.col(key), F.col(digest).alias("was")), new.select(F.col(key), F.col(digest).alias("now"))

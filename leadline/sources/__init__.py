@@ -28,5 +28,5 @@ def export_json(df: DataFrame, path: str) -> None:
 
 
 def content_hash(*columns: str) -> Column:
-    """SHA-256 of the columns by name, joined; nulls are empty."""
-    return F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in sorted(columns)]), 256)
+    """SHA-256 of the columns by name, as JSON: a null differs from '', and no value can reach into its neighbour."""
+    return F.sha2(F.to_json(F.struct(*[F.col(c) for c in sorted(columns)]), {"ignoreNullFields": "false"}), 256)
