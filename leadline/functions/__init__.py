@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import sys
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,19 +12,39 @@ from pyspark.sql import functions as F
 LEGAL_FORMS = ("inc", "incorporated", "llc", "llp", "ltd", "limited", "pvt", "private", "plc", "co", "corp", "corporation", "company", "gmbh", "sa", "srl", "bv", "ag", "pty", "group", "holdings", "partners", "associates", "and", "the")
 #: Local parts of role mailboxes.
 ROLE_LOCALS = ("info", "support", "sales", "admin", "careers", "jobs", "hr", "marketing", "contact", "hello")
-#: Letters of Latin-1 and what is left of them without their marks.
-MARKED, PLAIN = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
 
 
 def normalize_domain(c: Column) -> Column:
     """Host of a URL or the part after an address's last @: lower case, no scheme, user, port, path, www or trailing dots; null if nothing is left."""
     s = F.lower(F.trim(c))
-    s = F.when(s.contains("@") & ~s.contains("//"), F.substring_index(s, "@", -1)).otherwise(s)
-    s = F.regexp_replace(s, r"^[a-z][a-z0-9+.-]*://", "")
-    s = F.regexp_replace(s, r"[/?#].*$", "")
-    s = F.regexp_replace(F.regexp_replace(s, r"^.*@", ""), r":[0-9]*$", "")
-    return F.nullif(F.regexp_replace(F.regexp_replace(s, r"\.+$", ""), r"^www\.", ""), F.lit(""))
+    s = F.when(s.contains("//"), s).otherwise(F.substring_index(s, "@", -1))
+    host = F.regexp_extract(s, r"^(?:[a-z][a-z0-9+.-]*://)?(?:[^/?#@]*@)?([^/?#:]*)", 1)
+    return F.nullif(F.regexp_extract(F.trim(host), r"^(?:www\.)?(.*?)\.*$", 1), F.lit(""))
+
+
+def _decomposed() -> tuple[str, str, dict[str, str]]:
+    """Characters beyond ASCII whose compatibility decomposition holds one ASCII character, that character, and those that hold several."""
+    one, plain, several = [], [], {}
+    for n in range(128, sys.maxunicode + 1):
+        kept = unicodedata.normalize("NFKD", chr(n)).encode("ascii", "ignore").decode()
+        if len(kept) == 1:
+            one.append(chr(n))
+            plain.append(kept)
+        elif kept and n < 0x10000:
+            several[chr(n)] = kept
+    return "".join(one), "".join(plain), several
+
+
+MARKED, PLAIN, SEVERAL = _decomposed()
+
+
+def ascii_letters(c: Column) -> Column:
+    """Text without marks: what is ASCII in its compatibility decomposition."""
+    table = F.create_map(*[F.lit(x) for kv in SEVERAL.items() for x in kv])
+    spread = F.array_join(F.transform(F.split(c, ""), lambda x: F.coalesce(table[x], x)), "")
+    wide = F.when(c.rlike("[" + "".join(SEVERAL) + "]"), spread).otherwise(c)
+    return F.when(c.rlike(r"[^\x00-\x7F]"), F.regexp_replace(F.translate(wide, MARKED, PLAIN), r"[^\x00-\x7F]", "")).otherwise(c)
 
 
 def normalize_phone(c: Column) -> Column:
@@ -32,15 +55,16 @@ def normalize_phone(c: Column) -> Column:
 
 def slug_name(c: Column) -> Column:
     """Lower-case words joined by hyphens, legal forms left out unless nothing else is there; null without words."""
-    words = F.filter(F.split(F.translate(F.lower(c), MARKED, PLAIN), "[^a-z0-9]+"), lambda w: w != "")
+    words = F.filter(F.split(F.lower(ascii_letters(c)), "[^a-z0-9]+"), lambda w: w != "")
     kept = F.filter(words, lambda w: ~w.isin(*LEGAL_FORMS))
     return F.nullif(F.array_join(F.when(F.size(kept) > 0, kept).otherwise(words), "-"), F.lit(""))
 
 
-def company_key(domain: Column, name: Column, phone: Column) -> Column:
-    """The first of domain, name and phone that says something, with its kind."""
+def company_key(domain: Column, name: Column, phone: Column, address: Column | None = None) -> Column:
+    """The first of domain, name, phone and address that says something, with its kind."""
     named = lambda kind, c: F.concat(F.lit(f"{kind}:"), c)
-    return F.coalesce(named("domain", normalize_domain(domain)), named("name", slug_name(name)), named("phone", normalize_phone(phone)))
+    keys = [named("domain", normalize_domain(domain)), named("name", slug_name(name)), named("phone", normalize_phone(phone))]
+    return F.coalesce(*keys, *([named("addr", slug_name(address))] if address is not None else []))
 
 
 def is_role(local: Column) -> Column:
@@ -90,3 +114,22 @@ def merge_maps(old: Column, new: Column) -> Column:
 def remaining(elapsed: Column, per_cent: Column) -> Column:
     """What is left at the pace so far; null unless 0 < per_cent < 100."""
     return F.when((per_cent > 0) & (per_cent < 100), F.round(elapsed / (per_cent / 100.0) - elapsed, 3))
+
+
+#: What one search finds, a directory adds, and the parts of a job's cost.
+CEILING, DIRECTORY, SEARCHES, PAGES, PER_PAGE, GEOCODE = 60, 160, 40, 3, 0.032, 0.005
+PER_CONTACT = (0.10 * 0.18, 0.0008, 0.0002)
+
+
+def estimate(jobs, job: str, maps: str, directories: str, variants: str, tiles: str):
+    """(job, companies, low, high, runtime, cost): whole numbers are cut, in exact decimals; where maps and directories both run, a fifth or so are the same."""
+    whole = lambda c, hundredths: F.floor(c * hundredths / F.lit(100)).cast("long")
+    both = F.col(maps) & F.col(directories)
+    found = whole(F.lit(CEILING) * (F.lit(100) + 35 * (F.col(variants) - 1)) / 100, F.when(F.col(tiles) > 1, 250).otherwise(100))
+    every = F.when(both, whole(found + DIRECTORY, F.lit(78))).when(F.col(maps), found).when(F.col(directories), F.lit(DIRECTORY)).otherwise(F.lit(0)).cast("long")
+    out = jobs.withColumn("companies", every)
+    contacts = whole(F.col("companies"), F.lit(250))
+    searched = F.least(F.col(variants) * F.col(tiles), F.lit(SEARCHES)) * PAGES * PER_PAGE + GEOCODE
+    cost = F.when(F.col(maps), searched).otherwise(F.lit(0.0)) + contacts * PER_CONTACT[0] + contacts * PER_CONTACT[1] + contacts * PER_CONTACT[2]
+    c = F.col("companies")
+    return out.select(job, "companies", whole(c, F.lit(85)).alias("low"), whole(c, F.lit(110)).alias("high"), F.greatest(F.lit(20).cast("long"), whole(c, F.lit(40))).alias("runtime"), F.round(cost, 2).alias("cost"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -91,14 +93,33 @@ def hiring_signals(text: Column) -> Column:
     return F.filter(F.array(*hits), lambda x: x.isNotNull())
 
 
+def unescape(text: Column) -> Column:
+    """Character references as their characters: numbers in either base, and the names of the HTML 4 tables; others stay."""
+    names = F.create_map(*[x for n, c in sorted(name2codepoint.items()) for x in (F.lit(f"&{n};"), F.lit(chr(c)))], F.lit("&apos;"), F.lit("'"))
+    point = lambda n: F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
+    ok = lambda n: n.between(1, 0xD7FF) | n.between(0xE000, 0x10FFFF)
+
+    def one(token: Column) -> Column:
+        number = F.coalesce(F.conv(F.nullif(F.regexp_extract(token, "^&#[xX]([0-9a-fA-F]{1,6});$", 1), F.lit("")), 16, 10).cast("long"), F.nullif(F.regexp_extract(token, "^&#([0-9]{1,7});$", 1), F.lit("")).cast("long"))
+        return F.when(~token.startswith("&"), token).when(ok(number), point(number)).otherwise(F.coalesce(names[token], token))
+
+    tokens = F.regexp_extract_all(text, F.lit("&[#a-zA-Z0-9]{1,10};|[^&]+|&"), F.lit(0))
+    return F.when(text.contains("&"), F.array_join(F.transform(tokens, one), "")).otherwise(text)
+
+
 def deobfuscate(text: Column) -> Column:
-    """[at], (at), {at} and ' at ' become @; the same of dot; a few character references too."""
-    t = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, "&#64;", "@"), "&#46;", "."), "&amp;", "&")
-    t = F.regexp_replace(t, r"(?i)\s*[\[({]\s*at\s*[\])}]\s*", "@")
+    """Character references become their characters; [at], (at), {at} and ' at ' become @; the same of dot."""
+    t = F.regexp_replace(unescape(text), r"(?i)\s*[\[({]\s*at\s*[\])}]\s*", "@")
     t = F.regexp_replace(t, r"(?i)\s*[\[({]\s*dot\s*[\])}]\s*", ".")
     return F.regexp_replace(F.regexp_replace(t, r"(?i)\s+at\s+", "@"), r"(?i)\s+dot\s+", ".")
 
 
+def is_notice(text: Column) -> Column:
+    """A mail system's word on a message, by one of three phrases."""
+    low = F.lower(text)
+    return F.coalesce(low.contains("delivery status notification") | low.contains("mail delivery") | low.contains("undelivered"), F.lit(False))
+
+
 def is_asset_or_placeholder(email: Column) -> Column:
     domain = F.lower(F.substring_index(email, "@", -1))
     return (F.instr(email, "@") == 0) | domain.isin(*PLACEHOLDER_DOMAINS) | F.substring_index(domain, ".", -1).isin(*ASSET_TLDS)
@@ -147,12 +168,6 @@ def classify_bounce(status: Column, diagnostic: Column) -> Column:
     return out.when(status.startswith("5"), "hard").when(status.startswith("4"), "soft").otherwise("unknown")
 
 
-def simulated_outcome(email: Column) -> Column:
-    """bounce, reply or none, from the first eight hex digits of the address's SHA-256."""
-    h = F.conv(F.substring(F.sha2(email, 256), 1, 8), 16, 10).cast("long")
-    return F.when(h % 33 == 0, "bounce").when(h % 12 == 0, "reply").otherwise("none")
-
-
 def relative_date(text: Column, now: Column) -> Column:
     """'3 days ago', 'today', 'just posted', 'yesterday' or an ISO date as a timestamp; months have 30 days, years 365; else null."""
     t = F.lower(F.trim(text))

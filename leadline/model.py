@@ -40,6 +40,9 @@ RULES = {
         FROM {people} p JOIN {companies} c ON p.company_id = c.company_id""",
     "candidates": """SELECT contact_id * 2 AS candidate_id, contact_id, lower(email) AS email, 'page' AS source FROM {contacts} WHERE email IS NOT NULL
         UNION ALL SELECT contact_id * 2 + 1, contact_id, lower(first_name) || '.' || lower(last_name) || substr(email, position('@' IN email), 200), 'pattern' FROM {contacts} WHERE email IS NOT NULL AND contact_id % 5 = 0""",
+    "addresses": """SELECT candidate_id, contact_id, CASE candidate_id % 19 WHEN 0 THEN replace(email, '@', '@@') WHEN 1 THEN replace(email, '@', ' at ') WHEN 2 THEN email || '.' WHEN 3 THEN substr(email, 1, position('@' IN email)) || 'Mailinator.COM'
+        WHEN 4 THEN substr(email, 1, position('@' IN email)) || 'corp.throw.example' WHEN 5 THEN ' Sales.Team+eu' || substr(email, position('@' IN email), 200) || ' ' WHEN 6 THEN substr(email, 1, position('@' IN email)) || 'host.localhost' WHEN 7 THEN '.' || email
+        WHEN 8 THEN substr(email, 1, position('@' IN email)) || 'yopmail.com' WHEN 9 THEN upper(email) WHEN 10 THEN '  ' WHEN 11 THEN replace(email, '.', '..') WHEN 12 THEN 'jürgen' || email WHEN 13 THEN 'info' || substr(email, position('@' IN email), 200) ELSE email END AS raw FROM {candidates}""",
     "checks": """SELECT candidate_id AS validation_id, k.contact_id, c.company_id, c.job_id, candidate_id, CASE WHEN candidate_id % 3 = 0 THEN final_email_status ELSE 'VERIFIED' END AS final_status,
         candidate_id % 4 AS retry_count, created_at AS verified_at FROM {candidates} k JOIN {contacts} c ON k.contact_id = c.contact_id""",
     "users": "SELECT s_suppkey AS user_id, s_name AS user_name, s_suppkey % 3 = 0 AS is_admin FROM {supplier}",
@@ -52,7 +55,7 @@ RULES = {
         CASE n_nationkey % 4 WHEN 0 THEN 'draft' WHEN 1 THEN 'sending' WHEN 2 THEN 'paused' ELSE 'completed' END AS status, DATE '2024-02-01' + n_nationkey AS created_on FROM {nation}""",
     "sends": """SELECT l_orderkey * 10 + l_linenumber AS message_id, l_orderkey AS contact_id, l_suppkey % 25 AS campaign_id, l_shipdate AS due_at, l_linenumber AS line,
         CASE WHEN l_returnflag = 'R' AND l_linenumber % 2 = 0 THEN 'bounced' WHEN l_returnflag = 'R' THEN 'replied' WHEN l_linestatus = 'F' AND l_discount > 0.05 THEN 'opened' WHEN l_linestatus = 'F' THEN 'delivered' WHEN l_quantity > 25 THEN 'sent' ELSE 'queued' END AS status
-        FROM {lineitem}""",
+        FROM (SELECT l_orderkey, l_linenumber, min(l_suppkey) AS l_suppkey, min(l_shipdate) AS l_shipdate, min(l_returnflag) AS l_returnflag, min(l_linestatus) AS l_linestatus, max(l_discount) AS l_discount, max(l_quantity) AS l_quantity FROM {lineitem} GROUP BY l_orderkey, l_linenumber)""",
     "messages": """SELECT message_id, s.contact_id, campaign_id, email AS to_email, s.status, due_at AS scheduled_at, CASE WHEN s.status <> 'queued' THEN due_at END AS sent_at,
         CASE WHEN s.status IN ('delivered', 'opened', 'replied') THEN due_at + INTERVAL '3' HOUR END AS delivered_at, CASE WHEN s.status = 'opened' OR (s.status = 'replied' AND line % 3 = 0) THEN due_at + INTERVAL '5' HOUR END AS opened_at,
         CASE WHEN s.status = 'opened' AND line % 2 = 0 THEN due_at + INTERVAL '6' HOUR END AS clicked_at, CASE WHEN s.status = 'replied' THEN due_at + INTERVAL '1' DAY END AS replied_at, CASE WHEN s.status = 'bounced' THEN due_at + INTERVAL '1' HOUR END AS bounced_at

@@ -51,10 +51,45 @@ def slots(rows: DataFrame, group: str, order: list[Column], start: int, end: int
 
 
 def latest_before(asks: DataFrame, facts: DataFrame, key: str, at: str, fact_at: str, days: int, value: str) -> DataFrame:
-    """asks with the value of the newest fact of the key in the `days` before: an equi-join with a range, then the maximum."""
-    f = facts.select(F.col(key).alias("_k"), F.col(fact_at).alias("_at"), F.col(value).alias("_v"))
-    hit = (F.col(key) == F.col("_k")) & (F.col("_at") <= F.col(at)) & (F.col("_at") > F.col(at) - F.expr(f"INTERVAL {days} DAYS"))
-    return asks.join(f, hit, "left").groupBy(*asks.columns).agg(F.max(F.struct("_at", "_v"))["_v"].alias(value))
+    """asks, each row once, with the value of the newest fact of its key in the `days` before; of facts at one time the greatest value.
+
+    One sorted pass over both: the last fact before an ask is taken if it is young enough. Keys are split into stretches of
+    `days`, and a fact stands in its own and the next one, so that a key of very many rows is no single task's work.
+    """
+    width = days * 86_400_000_000
+    stretch = lambda c: F.floor(F.unix_micros(F.col(c).cast("timestamp")) / width)
+    a = asks.select(F.struct(*asks.columns).alias("_row"), F.col(key).alias("_k"), F.col(at).alias("_at"), stretch(at).alias("_s"), F.lit(1).alias("_kind"), F.lit(None).cast(facts.schema[value].dataType).alias("_v"))
+    f = facts.where(F.col(key).isNotNull() & F.col(fact_at).isNotNull())
+    f = f.select(F.lit(None).cast(a.schema["_row"].dataType).alias("_row"), F.col(key).alias("_k"), F.col(fact_at).alias("_at"), F.explode(F.array(stretch(fact_at), stretch(fact_at) + 1)).alias("_s"), F.lit(0).alias("_kind"), F.col(value).alias("_v"))
+    w = Window.partitionBy("_k", "_s").orderBy("_at", "_kind", "_v").rowsBetween(Window.unboundedPreceding, 0)
+    last = F.last(F.when(F.col("_kind") == 0, F.struct("_at", "_v")), ignorenulls=True).over(w)
+    out = a.unionByName(f).withColumn("_last", last).where("_kind = 1")
+    young = F.col("_last._at") > F.col("_at") - F.expr(f"INTERVAL {days} DAYS")
+    return out.select("_row.*", F.when(young, F.col("_last._v")).alias(value))
+
+
+def upsert(rows: DataFrame, key: str, order: str, scalars: list[str], url: str, posture: str) -> DataFrame:
+    """One row per key, and one for each row without: the first row's scalars as they are, the addresses in the order they were
+    first seen, the worst posture (green, amber, red), the number of rows, and whether several met.
+    """
+    level = F.when(F.col(posture) == "red", 2).when(F.col(posture) == "amber", 1).otherwise(0)
+    named = rows.withColumn("_key", F.coalesce(F.concat(F.lit("k"), key), F.concat(F.lit("r"), F.col(order).cast("string"))))
+    seen = named.where(F.col(url).isNotNull()).groupBy("_key", url).agg(F.min(order).alias("_o")).groupBy("_key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_o", url))), lambda x: x[url]), ",").alias("urls"))
+    one = named.groupBy("_key").agg(F.first(key).alias(key), F.min(order).alias(order), *[F.min_by(c, order).alias(c) for c in scalars], F.max(level).alias("_level"), F.count("*").alias("sightings"))
+    worst = F.element_at(F.array(*map(F.lit, ("green", "amber", "red"))), F.col("_level") + 1)
+    return one.join(seen, "_key", "left").select(key, order, *scalars, F.coalesce("urls", F.lit("")).alias("urls"), worst.alias("posture"), "sightings", F.when(F.col("sightings") > 1, "merged").otherwise("unique").alias("dedupe_status"))
+
+
+def match_notices(notices: DataFrame, messages: DataFrame, days: int = 3) -> DataFrame:
+    """notices (notice_id, ref, gmail, email, seen_at) with the message each speaks of, and how it was found: by the id in its
+    reference, else by the mail system's id, else as the newest message sent to the address in the `days` before."""
+    m = messages.select(F.col("message_id").alias("_m"), "gmail_id", F.lower("to_email").alias("_to"), "sent_at")
+    by_ref = notices.join(m.select("_m", F.col("_m").alias("by_ref")), notices["ref"] == F.col("_m"), "left").drop("_m")
+    by_mail = by_ref.join(m.where("gmail_id is not null").groupBy(F.col("gmail_id").alias("_g")).agg(F.max("_m").alias("by_gmail")), F.col("gmail") == F.col("_g"), "left").drop("_g").withColumn("_to", F.lower("email"))
+    facts = m.where("sent_at is not null").select("_to", "sent_at", F.col("_m").alias("by_time"))
+    out = latest_before(by_mail, facts, "_to", "seen_at", "sent_at", days, "by_time")
+    tier = F.when(F.col("by_ref").isNotNull(), 1).when(F.col("by_gmail").isNotNull(), 2).when(F.col("by_time").isNotNull(), 3)
+    return out.select("notice_id", F.coalesce("by_ref", "by_gmail", "by_time").alias("message_id"), tier.alias("tier"))
 
 
 def bounce_actions(rows: DataFrame, recipient: str, order: list[str], budget: int = 3) -> DataFrame:

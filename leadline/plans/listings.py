@@ -309,3 +309,24 @@ def tombstones(spark: SparkSession, d: str) -> DataFrame:
     lost = frame(spark, d, "bounces").where("bounce_type in ('hard', 'mailbox_full')").select(F.lower("email").alias("lost")).distinct()
     out = frame(spark, d, "leads").join(lost, F.lower("email") == F.col("lost"), "left")
     return out.select("lead_id", (F.col("tombstoned") | F.col("lost").isNotNull()).alias("tombstoned"), F.when(F.col("lost").isNotNull(), "bounced").otherwise("none").alias("campaign_status"))
+
+
+@query(sql("""WITH_ n AS (SELECT bounce_id AS notice_id, CASE WHEN message_id % 3 = 0 THEN message_id WHEN message_id % 3 = 2 AND message_id % 5 = 0 THEN -message_id END AS ref, CASE WHEN message_id % 3 = 1 THEN 'g' || message_id END AS gmail, upper(email) AS email, detected_at AS seen_at FROM bounces), m AS (SELECT message_id, CASE WHEN message_id % 2 = 0 THEN 'g' || message_id END AS gmail_id, lower(to_email) AS t, sent_at FROM messages), r AS (SELECT n.*, (SELECT max(message_id) FROM m WHERE m.message_id = n.ref) AS a, (SELECT max(message_id) FROM m WHERE gmail_id = n.gmail) AS b FROM n), k AS (SELECT r.notice_id, arg_max(m.message_id, (m.sent_at, m.message_id)) AS c FROM r JOIN m ON m.t = lower(r.email) AND m.sent_at <= r.seen_at AND m.sent_at > r.seen_at - INTERVAL 3 DAY GROUP BY 1) SELECT notice_id, coalesce(a, b, c) AS message_id, CASE WHEN a IS NOT NULL THEN 1 WHEN b IS NOT NULL THEN 2 WHEN c IS NOT NULL THEN 3 END AS tier FROM r LEFT JOIN k USING (notice_id)""").replace(" WITH_ n AS", ", n AS"))
+def notice_matches(spark: SparkSession, d: str) -> DataFrame:
+    """OP-J10: the message of each notice by reference, by the mail system's id, or by address and time, in this order."""
+    k = F.col("message_id")
+    notices = frame(spark, d, "bounces").select(F.col("bounce_id").alias("notice_id"), F.when(k % 3 == 0, k).when((k % 3 == 2) & (k % 5 == 0), -k).alias("ref"), F.when(k % 3 == 1, F.concat(F.lit("g"), k)).alias("gmail"), F.upper("email").alias("email"), F.col("detected_at").alias("seen_at"))
+    messages = frame(spark, d, "messages").select("message_id", F.when(k % 2 == 0, F.concat(F.lit("g"), k)).alias("gmail_id"), "to_email", "sent_at")
+    return op.match_notices(notices, messages)
+
+
+@query(sql("""SELECT key, seen, source_name, coalesce(urls, '') AS urls, CASE level WHEN 2 THEN 'red' WHEN 1 THEN 'amber' ELSE 'green' END AS posture, sightings, CASE WHEN sightings > 1 THEN 'merged' ELSE 'unique' END AS dedupe_status FROM (SELECT coalesce('k' || key, 'r' || sighting_id) AS g, any_value(key) AS key, min(sighting_id) AS seen, arg_min(source_name, sighting_id) AS source_name, max(CASE posture WHEN 'red' THEN 2 WHEN 'amber' THEN 1 ELSE 0 END) AS level, count(*) AS sightings FROM (SELECT *, CASE WHEN company_id % 10 <> 0 THEN 'id:' || company_id END AS key FROM sightings) GROUP BY 1) LEFT JOIN (SELECT g, string_agg(source_url, ',' ORDER BY o) AS urls FROM (SELECT CASE WHEN company_id % 10 <> 0 THEN 'kid:' || company_id ELSE 'r' || sighting_id END AS g, source_url, min(sighting_id) AS o FROM sightings WHERE source_url IS NOT NULL GROUP BY 1, 2) GROUP BY 1) USING (g)"""))
+def company_upsert(spark: SparkSession, d: str) -> DataFrame:
+    """OP-M01, U01, U02, A15, A19: the sightings of all sources merged; the first one's values stay, addresses keep the order they were seen in."""
+    s = frame(spark, d, "sightings")
+    by_source = [s.where(F.col("source_name") == n) for n in ("view", "click", "purchase")] + [s.where(~F.col("source_name").isin("view", "click", "purchase"))]
+    every = by_source[0]
+    for other in by_source[1:]:
+        every = every.unionByName(other)
+    rows = every.select(F.when(F.col("company_id") % 10 != 0, F.concat(F.lit("id:"), "company_id")).alias("key"), F.col("sighting_id").alias("seen"), "source_name", "source_url", "posture")
+    return op.upsert(rows, "key", "seen", ["source_name"], "source_url", "posture")

@@ -215,21 +215,21 @@ def source_purge(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("p_partkey", "in_other", F.when(F.col("in_dir") & ~F.col("in_other"), "purge").when(F.col("in_dir"), "strip").otherwise("keep").alias("action"))
 
 
-@query("""SELECT conv_id, min(turn) AS turn FROM conversations WHERE role = 'assistant' AND NOT (lower(text) LIKE '%delivery%' OR lower(text) LIKE '%undeliver%') GROUP BY 1""")
+@query("""SELECT s.conv_id, s.turn AS sent, arg_min(t.turn, t.turn) AS turn FROM (SELECT conv_id, min(turn) AS turn FROM conversations WHERE role = 'user' GROUP BY 1) s JOIN conversations t ON s.conv_id = t.conv_id WHERE t.turn <> s.turn AND t.role <> 'user' AND NOT regexp_matches(lower(coalesce(t.text, '')), 'delivery status notification|mail delivery|undelivered') GROUP BY 1, 2""")
 def reply_hits(spark: SparkSession, d: str) -> DataFrame:
-    """OP-J12, M18, S52: the first message of a thread that is neither one's own nor a delivery notice."""
-    notice = F.lower("text").contains("delivery") | F.lower("text").contains("undeliver")
-    return table(spark, d, "conversations").where((F.col("role") == "assistant") & ~notice).groupBy("conv_id").agg(F.min("turn").alias("turn"))
+    """OP-J12, M18, S52: a sent message's first answer in its thread: not itself, none of one's own, no delivery notice."""
+    c = table(spark, d, "conversations")
+    sent = c.where("role = 'user'").groupBy("conv_id").agg(F.min("turn").alias("sent"))
+    hits = c.where((F.col("role") != "user") & ~web.is_notice(F.col("text"))).select("conv_id", "turn")
+    return sent.join(hits, "conv_id").where("turn <> sent").groupBy("conv_id", "sent").agg(F.min("turn").alias("turn"))
 
 
-@query("""SELECT variants, deep, companies, (companies * 0.85)::DOUBLE AS low, least(companies * 1.0, companies * 1.1) AS base, greatest(20, floor(0.4 * companies)::BIGINT) AS runtime FROM (SELECT n_nationkey AS variants, deep, CASE WHEN deep THEN floor(floor(60 * (1 + 0.35 * (v - 1))) * 2.5) ELSE floor(60 * (1 + 0.35 * (v - 1))) END::DOUBLE AS companies FROM (SELECT n_nationkey, n_nationkey % 2 = 0 AS deep, greatest(1, least(6, n_nationkey)) AS v FROM nation))""")
+@query("""SELECT job, companies, trunc(companies * 85 / 100)::BIGINT AS low, trunc(companies * 110 / 100)::BIGINT AS high, greatest(20, trunc(companies * 4 / 10)::BIGINT) AS runtime, round(CASE WHEN maps THEN searches * 3 * 0.032 + 0.005 ELSE 0 END + trunc(companies * 5 / 2) * 0.10 * 0.18 + trunc(companies * 5 / 2) * 0.0008 + trunc(companies * 5 / 2) * 0.0002, 2)::DOUBLE AS cost FROM (SELECT n_nationkey AS job, maps, least(v * t, 40) AS searches, CASE WHEN maps AND dirs THEN trunc((m + 160) * 78 / 100) WHEN maps THEN m WHEN dirs THEN 160 ELSE 0 END AS companies FROM (SELECT *, trunc(60 * (100 + 35 * (v - 1)) / 100 * CASE WHEN t = 7 THEN 2.5 ELSE 1 END) AS m FROM (SELECT n_nationkey, n_nationkey % 3 <> 0 AS maps, n_nationkey % 4 <> 1 AS dirs, greatest(1, least(6, n_nationkey)) AS v, CASE WHEN n_nationkey % 2 = 0 THEN 7 ELSE 1 END AS t FROM nation)))""")
 def job_estimate(spark: SparkSession, d: str) -> DataFrame:
-    """OP-A23: companies and running time a job may take."""
-    v = F.greatest(F.lit(1), F.least(F.lit(6), F.col("n_nationkey")))
-    maps = F.floor(F.expr("cast(60 as double)") * (1 + F.lit(0.35) * (v - 1)) + F.lit(1e-9))
-    deep = F.col("n_nationkey") % 2 == 0
-    rows = table(spark, d, "nation").select(F.col("n_nationkey").alias("variants"), deep.alias("deep"), F.when(deep, F.floor(maps * 2.5)).otherwise(maps).cast("double").alias("companies"))
-    return rows.select("*", (F.col("companies") * 0.85).alias("low"), F.col("companies").alias("base"), F.greatest(F.lit(20), F.floor(F.lit(0.4) * F.col("companies"))).cast("long").alias("runtime"))
+    """OP-A23, I03: companies, cost and running time that a job may take, from its sources, query variants and tiles."""
+    k = F.col("n_nationkey")
+    jobs = table(spark, d, "nation").select(k.alias("job"), (k % 3 != 0).alias("maps"), (k % 4 != 1).alias("dirs"), F.greatest(F.lit(1), F.least(F.lit(6), k)).alias("v"), F.when(k % 2 == 0, 7).otherwise(1).alias("t"))
+    return fn.estimate(jobs, "job", "maps", "dirs", "v", "t")
 
 
 @query("""SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2""")
@@ -239,9 +239,9 @@ def events_tumbling(spark: SparkSession, d: str) -> DataFrame:
     return rows.agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
-@query("""SELECT l_orderkey, min(l_linenumber) AS first, max(l_linenumber) AS last FROM (SELECT l_orderkey, l_linenumber, l_linenumber - row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS island FROM lineitem WHERE l_partkey % 3 <> 0) GROUP BY l_orderkey, island""")
+@query("""SELECT l_orderkey, min(l_linenumber) AS first, max(l_linenumber) AS last FROM (SELECT l_orderkey, l_linenumber, l_linenumber - row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS island FROM lineitem WHERE l_quantity > 17) GROUP BY l_orderkey, island""")
 def contiguous_runs(spark: SparkSession, d: str) -> DataFrame:
     """OP-S63, M08: runs of neighbouring rows, so that one write covers each."""
-    rows = table(spark, d, "lineitem").where("l_partkey % 3 <> 0").select("l_orderkey", "l_linenumber")
+    rows = table(spark, d, "lineitem").where("l_quantity > 17").select("l_orderkey", "l_linenumber")
     rows = rows.withColumn("island", F.col("l_linenumber") - F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber")))
     return rows.groupBy("l_orderkey", "island").agg(F.min("l_linenumber").alias("first"), F.max("l_linenumber").alias("last")).drop("island")

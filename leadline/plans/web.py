@@ -171,12 +171,11 @@ def document_hiring(spark: SparkSession, d: str) -> DataFrame:
 RESULTS = (" OK ", "valid", "Catchall", "risky", "disposable", "odd", "unknown")
 
 
-@query(f"""SELECT status, outcome, count(*) AS n FROM (SELECT ['valid', 'valid', 'catch_all', 'risk', 'invalid', 'unknown', 'unknown'][(c_custkey % 7) + 1] AS status, CASE WHEN h % 33 = 0 THEN 'bounce' WHEN h % 12 = 0 THEN 'reply' ELSE 'none' END AS outcome FROM (SELECT c_custkey, ('0x' || sha256('c' || c_custkey || '@acme.org')[1:8])::BIGINT AS h FROM customer)) GROUP BY ALL""")
+@query(f"""SELECT status, count(*) AS n, min(c_custkey) AS first FROM (SELECT c_custkey, CASE lower(trim(r)) WHEN 'ok' THEN 'valid' WHEN 'valid' THEN 'valid' WHEN 'catchall' THEN 'catch_all' WHEN 'risky' THEN 'risk' WHEN 'disposable' THEN 'invalid' ELSE 'unknown' END AS status FROM (SELECT c_custkey, {sql_pick(RESULTS, 'c_custkey')} AS r FROM customer)) GROUP BY 1""")
 def verifier_outcomes(spark: SparkSession, d: str) -> DataFrame:
-    """OP-I17, I29, S61: a verifier's words as states, and the simulated outcome of a mailbox."""
-    email = F.concat(F.lit("c"), "c_custkey", F.lit("@acme.org"))
-    rows = table(spark, d, "customer").select(web.verifier_status(pick(RESULTS, "c_custkey")).alias("status"), web.simulated_outcome(email).alias("outcome"))
-    return rows.groupBy("status", "outcome").agg(F.count("*").alias("n"))
+    """OP-I17: a verifier's words as states."""
+    rows = table(spark, d, "customer").select("c_custkey", web.verifier_status(pick(RESULTS, "c_custkey")).alias("status"))
+    return rows.groupBy("status").agg(F.count("*").alias("n"), F.min("c_custkey").alias("first"))
 
 
 POSTED = ("3 days ago", "1 week ago", "Yesterday", "2 months ago", "5 hours ago", "2024-01-05", "today", "soon")
