@@ -107,7 +107,8 @@ def is_hiring(*texts: Column) -> Column:
 
 def retry_after(header: Column) -> Column:
     """Seconds of a Retry-After header, 120 at most; null for dates and none."""
-    return F.least(F.when(F.trim(header).rlike(r"^[0-9]+(\.[0-9]+)?$"), F.trim(header)).cast("double"), F.lit(120.0))
+    seconds = F.when(F.trim(header).rlike(r"^[0-9]+(\.[0-9]+)?$"), F.trim(header)).cast("double")
+    return F.when(seconds.isNotNull(), F.least(seconds, F.lit(120.0)))
 
 
 def with_footer(body: Column, text: Column, default: str = "Reply with 'unsubscribe' to receive no further messages.") -> Column:

@@ -56,7 +56,7 @@ SIGHTINGS = """SELECT 'domain:' || lower(split_part(n_name, ' ', 1)) || '.exampl
 
 @query(f"""SELECT key, arg_min(name, seq) AS name, arg_min(balance, seq) FILTER (balance IS NOT NULL) AS balance, string_agg(DISTINCT source, ',' ORDER BY source) AS source, count(*) AS sightings, CASE WHEN count(*) > 1 THEN 'merged' ELSE 'unique' END AS dedupe_status FROM ({SIGHTINGS}) GROUP BY key""")
 def merge_companies(spark: SparkSession, d: str) -> DataFrame:
-    """OP-M01, M02, S01, S04, A15, A18, U01, U02: sightings to companies by a normalised key, filling only what is missing."""
+    """OP-M02, S01, S04, A15, A18: sightings to companies by a normalised key, filling only what is missing."""
     url = F.concat(F.lit("https://www."), F.substring_index("n_name", " ", 1), F.lit(".example.com/team?x=1"))
     rows = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(fn.company_key(url, F.col("s_name"), F.lit(None).cast("string")).alias("key"), F.col("s_suppkey").alias("seq"), F.col("s_name").alias("name"), F.when(F.col("s_acctbal") > 0, F.col("s_acctbal")).alias("balance"), F.concat(F.lit("s"), F.col("s_suppkey") % 7).alias("source"))
     return op.merge_by_key(rows, "key", "seq", ["name", "balance"], "source")
@@ -90,7 +90,7 @@ def validation(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9._%+-]+@[a-z0-9-]+(?:\\.[a-z0-9-]+)+'))) AS email FROM documents""")
 def emails_on_pages(spark: SparkSession, d: str) -> DataFrame:
-    """OP-S18, S21, S22: distinct addresses of each text."""
+    """OP-S18: distinct addresses of each text."""
     found = F.array_distinct(F.expr("regexp_extract_all(lower(text), '[a-z0-9._%+-]+@[a-z0-9-]+(?:[.][a-z0-9-]+)+', 0)"))
     return table(spark, d, "documents").select("doc_id", F.explode(found).alias("email"))
 
@@ -129,6 +129,6 @@ def export_tabs(spark: SparkSession, d: str) -> DataFrame:
     return union_tabs({"region": region, "nation": nation})
 
 
-from leadline.plans import checks, listings, outreach, sheets, tabs, web  # noqa: E402, F401  (they register their own queries)
+from leadline.plans import checks, listings, outreach, payloads, sheets, tabs, web  # noqa: E402, F401  (they register their own queries)
 
 __all__ = ["ORACLE", "QUERIES"]

@@ -29,7 +29,7 @@ SENT, DELIVERED, BOUNCED = STATES[1:6], STATES[2:6], ("bounced", "blocked")
 
 @query(f"""SELECT campaign, count(*) AS messages, count(*) FILTER (status IN {SENT}) AS sent, count(*) FILTER (status IN {DELIVERED}) AS delivered, count(*) FILTER (status IN {BOUNCED}) AS bounced, CASE WHEN count(*) FILTER (status IN {SENT}) = 0 THEN 0.0 ELSE round(100.0 * count(*) FILTER (status = 'replied') / count(*) FILTER (status IN {SENT}), 2) END AS reply_rate FROM ({MESSAGES}) GROUP BY 1""")
 def campaign_stats(spark: SparkSession, d: str) -> DataFrame:
-    """OP-A12, J02: states to buckets by campaign."""
+    """OP-A12: states to buckets by campaign."""
     s = F.col("status")
     rows = messages(spark, d).groupBy("campaign").agg(F.count("*").alias("messages"), F.count_if(s.isin(*SENT)).alias("sent"), F.count_if(s.isin(*DELIVERED)).alias("delivered"), F.count_if(s.isin(*BOUNCED)).alias("bounced"), F.count_if(s == "replied").alias("_r"))
     return rows.withColumn("reply_rate", fn.rate(F.col("_r"), F.col("sent"))).drop("_r")
@@ -51,11 +51,11 @@ def dashboard_summary(spark: SparkSession, d: str) -> DataFrame:
     return on(one("nation", "companies")).join(on(one("customer", "contacts")), "_k").join(on(sums), "_k").drop("_k")
 
 
-@query("""SELECT event_type AS source, arg_max('error ' || event_id, (ts, event_id)) AS error FROM events WHERE event_id % 7 = 0 GROUP BY 1""")
+@query("""SELECT user_id AS source, arg_max('error ' || event_id, (ts, event_id)) AS error FROM events WHERE event_type = 'error' GROUP BY 1""")
 def latest_error(spark: SparkSession, d: str) -> DataFrame:
     """OP-A10: the newest error of each source."""
-    rows = table(spark, d, "events").where("event_id % 7 = 0")
-    return rows.groupBy(F.col("event_type").alias("source")).agg(F.max_by(F.concat(F.lit("error "), "event_id"), F.struct("ts", "event_id")).alias("error"))
+    rows = table(spark, d, "events").where("event_type = 'error'")
+    return rows.groupBy(F.col("user_id").alias("source")).agg(F.max_by(F.concat(F.lit("error "), "event_id"), F.struct("ts", "event_id")).alias("error"))
 
 
 @query("""SELECT user_id % 5 AS tenant, event_type AS provider, count(*) AS request_count, round(sum(value), 4) AS cost, max(ts) AS last_at FROM events GROUP BY 1, 2""")
@@ -137,22 +137,22 @@ def event_replay(spark: SparkSession, d: str) -> DataFrame:
 
 
 TERMINAL = "CASE WHEN status IN ('bounced', 'blocked') THEN 'already_bounced' WHEN status = 'unsubscribed' THEN 'already_unsubscribed' WHEN status = 'replied' THEN 'already_replied' END"
-PLAN = f"""WITH m AS (SELECT lower(email) AS email, min(CASE {TERMINAL} WHEN 'already_bounced' THEN 0 WHEN 'already_unsubscribed' THEN 1 WHEN 'already_replied' THEN 2 END) AS t FROM ({MESSAGES}) WHERE id % 4 = 0 GROUP BY 1), c AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 17 = 0 THEN NULL ELSE 'c' || (c_custkey - c_custkey % 19 % 2) || '@h' || ((c_custkey - c_custkey % 19 % 2) % 7) || '.org' END AS email, c_custkey % 6 <> 0 AS verified, c_custkey % 23 = 0 AS suppressed FROM customer), f AS (SELECT *, row_number() OVER (PARTITION BY email ORDER BY id) AS seen FROM c) SELECT id, CASE WHEN f.email IS NULL THEN 'no_email' WHEN seen > 1 THEN 'duplicate' WHEN NOT verified THEN 'not_verified' WHEN suppressed THEN 'suppressed' WHEN t = 0 THEN 'already_bounced' WHEN t = 1 THEN 'already_unsubscribed' WHEN t = 2 THEN 'already_replied' ELSE 'eligible' END AS reason FROM f LEFT JOIN m ON f.email = m.email"""
+PLAN = f"""WITH m AS (SELECT lower(email) AS email, min(CASE {TERMINAL} WHEN 'already_bounced' THEN 0 WHEN 'already_unsubscribed' THEN 1 WHEN 'already_replied' THEN 2 END) AS t FROM ({MESSAGES}) GROUP BY 1), c AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 17 = 0 THEN NULL ELSE 'c' || (c_custkey - c_custkey % 19 % 2) || '@h' || ((c_custkey - c_custkey % 19 % 2) % 7) || '.org' END AS email, c_custkey % 6 <> 0 AS verified, c_custkey % 23 = 0 AS suppressed FROM customer), f AS (SELECT *, row_number() OVER (PARTITION BY email ORDER BY id) AS seen FROM c) SELECT id, CASE WHEN f.email IS NULL THEN 'no_email' WHEN seen > 1 THEN 'duplicate' WHEN NOT verified THEN 'not_verified' WHEN suppressed THEN 'suppressed' WHEN t = 0 THEN 'already_bounced' WHEN t = 1 THEN 'already_unsubscribed' WHEN t = 2 THEN 'already_replied' ELSE 'eligible' END AS reason FROM f LEFT JOIN m ON f.email = m.email"""
 
 
 @query(PLAN)
 def recipient_plan(spark: SparkSession, d: str) -> DataFrame:
-    """OP-J08, W07, Q5: why each contact is or isn't written to, without roles and by every fourth message; `outreach_plan` (OP-M13) has all of both."""
+    """OP-J08, W07, Q5: why each contact is or isn't written to, without keywords and roles, which `outreach_plan` (OP-M13) has."""
     k = F.col("c_custkey")
     base = k - k % 19 % 2
     email = F.when(k % 17 != 0, F.concat(F.lit("c"), base, F.lit("@h"), base % 7, F.lit(".org")))
     contacts = table(spark, d, "customer").select(k.alias("id"), email.alias("email"), (k % 6 != 0).alias("verified"), (k % 23 == 0).alias("suppressed"))
-    return op.plan_recipients(contacts, messages(spark, d).where("id % 4 = 0")).select("id", "reason")
+    return op.plan_recipients(contacts, messages(spark, d)).select("id", "reason")
 
 
 @query(f"SELECT reason, count(*) AS n FROM ({PLAN}) GROUP BY 1")
 def eligibility_summary(spark: SparkSession, d: str) -> DataFrame:
-    """OP-A13, A28: contacts by reason."""
+    """OP-A13: contacts by reason."""
     return recipient_plan(spark, d).groupBy("reason").agg(F.count("*").alias("n"))
 
 
@@ -172,7 +172,7 @@ def outreach_plan(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT reason, count(*) AS n FROM ({OUTREACH}) GROUP BY 1")
 def outreach_summary(spark: SparkSession, d: str) -> DataFrame:
-    """OP-A13, A28: contacts by reason, of outreach_plan."""
+    """OP-A13: contacts by reason, of outreach_plan."""
     return outreach_plan(spark, d).groupBy("reason").agg(F.count("*").alias("n"))
 
 

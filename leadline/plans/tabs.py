@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from leadline import operators as op
 from leadline.functions import web
+from leadline.model import frame, sql
 from leadline.plans.outreach import MESSAGES, messages
 from leadline.plans.registry import query
 from leadline.plans.web import pick, sql_list, sql_pick
@@ -25,14 +27,14 @@ VISIBLE = r"length(trim(regexp_replace(regexp_replace(regexp_replace(regexp_repl
 
 @query(f"""SELECT page_id, {VISIBLE} AS n, {VISIBLE} < 400 OR ({VISIBLE} < 1200 AND regexp_matches(lower(html), '{"|".join(web.SPA_MARKERS)}')) AS browser FROM pages""")
 def visible_text(spark: SparkSession, d: str) -> DataFrame:
-    """OP-S35, I14: visible characters of a page and whether it needs a browser."""
+    """OP-S35: visible characters of a page and whether it needs a browser."""
     h = F.col("html")
     return table(spark, d, "pages").select("page_id", web.visible_length(h).alias("n"), web.needs_browser(h).alias("browser"))
 
 
 @query(f"""SELECT n_nationkey AS source, {sql_pick(('green', 'amber', 'red'), 'n_nationkey')} AS posture, CASE WHEN n_nationkey % 3 = 0 THEN NULL WHEN n_nationkey % 2 = 0 THEN 'not_enabled' WHEN n_nationkey % 5 = 0 THEN 'not_signed_off' WHEN n_nationkey % 7 = 0 THEN 'flag_off' END AS reason, CASE WHEN n_nationkey % 3 <> 0 AND (n_nationkey % 2 = 0 OR n_nationkey % 5 = 0 OR n_nationkey % 7 = 0) THEN 'skipped' ELSE 'run' END AS status FROM nation""")
 def source_gates(spark: SparkSession, d: str) -> DataFrame:
-    """OP-I25, M25, J16: sources that may run, and the others as skipped runs with the reason."""
+    """OP-I25, M25: sources that may run, and the others as skipped runs with the reason."""
     k, posture = F.col("n_nationkey"), pick(("green", "amber", "red"), "n_nationkey")
     reason = web.gate(posture, k % 2 != 0, k % 5 != 0, k % 7 != 0)
     return table(spark, d, "nation").select(k.alias("source"), posture.alias("posture"), reason.alias("reason"), F.when(reason.isNull(), "run").otherwise("skipped").alias("status"))
@@ -40,7 +42,7 @@ def source_gates(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""SELECT c_custkey AS id, CASE WHEN c_custkey % 4 = 0 THEN 'not_needed' WHEN s_suppkey IS NULL THEN 'no_result' WHEN s_acctbal < 0 THEN 'pending' ELSE 'enriched' END AS state, CASE WHEN c_custkey % 4 <> 0 AND s_acctbal >= 0 THEN greatest(0.3, round(s_acctbal / 10000, 3)) ELSE 0.3 END AS confidence FROM customer LEFT JOIN supplier ON c_custkey = s_suppkey * 3""")
 def enrichment_state(spark: SparkSession, d: str) -> DataFrame:
-    """OP-M06, I16: what captured lookups did for contacts without an address; the higher confidence stays."""
+    """OP-M06: what captured lookups did for contacts without an address; the higher confidence stays."""
     found = table(spark, d, "supplier").select((F.col("s_suppkey") * 3).alias("k"), "s_acctbal")
     needed, hit = F.col("c_custkey") % 4 != 0, F.col("s_acctbal")
     rows = table(spark, d, "customer").join(found, F.col("c_custkey") == F.col("k"), "left")
@@ -50,7 +52,7 @@ def enrichment_state(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""SELECT l_orderkey AS site, l_returnflag AS contact, max(l_discount) AS confidence, arg_max(l_partkey, (l_discount, -l_linenumber, l_partkey)) AS page, arg_min(l_shipdate, (l_linenumber, l_shipdate)) FILTER (l_linenumber % 2 = 0) AS filled FROM lineitem GROUP BY 1, 2""")
 def extraction_merge(spark: SparkSession, d: str) -> DataFrame:
-    """OP-M09, S15: contacts of a site's pages: the surest sighting gives the page, others fill what is missing."""
+    """OP-M09: contacts of a site's pages: the surest sighting gives the page, others fill what is missing."""
     return table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("site"), F.col("l_returnflag").alias("contact")).agg(F.max("l_discount").alias("confidence"), F.max_by("l_partkey", F.struct("l_discount", -F.col("l_linenumber"), "l_partkey")).alias("page"), F.min_by("l_shipdate", F.when(F.col("l_linenumber") % 2 == 0, F.struct("l_linenumber", "l_shipdate"))).alias("filled"))
 
 
@@ -69,14 +71,14 @@ def boxes(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "supplier").select("s_suppkey", F.round(b["south"], 6).alias("south"), F.round(b["east"], 6).alias("east"))
 
 
-@query(f"""SELECT id FROM ({MESSAGES}) WHERE status = 'queued' AND sent_at <= TIMESTAMP '1999-01-01' - INTERVAL 6 HOUR AND id % 4 < 3 ORDER BY sent_at, id LIMIT 200""")
+@query(sql("""SELECT validation_id FROM checks WHERE final_status = 'UNKNOWN_RETRY' AND retry_count < 3 AND verified_at <= TIMESTAMP '1997-01-01' - INTERVAL 6 HOUR ORDER BY verified_at, validation_id LIMIT 200"""))
 def retry_batch(spark: SparkSession, d: str) -> DataFrame:
-    """OP-M21, L02: the oldest 200 that are old enough and have tries left (the bound is the feature)."""
-    old = F.col("sent_at") <= F.expr("timestamp_ntz '1999-01-01 00:00:00' - interval 6 hours")
-    return messages(spark, d).where((F.col("status") == "queued") & old & (F.col("id") % 4 < 3)).orderBy("sent_at", "id").limit(200).select("id")
+    """OP-M21, L02: the oldest 200 checks that are old enough and have tries left (the bound is the feature)."""
+    old = F.col("verified_at") <= F.expr("timestamp_ntz '1997-01-01 00:00:00' - interval 6 hours")
+    return frame(spark, d, "checks").where((F.col("final_status") == "UNKNOWN_RETRY") & old & (F.col("retry_count") < 3)).orderBy("verified_at", "validation_id").limit(200).select("validation_id")
 
 
-@query(f"""SELECT id::VARCHAR AS "Message ID", coalesce(campaign, '') AS "Campaign", strftime(sent_at, '%Y-%m-%dT%H:%M:%S') AS "Sent At", CASE WHEN status IN ('bounced', 'blocked') THEN 'bounced' ELSE '' END AS "Bounce Status", sha256(id || '|' || status) AS row_hash FROM ({MESSAGES})""")
+@query(f"""SELECT id::VARCHAR AS "Message ID", coalesce(campaign, '') AS "Campaign", strftime(sent_at, '%Y-%m-%dT%H:%M:%S') AS "Sent At", CASE WHEN status IN ('bounced', 'blocked') THEN 'bounced' ELSE '' END AS "Bounce Status", sha256('{{"id":' || id || ',"status":"' || status || '"}}') AS row_hash FROM ({MESSAGES})""")
 def outreach_tab(spark: SparkSession, d: str) -> DataFrame:
     """OP-P01 to P03, P09, S62: a tab of strings with headers, blanks for nulls, ISO times, and the hash of a row."""
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
@@ -102,11 +104,12 @@ def suppression_reset(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""SELECT id, CASE WHEN up <= 3 THEN 'replied' WHEN up <= 50 THEN 'opened' WHEN down <= 5 THEN 'bounced' ELSE 'delivered' END AS outcome FROM (SELECT id, row_number() OVER (PARTITION BY campaign ORDER BY price DESC, id) AS up, row_number() OVER (PARTITION BY campaign ORDER BY price, id DESC) AS down FROM ({MESSAGES}))""")
 def ranked_outcomes(spark: SparkSession, d: str) -> DataFrame:
-    """OP-M27: the first ones of a campaign reply, more open, the last bounce."""
-    w = lambda *by: F.row_number().over(Window.partitionBy("campaign").orderBy(*by))
-    up, down = w(F.desc("price"), F.col("id")), w(F.col("price"), F.desc("id"))
-    rows = messages(spark, d).select("id", up.alias("up"), down.alias("down"))
-    return rows.select("id", F.when(F.col("up") <= 3, "replied").when(F.col("up") <= 50, "opened").when(F.col("down") <= 5, "bounced").otherwise("delivered").alias("outcome"))
+    """The dearest of a campaign and the cheapest: only the first fifty and the last five of each are ranked (a limit that Spark takes before the shuffle), the rest joins them."""
+    rows = messages(spark, d).select("id", "campaign", "price")
+    up = op.top_by(rows, ["campaign"], [F.desc("price"), F.col("id")], 50).select("id", F.col("rank").alias("up"))
+    down = op.top_by(rows, ["campaign"], [F.col("price"), F.desc("id")], 5).select("id", F.col("rank").alias("down"))
+    named = F.when(F.col("up") <= 3, "replied").when(F.col("up").isNotNull(), "opened").when(F.col("down").isNotNull(), "bounced").otherwise("delivered")
+    return rows.select("id").join(F.broadcast(up), "id", "left").join(F.broadcast(down), "id", "left").select("id", named.alias("outcome"))  # at most 55 rows a campaign
 
 
 @query(f"""SELECT CASE WHEN status IN ({sql_list(('delivered', 'opened', 'clicked', 'replied'))}) THEN 'verified' WHEN status IN ('bounced', 'blocked') THEN 'invalid' WHEN status IN ('sent', 'unsubscribed') THEN 'review' END AS bucket, count(*) AS n FROM ({MESSAGES}) GROUP BY 1""")

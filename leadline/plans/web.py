@@ -122,7 +122,7 @@ LOCALS = ("anna.lee", "bo_chen", "sales.eu", "x.y", "info", "maria-silva", "jo.v
 
 @query(f"""SELECT c_custkey, local, CASE WHEN length(list_filter(p, lambda x: regexp_matches(x, '^[a-z]{{2,}}$'))) = 2 AND length(p) = 2 THEN array_to_string(list_transform(p, lambda x: upper(x[1]) || x[2:]), ' ') END AS name, list_has_any(regexp_split_to_array(local, '[._+-]'), [{sql_list(ROLE_LOCALS)}]) AS role_based FROM (SELECT c_custkey, local, CASE WHEN contains(local, '.') THEN string_split(local, '.') WHEN contains(local, '_') THEN string_split(local, '_') WHEN contains(local, '-') THEN string_split(local, '-') END AS p FROM (SELECT c_custkey, {sql_pick(LOCALS, 'c_custkey')} AS local FROM customer))""")
 def names_from_locals(spark: SparkSession, d: str) -> DataFrame:
-    """OP-S25, S26, S38: names from local parts, and role mailboxes."""
+    """OP-S25, S38: names from local parts, and role mailboxes."""
     rows = table(spark, d, "customer").select("c_custkey", pick(LOCALS, "c_custkey").alias("local"))
     roles = F.arrays_overlap(F.split("local", "[._+-]"), F.array(*map(F.lit, ROLE_LOCALS)))
     return rows.select("c_custkey", "local", web.name_from_local(F.col("local")).alias("name"), roles.alias("role_based"))
@@ -147,14 +147,6 @@ def deobfuscated(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "customer").select("c_custkey", web.deobfuscate(pick(HIDDEN, "c_custkey")).alias("text"))
 
 
-@query(r"""SELECT conv_id, turn, 'now hiring' AS phrase, trim(regexp_replace(substr(t, greatest(b - 40, 0) + 1, b + 70 - greatest(b - 40, 0)), '\s+', ' ', 'g')) AS snippet FROM (SELECT conv_id, turn, 'Team  ' || turn || ' is Now Hiring in  the north of region ' || conv_id || '. ' || repeat('word ', 20) AS t, 9 + length(turn::VARCHAR) + 1 AS b FROM conversations WHERE turn % 3 = 1)""")
-def hiring_phrases(spark: SparkSession, d: str) -> DataFrame:
-    """The phrase scan on one made sentence of every third turn; `document_hiring` (OP-S16) looks into texts."""
-    text = F.concat(F.lit("Team  "), "turn", F.lit(" is Now Hiring in  the north of region "), "conv_id", F.lit(". "), F.repeat(F.lit("word "), 20))
-    rows = table(spark, d, "conversations").where("turn % 3 = 1").select("conv_id", "turn", F.explode(web.hiring_signals(text)).alias("x"))
-    return rows.select("conv_id", "turn", "x.phrase", "x.snippet")
-
-
 def _hiring_hit(phrase: str) -> str:
     p = phrase.replace("'", "''")
     before = rf"length(regexp_extract(lower(text), '(?s)^(.*?)\b{p}\b', 1))"
@@ -168,6 +160,24 @@ def document_hiring(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.array_join(hits, "\n").alias("signals"))
 
 
+@query(f"""SELECT conv_id, turn, array_to_string(list_filter([{', '.join(map(_hiring_hit, web.HIRING_PHRASES))}], lambda x: x IS NOT NULL), chr(10)) AS signals FROM conversations""")
+def hiring_phrases(spark: SparkSession, d: str) -> DataFrame:
+    """OP-S16: of every turn the hiring phrases, each with the surroundings of its first hit."""
+    hits = F.transform(web.hiring_signals(F.coalesce("text", F.lit(""))), lambda x: F.concat(x["phrase"], F.lit(": "), x["snippet"]))
+    return table(spark, d, "conversations").select("conv_id", "turn", F.array_join(hits, "\n").alias("signals"))
+
+
+ADDRESS = r"[a-z0-9._%+-]+@[a-z0-9-]+(?:\.[a-z0-9-]+)+"
+
+
+@query(rf"""SELECT page_id, email FROM (SELECT page_id, unnest(list_distinct(regexp_extract_all(lower(html), '{ADDRESS}'))) AS email FROM pages) WHERE NOT (split_part(email, '@', 2) IN ({sql_list(web.PLACEHOLDER_DOMAINS)}) OR regexp_extract(email, '([^.]*)$', 1) IN ({sql_list(web.ASSET_TLDS)}))""")
+def page_emails(spark: SparkSession, d: str) -> DataFrame:
+    """OP-S18, S21: distinct addresses of every page's html that are neither file names nor placeholders."""
+    found = F.array_distinct(F.regexp_extract_all(F.lower("html"), F.lit(ADDRESS), F.lit(0)))
+    rows = table(spark, d, "pages").select("page_id", F.explode(found).alias("email"))
+    return rows.where(~web.is_asset_or_placeholder(F.col("email")))
+
+
 RESULTS = (" OK ", "valid", "Catchall", "risky", "disposable", "odd", "unknown")
 
 

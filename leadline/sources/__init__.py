@@ -19,14 +19,6 @@ def union_tabs(tabs: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-def export_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).csv(path)
-
-
-def export_json(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").json(path)
-
-
 def content_hash(*columns: str) -> Column:
     """SHA-256 of the columns by name, as JSON: a null differs from '', and no value can reach into its neighbour."""
     return F.sha2(F.to_json(F.struct(*[F.col(c) for c in sorted(columns)]), {"ignoreNullFields": "false"}), 256)

@@ -6,12 +6,13 @@ import email
 import email.policy
 import json
 import re
+from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leadline.functions import web
+from leadline.functions import people, web
 
 PLACE = "places array<struct<id string, displayName struct<text string>, formattedAddress string, internationalPhoneNumber string, websiteUri string, rating double, userRatingCount int, location struct<latitude double, longitude double>, addressComponents array<struct<longText string, types array<string>>>, primaryType string, primaryTypeDisplayName struct<text string>>>"
 
@@ -159,3 +160,89 @@ def crawl_delay(body: Column) -> Column:
     """Seconds, 10 at most; null if not stated."""
     seconds = F.regexp_extract(F.coalesce(body, F.lit("")), r"(?im)^crawl-delay:\s*([0-9.]+)", 1).try_cast("double")
     return F.when(seconds.isNotNull(), F.least(seconds, F.lit(10.0)))
+
+
+#: What a class of people's cards holds.
+CARD_WORDS = ("team", "member", "person", "staff", "people", "profile", "leader", "bio", "employee", "attorney")
+
+
+class _Cards(HTMLParser):
+    """Lines of text of the elements whose class speaks of people, by class, in order."""
+
+    def __init__(self):
+        super().__init__()
+        self.open: list[tuple[str, list[list[str]]]] = []
+        self.found: dict[str, list[list[str]]] = {}
+        self.quiet = 0
+
+    def handle_starttag(self, tag, attrs):
+        if tag in ("br", "img", "hr", "input", "meta", "link", "area", "base", "col", "embed", "source", "track", "wbr"):
+            return
+        self.quiet += tag in ("script", "style")
+        cards = []
+        for c in dict.fromkeys((dict(attrs).get("class") or "").split()):
+            if any(w in c.lower() for w in CARD_WORDS):
+                cards.append([])
+                self.found.setdefault(c, []).append(cards[-1])
+        self.open.append((tag, cards))
+
+    def handle_endtag(self, tag):
+        if any(t == tag for t, _ in self.open):
+            while self.open:
+                t, _ = self.open.pop()
+                self.quiet -= t in ("script", "style")
+                if t == tag:
+                    break
+
+    def handle_data(self, data):
+        line = " ".join(data.split())
+        if line and not self.quiet:
+            for _, cards in self.open:
+                for c in cards:
+                    c.append(line)
+
+
+def card_lines(html: str | None) -> list[list[str]]:
+    """Of the commonest class of people's cards (of equal ones the first) the lines of each card."""
+    p = _Cards()
+    p.feed(html or "")
+    p.close()
+    return max(p.found.values(), key=len, default=[])
+
+
+def _card_lines(html: pd.Series) -> pd.Series:
+    return html.map(card_lines)
+
+
+def team_cards(pages: DataFrame, key: str = "url", html: str = "html") -> DataFrame:
+    """(key, name, designation, seniority, role_category, confidence): people of a page's cards, each name once (OP-S29, A21).
+
+    A name is a card's first line that can be a person's and no short designation; a designation its first line of at most 120
+    letters that names a role. Confidence: 0.55, 0.15 for two or three words, 0.15 for who decides, 0.05 for a short line.
+    """
+    cards = pages.select(key, F.posexplode(F.pandas_udf(_card_lines, "array<array<string>>")(F.col(html))).alias("no", "lines"))
+    words = lambda x: F.size(F.split(x, " "))
+    names = F.filter("lines", lambda x: people.plausible_name(x) & ~(web.designation(x)["role"].isNotNull() & (words(x) <= 3)))
+    titles = F.filter("lines", lambda x: (F.length(x) <= 120) & web.designation(x)["role"].isNotNull())
+    rows = cards.select(key, "no", F.get(names, 0).alias("name"), F.get(titles, 0).alias("designation")).where("name is not null and designation is not null")
+    rows = rows.withColumn("_d", web.designation(F.col("designation")))
+    sure = F.lit(0.55) + F.when(words(F.col("name")).between(2, 3), 0.15).otherwise(0.0) + F.when(F.col("_d.seniority").isin("c_level", "owner", "senior"), 0.15).otherwise(0.0) + F.when(F.length("designation") <= 60, 0.05).otherwise(0.0)
+    rows = rows.select(key, "no", "name", "designation", F.col("_d.seniority").alias("seniority"), F.col("_d.role").alias("role_category"), F.round(F.least(sure, F.lit(0.95)), 3).alias("confidence"))
+    first = rows.groupBy(key, F.lower("name").alias("_n")).agg(F.min_by(F.struct("name", "designation", "seniority", "role_category", "confidence"), "no").alias("x"))
+    return first.select(key, "x.*")
+
+
+def first_social(urls: Column) -> Column:
+    """Of addresses in order of trust the first of each network, as a map."""
+    every = F.transform(urls, lambda u: F.struct(web.social_kind(u).alias("kind"), u.alias("url")))
+    known = F.filter(every, lambda x: x["kind"].isNotNull())
+    firsts = F.filter(known, lambda x, i: ~F.exists(F.slice(known, 1, i), lambda y: y["kind"] == x["kind"]))
+    return F.map_from_entries(firsts)
+
+
+def social_links(pages: DataFrame, key: str = "url", html: str = "html") -> DataFrame:
+    """(key, social): of each page the first address of each network, those of its structured data before its anchors (OP-S15)."""
+    h = F.coalesce(F.col(html), F.lit(""))
+    anchors = F.regexp_extract_all(h, F.lit(r"""(?i)<a\s[^>]*href=["']([^"']+)["']"""), F.lit(1))
+    rows = pages.select(key, anchors.alias("_a"), structured_data(h).alias("_ld"))
+    return rows.select(key, first_social(F.concat(F.coalesce("_ld.urls", F.expr("cast(array() as array<string>)")), "_a")).alias("social"))

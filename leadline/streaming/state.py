@@ -1,4 +1,4 @@
-"""State by key: soft bounces against a budget, and token buckets."""
+"""State by key: soft bounces against a budget."""
 
 from __future__ import annotations
 
@@ -19,28 +19,3 @@ def soft_bounces(bounces: DataFrame, recipient: str = "recipient", budget: int =
 
     soft = bounces.where("kind = 'soft'").selectExpr(f"cast({recipient} as string) as recipient", "kind")
     return soft.groupBy("recipient").applyInPandasWithState(step, "recipient string, soft long, suppressed boolean", "soft long", "update", GroupStateTimeout.NoTimeout)
-
-
-def token_buckets(requests: DataFrame, capacity: float, per_second: float, key: str = "provider") -> DataFrame:
-    """(key, id, allowed, wait): requests (key, id, at in seconds) against a bucket that refills with time (OP-M22, T06).
-
-    A request takes one token or none; `wait` says when one is there. Within a batch a key's requests are taken by time; one
-    that is older than the bucket's clock doesn't turn it back. State is two numbers a key.
-    """
-
-    def step(k, frames, state):
-        tokens, clock = state.get if state.exists else (capacity, None)
-        rows = pd.concat(list(frames)).sort_values(["at", "id"])
-        out = []
-        for i, at in zip(rows["id"], rows["at"]):
-            if clock is not None:
-                tokens = min(capacity, tokens + max(0.0, at - clock) * per_second)
-            clock = at if clock is None else max(clock, at)
-            ok = tokens >= 1
-            tokens -= 1 if ok else 0
-            out.append((k[0], i, ok, 0.0 if ok else (1 - tokens) / per_second))
-        state.update((float(tokens), float(clock)))
-        yield pd.DataFrame(out, columns=["provider", "id", "allowed", "wait"])
-
-    rows = requests.selectExpr(f"cast({key} as string) as provider", "cast(id as long) id", "cast(at as double) at")
-    return rows.groupBy("provider").applyInPandasWithState(step, "provider string, id long, allowed boolean, wait double", "tokens double, clock double", "append", GroupStateTimeout.NoTimeout)

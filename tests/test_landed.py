@@ -66,8 +66,3 @@ def test_state(spark, tmp_path):
     spark.createDataFrame(rows, "recipient string, kind string").write.parquet(str(tmp_path / "b"))
     live = spark.readStream.schema("recipient string, kind string").parquet(str(tmp_path / "b"))
     assert {tuple(r) for r in run(spark, state.soft_bounces(live), str(tmp_path / "c1"), "soft")} == {("a", 3, True), ("b", 1, False)}
-    asks = [("p", 1, 0.0), ("p", 2, 0.0), ("p", 3, 0.0), ("p", 4, 2.0), ("q", 5, 0.0)]
-    spark.createDataFrame(asks, "provider string, id long, at double").write.parquet(str(tmp_path / "r"))
-    live = spark.readStream.schema("provider string, id long, at double").parquet(str(tmp_path / "r"))
-    got = {r["id"]: (r["allowed"], r["wait"]) for r in run(spark, state.token_buckets(live, 2.0, 0.5), str(tmp_path / "c2"), "buckets")}
-    assert got == {1: (True, 0.0), 2: (True, 0.0), 3: (False, 2.0), 4: (True, 0.0), 5: (True, 0.0)}
