@@ -23,13 +23,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leadline.llm.common import byte_sizes, slices
+from leadline.llm.common import byte_sizes, slices, tidied
 
 NEVER = 1 << 62
 #: Pieces longer than this are merged with a heap: a scan for each merge would take quadratic time.
 SCANNED = 64
 #: Pieces that a worker keeps: when half are young, these become the old ones and the old ones go.
-KEPT = 400_000
+KEPT = 250_000
 #: U+001C to U+001F part words for str.split but are no white space in a pattern.
 ODD_SPACE = regex.compile("[\x1c-\x1f]")
 SPACE = regex.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
@@ -224,4 +224,4 @@ def encode_decode(docs: DataFrame, path: str, text: str = "text", ids: str = "bp
                 lists = pa.ListArray.from_arrays(pa.array(ends), flat)
                 yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keep), lists, pa.array([g[1] for g in got], pa.string())], names)
 
-    return docs.select([F.col(f"`{c}`") for c in docs.columns]).mapInArrow(run, schema)
+    return docs.select([F.col(f"`{c}`") for c in docs.columns]).mapInArrow(tidied(run), schema)

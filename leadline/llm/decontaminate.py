@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadline.llm.common import byte_sizes, materialize, slices, words
+from leadline.llm.common import byte_sizes, materialize, slices, tidied, words
 
 class FmIndex:
     """Over a sequence of small non-negative ints; 0 parts texts and is never searched."""
@@ -236,7 +236,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
                         schema.names,
                     )
 
-        made = made.mapInArrow(run, schema)
+        made = made.mapInArrow(tidied(run), schema)
         if k < n - 1:
             made = materialize(made)
     return made.withColumn("n_hit", F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"]))

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leadline.llm.common import byte_sizes, slices
+from leadline.llm.common import byte_sizes, slices, tidied
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<raw>.*?)(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*+)(?P<attrs>(?:[^>=]++|=\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z))?+)*+)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([a-zA-Z_:][-a-zA-Z0-9_:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -438,4 +438,4 @@ def extract(pages: DataFrame, html: str = "html", out: str = "text") -> DataFram
                 part = b.slice(i, j - i)
                 yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keep), pa.array([main_text(x) for x in part.column(at).to_pylist()], pa.string())], schema.names)
 
-    return pages.select([F.col(f"`{c}`") for c in pages.columns]).mapInArrow(run, schema)
+    return pages.select([F.col(f"`{c}`") for c in pages.columns]).mapInArrow(tidied(run), schema)

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadline.llm.common import components, materialize, skew_join
+from leadline.llm.common import components, materialize, skew_join, tidied
 from leadline.llm.shingles import batches_of_sets, digest, mix
 
 U = np.uint64
@@ -73,7 +73,7 @@ def _features(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
                 d = [digest(s) for s in sets]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([x[0] for x in d], pa.int64()), pa.array([x[1] for x in d], pa.int64()), pa.array([parity(s) for s in sets], pa.binary())], [key, "n", "d1", "d2", "bits"])
 
-    return docs.select(F.col(key).cast("long"), F.col(text)).mapInArrow(run, f"{key} long, n long, d1 long, d2 long, bits binary")
+    return docs.select(F.col(key).cast("long"), F.col(text)).mapInArrow(tidied(run), f"{key} long, n long, d1 long, d2 long, bits binary")
 
 
 def _columns(docs: DataFrame, text: str, size: int, percent: int) -> DataFrame:
@@ -86,7 +86,7 @@ def _columns(docs: DataFrame, text: str, size: int, percent: int) -> DataFrame:
                 ids = np.repeat(np.array([digest(s)[0] for s in sets], np.int64), [len(x) for x in held])
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(held).view(np.int64)), pa.array(ids)], ["h", "d1"])
 
-    return docs.select(text).mapInArrow(run, "h long, d1 long")
+    return docs.select(text).mapInArrow(tidied(run), "h long, d1 long")
 
 
 def _shared(batches):
@@ -275,7 +275,7 @@ def _spanned(entries: DataFrame, percent: int) -> DataFrame:
                 if some:
                     yield pa.RecordBatch.from_arrays([pa.array(d[[m for _, m in some]]), pa.nulls(len(some), pa.int64()), pa.array([x for x, _ in some], pa.int64())], ["a", "b", "h"])
 
-    return entries.select("h", "tile", "d1", "n", "g", "bits").mapInArrow(run, PAIRS)
+    return entries.select("h", "tile", "d1", "n", "g", "bits").mapInArrow(tidied(run), PAIRS)
 
 
 def _unlinked(entries: DataFrame, percent: int) -> DataFrame:
@@ -292,7 +292,7 @@ def _unlinked(entries: DataFrame, percent: int) -> DataFrame:
                 seen = np.concatenate([seen, code[new]])[-(1 << 20) :]
                 yield from _pairs_out(d, a[new], b[new])
 
-    return entries.select("h", "i", "j", "d1", "n", "g", "bits").mapInArrow(run, PAIRS).select("a", "b").distinct()
+    return entries.select("h", "i", "j", "d1", "n", "g", "bits").mapInArrow(tidied(run), PAIRS).select("a", "b").distinct()
 
 
 def _verify(pairs: DataFrame, reps: DataFrame, docs: DataFrame, key: str, text: str, size: int, percent: int) -> DataFrame:
@@ -314,7 +314,7 @@ def _verify(pairs: DataFrame, reps: DataFrame, docs: DataFrame, key: str, text:
     if ids.count() <= FEW_IDS:  # else the texts are shuffled to meet them
         ids = F.broadcast(ids)
     texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t")).join(ids, "id", "left_semi").dropDuplicates(["id"])
-    sets = materialize(texts.mapInArrow(run, "id long, s array<long>"))
+    sets = materialize(texts.mapInArrow(tidied(run), "id long, s array<long>"))
 
     def overlap(batches):
         for b in batches:
@@ -330,7 +330,7 @@ def _verify(pairs: DataFrame, reps: DataFrame, docs: DataFrame, key: str, text:
     for own, other in (("u", "v"), ("v", "u")):
         often = pairs.groupBy(own).agg(F.count("*").alias("often")).join(sets.selectExpr(f"id as {own}", f"s as s{own}"), own)
         joined = skew_join(joined, often, [own], "often", [other], pairs.count()).drop("often")
-    return materialize(joined.select("u", "v", "su", "sv").mapInArrow(overlap, "u long, v long"))
+    return materialize(joined.select("u", "v", "su", "sv").mapInArrow(tidied(overlap), "u long, v long"))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
@@ -340,7 +340,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     features = materialize(_features(docs, key, text, size))
     some = features.where(f"n > 0 and `{key}` is not null")
     reps = materialize(some.groupBy("d1", "d2").agg(F.min(key).alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits")))
-    grid = _columns(docs, text, size, percent).repartition(parts, "h").sortWithinPartitions("h", "d1").mapInArrow(_shared, "h long, d1 long, rows long")
+    grid = _columns(docs, text, size, percent).repartition(parts, "h").sortWithinPartitions("h", "d1").mapInArrow(tidied(_shared), "h long, d1 long, rows long")
     held = grid.groupBy("d1").agg(F.array_sort(F.collect_list(F.struct((-F.col("rows")).alias("r"), "h"))).alias("cols"))
     # what every partner shares with a row is `must` columns or more: one of them is left without the must - 1 fullest
     must = least_shared(F.col("n"), percent).cast("int")

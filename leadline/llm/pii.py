@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leadline.llm.common import byte_sizes, slices
+from leadline.llm.common import byte_sizes, slices, tidied
 
 KINDS = ("email", "ip", "card", "phone")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -360,7 +360,7 @@ def train(docs: DataFrame, text: str = "text", sample: int = 600, generated: int
     n = some.count()
     if n > read:
         some = some.where(F.pmod(F.xxhash64("t"), F.lit(1 << 40)) < int((1 << 40) * read / n))
-    own = some.mapInArrow(_training_windows, "o long, w string, spans array<long>").distinct().orderBy("o", "w", "spans").limit(sample).collect()
+    own = some.mapInArrow(tidied(_training_windows), "o long, w string, spans array<long>").distinct().orderBy("o", "w", "spans").limit(sample).collect()
     texts, tags = generate(np.random.default_rng(11), generated)
     for r in own:
         texts.append(r["w"])
@@ -393,7 +393,7 @@ def find_pii(docs: DataFrame, model: BiLstmCrf | None = None, text: str = "text"
                     rows.append([{"kind": KINDS[k], "start": a, "end": z, "base": o} for a, k, z, o in sorted(both)])
                 yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keep), pa.array(rows, kind)], schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidied(run), schema)
 
 
 def joined(spans):

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leadline.llm.common import byte_sizes, materialize, skew_join, slices
+from leadline.llm.common import byte_sizes, materialize, skew_join, slices, tidied
 from leadline.llm.shingles import BYTES, mix, powers, raw
 
 U = np.uint64
@@ -194,7 +194,7 @@ def _occurrences(docs: DataFrame, length: int) -> DataFrame:
                     row = pa.array(row)
                     yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(s), part.column(0).take(row), part.column(1).take(row), pa.array(at.astype(np.int32)), pa.array(size.astype(np.int32))], ["h", "s", "none", "k", "at", "size"])
 
-    return docs.mapInArrow(run, "h long, s long, none boolean, k long, at int, size int")
+    return docs.mapInArrow(tidied(run), "h long, s long, none boolean, k long, at int, size int")
 
 
 def _sort_segments(parts: DataFrame, length: int, batch: int) -> DataFrame:
@@ -216,7 +216,7 @@ def _sort_segments(parts: DataFrame, length: int, batch: int) -> DataFrame:
         if held:
             yield solve(held)
 
-    return parts.mapInArrow(run, "h long, s long, ranges array<struct<a:long,z:long>>")
+    return parts.mapInArrow(tidied(run), "h long, s long, ranges array<struct<a:long,z:long>>")
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 400, split: int = 2000, batch: int = 1 << 18) -> DataFrame:
@@ -253,7 +253,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
                 kinds = (pa.int64(), pa.int64(), pa.binary(), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([pa.array(o, k) for o, k in zip(out, kinds)], ["h", "s", "x", "hot", "ws", "ks"])
 
-    parts = materialize(texts.select("t", "asked").mapInArrow(cut, "h long, s long, x binary, hot boolean, ws array<long>, ks array<long>"))
+    parts = materialize(texts.select("t", "asked").mapInArrow(tidied(cut), "h long, s long, x binary, hot boolean, ws array<long>, ks array<long>"))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sort = lambda df, *by: _sort_segments(df.repartition(n, *by).sortWithinPartitions(*by), length, batch)
     cold = sort(parts.where("not hot").select("h", "s", "x"), "h")
@@ -306,4 +306,4 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
                     kept.append(b"".join(x[ends[k] : ends[k + 1]] for k in range(0, len(ends), 2)))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in range(own)), pa.array(spans, kind), pa.array(kept, pa.binary())], schema.names)
 
-    return both.mapInArrow(apply, schema)
+    return both.mapInArrow(tidied(apply), schema)

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leadline.llm.common import ALNUM, byte_sizes, slices
+from leadline.llm.common import ALNUM, byte_sizes, slices, tidied
 from leadline.llm.shingles import BYTES, U, mix, powers, raw
 
 #: Code points of the word beginnings that are terms, where the word goes on.
@@ -83,7 +83,7 @@ class BlockMaxIndex:
     """Exact k nearest by cosine among sparse unit vectors, reading blocks of examples by falling bound."""
 
     def __init__(self, row: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int, vocabulary: int, block: int = 128):
-        """Entries of n vectors, by row."""
+        """Entries of n vectors, by row; their weights are kept in single precision, cosines are summed in double."""
         self.n, self.block, self.blocks = n, block, max(1, -(-n // block))
         # like examples share blocks: tighter bounds
         top, strongest = np.zeros(n), np.zeros(n, np.int64)
@@ -95,13 +95,13 @@ class BlockMaxIndex:
         place[self.ids] = np.arange(n)
         place = place[row]
         order = np.lexsort((place, term))
-        self.place, self.weight, term = place[order], weight[order], term[order]
+        self.place, self.weight, term = place[order].astype(np.int32), weight[order].astype(np.float32), term[order]
         owner = self.place // block
         first = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (owner[1:] != owner[:-1])])) if len(term) else np.empty(0, np.int64)
-        self.first = np.append(first, len(term))
+        self.first = np.append(first, len(term)).astype(np.int32)
         self.owner = owner[first]
         self.most = np.maximum.reduceat(self.weight, first) if len(first) else np.empty(0)
-        self.pieces = np.concatenate([[0], np.cumsum(np.bincount(term[first], minlength=vocabulary))])
+        self.pieces = np.concatenate([[0], np.cumsum(np.bincount(term[first], minlength=vocabulary))]).astype(np.int32)
 
     def nearest(self, term: np.ndarray, weight: np.ndarray, k: int, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """(cosines, examples) of the k nearest of positive cosine, falling; ties by least example."""
@@ -127,8 +127,8 @@ class BlockMaxIndex:
             start = self.first[p]
             lengths = self.first[p + 1] - start
             post = ranges(start, lengths)
-            part = self.weight[post]
-            part *= np.repeat(w[some], lengths)
+            part = np.repeat(w[some], lengths)
+            part *= self.weight[post]
             s = np.bincount(self.place[post], weights=part, minlength=self.n)
             # all that can be among the k nearest, once rounded
             least = np.partition(s, len(s) - k - 1)[len(s) - k - 1] - 1e-9 if len(s) > 2 * k else 0.0
@@ -240,7 +240,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
                 cut = lambda x, kind: pa.array([x[a:z].astype(kind).tobytes() for a, z in zip(ends[:-1], ends[1:])], pa.binary())  # noqa: B023, E731
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), cut(h, "<u8"), cut(n, "<i4")], ["key", "y", "h", "n"])
 
-    rows = few.mapInArrow(counted, "key long, y int, h binary, n binary").groupBy("key", "y").agg(F.min(F.struct("h", "n")).alias("x")).select("key", "y", "x.h", "x.n").collect()
+    rows = few.mapInArrow(tidied(counted), "key long, y int, h binary, n binary").groupBy("key", "y").agg(F.min(F.struct("h", "n")).alias("x")).select("key", "y", "x.h", "x.n").collect()
     rows.sort(key=lambda r: (r["key"], r["y"]))
     join = lambda c, kind: np.concatenate([np.frombuffer(r[c], kind) for r in rows] or [np.empty(0, kind)])
     entries = np.repeat(np.arange(len(rows)), [len(r["h"]) // 8 for r in rows]), join("h", "<u8"), join("n", "<i4").astype(np.int64)
@@ -259,7 +259,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
     documents, frequency = 1, np.ones(len(vocabulary))
     if len(vocabulary):
-        sums = docs.select(text).mapInArrow(held, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).toArrow()
+        sums = docs.select(text).mapInArrow(tidied(held), "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).toArrow()
         at, n = sums.column("i").to_numpy(), sums.column("n").to_numpy()
         documents = int(n[at < 0][0])
         frequency[at[at >= 0]] = n[at >= 0]
@@ -284,7 +284,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "toxicit
                 near = pa.StructArray.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(cosines))], ["doc_id", "cosine"])
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(scores), pa.ListArray.from_arrays(pa.array(ends), near)], schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidied(run), schema)
 
 
 def held_out(key):

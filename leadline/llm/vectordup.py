@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadline.llm.common import components, forest, materialize
+from leadline.llm.common import components, forest, materialize, tidied
 
 #: Standard deviations of an estimate's error that the bounds allow for.
 SPREAD = 4.0
@@ -183,7 +183,7 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddi
             d = [None if v is None else hashlib.blake2b(v.tobytes(), digest_size=16).digest() for v in _vectors(b.column(1))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(d, pa.binary()), b.column(1)], ["id", "h", "x"])
 
-    named = rows.mapInArrow(digested, "id long, h binary, x array<double>")
+    named = rows.mapInArrow(tidied(digested), "id long, h binary, x array<double>")
     own = materialize(named.select("id", "h"))
     reps = materialize(own.where("h is not null and id is not null").groupBy("h").agg(F.min("id").alias("rep"), F.count("*").alias("c")))
     bits, tables = plan(reps.count(), cosine, recall)
@@ -202,7 +202,7 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddi
                     ["id", "h", "d", "code", "ks", "list"],
                 )
 
-    coded = rows.mapInArrow(filed, "id long, h binary, d int, code binary, ks binary, list array<int>")
+    coded = rows.mapInArrow(tidied(filed), "id long, h binary, d int, code binary, ks binary, list array<int>")
     first = reps.select("h", F.col("rep").alias("id"), "c")
     one = materialize(coded.join(first, ["h", "id"]).dropDuplicates(["id"]).select(F.col("id").alias("rep"), "c", "d", "code", "ks", "list"))
     each = one.select("rep", "c", "d", "code", "ks", F.posexplode("list").alias("t", "k"))
@@ -228,7 +228,7 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddi
                 yield pa.RecordBatch.from_arrays([*fixed, *(pa.array([x[n] for n in some], y) for x, y in ((own, pa.int64()), (rep, pa.int64()), (c, pa.int64()), (ks, pa.binary())))], [*place, "own", "rep", "c", "ks"])
 
     together = lambda df: df.repartition(parts, *place).sortWithinPartitions(*place)
-    some = tiled.drop("code") if not bits else materialize(together(tiled).mapInArrow(estimated, kind))
+    some = tiled.drop("code") if not bits else materialize(together(tiled).mapInArrow(tidied(estimated), kind))
 
     def solved(batches):
         for (t, _, d, i, j), (own, rep, c, ks, x) in _groups(batches, 5):
@@ -255,7 +255,7 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddi
             yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()) for q in cols], ["u", "n", "v"])
 
     fetched = some.join(rows.select(F.col("id").alias("rep"), "x"), "rep").select(*place, "own", "rep", "c", "ks", "x")
-    found = materialize(together(fetched).mapInArrow(solved, "u long, n long, v long"))
+    found = materialize(together(fetched).mapInArrow(tidied(solved), "u long, n long, v long"))
     counts = found.where("n > 0").groupBy(F.col("u").alias("rep")).agg(F.sum("n").alias("n"))
     linked = components(found.where("n = 0").select("u", "v"))
     whole = reps.join(counts, "rep", "left").join(linked, F.col("rep") == F.col("node"), "left")
