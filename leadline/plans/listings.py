@@ -16,12 +16,12 @@ def any_ilike(pattern: str, *columns: str) -> Column:
     return F.coalesce(*[F.lit(None).cast("boolean")], F.lit(False)) if not columns else F.greatest(*[F.coalesce(F.col(c).ilike(pattern), F.lit(False)) for c in columns])
 
 
-@query(sql("""SELECT company_id, company_name, domain, city, website_status FROM companies WHERE city ILIKE '%ion_1%' AND website_status = 'live' AND (company_name ILIKE '%1%' OR domain ILIKE '%1%' OR city ILIKE '%1%') AND company_id IN (SELECT company_id FROM sightings WHERE source_name = 'click') ORDER BY created_on, company_id LIMIT 100 OFFSET 5"""))
+@query(sql("""SELECT company_id, company_name, domain, city, website_status FROM companies WHERE city ILIKE '%ion_1%' AND website_status <> 'unreachable' AND (company_name ILIKE '%1%' OR domain ILIKE '%1%' OR city ILIKE '%1%') AND company_id IN (SELECT company_id FROM sightings WHERE source_name = 'click') ORDER BY created_on, company_id LIMIT 100 OFFSET 2"""))
 def companies_list(spark: SparkSession, d: str) -> DataFrame:
     """OP-F01, J05: city, status, text over three columns, and a semi-join on the source of a sighting."""
-    c = frame(spark, d, "companies").where(F.col("city").ilike("%ion_1%") & (F.col("website_status") == "live") & any_ilike("%1%", "company_name", "domain", "city"))
+    c = frame(spark, d, "companies").where(F.col("city").ilike("%ion_1%") & (F.col("website_status") != "unreachable") & any_ilike("%1%", "company_name", "domain", "city"))
     seen = frame(spark, d, "sightings").where("source_name = 'click'").select("company_id")
-    return c.join(seen, "company_id", "left_semi").orderBy("created_on", "company_id").offset(5).limit(100).select("company_id", "company_name", "domain", "city", "website_status")
+    return c.join(seen, "company_id", "left_semi").orderBy("created_on", "company_id").offset(2).limit(100).select("company_id", "company_name", "domain", "city", "website_status")
 
 
 @query(sql("""SELECT contact_id, full_name, designation, email, final_email_status FROM contacts WHERE role_category ILIKE '%sal%' AND final_email_status = 'VERIFIED' AND sales_ready AND (full_name ILIKE '%a%' OR email ILIKE '%a%' OR designation ILIKE '%a%') ORDER BY created_at DESC, contact_id LIMIT 200"""))

@@ -170,11 +170,11 @@ def hiring_phrases(spark: SparkSession, d: str) -> DataFrame:
 ADDRESS = r"[a-z0-9._%+-]+@[a-z0-9-]+(?:\.[a-z0-9-]+)+"
 
 
-@query(rf"""SELECT page_id, email FROM (SELECT page_id, unnest(list_distinct(regexp_extract_all(lower(html), '{ADDRESS}'))) AS email FROM pages) WHERE NOT (split_part(email, '@', 2) IN ({sql_list(web.PLACEHOLDER_DOMAINS)}) OR regexp_extract(email, '([^.]*)$', 1) IN ({sql_list(web.ASSET_TLDS)}))""")
+@query(rf"""SELECT kind, id, email FROM (SELECT 'page' AS kind, page_id AS id, unnest(list_distinct(regexp_extract_all(lower(html), '{ADDRESS}'))) AS email FROM pages UNION ALL SELECT 'document', doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '{ADDRESS}'))) FROM documents) WHERE NOT (split_part(email, '@', 2) IN ({sql_list(web.PLACEHOLDER_DOMAINS)}) OR regexp_extract(email, '([^.]*)$', 1) IN ({sql_list(web.ASSET_TLDS)}))""")
 def page_emails(spark: SparkSession, d: str) -> DataFrame:
-    """OP-S18, S21: distinct addresses of every page's html that are neither file names nor placeholders."""
-    found = F.array_distinct(F.regexp_extract_all(F.lower("html"), F.lit(ADDRESS), F.lit(0)))
-    rows = table(spark, d, "pages").select("page_id", F.explode(found).alias("email"))
+    """OP-S18, S21: distinct addresses of every page and document that are neither file names nor placeholders."""
+    found = lambda t, kind, key, c: table(spark, d, t).select(F.lit(kind).alias("kind"), F.col(key).alias("id"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(ADDRESS), F.lit(0)))).alias("email"))
+    rows = found("pages", "page", "page_id", "html").union(found("documents", "document", "doc_id", "text"))
     return rows.where(~web.is_asset_or_placeholder(F.col("email")))
 
 
