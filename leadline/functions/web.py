@@ -243,3 +243,20 @@ def box(lat: Column, lng: Column, km: Column) -> Column:
     r = F.greatest(F.lit(0.1), F.least(F.lit(100.0), km))
     dy, dx = F.degrees(r / 6371.0), F.degrees(r / (F.lit(6371.0) * F.cos(F.radians(lat))))
     return F.struct((lat - dy).alias("south"), (lng - dx).alias("west"), (lat + dy).alias("north"), (lng + dx).alias("east"))
+
+
+def crawl_allowed(body: Column, path: Column) -> Column:
+    """Whether the rules of every agent let a path be read: the longest rule that it begins with decides, an allowing one of
+    equal length first; null and empty rules allow everything."""
+    lines = F.transform(F.split(F.coalesce(body, F.lit("")), r"\r\n|\r|\n"), lambda x: F.trim(F.regexp_replace(x, "#.*$", "")))
+    step = F.struct(F.lit(False).alias("mine"), F.lit(False).alias("ruled"), F.lit(-1).alias("best"), F.lit(True).alias("ok"))
+
+    def take(a: Column, x: Column) -> Column:
+        field, value = F.lower(F.regexp_extract(x, r"^([A-Za-z-]+)\s*:", 1)), F.trim(F.regexp_extract(x, r"^[A-Za-z-]+\s*:(.*)$", 1))
+        named = F.struct(((value == "*") | (a["mine"] & ~a["ruled"])).alias("mine"), F.lit(False).alias("ruled"), a["best"].alias("best"), a["ok"].alias("ok"))
+        allow = field == "allow"
+        fits = a["mine"] & (value != "") & path.startswith(value) & ((F.length(value) > a["best"]) | (allow & (F.length(value) == a["best"])))
+        ruled = F.struct(a["mine"].alias("mine"), F.lit(True).alias("ruled"), F.when(fits, F.length(value)).otherwise(a["best"]).alias("best"), F.when(fits, allow).otherwise(a["ok"]).alias("ok"))
+        return F.when(field == "user-agent", named).when(field.isin("allow", "disallow"), ruled).otherwise(a)
+
+    return F.aggregate(lines, step, take)["ok"]
