@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 
 from leadline.llm import licenses
@@ -50,3 +52,11 @@ def test_nearest_passage_is_the_nearest_window(spark):
         every = [2 * len(b & set(pairs[i:j])) / (len(b) + len(set(pairs[i:j]))) for i in range(len(pairs)) for j in range(i + 1, min(len(pairs), i + licenses.SPAN * len(b)) + 1)]
         best = max(every) if max(every) >= 0.8 - 1e-9 else 0
         assert abs(max((m["dice"] for m in r["licenses"]), default=0) - best) < 1e-9, r["text"]
+
+
+def test_full_texts_are_found(spark):
+    """Each public text, broken into lines and set among other words, is told as itself."""
+    rows = [(n, "Some words before it stand here.\n\n" + re.sub(r"((?:\S+\s+){9})", r"\1\n", t) + "\n\nAnd a few more after it.") for n, t in licenses.TEXTS.items()]
+    rows += [("GPL-3.0", "x\n" + t) for n, t in licenses.templates() if n == "GPL-3.0" and "useful" in t]
+    got = licenses.scan(spark.createDataFrame(rows, "name string, text string")).collect()
+    assert all(r["name"] in {m["license"] for m in r["licenses"]} for r in got)
