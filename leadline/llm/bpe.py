@@ -6,7 +6,9 @@ every adjacent pair in contiguous arrays, takes the least rank again and again,
 refreshes the two ranks beside it. Pieces repeat, so each Python worker keeps a bounded table of them.
 
 Defined results: null and empty texts have no ids and decode to ''; special-token strings become their
-single ids; pieces of any length are encoded whole (long ones by a heap, with the same merges).
+single ids; pieces of any length are encoded whole (those of more than `SCANNED` bytes by a heap, with the same merges in the same
+order: of equal ranks the leftmost first); equal texts have equal ids, whatever their rows; an empty table gives an empty
+result; columns of the outputs' names are replaced, all others are kept whatever their names; ids of rows aren't read.
 """
 
 from __future__ import annotations

@@ -16,7 +16,8 @@ All is done with column functions inside the row: one pass, no shuffle, nothing
 templates are a parameter (at most `MOST` of them, a literal in the plan).
 
 Defined results: null and empty texts, and units of one word, match nothing; of templates that are equally
-near the first by name counts; repeated rows are scanned alike; texts are read whole.
+near the first by name counts; repeated rows are scanned alike; texts are read whole; an empty table gives an empty
+result; a column of the output's name is replaced, all others are kept whatever their names; ids of rows aren't read.
 """
 
 from __future__ import annotations

@@ -10,7 +10,10 @@ and day one entry counts (a removal goes before an addition), so an entry's hist
 
 Defined results: null, empty and host-less URLs have no keys and no hits; a null day is before every
 interval; an entry holds from its day to the day before the next one of its value; entries with a null
-field count as absent; without entries nothing is hit; repeated captures all return.
+field count as absent; without entries nothing is hit; repeated captures all return; an empty table of captures gives an
+empty result. What stands before the last @ of the authority is no host, dots at a host's end don't count, numeric hosts and
+those in brackets have no parents. URLs are read whole, whatever their length. Columns of the outputs' names are replaced, all
+others are kept whatever their names.
 """
 
 from __future__ import annotations
@@ -18,11 +21,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-URL = r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)(?::[0-9]*)?([^#]*)"
+URL = r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#]*@)?(\[[^/?#\]]*\]|[^/?#:]*)(?::[0-9]*)?([^#]*)"
 
 
 def host(url: Column) -> Column:
-    return F.lower(F.regexp_extract(url, URL, 1))
+    return F.regexp_replace(F.lower(F.regexp_extract(url, URL, 1)), r"\.+$", "")
 
 
 def keys(url: Column) -> Column:

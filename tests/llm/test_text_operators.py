@@ -320,6 +320,7 @@ def test_bpe_odd(spark):
     for r in got:
         ids = t.encode(r["text"] or "", add_special_tokens=False).ids
         assert r["bpe_ids"] == ids and r["bpe_decoded"] == t.decode(ids, skip_special_tokens=False)
+    assert bpe.encode_decode(odd(spark).limit(0), queries.tokenizer_path()).collect() == []
 
 
 # ---- operator 6

@@ -14,3 +14,14 @@ def test_entry_paths(spark):
     captures = spark.createDataFrame([(u, day) for u in urls], "url string, fetched_on date")
     got = urlfilter.filter_urls(captures, spark.createDataFrame(entries, "list string, kind string, value string, action string, day date")).collect()
     assert {r["url"]: len(r["url_lists"]) for r in got} == urls
+
+
+def test_odd_hosts(spark):
+    """Dots at the end, numbers in brackets, several @ before the host, and very long addresses."""
+    day = datetime.date(2024, 1, 1)
+    entries = spark.createDataFrame([("l", "domain", v, "add", day) for v in ("bad.net", "[::1]")] + [("l", "url", "ok.org/a", "add", day)], "list string, kind string, value string, action string, day date")
+    urls = {"http://bad.net./x": 1, "http://w.bad.net.:80/": 1, "http://[::1]:8080/x": 1, "http://[::2]/": 0, "http://u@bad.net:p@good.org/": 0, "http://u:p@q@bad.net/": 1, "http://good.org/@bad.net": 0, "http://ok.org/a/" + "b" * 100_000: 1, "http://ok.org/" + "a/" * 2000: 1, "//": 0, "": 0}
+    captures = spark.createDataFrame([(u, day, 1, "x") for u in urls], "url string, fetched_on date, url_hits int, key string")
+    got = urlfilter.filter_urls(captures, entries).collect()
+    assert {r["url"]: len(r["url_lists"]) for r in got} == urls and {r["key"] for r in got} == {"x"}
+    assert urlfilter.filter_urls(captures.limit(0), entries).collect() == []
