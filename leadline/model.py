@@ -14,7 +14,7 @@ from leadline.sources import table
 
 RULES = {
     "companies": """SELECT c_custkey AS company_id, c_custkey % 40 AS job_id, c_name AS company_name,
-        CASE WHEN c_custkey % 7 <> 0 THEN lower(replace(n_name, ' ', '-')) || cast(c_custkey AS string) || '.example.com' END AS domain,
+        CASE WHEN c_custkey % 7 <> 0 THEN lower(replace(replace(n_name, ' ', '-'), '_', '-')) || cast(c_custkey AS string) || '.example.com' END AS domain,
         CASE WHEN c_custkey % 3 = 0 THEN '+1555' || lpad(cast(c_custkey % 10000000 AS string), 7, '0') END AS phone,
         n_name AS city, CASE WHEN c_custkey % 11 <> 0 THEN c_mktsegment END AS industry,
         CASE WHEN c_custkey % 5 <> 0 THEN (c_custkey * 37 % 18000) / 100e0 - 90 END AS latitude,

@@ -23,8 +23,8 @@ def csv(tabs: dict[str, DataFrame], path: str) -> None:
     one.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
 
 
-def json(tabs: dict[str, DataFrame], path: str) -> None:
-    """One document: a list of rows of a single tab, {tab: rows} of several. Rows are lines of one sorted text, never one value."""
+def json_lines(tabs: dict[str, DataFrame]) -> DataFrame:
+    """(t, n, x): the lines of one document in order, a list of rows of a single tab, {tab: rows} of several."""
     lines, last = None, len(tabs) - 1
     for i, (name, df) in enumerate(tabs.items()):
         text = F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"})
@@ -35,7 +35,12 @@ def json(tabs: dict[str, DataFrame], path: str) -> None:
         ends = df.sparkSession.createDataFrame([(i, 0, head), (i, 1 << 62, tail)], "t int, n long, x string")
         part = rows.unionByName(ends)
         lines = part if lines is None else lines.unionByName(part)
-    lines.orderBy("t", "n").select("x").coalesce(1).write.mode("overwrite").text(path)
+    return lines
+
+
+def json(tabs: dict[str, DataFrame], path: str) -> None:
+    """One document. Rows are lines of one sorted text, never one value; a file of one order is one task's work, streamed."""
+    json_lines(tabs).orderBy("t", "n").select("x").coalesce(1).write.mode("overwrite").text(path)
 
 
 def _sheet(columns: list[str], rows: Iterator) -> Iterator[str]:
