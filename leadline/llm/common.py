@@ -31,11 +31,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a temporary one only where none is named."""
+    """The shared folder that the cluster names; where none is named a temporary one, on a local master alone."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isEmpty():
+            if not spark.sparkContext.master.startswith("local["):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="leadline-"))
             held = spark.sparkContext._jsc.sc().getCheckpointDir()
         named = held.get()
@@ -47,9 +49,26 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Folders that materialize() wrote in this process, oldest first.
+WRITTEN: list[str] = []
+
+
+def sweep(spark: SparkSession, since: int) -> None:
+    """Deletes what materialize() wrote after the first `since` folders: for when what was made of them is itself written."""
+    for path in WRITTEN[since:]:
+        drop(spark, path)
+    del WRITTEN[since:]
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def map_arrow(df: DataFrame, f: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
     """mapInArrow over one batch at a time."""
 
