@@ -60,4 +60,13 @@ met AS (SELECT DISTINCT page_id, list, list || '=' || key AS hit FROM asked JOIN
 found AS (SELECT page_id, count(*) AS n, string_agg(DISTINCT list, ',' ORDER BY list) AS lists, string_agg(hit, ',' ORDER BY hit) AS hits FROM met GROUP BY 1)
 SELECT page_id, url, fetched_on, n IS NOT NULL AS blocked, coalesce(n, 0) AS n_hits, coalesce(lists, '') AS lists, coalesce(hits, '') AS hits FROM p LEFT JOIN found USING (page_id)"""
 
-ORACLE = {"op6_decontaminate": OP6, "op7_url_filter": OP7, "op10_ngram_join": OP10}
+#: Bytes are pairs of hexadecimal digits; every start of a 400-byte string by the digest of it.
+SUFFIX_DEDUP = """WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+ w AS (SELECT doc_id, i, md5(substr(x, (2 * i + 1)::BIGINT, 800)) AS h FROM d, LATERAL (SELECT unnest(range(0, greatest(length(x) // 2 - 399, 0))) AS i)),
+ s AS (SELECT doc_id, i FROM w WHERE h IN (SELECT h FROM w GROUP BY h HAVING count(*) > 1)),
+ g AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS k FROM (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 400 THEN 0 ELSE 1 END AS new FROM s)),
+ p AS (SELECT doc_id, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS b FROM (SELECT doc_id, min(i) AS a, max(i) + 400 AS z FROM g GROUP BY doc_id, k)),
+ r AS (SELECT p.doc_id, count(*) AS n, sum(z - a) AS removed, max(z) AS last, string_agg(substr(x, (2 * b + 1)::BIGINT, (2 * (a - b))::BIGINT), '' ORDER BY a) AS kept FROM p JOIN d ON p.doc_id = d.doc_id GROUP BY p.doc_id)
+SELECT d.doc_id, (length(x) // 2)::BIGINT AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(n, 0)::BIGINT AS n_spans, lower(sha256(unhex(coalesce(kept, '') || substr(x, (2 * coalesce(last, 0) + 1)::BIGINT)))) AS kept_sha256 FROM d LEFT JOIN r ON d.doc_id = r.doc_id"""
+
+ORACLE = {"op2_suffix_dedup": SUFFIX_DEDUP, "op6_decontaminate": OP6, "op7_url_filter": OP7, "op10_ngram_join": OP10}

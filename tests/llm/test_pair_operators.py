@@ -87,6 +87,13 @@ def test_suffix_dedup_odd(spark, split):
     assert suffixdedup.remove_repeats(df.limit(0)).collect() == []
 
 
+def test_suffix_dedup_sql():
+    duckdb = pytest.importorskip("duckdb")
+    rows = duckdb.sql(f"select doc_id, text from '{SMALL}/documents.parquet'").fetchall()
+    got = duckdb.sql(queries.ORACLE["op2_suffix_dedup"].replace("FROM documents", f"FROM '{SMALL}/documents.parquet'")).fetchall()
+    assert {r[0]: r[1:] for r in got} == {i: w for (i, _), w in zip(rows, plain_removed([t for _, t in rows], 400))}
+
+
 def test_suffix_array():
     rng = np.random.default_rng(2)
     for t in (b"", b"a", b"aaaa", b"banana", bytes(rng.integers(97, 100, 500).astype(np.uint8)), b"\0a\0a\0"):
