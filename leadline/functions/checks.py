@@ -40,7 +40,7 @@ def role_based(email: Column, keywords: list[str] | None = None) -> Column:
     words = sorted({k.strip().lower() for k in (ROLE_LOCALS if keywords is None else keywords) if k.strip()})
     if not words:
         return F.lit(False)
-    local = F.lower(F.trim(F.expr("''") if email is None else F.regexp_extract(email, "^(.*)@", 1)))
+    local = F.lower(F.trim(F.regexp_extract(email, "^(.*)@", 1)))
     parts = F.concat(F.array(local), F.split(local, r"[._+\s-]+"))
     return F.coalesce(F.arrays_overlap(parts, F.array(*map(F.lit, words))), F.lit(False))
 

@@ -13,7 +13,10 @@ from leadline.plans.registry import query
 
 def any_ilike(pattern: str, *columns: str) -> Column:
     """Some column holds the pattern, whatever the case; null columns don't."""
-    return F.coalesce(*[F.lit(None).cast("boolean")], F.lit(False)) if not columns else F.greatest(*[F.coalesce(F.col(c).ilike(pattern), F.lit(False)) for c in columns])
+    out = F.lit(False)
+    for c in columns:
+        out = out | F.coalesce(F.col(c).ilike(pattern), F.lit(False))
+    return out
 
 
 @query(sql("""SELECT company_id, company_name, domain, city, website_status FROM companies WHERE city ILIKE '%ion_1%' AND website_status <> 'unreachable' AND (company_name ILIKE '%1%' OR domain ILIKE '%1%' OR city ILIKE '%1%') AND company_id IN (SELECT company_id FROM sightings WHERE source_name = 'click') ORDER BY created_on, company_id LIMIT 100 OFFSET 2"""))
