@@ -124,7 +124,7 @@ def acceptance_checks(spark: SparkSession, d: str) -> DataFrame:
         "leads_verified": (t["leads"].where(~F.col("validation_status").eqNullSafe("VERIFIED")), none),
         "leads_not_suppressed": (t["leads"].where("not tombstoned").join(held, F.lower("email") == F.col("_e"), "left_semi"), none),
         "funnel_falls": (t["messages"], (F.count("sent_at") >= F.count("delivered_at")) & (F.count("delivered_at") >= F.count("opened_at")) & (F.count("opened_at") >= F.count("clicked_at"))),
-        "messages_have_campaigns": (t["messages"].join(F.broadcast(t["campaigns"]), "campaign_id", "left_anti"), none),
+        "messages_have_campaigns": (t["messages"].join(t["campaigns"], "campaign_id", "left_anti"), none),
         "bounces_have_times": (t["bounces"].where("detected_at is null"), none),
         "every_company_seen": (t["companies"].join(t["sightings"], "company_id", "left_anti"), none),
         "stages_ran": (t["checks"], F.count_distinct("final_status") >= 4),

@@ -99,7 +99,7 @@ def campaigns_list(spark: SparkSession, d: str) -> DataFrame:
     """OP-F11: campaigns of two states with their owners, newest first."""
     c = frame(spark, d, "campaigns").where(F.col("status").isin("sending", "paused"))
     u = frame(spark, d, "users").select("user_id", F.col("user_name").alias("owner"))
-    return c.join(F.broadcast(u.where("user_id <= 10")), F.col("campaign_id") % 10 + 1 == F.col("user_id"), "left").orderBy(F.desc("created_on"), "campaign_id").limit(50).select("campaign_id", "campaign_name", "status", "owner")
+    return c.join(u.where("user_id <= 10"), F.col("campaign_id") % 10 + 1 == F.col("user_id"), "left").orderBy(F.desc("created_on"), "campaign_id").limit(50).select("campaign_id", "campaign_name", "status", "owner")
 
 
 @query(sql("""SELECT message_id, to_email FROM messages JOIN campaigns c USING (campaign_id) WHERE messages.status = 'queued' AND scheduled_at <= TIMESTAMP '1998-01-01 12:00:00' AND c.status = 'sending'"""))
@@ -107,7 +107,7 @@ def due_messages(spark: SparkSession, d: str) -> DataFrame:
     """OP-F13: queued messages due by a given time, of campaigns that send."""
     m = frame(spark, d, "messages").where("status = 'queued' and scheduled_at <= TIMESTAMP_NTZ '1998-01-01 12:00:00'")
     c = frame(spark, d, "campaigns").where("status = 'sending'").select("campaign_id")
-    return m.join(F.broadcast(c), "campaign_id").select("message_id", "to_email")
+    return m.join(c, "campaign_id").select("message_id", "to_email")
 
 
 @query(sql("""SELECT contact_id FROM contacts WHERE NOT (lower(concat_ws(' ', full_name, designation, role_category, split_part(email, '@', 1))) LIKE '%intern%' OR lower(concat_ws(' ', full_name, designation, role_category, split_part(email, '@', 1))) LIKE '%grace%')"""))

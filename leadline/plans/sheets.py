@@ -75,7 +75,7 @@ def tab_leads(spark: SparkSession, d: str) -> DataFrame:
 @query(oracle("Outreach_Queue", {"queue_id": text("message_id"), "campaign_id": text("campaign_id"), "contact_id": text("contact_id"), "email": text("to_email"), "send_status": text("m.status"), **{c: moment(c) for c in ("scheduled_at", "sent_at", "opened_at", "clicked_at", "replied_at")}, "bounce_status": "CASE WHEN bounced_at IS NOT NULL THEN 'bounced' ELSE '' END"}, "messages m JOIN (SELECT campaign_id FROM campaigns) USING (campaign_id)"))
 def tab_outreach(spark: SparkSession, d: str) -> DataFrame:
     """OP-P09: messages of the tenant's campaigns; bounced where a bounce has a time."""
-    m = frame(spark, d, "messages").join(F.broadcast(frame(spark, d, "campaigns").select("campaign_id")), "campaign_id")
+    m = frame(spark, d, "messages").join(frame(spark, d, "campaigns").select("campaign_id"), "campaign_id")
     return Tab("Outreach_Queue").cells(m.withColumn("bounce_status", F.when(F.col("bounced_at").isNotNull(), "bounced")).withColumnsRenamed({"message_id": "queue_id", "to_email": "email", "status": "send_status"}))
 
 
@@ -94,7 +94,7 @@ def tab_campaigns(spark: SparkSession, d: str) -> DataFrame:
 @query(oracle("Bounce_Log", {"bounce_id": text("bounce_id"), "campaign_id": text("campaign_id"), "contact_id": text("b.contact_id"), "email": text("b.email"), "bounce_type": text("bounce_type"), "detected_at": moment("detected_at"), "action_taken": "CASE WHEN bounce_type = 'hard' THEN 'suppressed' ELSE 'flagged' END"}, "bounces b JOIN messages USING (message_id) JOIN (SELECT campaign_id FROM campaigns) USING (campaign_id)"))
 def tab_bounces(spark: SparkSession, d: str) -> DataFrame:
     """OP-P11: bounces over their messages' campaigns; only hard ones suppress."""
-    b = frame(spark, d, "bounces").join(frame(spark, d, "messages").select("message_id", "campaign_id"), "message_id").join(F.broadcast(frame(spark, d, "campaigns").select("campaign_id")), "campaign_id")
+    b = frame(spark, d, "bounces").join(frame(spark, d, "messages").select("message_id", "campaign_id"), "message_id").join(frame(spark, d, "campaigns").select("campaign_id"), "campaign_id")
     return Tab("Bounce_Log").cells(b.withColumn("action_taken", F.when(F.col("bounce_type") == "hard", "suppressed").otherwise("flagged")))
 
 

@@ -109,7 +109,7 @@ def ranked_outcomes(spark: SparkSession, d: str) -> DataFrame:
     up = op.top_by(rows, ["campaign"], [F.desc("price"), F.col("id")], 50).select("id", F.col("rank").alias("up"))
     down = op.top_by(rows, ["campaign"], [F.col("price"), F.desc("id")], 5).select("id", F.col("rank").alias("down"))
     named = F.when(F.col("up") <= 3, "replied").when(F.col("up").isNotNull(), "opened").when(F.col("down").isNotNull(), "bounced").otherwise("delivered")
-    return rows.select("id").join(F.broadcast(up), "id", "left").join(F.broadcast(down), "id", "left").select("id", named.alias("outcome"))  # at most 55 rows a campaign
+    return rows.select("id").join(up, "id", "left").join(down, "id", "left").select("id", named.alias("outcome"))
 
 
 @query(f"""SELECT CASE WHEN status IN ({sql_list(('delivered', 'opened', 'clicked', 'replied'))}) THEN 'verified' WHEN status IN ('bounced', 'blocked') THEN 'invalid' WHEN status IN ('sent', 'unsubscribed') THEN 'review' END AS bucket, count(*) AS n FROM ({MESSAGES}) GROUP BY 1""")
