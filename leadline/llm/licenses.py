@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 
 MOST = 500
 SPAN = 3
+#: Words that any text may hold: they are anchors only where a template has no others.
+COMMON = frozenset("a an and any are as at be by for from in is it its no not of on or that the this to was with you".split())
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: ASCII but letters, digits and the line feed.
 PARTS = r"[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -94,10 +96,10 @@ def bigrams(text: str) -> set[str]:
 
 
 def anchors(sets: list[set[str]], threshold: float) -> list[str]:
-    """Words of which every match of a template holds one: of each set the longest words until they touch more bigrams than a match may lack."""
+    """Words of which every match of a template holds one: of each set the longest words, common ones last, until they touch more bigrams than a match may lack."""
     out: set[str] = set()
     for s in sets:
-        words = sorted({w for b in s for w in b.split(" ")}, key=lambda w: (w not in out, -len(w), w))
+        words = sorted({w for b in s for w in b.split(" ")}, key=lambda w: (w in COMMON, w not in out, -len(w), w))
         held: set[str] = set()
         for w in words:
             if sum(1 for b in s if held & set(b.split(" "))) > len(s) * (1 - threshold / (2 - threshold)) + 1e-9:
