@@ -19,7 +19,7 @@ _POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE**i and its inverse, modulo 2**64, for i < n."""
     if len(_POWERS[0]) < n:
-        size = max(n, 1 << 21)
+        size = max(n, 2 * len(_POWERS[0]), 1 << 18)
         for k, b in enumerate((BASE, INVERSE)):
             _POWERS[k] = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, b)]))
     return _POWERS[0][:n], _POWERS[1][:n]

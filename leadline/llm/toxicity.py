@@ -38,7 +38,7 @@ STEM = 5
 #: Bits of a term's hash; the others of 64 number the texts that are sorted at once.
 BITS = U(52)
 #: Bytes of texts that are read at once: the arrays over them take some fifty times as much.
-PART = 1 << 20
+PART = 1 << 18
 
 
 def terms(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
