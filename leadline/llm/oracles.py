@@ -69,4 +69,26 @@ SUFFIX_DEDUP = """WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x
  r AS (SELECT p.doc_id, count(*) AS n, sum(z - a) AS removed, max(z) AS last, string_agg(substr(x, (2 * b + 1)::BIGINT, (2 * (a - b))::BIGINT), '' ORDER BY a) AS kept FROM p JOIN d ON p.doc_id = d.doc_id GROUP BY p.doc_id)
 SELECT d.doc_id, (length(x) // 2)::BIGINT AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(n, 0)::BIGINT AS n_spans, lower(sha256(unhex(coalesce(kept, '') || substr(x, (2 * coalesce(last, 0) + 1)::BIGINT)))) AS kept_sha256 FROM d LEFT JOIN r ON d.doc_id = r.doc_id"""
 
-ORACLE = {"op2_suffix_dedup": SUFFIX_DEDUP, "op6_decontaminate": OP6, "op7_url_filter": OP7, "op10_ngram_join": OP10}
+
+
+def _lloyd(rounds: int = 6, parts: int = 8, entries: int = 16, scale: int = 4096) -> str:
+    """op11: one pair of table expressions a round, each part against every entry of its codebook."""
+    nearest = "list_sum(list_transform(list_zip(v, c), lambda x: (x[1] - x[2]) * (x[1] - x[2])))"
+    steps = []
+    for k in range(rounds + 1):
+        steps.append(f"a{k} AS MATERIALIZED (SELECT vec_id, p, v, min(struct_pack(d := {nearest}, e := e)) AS b FROM v JOIN c{k} USING (p) GROUP BY 1, 2, 3)")
+        if k < rounds:
+            new = "list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i)"
+            steps.append(f"n{k} AS (SELECT p, e, {new} AS c FROM (SELECT p, b.e AS e, i, sum(v[i])::BIGINT AS s, count(*) AS n FROM a{k}, LATERAL (SELECT unnest(range(1, len(v) + 1)) AS i) GROUP BY 1, 2, 3) GROUP BY 1, 2)")
+            steps.append(f"c{k + 1} AS MATERIALIZED (SELECT p, e, coalesce(n{k}.c, c{k}.c) AS c FROM c{k} LEFT JOIN n{k} USING (p, e))")
+    return f"""WITH k AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor({scale} * x::DOUBLE)::BIGINT) AS q FROM embeddings
+  WHERE embedding IS NOT NULL AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))),
+v AS MATERIALIZED (SELECT vec_id, p, q[(p * len(q) // {parts} + 1)::BIGINT:((p + 1) * len(q) // {parts})::BIGINT] AS v FROM k, range({parts}) t(p)),
+c0 AS MATERIALIZED (SELECT p, dense_rank() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, v AS c FROM v WHERE vec_id IN (SELECT vec_id FROM k ORDER BY vec_id LIMIT {entries})),
+{", ".join(steps)},
+coded AS (SELECT vec_id, string_agg(lpad(hex(b.e), 2, '0'), '' ORDER BY p) AS code, sum(b.d)::BIGINT AS error FROM a{rounds} GROUP BY 1),
+books AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM c{rounds})
+SELECT vec_id, lower(code) AS code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM coded JOIN k USING (vec_id), books"""
+
+
+ORACLE = {"op11_vector_codes": _lloyd(), "op2_suffix_dedup": SUFFIX_DEDUP, "op6_decontaminate": OP6, "op7_url_filter": OP7, "op10_ngram_join": OP10}

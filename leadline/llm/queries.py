@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadline.llm import bpe, decontaminate, htmlextract, licenses, neardup, pii, suffixdedup, toxicity, urlfilter, vectordup
+from leadline.llm import bpe, decontaminate, htmlextract, licenses, neardup, pii, suffixdedup, toxicity, urlfilter, vectorcodes, vectordup
 from leadline.llm.common import table
 from leadline.llm.oracles import ORACLE  # noqa: F401
 
@@ -100,4 +100,13 @@ def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectordup.near_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extract, op2_suffix_dedup, op3_pii, op4_license_scan, op5_bpe, op6_decontaminate, op7_url_filter, op8_toxicity, op9_embedding_dedup, op10_ngram_join)}
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per usable vector: its code in hexadecimal, its error, the error of its label, and the digest of all codebooks."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    books = vectorcodes.train(vectors)
+    coded = vectorcodes.errors_by(vectorcodes.encode(vectors, books).drop("embedding"), "label", "vec_id")
+    code = F.array_join(F.transform("vec_codes", lambda c: F.lower(F.lpad(F.hex(c), 2, "0"))), "")
+    return coded.select("vec_id", code.alias("code"), F.col("vec_error").alias("error"), "label_error", F.lit(vectorcodes.books_digest(books)).alias("codebooks_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_html_extract, op2_suffix_dedup, op3_pii, op4_license_scan, op5_bpe, op6_decontaminate, op7_url_filter, op8_toxicity, op9_embedding_dedup, op10_ngram_join, op11_vector_codes)}
