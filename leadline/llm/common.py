@@ -5,7 +5,7 @@ from __future__ import annotations
 import ctypes
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -69,6 +69,17 @@ def drop(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def by_place(df: DataFrame, made: Sequence[str], run: Callable[[DataFrame, list[str]], DataFrame]) -> DataFrame:
+    """run(frame, names) on df under the names c0, c1, ..., and its result under df's own names again.
+
+    The names handed to run are those of df's columns in the frame. Columns of df that are named as one of `made` don't reach
+    the result: run adds those. So a column may have any name, dots, blanks and clashes included.
+    """
+    inner = [f"c{i}" for i in range(len(df.columns))]
+    out = run(df.select(*[F.col(f"`{c.replace('`', '``')}`").alias(i) for c, i in zip(df.columns, inner)]), inner)
+    return out.select(*[F.col(i).alias(c) for c, i in zip(df.columns, inner) if c not in made], *made)
+
+
 def map_arrow(df: DataFrame, f: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
     """mapInArrow over one batch at a time."""
 

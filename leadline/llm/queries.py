@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadline.llm import bpe, decontaminate, htmlextract, licenses, neardup, pii, suffixdedup, toxicity, urlfilter, vectorcodes, vectordup
+from leadline.llm import bpe, decontaminate, htmlextract, licenses, neardup, pii, secretscan, suffixdedup, toxicity, urlfilter, vectorcodes, vectordup
 from leadline.llm.common import table
 from leadline.llm.oracles import ORACLE  # noqa: F401
 
@@ -109,4 +109,13 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("vec_id", code.alias("code"), F.col("vec_error").alias("error"), "label_error", F.lit(vectorcodes.books_digest(books)).alias("codebooks_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extract, op2_suffix_dedup, op3_pii, op4_license_scan, op5_bpe, op6_decontaminate, op7_url_filter, op8_toxicity, op9_embedding_dedup, op10_ngram_join, op11_vector_codes)}
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: base spans by kind, their digest, and all spans, those that the tests add among them."""
+    found = secretscan.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    spans = F.col("secret_spans")
+    base = F.filter(spans, lambda s: s["base"])
+    counted = lambda k: F.size(F.filter(base, lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
+    return found.select("doc_id", *[counted(k) for k in secretscan.KINDS], F.sha2(secretscan.joined(base), 256).alias("base_sha256"), secretscan.joined(spans).alias("spans"))
+
+
+QUERIES = {f.__name__: f for f in (op1_html_extract, op2_suffix_dedup, op3_pii, op4_license_scan, op5_bpe, op6_decontaminate, op7_url_filter, op8_toxicity, op9_embedding_dedup, op10_ngram_join, op11_vector_codes, op12_secret_scan)}
