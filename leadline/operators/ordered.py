@@ -19,8 +19,13 @@ from leadline.sources.shared import written
 SHIFT = 33
 
 
+def quoted(name: str) -> str:
+    """A column's name as it is, whatever it holds."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def _columns(order: tuple) -> list[Column]:
-    return [F.col(o) if isinstance(o, str) else o for o in order]
+    return [F.col(quoted(o)) if isinstance(o, str) else o for o in order]
 
 
 def ranged(df: DataFrame, *order: str | Column) -> DataFrame:
@@ -59,7 +64,7 @@ def _with(rows: DataFrame, first: dict, kind: str, value, name: str) -> DataFram
     if not first:
         return rows.drop("_at").withColumn(name, F.lit(None).cast(kind))
     firsts = rows.sparkSession.createDataFrame([(p, f) for p, f in first.items()], f"_p long, _first {kind}")
-    kept = [c for c in rows.columns if c not in ("_at", name)]
+    kept = [quoted(c) for c in rows.columns if c not in ("_at", name)]
     return rows.join(F.broadcast(firsts), F.shiftright("_at", SHIFT) == F.col("_p")).select(*kept, value(F.col("_first")).alias(name))
 
 
@@ -67,7 +72,7 @@ def ranked_in(df: DataFrame, group: list[str], *order: str | Column, name: str =
     """df with each row's place in its group, from 1, for groups of any size: a group's rows are numbered in the order of the
     whole table (group first), less the places before its first one. Null keys are groups like others."""
     rows = written(numbered(df, *group, *order, name="_place"))
-    first = rows.groupBy(*group).agg(F.min("_place").alias("_begin"))
+    first = rows.groupBy(*map(quoted, group)).agg(F.min("_place").alias("_begin"))
     return grouped_join(rows, first, group).withColumn(name, F.col("_place") - F.col("_begin") + 1).drop("_place", "_begin")
 
 
@@ -76,11 +81,11 @@ def grouped_join(rows: DataFrame, groups: DataFrame, keys: list[str], spread: st
 
     At most one group in `hot` rows can be that large, which bounds what is broadcast.
     """
-    big = rows.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > hot).withColumn("_salts", F.ceil(F.col("_n") / hot).cast("int")).drop("_n")
+    big = rows.groupBy(*map(quoted, keys)).agg(F.count("*").alias("_n")).where(F.col("_n") > hot).withColumn("_salts", F.ceil(F.col("_n") / hot).cast("int")).drop("_n")
     on = big.toDF(*[f"_g{i}" for i in range(len(keys))], "_salts")
-    meet = lambda df: [df[k].eqNullSafe(on[f"_g{i}"]) for i, k in enumerate(keys)]
-    left = rows.join(F.broadcast(on), meet(rows), "left").withColumn("_salt", F.pmod(F.xxhash64(spread), F.coalesce("_salts", F.lit(1))).cast("int")).select(*rows.columns, "_salt")
-    right = groups.join(F.broadcast(on), meet(groups), "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).select(*groups.columns, "_salt")
+    meet = lambda df: [df[quoted(k)].eqNullSafe(on[f"_g{i}"]) for i, k in enumerate(keys)]
+    left = rows.join(F.broadcast(on), meet(rows), "left").withColumn("_salt", F.pmod(F.xxhash64(spread), F.coalesce("_salts", F.lit(1))).cast("int")).select(*map(quoted, rows.columns), "_salt")
+    right = groups.join(F.broadcast(on), meet(groups), "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).select(*map(quoted, groups.columns), "_salt")
     right = right.withColumnsRenamed({k: f"_k{i}" for i, k in enumerate(keys)} | {"_salt": "_s"})
-    out = left.join(right, [left[k].eqNullSafe(right[f"_k{i}"]) for i, k in enumerate(keys)] + [left["_salt"] == right["_s"]])
-    return out.select(*rows.columns, *[c for c in groups.columns if c not in keys])
+    out = left.join(right, [left[quoted(k)].eqNullSafe(right[f"_k{i}"]) for i, k in enumerate(keys)] + [left["_salt"] == right["_s"]])
+    return out.select(*map(quoted, rows.columns), *[quoted(c) for c in groups.columns if c not in keys])

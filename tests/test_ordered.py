@@ -56,6 +56,11 @@ def test_ranks_in_groups_of_any_size(spark):
     assert {(r["id"], r["n"]) for r in split.collect()} == {(i, seen[g]) for i, g, _ in data}
 
 
+def test_columns_of_any_name(spark):
+    df = spark.createDataFrame([(i, i % 3) for i in range(30)], "`the.id` long, `a group` int")
+    assert sorted(tuple(r) for r in ordered.ranked_in(df, ["a group"], "the.id").collect()) == [(i, i % 3, i // 3 + 1) for i in range(30)]
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "id long, g string, v long")
     assert ordered.numbered(df, "id").collect() == [] and ordered.running(df, "v", "id").columns == ["id", "g", "v", "total"]
