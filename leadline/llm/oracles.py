@@ -70,6 +70,29 @@ SUFFIX_DEDUP = """WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x
 SELECT d.doc_id, (length(x) // 2)::BIGINT AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(n, 0)::BIGINT AS n_spans, lower(sha256(unhex(coalesce(kept, '') || substr(x, (2 * coalesce(last, 0) + 1)::BIGINT)))) AS kept_sha256 FROM d LEFT JOIN r ON d.doc_id = r.doc_id"""
 
 
+_POLYNOMIAL = 0xEDB88320
+#: crc32 of the bytes of f, with the table t of what it makes of each byte.
+_CRC = "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, octet_length(encode(f)) + 1), lambda i: ('0x' || substr(hex(encode(f)), 2 * i - 1, 2))::BIGINT)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
+def _grams13(table: str, key: str) -> str:
+    ahead = "word || ' ' || lead(word, 1) OVER w"
+    return f"SELECT {key}, unnest([word, {ahead}, {ahead} || ' ' || lead(word, 2) OVER w]) AS f FROM ({_words6(table, key)}) WINDOW w AS (PARTITION BY {key} ORDER BY i)"
+
+
+OP13 = f"""WITH dg AS MATERIALIZED (SELECT * FROM ({_grams13('documents', 'doc_id')}) WHERE f IS NOT NULL),
+bg AS MATERIALIZED (SELECT * FROM ({_grams13('benchmark', 'item_id')}) WHERE f IS NOT NULL),
+step AS (SELECT list(x ORDER BY i) AS t FROM (SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, {_POLYNOMIAL}) ELSE c >> 1 END) AS x FROM range(256) r(i))),
+bucket AS MATERIALIZED (SELECT f, {_CRC} % 10000 AS b FROM (SELECT f FROM dg UNION SELECT f FROM bg), step),
+s AS (SELECT b, count(*) AS n FROM dg JOIN bucket USING (f) GROUP BY 1), t AS (SELECT b, count(*) AS n FROM bg JOIN bucket USING (f) GROUP BY 1),
+gain AS (SELECT b, floor(1000 * ln(((coalesce(t.n, 0) + 1) * (SELECT coalesce(sum(n), 0) + 10000 FROM s))::DOUBLE / ((coalesce(s.n, 0) + 1) * (SELECT coalesce(sum(n), 0) + 10000 FROM t))::DOUBLE))::BIGINT AS g FROM range(10000) r(b) LEFT JOIN s USING (b) LEFT JOIN t USING (b)),
+w AS (SELECT doc_id, count(*) AS n_features, sum(g)::BIGINT AS weight FROM dg JOIN bucket USING (f) JOIN gain USING (b) GROUP BY 1),
+size AS (SELECT doc_id, count(*) AS n_words FROM ({_words6('documents', 'doc_id')}) GROUP BY 1),
+scored AS (SELECT doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight, coalesce(n_words, 0) AS n_words,
+  coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || sha256('42:' || doc_id)[1:8])::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM documents LEFT JOIN w USING (doc_id) LEFT JOIN size USING (doc_id)),
+placed AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n FROM scored WHERE n_words >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 5 * n // 100 THEN rank END AS rank FROM scored LEFT JOIN placed USING (doc_id)"""
+
 
 def _lloyd(rounds: int = 6, parts: int = 8, entries: int = 16, scale: int = 4096) -> str:
     """op11: one pair of table expressions a round, each part against every entry of its codebook."""
@@ -91,4 +114,4 @@ books AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e))
 SELECT vec_id, lower(code) AS code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM coded JOIN k USING (vec_id), books"""
 
 
-ORACLE = {"op11_vector_codes": _lloyd(), "op2_suffix_dedup": SUFFIX_DEDUP, "op6_decontaminate": OP6, "op7_url_filter": OP7, "op10_ngram_join": OP10}
+ORACLE = {"op11_vector_codes": _lloyd(), "op13_importance_resampling": OP13, "op2_suffix_dedup": SUFFIX_DEDUP, "op6_decontaminate": OP6, "op7_url_filter": OP7, "op10_ngram_join": OP10}

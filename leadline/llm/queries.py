@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadline.llm import bpe, decontaminate, htmlextract, licenses, neardup, pii, secretscan, suffixdedup, toxicity, urlfilter, vectorcodes, vectordup
+from leadline.llm import bpe, decontaminate, htmlextract, licenses, neardup, pii, resampling, secretscan, suffixdedup, toxicity, urlfilter, vectorcodes, vectordup
 from leadline.llm.common import table
 from leadline.llm.oracles import ORACLE  # noqa: F401
 
@@ -118,4 +118,10 @@ def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[counted(k) for k in secretscan.KINDS], F.sha2(secretscan.joined(base), 256).alias("base_sha256"), secretscan.joined(spans).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extract, op2_suffix_dedup, op3_pii, op4_license_scan, op5_bpe, op6_decontaminate, op7_url_filter, op8_toxicity, op9_embedding_dedup, op10_ngram_join, op11_vector_codes, op12_secret_scan)}
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: features, weight and score towards the benchmark, and its rank among the drawn twentieth."""
+    docs, target = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("text")
+    return resampling.resample(docs, target)
+
+
+QUERIES = {f.__name__: f for f in (op1_html_extract, op2_suffix_dedup, op3_pii, op4_license_scan, op5_bpe, op6_decontaminate, op7_url_filter, op8_toxicity, op9_embedding_dedup, op10_ngram_join, op11_vector_codes, op12_secret_scan, op13_importance_resampling)}
