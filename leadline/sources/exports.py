@@ -1,4 +1,4 @@
-"""Exports of tabs as single files, and append-only logs."""
+"""Exports of tabs as documents."""
 
 from __future__ import annotations
 
@@ -7,31 +7,55 @@ import zipfile
 from collections.abc import Callable, Iterator
 from xml.sax.saxutils import escape
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from leadline.operators.ordered import numbered, quoted
 from leadline.sources import union_tabs
 from leadline.sources.sheets import letters
 
 #: Rows and letters of a title that a spreadsheet takes.
 ROWS, TITLE = 1_048_576, 31
+#: Quotes inside a value are doubled; an empty text is quoted, a missing one is nothing.
+CSV = {"escape": '"', "emptyValue": '""'}
+
+
+def one_file(spark: SparkSession, folder: str, path: str) -> None:
+    """The part files of a written folder as one file, in their order: bytes from one stream into another, nothing is held."""
+    from leadline.sources.shared import path_of
+
+    fs, p = path_of(spark, folder)
+    target = path_of(spark, path)[1]
+    out = fs.create(target, True)
+    try:
+        for part in sorted(str(f.getPath()) for f in fs.listStatus(p) if f.getPath().getName().startswith("part-")):
+            source = fs.open(path_of(spark, part)[1])
+            spark._jvm.org.apache.hadoop.io.IOUtils.copyBytes(source, out, 1 << 16, False)
+            source.close()
+    finally:
+        out.close()
 
 
 def csv(tabs: dict[str, DataFrame], path: str) -> None:
-    """One file: a single tab as it is, several under one header with the tab's name first. One task writes it, row by row."""
+    """A single tab as it is, several under one header with the tab's name first: part files in path, all but the first without header, which
+    stand for one document in their order."""
     one = next(iter(tabs.values())) if len(tabs) == 1 else union_tabs(tabs)
-    one.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    text = one.select(F.to_csv(F.struct(*[F.col(quoted(c)) for c in one.columns]), CSV).alias("x"))
+    names = one.sparkSession.createDataFrame([tuple(one.columns)], T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(one.columns))]))
+    header = names.select(F.to_csv(F.struct("*"), CSV).alias("x")).coalesce(1)
+    header.union(text).write.mode("overwrite").text(path)
 
 
 def json_lines(tabs: dict[str, DataFrame]) -> DataFrame:
     """(t, n, x): the lines of one document in order, a list of rows of a single tab, {tab: rows} of several."""
     lines, last = None, len(tabs) - 1
     for i, (name, df) in enumerate(tabs.items()):
-        text = F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"})
-        rows = df.select(text.alias("x")).withColumn("n", F.row_number().over(Window.orderBy("x")).cast("long"))
+        text = F.to_json(F.struct(*[F.col(quoted(c)) for c in df.columns]), {"ignoreNullFields": "false"})
+        rows = numbered(df.select(text.alias("x")), "x", name="n")
         rows = rows.select(F.lit(i).alias("t"), "n", F.concat(F.when(F.col("n") > 1, ",").otherwise(""), "x").alias("x"))
-        quoted = name.replace("\\", "\\\\").replace('"', '\\"')
-        head, tail = ("[", "]") if not last else (("{" if i == 0 else ",") + f'"{quoted}":[', "]" + ("}" if i == last else ""))
+        name = name.replace("\\", "\\\\").replace('"', '\\"')
+        head, tail = ("[", "]") if not last else (("{" if i == 0 else ",") + f'"{name}":[', "]" + ("}" if i == last else ""))
         ends = df.sparkSession.createDataFrame([(i, 0, head), (i, 1 << 62, tail)], "t int, n long, x string")
         part = rows.unionByName(ends)
         lines = part if lines is None else lines.unionByName(part)
@@ -39,8 +63,8 @@ def json_lines(tabs: dict[str, DataFrame]) -> DataFrame:
 
 
 def json(tabs: dict[str, DataFrame], path: str) -> None:
-    """One document. Rows are lines of one sorted text, never one value; a file of one order is one task's work, streamed."""
-    json_lines(tabs).orderBy("t", "n").select("x").coalesce(1).write.mode("overwrite").text(path)
+    """One document as part files in path, whose order is its own: each is a range of its lines."""
+    json_lines(tabs).orderBy("t", "n").select("x").write.mode("overwrite").text(path)
 
 
 def _sheet(columns: list[str], rows: Iterator) -> Iterator[str]:
@@ -102,13 +126,3 @@ def export(tabs: dict[str, DataFrame], kind: str, path: str, note: Callable[[dic
         state |= {"status": "FAILED", "error": f"{type(e).__name__}: {e}"[:1000]}
     note(dict(state))
     return state
-
-
-def append(rows: DataFrame, path: str, key: str) -> None:
-    """Adds rows to an append-only log, those alone whose key isn't there: a batch that comes again adds nothing."""
-    spark: SparkSession = rows.sparkSession
-    fresh = rows.dropDuplicates([key])
-    there = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there):
-        fresh = fresh.join(spark.read.parquet(path).select(key), key, "left_anti").select(*fresh.columns)
-    fresh.write.mode("append").parquet(path)

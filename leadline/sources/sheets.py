@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from leadline.operators.ordered import numbered
 from leadline.sources import content_hash
 
 #: Columns that sales edit in the sheet, and that are never pushed.
@@ -101,17 +102,14 @@ def mirrored(old: DataFrame, new: DataFrame, tab: Tab) -> DataFrame:
     """The sheet (row, then the tab's columns) after it follows `new`: rows that are there keep their order and what sales wrote,
     gone ones leave and later ones move up, new ones follow by key.
 
-    Only keys and places are numbered in one sorted pass; cells are joined back.
+    Rows are numbered over ranges of the order, each in a task of its own.
     """
-    from pyspark.sql import Window
-
     had = old.select(F.col(tab.key).alias("_k"), F.col("row").alias("_was"), *[F.col(c).alias(f"_old_{c}") for c in tab.editable])
     both = tab.cells(new).join(had, F.col(tab.key) == F.col("_k"), "left")
     for c in tab.editable:
         both = both.withColumn(c, F.when(F.col("_k").isNotNull(), F.coalesce(f"_old_{c}", F.lit(""))).otherwise(F.col(c)))
-    # the sheet has at most ten million cells: its rows fit one sort
-    place = F.row_number().over(Window.orderBy(F.col("_was").asc_nulls_last(), F.length(tab.key), tab.key)).cast("long")
-    return both.select((place + 1).alias("row"), *tab.columns)
+    placed = numbered(both, F.col("_was").asc_nulls_last(), F.length(tab.key), F.col(tab.key), name="_place")
+    return placed.select((F.col("_place") + 1).alias("row"), *tab.columns)
 
 
 def letters(n: int) -> str:

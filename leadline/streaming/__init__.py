@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.query import StreamingQuery
 
-from leadline.sources import exports
-
 #: How far back a notice can speak of a message: nothing older changes a count.
 HORIZON = "3 days"
 #: Seconds between the runs of each step.
@@ -37,18 +36,25 @@ def live(events: DataFrame, since, at: str = "ts") -> DataFrame:
     return events.where(F.col(at) >= since)
 
 
-def periodic(rows: DataFrame, step: Callable[[DataFrame, int], None], name: str, checkpoint: str, once: bool = False) -> StreamingQuery:
+def periodic(rows: DataFrame, step: Callable[[DataFrame, int], None], name: str, checkpoint: str, once: bool = False, mode: str = "append") -> StreamingQuery:
     """Runs step(batch, number) every so often, as `EVERY` says, or over all that is there and no more."""
-    writer = rows.writeStream.queryName(name).option("checkpointLocation", checkpoint).foreachBatch(step)
+    writer = rows.writeStream.queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(step)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=f"{EVERY.get(name, 60)} seconds")).start()
 
 
-def into_log(path: str, key: str) -> Callable[[DataFrame, int], None]:
-    """A step that adds each key to a log once, however often a batch comes."""
-    return lambda batch, _: exports.append(batch, path, key)
+def into_log(path: str) -> Callable[[DataFrame, int], None]:
+    """A step that writes a batch to its own folder of a log, over what an attempt before may have left: a batch that comes again
+    adds nothing, and no batch reads what others wrote."""
+    return lambda batch, n: batch.write.mode("overwrite").parquet(f"{path}/batch={n}")
+
+
+def log(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """What `into_log` wrote, as one table of this schema."""
+    return spark.read.schema(schema).parquet(path).select(*schema.names)
 
 
-def windowed_counts(events: DataFrame, at: str = "ts", kind: str = "event_type", window: str = "1 hour", late: str = HORIZON) -> DataFrame:
-    """Counts and sums by window and kind; late events within the watermark still count."""
-    timed = events.withColumn("_at", F.col(at).cast("timestamp")).withWatermark("_at", late)
+def windowed_counts(events: DataFrame, at: str = "ts", kind: str = "event_type", window: str = "1 hour", late: str = HORIZON, key: str = "event_id") -> DataFrame:
+    """Counts and sums by window and kind, each event once: events behind the watermark are dropped, row by row, and told of in
+    the stream's progress (`landing.dropped`); a window comes out once the watermark has passed its end."""
+    timed = events.withColumn("_at", F.col(at).cast("timestamp")).withWatermark("_at", late).dropDuplicatesWithinWatermark([key])
     return timed.groupBy(F.window("_at", window), kind).agg(F.count("*").alias("n"), F.sum("value").alias("total"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import csv
 import datetime
 import glob
+import io
 import json
 import re
 import unicodedata
@@ -150,13 +151,20 @@ def test_exports(spark, tmp_path):
     one = spark.createDataFrame([(1, 'x "y"'), (2, None)], "id long, name string")
     tabs = {"Things": one, "A very long title of a tab: with more than 31": one.select("id")}
     assert exports.export(tabs, "json", str(tmp_path / "j"))["status"] == "COMPLETED"
-    (file,) = glob.glob(str(tmp_path / "j" / "part-*"))
-    assert json.load(open(file)) == {"Things": [{"id": 1, "name": 'x "y"'}, {"id": 2, "name": None}], list(tabs)[1]: [{"id": 1}, {"id": 2}]}
+    document = lambda name: "".join(open(f).read() for f in sorted(glob.glob(str(tmp_path / name / "part-*"))))
+    assert json.loads(document("j")) == {"Things": [{"id": 1, "name": 'x "y"'}, {"id": 2, "name": None}], list(tabs)[1]: [{"id": 1}, {"id": 2}]}
+    exports.one_file(spark, str(tmp_path / "j"), str(tmp_path / "j.json"))
+    assert open(tmp_path / "j.json").read() == document("j")
     exports.json({"Things": one.limit(0)}, str(tmp_path / "j0"))
-    assert json.load(open(glob.glob(str(tmp_path / "j0" / "part-*"))[0])) == []
+    assert json.loads(document("j0")) == []
+    many = spark.range(3000).select("id", F.concat(F.lit("a, "), F.col("id") % 7, F.lit('"\n')).alias("the.name")).repartition(5)
+    exports.json({"Many": many}, str(tmp_path / "j1"))
+    assert sorted(r["id"] for r in json.loads(document("j1"))) == list(range(3000))
     exports.csv({"Things": one}, str(tmp_path / "c"))
-    (file,) = glob.glob(str(tmp_path / "c" / "part-*"))
-    assert len(list(csv.reader(open(file)))) == 3
+    assert list(csv.reader(io.StringIO(document("c")))) == [["id", "name"], ["1", 'x "y"'], ["2", ""]]
+    exports.csv({"Many": many}, str(tmp_path / "c1"))
+    rows = list(csv.reader(io.StringIO(document("c1"))))
+    assert rows[0] == ["id", "the.name"] and sorted(int(r[0]) for r in rows[1:]) == list(range(3000)) and rows[1][1].endswith('"\n')
     exports.xlsx(tabs, str(tmp_path / "t.xlsx"))
     with zipfile.ZipFile(tmp_path / "t.xlsx") as z:
         book, sheet = z.read("xl/workbook.xml").decode(), z.read("xl/worksheets/sheet1.xml").decode()
@@ -203,10 +211,11 @@ def test_streams(spark, tmp_path):
     rows = lambda: spark.readStream.schema(kind).parquet(str(tmp_path / "in"))
     log, at = str(tmp_path / "log"), str(tmp_path / "at")
     for _ in range(2):  # what is there, then what is new: one query, its checkpoint the cursor
-        q = streaming.periodic(streaming.feed(rows(), 1, key="tenant", value=1), streaming.into_log(log, "event_id"), "dispatch", at, once=True)
+        q = streaming.periodic(streaming.feed(rows(), 1, key="tenant", value=1), streaming.into_log(log), "dispatch", at, once=True)
         assert q.awaitTermination(120)
         there([(4, 1), (2, 1)], 2)
-    assert sorted(r["event_id"] for r in spark.read.parquet(log).collect()) == [2, 4]
-    streaming.into_log(log, "event_id")(spark.read.parquet(log), 9)  # a batch that comes again
-    assert spark.read.parquet(log).count() == 2
+    read = lambda: sorted(r["event_id"] for r in streaming.log(spark, log, kind).collect())
+    assert read() == [2, 4]
+    streaming.into_log(log)(spark.createDataFrame([(2, t, 1)], kind), 0)  # a batch that comes again
+    assert read() == [2, 4]
     assert streaming.live(spark.read.parquet(str(tmp_path / "in")), F.lit(t + datetime.timedelta(1))).count() == 0
