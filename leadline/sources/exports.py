@@ -18,7 +18,7 @@ from leadline.sources.sheets import letters
 #: Rows and letters of a title that a spreadsheet takes.
 ROWS, TITLE = 1_048_576, 31
 #: Quotes inside a value are doubled; an empty text is quoted, a missing one is nothing.
-CSV = {"escape": '"', "emptyValue": '""'}
+CSV = {"escape": '"', "emptyValue": '""', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
 
 
 def one_file(spark: SparkSession, folder: str, path: str) -> None:
