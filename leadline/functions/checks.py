@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from leadline.functions import ROLE_LOCALS
+from leadline.functions import ROLE_LOCALS, urls
 
 #: Domains that the demonstration's mail lookup fails.
 DEAD_DOMAINS = ("tempmail.com", "yopmail.com", "guerrillamail.com", "mailinator.com")
@@ -14,8 +14,7 @@ DISPOSABLE = (*DEAD_DOMAINS, "10minutemail.com", "trashmail.com", "sharklasers.c
 #: Top levels that are set aside for other uses than mail.
 SET_ASIDE = ("arpa", "invalid", "local", "localhost", "onion", "test")
 ATOM = r"[\p{L}\p{N}!#$%&'*+/=?^_`{|}~-]+"
-LABEL = r"[\p{L}\p{N}](?:[\p{L}\p{N}-]{0,61}[\p{L}\p{N}])?"
-ADDRESS = rf"^{ATOM}(?:\.{ATOM})*@(?:{LABEL}\.)+(?:\p{{L}}[\p{{L}}\p{{N}}-]{{0,61}}[\p{{L}}\p{{N}}])$"
+LOCAL = rf"^{ATOM}(?:\.{ATOM})*$"
 
 
 def domain_of(email: Column) -> Column:
@@ -24,9 +23,16 @@ def domain_of(email: Column) -> Column:
 
 
 def syntax_ok(email: Column) -> Column:
-    """One @, a dotted local part of at most 64 characters, a domain of two labels or more that may have mail, 254 in all."""
-    local, top = F.substring_index(email, "@", 1), F.lower(F.substring_index(email, ".", -1))
-    return F.coalesce(email.rlike(ADDRESS) & (F.length(local) <= 64) & (F.length(email) <= 254) & ~top.isin(*SET_ASIDE), F.lit(False))
+    """One @, a dotted local part of at most 64 characters, a domain of two labels or more that may have mail.
+
+    The domain may be of any script: its labels follow the rules for hosts, and lengths count in octets, the domain's in ASCII: 63 a label, 253 a
+    domain, 254 in all. The top level begins with a letter.
+    """
+    local, domain = F.substring_index(email, "@", 1), F.lower(F.regexp_replace(F.substring_index(email, "@", -1), urls.DOTS, "."))
+    top = F.substring_index(domain, ".", -1)
+    shaped = email.rlike("^[^@]*@[^@]*$") & local.rlike(LOCAL) & (F.length(local) <= 64) & F.contains(domain, F.lit(".")) & top.rlike(r"^\p{L}") & ~top.isin(*SET_ASIDE)
+    whole = lambda d: urls.valid_host(d) & (F.octet_length(local) + 1 + F.octet_length(urls.ascii_host(d)) <= 254)
+    return F.coalesce(shaped & urls.let(domain, whole), F.lit(False))
 
 
 def disposable(email: Column, extra: list[str] | None = None) -> Column:

@@ -7,6 +7,8 @@ from html.entities import name2codepoint
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from leadline.functions import urls
+
 # Fixed values -------------------------------------------------------------------------------------------------
 LINK_SCORES = (
     ("contact|contact-us|contactus|reach-us|get-in-touch", 100),
@@ -45,7 +47,7 @@ TEMPLATE_VARIABLES = ("FirstName", "LastName", "FullName", "Company", "Industry"
 
 def host(url: Column) -> Column:
     """Host in lower case, whether or not a scheme stands before it; '' if none."""
-    return F.regexp_extract(F.lower(url), r"^(?:[a-z][a-z0-9+.-]*:)?(?://)?(?:[^/@?#]*@)?([^/:?#]*)", 1)
+    return F.regexp_extract(F.lower(url), r"^(?:[a-z][a-z0-9+.-]*:)?(?://)?(?:[^/@?#]*@)?(\[[^\]/?#]*\]|[^/:?#]*)", 1)
 
 
 def canonical_url(url: Column) -> Column:
@@ -64,17 +66,9 @@ def link_score(url: Column, anchor: Column, footer: Column) -> Column:
     return F.least(out.otherwise(0) + F.when(footer & out.isNotNull(), 10).otherwise(0), F.lit(200))
 
 
-#: Second-level names under which domains are registered; not the whole public-suffix list.
-SECOND_LEVELS = ("co", "com", "org", "net", "edu", "gov", "ac", "or", "ne", "gob", "gouv", "go", "ltd", "plc", "me")
-RESERVED_TLDS = ("example", "test", "invalid", "localhost", "local", "internal")
-
-
-def registrable_domain(url: Column) -> Column:
-    """The last two labels of the host, three under a second level of a country; the whole host of an IP address, a single label or a reserved name."""
-    h = F.regexp_replace(host(url), r"\.+$", "")
-    whole = h.rlike(r"^[0-9.]+$|^\[|^[^.]*$|[.](" + "|".join(RESERVED_TLDS) + ")$")
-    three = F.regexp_extract(h, r"([^.]+[.](?:" + "|".join(SECOND_LEVELS) + r")[.][a-z]{2})$", 1)
-    return F.when(whole, h).when(three != "", three).otherwise(F.regexp_extract(h, r"([^.]+[.][^.]+)$", 1))
+def registrable_domain(url: Column, rules: urls.Suffixes = urls.COMMON) -> Column:
+    """The registrable domain of an address's host in ASCII; the whole host of numbers, single labels and unknown top levels."""
+    return urls.registrable(urls.ascii_host(F.regexp_replace(host(url), r"\.+$", "")), rules)
 
 
 def is_non_company(url: Column) -> Column:

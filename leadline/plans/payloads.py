@@ -168,12 +168,6 @@ def homepages(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("company_id", "base", F.array_join(firms.homepage_variants(F.col("base")), " ").alias("variants"))
 
 
-@query(r"""SELECT page_id, CASE WHEN regexp_matches(h, '[.](co|com|org|net|edu|gov|ac)[.][a-z]{2}$') THEN regexp_extract(h, '([^.]+[.][^.]+[.][^.]+)$', 1) ELSE regexp_extract(h, '([^.]+[.][^.]+)$', 1) END AS domain FROM (SELECT page_id, lower(regexp_extract(url, '://([^/?#:]*)', 1)) AS h FROM pages)""")
-def page_domains(spark: SparkSession, d: str) -> DataFrame:
-    """OP-S08: the registrable domain of every page."""
-    return frame(spark, d, "pages").select("page_id", web.registrable_domain(F.col("url")).alias("domain"))
-
-
 @query(sql("""SELECT message_id, CASE WHEN message_id % 3 = 0 THEN 'Hi. Opt out here.' ELSE 'Hi.' || chr(10) || chr(10) || '-- ' || chr(10) || 'Opt out' END AS body, '<lm-' || message_id || '@app.example.com>' AS reference, CASE message_id % 4 WHEN 0 THEN 30.0 WHEN 1 THEN 120.0 WHEN 2 THEN NULL ELSE 2.5 END::DOUBLE AS wait FROM messages"""))
 def outgoing(spark: SparkSession, d: str) -> DataFrame:
     """OP-S49, S65: the way out below a text, once; the reference by which notices come back; how long a server asks to wait."""

@@ -27,59 +27,6 @@ def sql_pick(values, by: str) -> str:
     return f"[{sql_list(values)}][({by} % {len(values)}) + 1]"
 
 
-LINKS = r"""SELECT page_id, regexp_extract(url, '^([a-zA-Z]+://[^/?#]*)', 1) AS site, CASE WHEN h[1] = '/' THEN regexp_extract(url, '^([a-zA-Z]+://[^/?#]*)', 1) || h ELSE h END AS href FROM (SELECT page_id, url, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS h FROM pages) WHERE (h LIKE '/%' AND h NOT LIKE '//%') OR h LIKE 'http://%' OR h LIKE 'https://%'"""
-CANON = r"""lower(regexp_extract(href, '^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)', 1)) || regexp_replace(regexp_extract(regexp_replace(href, '#.*$', ''), '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?]*([^?]*)', 1), '/+$', '') || regexp_extract(regexp_replace(href, '#.*$', ''), '([?].*)$', 1)"""
-SCORE = sql_case([(f"regexp_matches(lower(href), '{w}')", p) for w, p in web.LINK_SCORES], "0")
-
-
-def links(spark: SparkSession, d: str) -> DataFrame:
-    site = F.regexp_extract("url", r"^([a-zA-Z]+://[^/?#]*)", 1)
-    raw = table(spark, d, "pages").select("page_id", site.alias("site"), F.explode(F.regexp_extract_all("html", F.lit(r'href="([^"]*)"'), F.lit(1))).alias("h"))
-    kept = raw.where((F.col("h").startswith("/") & ~F.col("h").startswith("//")) | F.col("h").startswith("http://") | F.col("h").startswith("https://"))
-    return kept.select("page_id", "site", F.when(F.col("h").startswith("/"), F.concat("site", "h")).otherwise(F.col("h")).alias("href"))
-
-
-@query(f"""SELECT page_id, url, score, place FROM (SELECT page_id, canon AS url, score, row_number() OVER (PARTITION BY page_id ORDER BY score DESC, canon)::INT AS place FROM (SELECT page_id, canon, max(score)::INT AS score FROM (SELECT page_id, {CANON} AS canon, {SCORE} AS score FROM ({LINKS})) GROUP BY 1, 2)) WHERE place <= 8""")
-def frontier(spark: SparkSession, d: str) -> DataFrame:
-    """OP-S09, W05, W06: links of a page to any site, one per canonical form with its best score by address, the best eight; `site_frontier` (OP-S10, S11) admits and scores them."""
-    scored = links(spark, d).select("page_id", web.canonical_url(F.col("href")).alias("url"), web.link_score(F.col("href"), F.lit(""), F.lit(False)).alias("score"))
-    best = scored.groupBy("page_id", "url").agg(F.max("score").alias("score"))
-    return best.withColumn("place", F.row_number().over(Window.partitionBy("page_id").orderBy(F.desc("score"), "url"))).where("place <= 8")
-
-
-ANCHOR, HREF, FOOTER = r"(?is)<a\s[^>]*>.*?</a\s*>", r"""(?is)^<a\s(?:[^>]*?\s)?href\s*=\s*["']([^"']*)["']""", r"(?is)<footer[\s>].*?</footer\s*>"
-HREF_SQL, SCHEME = HREF.replace("'", "''"), "^[a-zA-Z][a-zA-Z0-9+.-]*:"
-#: Every anchor of a page: its address, text and whether it stands in a footer.
-ANCHORS = rf"""SELECT page_id, url, foot, trim(regexp_extract(a, '{HREF_SQL}', 1)) AS h, trim(regexp_replace(regexp_replace(a, '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) AS anchor FROM (SELECT page_id, url, true AS foot, unnest(regexp_extract_all(array_to_string(regexp_extract_all(html, '{FOOTER}'), ' '), '{ANCHOR}')) AS a FROM pages UNION ALL SELECT page_id, url, false, unnest(regexp_extract_all(regexp_replace(html, '{FOOTER}', ' ', 'g'), '{ANCHOR}')) FROM pages)"""
-FULL = r"""regexp_extract(url, '^([a-zA-Z]+://[^/?#]*)', 1) AS site, CASE WHEN h LIKE '//%' THEN regexp_extract(url, '^([a-zA-Z]+:)', 1) || h WHEN h LIKE '/%' THEN regexp_extract(url, '^([a-zA-Z]+://[^/?#]*)', 1) || h WHEN regexp_matches(h, '^[a-zA-Z][a-zA-Z0-9+.-]*:') THEN h WHEN h LIKE '?%' THEN regexp_extract(url, '^([^?#]*)', 1) || h WHEN regexp_matches(url, '^[a-zA-Z]+://[^/?#]*/') THEN regexp_extract(url, '^([a-zA-Z]+://[^/?#]*/(?:[^?#]*/)?)', 1) || h ELSE regexp_extract(url, '^([a-zA-Z]+://[^/?#]*)', 1) || '/' || h END AS href"""
-
-
-def sql_domain(u: str) -> str:
-    h = f"regexp_replace(regexp_extract(lower({u}), '^(?:[a-z][a-z0-9+.-]*:)?(?://)?(?:[^/@?#]*@)?([^/:?#]*)', 1), '\\.+$', '')"
-    three = f"regexp_extract({h}, '([^.]+[.](?:{'|'.join(web.SECOND_LEVELS)})[.][a-z]{{2}})$', 1)"
-    return f"CASE WHEN regexp_matches({h}, '^[0-9.]+$|^\\[|^[^.]*$|[.]({'|'.join(web.RESERVED_TLDS)})$') THEN {h} WHEN {three} <> '' THEN {three} ELSE regexp_extract({h}, '([^.]+[.][^.]+)$', 1) END"
-
-
-SCORED = sql_case([(f"regexp_matches(lower(href || ' ' || anchor), '{w}')", f"{p} + CASE WHEN foot THEN 10 ELSE 0 END") for w, p in web.LINK_SCORES], "0")
-
-
-@query(f"""SELECT page_id, url, score, place FROM (SELECT page_id, canon AS url, score, row_number() OVER (PARTITION BY page_id ORDER BY score DESC, canon)::INT AS place FROM (SELECT page_id, canon, max(score)::INT AS score FROM (SELECT page_id, {CANON} AS canon, {CANON.replace('href', 'url')} AS own, {SCORED} AS score FROM (SELECT *, {FULL} FROM ({ANCHORS}) WHERE h <> '' AND h NOT LIKE '#%') WHERE regexp_matches(href, '(?i)^https?://') AND {sql_domain('href')} = {sql_domain('url')}) WHERE canon <> own GROUP BY 1, 2)) WHERE place <= 8""")
-def site_frontier(spark: SparkSession, d: str) -> DataFrame:
-    """OP-S10, S11: links of a page to its own registrable domain but not to itself, scored by address, anchor text and footer, the best eight."""
-    pages, whole = table(spark, d, "pages"), F.lit(0)
-    found = lambda html, foot: pages.select("page_id", "url", F.lit(foot).alias("foot"), F.explode(F.regexp_extract_all(html, F.lit(ANCHOR), whole)).alias("a"))
-    every = found(F.array_join(F.regexp_extract_all("html", F.lit(FOOTER), whole), " "), True).union(found(F.regexp_replace("html", FOOTER, " "), False))
-    anchor = F.trim(F.regexp_replace(F.regexp_replace("a", "<[^>]*>", " "), r"\s+", " "))
-    rows = every.select("page_id", "url", "foot", F.trim(F.regexp_extract("a", HREF, 1)).alias("h"), anchor.alias("anchor")).where("h <> '' and not startswith(h, '#')")
-    h, url, site = F.col("h"), F.col("url"), F.regexp_extract("url", r"^([a-zA-Z]+://[^/?#]*)", 1)
-    folder = F.regexp_extract("url", r"^([a-zA-Z]+://[^/?#]*/(?:[^?#]*/)?)", 1)
-    href = F.when(h.startswith("//"), F.concat(F.regexp_extract("url", "^([a-zA-Z]+:)", 1), h)).when(h.startswith("/"), F.concat(site, h)).when(h.rlike(SCHEME), h).when(h.startswith("?"), F.concat(F.regexp_extract("url", "^([^?#]*)", 1), h)).when(folder != "", F.concat(folder, h)).otherwise(F.concat(site, F.lit("/"), h))
-    own = rows.withColumn("href", href).where(F.col("href").rlike("(?i)^https?://") & (web.registrable_domain(F.col("href")) == web.registrable_domain(url)))
-    scored = own.select("page_id", web.canonical_url(F.col("href")).alias("to"), web.canonical_url(url).alias("own"), web.link_score(F.col("href"), F.col("anchor"), F.col("foot")).alias("score")).where(F.col("to") != F.col("own"))
-    best = scored.groupBy("page_id", F.col("to").alias("url")).agg(F.max("score").alias("score"))
-    return best.withColumn("place", F.row_number().over(Window.partitionBy("page_id").orderBy(F.desc("score"), "url"))).where("place <= 8")
-
-
 WEBSITES = """SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'https://M.Facebook.com/p' || page_id WHEN 1 THEN 'www.linkedin.com/company/x' ELSE url END AS site FROM pages"""
 
 

@@ -19,6 +19,6 @@ def test_site_frontier(spark, tmp_path):
 
 
 def test_registrable_domain(spark):
-    want = {"http://a.b.acme.co.uk/x": "acme.co.uk", "www.acme.com": "acme.com", "http://10.0.0.1/": "10.0.0.1", "http://a.example/": "a.example", "http://x.a.test": "x.a.test", "http://localhost:80": "localhost", "http://x.co.org/": "co.org"}
+    want = {"http://a.b.acme.co.uk/x": "acme.co.uk", "www.acme.com": "acme.com", "http://10.0.0.1/": "10.0.0.1", "http://a.example/": "a.example", "http://x.a.test": "x.a.test", "https://blog.acme.co.uk/x": "acme.co.uk", "http://127.0.0.1:8080/x": "127.0.0.1", "http://[::1]:80/": "[::1]", "http://bücher.Müller.de": "xn--mller-kva.de", "a.b.ck": "a.b.ck", "x.a.b.ck": "a.b.ck", "www.ck": "www.ck", "y.www.ck": "www.ck", "city.kawasaki.jp": "city.kawasaki.jp", "a.b.kawasaki.jp": "a.b.kawasaki.jp", "co.uk": ".co.uk", "http://localhost:80": "localhost", "http://x.co.org/": "co.org", "acme.com.": "acme.com"}
     got = spark.createDataFrame([(u,) for u in want], "u string").select("u", web.registrable_domain(F.col("u")).alias("d")).collect()
     assert {r["u"]: r["d"] for r in got} == want
