@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from leadline import functions as fn
 from leadline import operators as op
-from leadline.functions import checks, people, web
+from leadline.functions import checks, people, phones, web
 from leadline.model import frame, sql
 from leadline.plans.registry import query
 
@@ -94,11 +94,50 @@ def minted_contacts(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumn("aligned", people.aligned(F.col("confidence"), F.col("email").endswith("@example.com")))
 
 
-CANDIDATE = r"(^|[^0-9A-Za-z_.])(\+?\(?[0-9][0-9\s().-]{6,}[0-9])"
+def sql_national(n: str, p: phones.Plan) -> str:
+    trunk = f" WHEN {n} LIKE '{p.trunk}%' AND regexp_matches(substr({n}, {len(p.trunk) + 1}), '{p.whole}') THEN substr({n}, {len(p.trunk) + 1})" if p.trunk else ""
+    return f"('+{p.code}' || CASE WHEN regexp_matches({n}, '{p.whole}') THEN {n}{trunk} END)"
 
 
-@query(rf"""SELECT doc_id, phone FROM (SELECT DISTINCT doc_id, CASE WHEN raw LIKE '+%' THEN CASE WHEN length(n) BETWEEN 8 AND 15 AND n NOT LIKE '0%' THEN '+' || n END WHEN lang = 'en' THEN CASE WHEN length(u) = 10 THEN '+1' || u END WHEN lang = 'fr' THEN CASE WHEN length(f) = 9 THEN '+33' || f END WHEN lang = 'de' THEN CASE WHEN length(g) BETWEEN 7 AND 11 THEN '+49' || g END END AS phone FROM (SELECT *, CASE WHEN n LIKE '1%' AND length(n) > 10 THEN substr(n, 2) ELSE n END AS u, CASE WHEN n LIKE '0%' AND length(n) > 9 THEN substr(n, 2) ELSE n END AS f, CASE WHEN n LIKE '0%' AND length(n) > 7 THEN substr(n, 2) ELSE n END AS g FROM (SELECT doc_id, lang, raw, regexp_replace(raw, '[^0-9]', '', 'g') AS n FROM (SELECT doc_id, lang, unnest(regexp_extract_all(text, '{CANDIDATE}', 2)) AS raw FROM documents)))) WHERE phone IS NOT NULL""")
+def sql_abroad(n: str) -> str:
+    code = f"regexp_extract({n}, '{phones.CODE}', 1)"
+    rest = f"substr({n}, length({code}) + 1)"
+    known = " ".join(f"WHEN '{p.code}' THEN {sql_national(rest, p)}" for p in {p.code: p for p in phones.PLANS.values()}.values())
+    return f"CASE {code} {known} ELSE CASE WHEN {code} <> '' AND regexp_matches({rest}, '{phones.ANY}') AND length({n}) BETWEEN 7 AND 15 THEN '+' || {n} END END"
+
+
+def sql_home(n: str, p: phones.Plan) -> str:
+    return f"coalesce({sql_national(n, p)}, CASE WHEN {n} LIKE '{p.abroad}%' THEN {sql_abroad(f'substr({n}, {len(p.abroad) + 1})')} END, CASE WHEN {n} LIKE '{p.code}%' THEN {sql_national(f'substr({n}, {len(p.code) + 1})', p)} END)"
+
+
+def sql_numbers(rows: str) -> str:
+    """SELECT kind, id, phone of rows (kind, id, region, text)."""
+    found = f"SELECT kind, id, region, raw LIKE '+%' AS plus, regexp_replace(raw, '[^0-9]', '', 'g') AS n FROM (SELECT kind, id, region, unnest(regexp_extract_all(text, '{phones.PHONE}', 2)) AS raw FROM ({rows}))"
+    homes = " ".join(f"WHEN region = '{r}' THEN {sql_home('n', p)}" for r, p in phones.PLANS.items())
+    return f"SELECT DISTINCT kind, id, phone FROM (SELECT kind, id, CASE WHEN plus THEN {sql_abroad('n')} {homes} END AS phone FROM ({found})) WHERE phone IS NOT NULL"
+
+
+LANGUAGES = "CASE lang WHEN 'en' THEN 'US' WHEN 'fr' THEN 'FR' WHEN 'de' THEN 'DE' END"
+
+
+@query(sql_numbers(f"SELECT 'document' AS kind, doc_id AS id, {LANGUAGES} AS region, text FROM documents"))
 def document_phones(spark: SparkSession, d: str) -> DataFrame:
-    """OP-S23, S02: numbers of every text by the plan of its language's country."""
+    """OP-S23, S02: numbers of every text that can be dialled, by the plan of its language's country."""
     country = F.when(F.col("lang") == "en", "USA").when(F.col("lang") == "fr", "France").when(F.col("lang") == "de", " germany ")
-    return frame(spark, d, "documents").select("doc_id", F.explode(people.phones(F.col("text"), people.region(country))).alias("phone"))
+    return frame(spark, d, "documents").select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), F.explode(phones.phones(F.col("text"), phones.region(country))).alias("phone"))
+
+
+TEL = r"""SELECT doc_id AS id, raw, i FROM (SELECT doc_id, unnest(l) AS raw, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(text, '(^|[^0-9])([0-9][0-9 ().-]{5,}[0-9])', 2) AS l FROM documents))"""
+
+
+@query(sql_numbers(f"SELECT DISTINCT 'link' AS kind, id, ['IN', 'US', 'GB', 'CA', 'AU', 'DE', 'FR', 'SG', 'AE'][id % 9 + 1] AS region, CASE i % 3 WHEN 0 THEN '+' WHEN 1 THEN '0' ELSE '' END || raw AS text FROM ({TEL})").replace("unnest(regexp_extract_all(text, '" + phones.PHONE + "', 2)) AS raw", "text AS raw"))
+def linked_phones(spark: SparkSession, d: str) -> DataFrame:
+    """OP-S23: the runs of digits of every text as tel: links of a page in one of nine countries: by turns international, with a trunk digit and bare."""
+    runs = frame(spark, d, "documents").select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(r"(^|[^0-9])([0-9][0-9 ().-]{5,}[0-9])"), F.lit(2))).alias("i", "raw"))
+    turn = (F.col("i") + 1) % 3
+    lead = F.when(turn == 0, F.when(F.col("doc_id") % 2 == 0, "%2B").otherwise("+")).when(turn == 1, "0").otherwise("")
+    tag = F.concat(F.lit("<a class=\"x\" href='TEL:"), lead, "raw", F.lit(";ext=5'>call</a>"))
+    html = runs.groupBy("doc_id").agg(F.array_join(F.collect_list(tag), " ").alias("html"))
+    names = F.array(*map(F.lit, ("India", "usa", "UK", "Canada", "australia", "Germany", "France", "singapore", "UAE")))
+    country = F.element_at(names, (F.col("doc_id") % 9 + 1).cast("int"))
+    return html.select(F.lit("link").alias("kind"), F.col("doc_id").alias("id"), F.explode(phones.page_phones(F.col("html"), phones.region(country))).alias("phone"))

@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from leadline import functions as fn
 from leadline import operators as op
 from leadline import streaming
-from leadline.functions import checks, firms, people, web
+from leadline.functions import checks, firms, people, phones, web
 from leadline.sources import content_hash, exports, landed, payloads, sheets
 
 
@@ -70,10 +70,24 @@ def test_names(spark):
 
 
 def test_phones(spark):
-    rows = [("+1 (555) 123-4567 or (555) 123 4567", "US", ["+15551234567"]), ("020 7946 0958", "GB", ["+442079460958"]), ("call 079-1234 5678, v1.2345678901", "IN", ["+917912345678"]), ("tel 98765 43210", "IN", ["+919876543210"]), ("+49 30 901820", None, ["+4930901820"]), ("0012345678", None, []), (None, "US", None)]
+    rows = [
+        ("Call +91 79 4890 1234 or our Mumbai desk 022 2757 9191.", "IN", ["+917948901234", "+912227579191"]), ("order 1234 items, ref 000", "IN", []),
+        ("+1 (415) 555-1234 or (415) 555 1234 or 1-415-555-1234", "US", ["+14155551234"]), ("+1 (555) 123-4567, 011 555 1234, 415 111 2222, 911 555 1234", "US", []),
+        ("020 7946 0958, +44 (0)20 7946 0958, 44 20 7946 0958, 0044 20 7946 0958", "GB", ["+442079460958"]), ("call 079-4234 5678, v1.2345678901", "IN", ["+917942345678"]), ("tel 98765 43210", "IN", ["+919876543210"]),
+        ("011 44 20 7946 0958", "US", ["+442079460958"]), ("+49 30 901820", None, ["+4930901820"]), ("0012345678", None, []), ("030 901820", "DE", ["+4930901820"]), ("06 12 34 56 78", "FR", ["+33612345678"]),
+        ("+971 50 123 4567 and 04 331 2345", "AE", ["+971501234567", "+97143312345"]), ("6123 4567", "SG", ["+6561234567"]), ("0412 345 678 / 1300 123 456", "AU", ["+61412345678", "+611300123456"]),
+        ("+210 1234 5678, +999 1234 5678, +34 912 345 678, +12345678", None, ["+34912345678"]), (None, "US", None),
+    ]
     df = spark.createDataFrame([(t, r) for t, r, _ in rows], "t string, r string")
-    assert [x[0] for x in df.select(people.phones(F.col("t"), F.col("r"))).collect()] == [w for _, _, w in rows]
-    assert column(spark, ["USA", " united kingdom ", "uk", "nl", "Nowhere", None], people.region) == ["US", "GB", "GB", "NL", None, None]
+    assert [x[0] for x in df.select(phones.phones(F.col("t"), F.col("r"))).collect()] == [w for _, _, w in rows]
+    assert column(spark, ["USA", " united kingdom ", "uk", "nl", "Nowhere", None], phones.region) == ["US", "GB", "GB", "NL", None, None]
+    page = """<a href="tel:+14155551234;ext=3">call</a> <a class='b' href=TEL:%2B44-20-7946-0958>x</a> <p>Or (212) 555-0187<script>var a = "(646) 555-0187";</script> <a href="mailto:x">+1 415 555 1234</a>"""
+    assert column(spark, [page, "", None], lambda c: phones.page_phones(c, F.lit("US"))) == [["+14155551234", "+442079460958", "+12125550187"], [], None]
+    codes = re.compile(phones.CODE)
+    assert [m[1] if (m := codes.match(n)) else None for n in ("12125550187", "442079460958", "971501234567", "2101234", "999", "35312345", "8881234")] == ["1", "44", "971", None, None, "353", "888"]
+    assert all(codes.match(c + "5")[1] == c for c in phones.CODES)
+    other = {"XX": phones.Plan("299", "", "00", "[2-9][0-9]{5}")}
+    assert column(spark, ["222222", "00299222222", "122222"], lambda c: phones.e164(c, F.lit("XX"), other)) == ["+299222222", "+299222222", None]
 
 
 def test_firms(spark):
