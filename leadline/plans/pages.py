@@ -56,20 +56,6 @@ def structured_pages(spark: SparkSession, d: str) -> DataFrame:
     return got.select("company_id", F.col("ld.organization").alias("organization"), F.array_join("ld.telephones", ",").alias("telephones"), F.col("ld.address").alias("address"), F.array_join(F.transform("ld.jobs", lambda j: j["title"]), ",").alias("jobs"))
 
 
-@query(sql("""SELECT bounce_id, email AS final_recipient, CASE bounce_type WHEN 'hard' THEN '5.1.1' WHEN 'soft' THEN '4.2.2' WHEN 'mailbox_full' THEN '5.2.2' WHEN 'spam_rejected' THEN '5.7.1' END AS status, CASE bounce_type WHEN 'soft' THEN 'soft' WHEN 'unknown' THEN 'unknown' ELSE bounce_type END AS bounce_type, CASE WHEN bounce_type <> 'unknown' AND bounce_id % 2 = 0 THEN '00000000-0000-0000-0000-' || lpad(message_id::VARCHAR, 12, '0') END AS sent_id FROM bounces"""))
-def read_notices(spark: SparkSession, d: str) -> DataFrame:
-    """OP-S50, S51, S53: delivery reports as raw mail: recipient, state, kind of bounce, and the message they speak of."""
-    b, kind = frame(spark, d, "bounces"), F.col("bounce_type")
-    status = F.when(kind == "hard", "5.1.1").when(kind == "soft", "4.2.2").when(kind == "mailbox_full", "5.2.2").when(kind == "spam_rejected", "5.7.1")
-    said = F.when(kind == "hard", "no such user").when(kind == "soft", "server busy").when(kind == "mailbox_full", "mailbox full").when(kind == "spam_rejected", "rejected as spam")
-    sent = F.concat(F.lit("00000000-0000-0000-0000-"), F.lpad(F.col("message_id").cast("string"), 12, "0"))
-    inner = F.when(F.col("bounce_id") % 2 == 0, F.concat(F.lit("--B\nContent-Type: message/rfc822\n\nMessage-ID: <lm-"), sent, F.lit("@x>\n\nhello\n"))).otherwise("")
-    whole = F.concat(F.lit("Content-Type: multipart/report; boundary=B\n\n--B\nContent-Type: message/delivery-status\n\nReporting-MTA: dns; m\n\nFinal-Recipient: rfc822; "), "email", F.lit("\nStatus: "), status, F.lit("\nDiagnostic-Code: smtp; "), said, F.lit("\n\n"), inner, F.lit("--B--\n"))
-    plain = F.concat(F.lit("Content-Type: text/plain\n\nSomething went wrong with "), "email", F.lit("\n"))
-    got = landed.delivery_reports(b.select("bounce_id", F.coalesce(whole, plain).cast("binary").alias("raw")))
-    return got.select("bounce_id", F.col("report.final_recipient").alias("final_recipient"), F.col("report.smtp_status").alias("status"), "bounce_type", "sent_id")
-
-
 @query(sql("""SELECT company_id, full_name AS name, arg_min(designation, contact_id) AS designation, 0.9::DOUBLE AS confidence FROM contacts WHERE full_name IS NOT NULL AND designation = 'Chief Technology Officer' GROUP BY 1, 2"""))
 def team_pages(spark: SparkSession, d: str) -> DataFrame:
     """OP-S29, A21: people of the cards of a team page, each once; cards without a person or a role go."""

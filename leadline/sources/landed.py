@@ -137,16 +137,35 @@ def report(raw: bytes | None) -> dict:
 
 
 def _reports(raw: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([report(bytes(r) if r is not None else None) for r in raw], columns=["final_recipient", "smtp_status", "diagnostic", "original_id"])
-
-
-def delivery_report(raw: Column) -> Column:
-    return F.pandas_udf(_reports, REPORT)(raw)
+    nothing = report(None)
+    return pd.DataFrame([nothing if r is None else report(bytes(r)) for r in raw], columns=["final_recipient", "smtp_status", "diagnostic", "original_id"])
+
+
+def _plain_report(text: Column) -> Column:
+    """The fields of a report whose delivery-status part is plain lines; null of any other text, which a mail parser reads."""
+    part = F.regexp_extract(text, r"(?is)\nContent-Type:[ \t]*message/delivery-status[^\n]*\n(.*?)(?=\n--|$)", 1)
+    field = lambda name: F.trim(F.regexp_replace(F.regexp_extract(part, rf"(?im)^{name}:(?:[^\n]*;)?([^\n]*)$", 1), r"\s+", " "))
+    inner = F.regexp_extract(text, r"(?is)\nContent-Type:[ \t]*(?:message/rfc822|text/rfc822-headers)[^\n]*\n\n(.*?)(?:\n\n|$)", 1)
+    known = F.struct(
+        field("Final-Recipient").alias("final_recipient"),
+        field("Status").alias("smtp_status"),
+        field("Diagnostic-Code").alias("diagnostic"),
+        F.nullif(F.trim(F.regexp_extract(inner, r"(?im)^Message-ID:([^\n]*)$", 1)), F.lit("")).alias("original_id"),
+    )
+    root = F.regexp_extract(text, r"(?s)^(.*?)(?:\n\n|$)", 1)
+    strange = text.rlike(r"(?im)^Content-Transfer-Encoding:[ \t]*(?:base64|quoted-printable)") | part.rlike(r"\n[ \t]+\S") | inner.rlike(r"(?im)^Message-ID:[^\n]*\n[ \t]") | root.rlike(r"(?im)^(?:Status|Final-Recipient|Diagnostic-Code):") | F.contains(text, F.lit("\r"))
+    one = F.regexp_count(text, F.lit(r"(?i)message/(?:delivery-status|rfc822)|text/rfc822-headers")) == F.when(inner != "", 2).otherwise(1)
+    return F.when(~strange & one & (known["final_recipient"] != "") & (known["smtp_status"] != "") & (known["diagnostic"] != ""), known)
 
 
 def delivery_reports(messages: DataFrame, raw: str = "raw") -> DataFrame:
-    """messages with a report and the kind of bounce (OP-S50, S51, S53); bytes that are no report are of kind unknown."""
-    rows = messages.withColumn("report", delivery_report(F.col(raw)))
+    """messages with a report and the kind of bounce (OP-S50, S51, S53); bytes that are no report are of kind unknown.
+
+    Reports of plain lines, the common form, are read by patterns; only others reach the mail parser, a batch of them at a time.
+    """
+    rows = messages.withColumn("_plain", _plain_report(F.col(raw).cast("string")))
+    parsed = F.pandas_udf(_reports, REPORT)(F.when(F.col("_plain").isNull(), F.col(raw)))
+    rows = rows.withColumn("_parsed", parsed).withColumn("report", F.coalesce("_plain", "_parsed")).drop("_plain", "_parsed")
     return rows.withColumn("bounce_type", web.classify_bounce(F.col("report.smtp_status"), F.col("report.diagnostic"))).withColumn("sent_id", F.nullif(F.regexp_extract(F.coalesce("report.original_id", F.lit("")), r"lm-([0-9a-fA-F-]{36})@", 1), F.lit("")))
 
 
