@@ -117,3 +117,32 @@ def plan_recipients(contacts: DataFrame, messages: DataFrame, role: list[str] |
     reason = F.when(F.col("_n") > 1, "duplicate").when(~F.col("verified"), "not_verified").when(F.col("suppressed"), "suppressed").when(t == 0, "already_bounced").when(t == 1, "already_unsubscribed").when(t == 2, "already_replied").when(excluded, "excluded_keyword").when(filtered, "role_filtered").otherwise("eligible")
     planned = first.join(past, "_e", "left").select(*contacts.columns, reason.alias("reason"))
     return planned.unionByName(contacts.where(F.col("email").isNull()).withColumn("reason", F.lit("no_email")))
+
+
+#: What is kept of a company's sightings: enough that merging a sighting again changes nothing.
+COMPANY = "key string, first long, last long, source_name string, urls array<struct<o:long,url:string>>, level int"
+
+
+def company_rows(sightings: DataFrame) -> DataFrame:
+    """Each sighting (key, sighting_id, source_name, source_url, posture) as a row of COMPANY."""
+    level = F.when(F.col("posture") == "red", 2).when(F.col("posture") == "amber", 1).otherwise(0)
+    url = F.filter(F.array(F.struct(F.col("sighting_id").alias("o"), F.col("source_url").alias("url"))), lambda x: x["url"].isNotNull())
+    return sightings.select("key", F.col("sighting_id").alias("first"), F.col("sighting_id").alias("last"), "source_name", url.alias("urls"), level.alias("level"))
+
+
+def merge_companies(rows: DataFrame) -> DataFrame:
+    """Rows of COMPANY as one a key: first and last sighting, the first one's source, each address where it was first seen, the worst posture.
+
+    Addresses are merged apart, so that no key's are held more than once each.
+    """
+    one = rows.groupBy("key").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.min_by("source_name", "first").alias("source_name"), F.max("level").alias("level"))
+    seen = rows.select("key", F.explode("urls").alias("x")).groupBy("key", "x.url").agg(F.min("x.o").alias("o"))
+    urls = seen.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("o", "url"))).alias("urls"))
+    return one.join(urls, "key", "left").select("key", "first", "last", "source_name", F.coalesce("urls", F.expr("cast(array() as array<struct<o:long,url:string>>)")).alias("urls"), "level")
+
+
+def company_view(rows: DataFrame) -> DataFrame:
+    """Rows of COMPANY as they are shown: key, source_name, urls, posture and dedupe_status."""
+    posture = F.element_at(F.array(*map(F.lit, ("green", "amber", "red"))), F.col("level") + 1)
+    urls = F.array_join(F.transform("urls", lambda x: x["url"]), ",")
+    return rows.select("key", "source_name", urls.alias("urls"), posture.alias("posture"), F.when(F.col("first") < F.col("last"), "merged").otherwise("unique").alias("dedupe_status"))
