@@ -11,7 +11,7 @@ from leadline import streaming
 from leadline.model import frame, sql
 from leadline.plans.feeds import parts
 from leadline.plans.registry import query
-from leadline.sources import landed, mailbox
+from leadline.sources import dns, landed, mailbox
 from leadline.sources.shared import scratch, written
 
 #: Of each kind of bounce its status and what the server said.
@@ -62,3 +62,26 @@ def mailbox_stream(spark: SparkSession, d: str) -> DataFrame:
         kept = stream.select("agent", F.col("received").cast("timestamp_ntz").alias("received"), "subject")
         streaming.periodic(kept, streaming.into_log(f"{at}/log"), "bounces", f"{at}/cursor", once=True).awaitTermination()
     return streaming.log(spark, f"{at}/log", kept.schema)
+
+
+#: Captured answers by rule: of every company's domain what was asked on three days.
+ANSWERS = """SELECT domain, 'MX' AS type, CASE company_id % 9 WHEN 0 THEN 'nxdomain' WHEN 1 THEN 'noanswer' WHEN 2 THEN 'servfail' WHEN 3 THEN 'timeout' WHEN 7 THEN 'servfail' WHEN 8 THEN 'timeout' ELSE 'ok' END AS result,
+ CASE WHEN company_id % 9 = 4 THEN '.' WHEN company_id % 9 IN (5, 6) THEN 'mx2.' || domain || '.,mx1.' || domain END AS records, TIMESTAMP '2024-03-01 00:00:00' AS asked_at FROM companies WHERE domain IS NOT NULL AND company_id % 31 <> 30
+ UNION ALL SELECT domain, 'MX', CASE WHEN company_id % 9 = 7 THEN 'ok' ELSE 'servfail' END, CASE WHEN company_id % 9 = 7 THEN 'mail.' || domain || '.' END, TIMESTAMP '2024-03-02 00:00:00' FROM companies WHERE domain IS NOT NULL AND company_id % 9 IN (2, 7, 8)
+ UNION ALL SELECT domain, 'MX', 'timeout', NULL, TIMESTAMP '2024-03-03 00:00:00' FROM companies WHERE domain IS NOT NULL AND company_id % 9 = 8
+ UNION ALL SELECT domain, 'A', CASE company_id % 5 WHEN 0 THEN 'ok' WHEN 2 THEN 'timeout' WHEN 3 THEN 'nxdomain' ELSE 'noanswer' END, CASE WHEN company_id % 5 = 0 THEN '10.0.0.1' END, TIMESTAMP '2024-03-01 00:00:00' FROM companies WHERE domain IS NOT NULL AND company_id % 5 <> 4
+ UNION ALL SELECT domain, 'AAAA', CASE company_id % 3 WHEN 0 THEN 'ok' WHEN 1 THEN 'noanswer' ELSE 'servfail' END, CASE WHEN company_id % 3 = 0 THEN '::1' END, TIMESTAMP '2024-03-01 06:00:00' FROM companies WHERE domain IS NOT NULL"""
+
+
+@query(sql(f"""SELECT company_id, status, detail, CASE WHEN status = 'retry' THEN coalesce(tries, 0) ELSE 0 END::INT AS tries, CASE WHEN status = 'retry' AND coalesce(tries, 0) < 3 THEN coalesce(last + INTERVAL 6 HOUR, TIMESTAMP '2024-03-10 00:00:00') END AS retry_at FROM (SELECT company_id, tries, last, CASE WHEN d = '' THEN 'fail' WHEN mx = 'ok' AND names <> '' THEN 'pass' WHEN mx = 'nxdomain' THEN 'fail' WHEN mx IS NULL OR mx NOT IN ('ok', 'noanswer') THEN 'retry' WHEN a = 'ok' THEN 'pass' WHEN a IS NULL OR a NOT IN ('noanswer', 'nxdomain') THEN 'retry' WHEN aaaa = 'ok' THEN 'pass' WHEN aaaa IS NULL OR aaaa NOT IN ('noanswer', 'nxdomain') THEN 'retry' ELSE 'fail' END AS status,
+ CASE WHEN d = '' THEN 'empty domain' WHEN mx = 'ok' AND names <> '' THEN 'MX: ' || names WHEN mx = 'nxdomain' THEN 'NXDOMAIN: domain does not exist' WHEN mx IS NULL THEN 'MX: not asked' WHEN mx NOT IN ('ok', 'noanswer') THEN 'MX: ' || mx WHEN a = 'ok' THEN 'A fallback (implicit MX)' WHEN a IS NULL THEN 'A: not asked' WHEN a NOT IN ('noanswer', 'nxdomain') THEN 'A: ' || a WHEN aaaa = 'ok' THEN 'AAAA fallback (implicit MX)' WHEN aaaa IS NULL THEN 'AAAA: not asked' WHEN aaaa NOT IN ('noanswer', 'nxdomain') THEN 'AAAA: ' || aaaa ELSE 'no MX and no A/AAAA fallback' END AS detail
+ FROM (SELECT c.company_id, coalesce(c.domain, '') AS d, (SELECT arg_max(result, (asked_at, result)) FROM ans WHERE type = 'MX' AND ans.domain = c.domain) AS mx, (SELECT arg_max(result, (asked_at, result)) FROM ans WHERE type = 'A' AND ans.domain = c.domain) AS a, (SELECT arg_max(result, (asked_at, result)) FROM ans WHERE type = 'AAAA' AND ans.domain = c.domain) AS aaaa,
+ (SELECT array_to_string(list_sort(list_filter(list_transform(string_split(arg_max(coalesce(records, ''), (asked_at, result, coalesce(records, ''))), ','), lambda x: regexp_replace(x, '[.]+$', '')), lambda x: x <> '')), ', ') FROM ans WHERE type = 'MX' AND ans.domain = c.domain) AS names,
+ (SELECT count(*) FROM ans WHERE ans.domain = c.domain AND result IN ('servfail', 'timeout')) AS tries, (SELECT max(asked_at) FROM ans WHERE ans.domain = c.domain AND result IN ('servfail', 'timeout')) AS last FROM companies c))""").replace("SELECT company_id, status, detail, CASE WHEN status", f"_ANS_ SELECT company_id, status, detail, CASE WHEN status", 1).replace(" _ANS_ ", f", ans AS ({ANSWERS}) "))
+def mail_hosts(spark: SparkSession, d: str) -> DataFrame:
+    """OP-S40: whether every company's domain takes mail, by captured answers of several days: MX, then A, then AAAA; lookups that failed for a while with
+    how often they did and when they are due again."""
+    c = frame(spark, d, "companies")
+    answers = spark.sql(ANSWERS.replace("FROM companies", "FROM {companies}").replace("TIMESTAMP '", "TIMESTAMP_NTZ '"), companies=c).withColumn("records", F.split("records", ","))
+    shout = c.select("company_id", F.when(F.col("company_id") % 2 == 0, F.concat(F.upper("domain"), F.lit("."))).otherwise(F.col("domain")).alias("domain"))
+    return dns.mail_hosts(shout, answers, F.expr("timestamp_ntz '2024-03-10 00:00:00'")).drop("domain")

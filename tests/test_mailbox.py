@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import EqualTo, GreaterThan, In, IsNotNull, LessThan
 
 from leadline import streaming
-from leadline.sources import landed, mailbox
+from leadline.sources import dns, landed, mailbox
 
 UTC = datetime.timezone.utc
 T0 = datetime.datetime(2024, 5, 1, tzinfo=UTC)
@@ -93,3 +93,21 @@ def test_reports_by_patterns_and_by_the_parser(spark):
     assert got[99]["bounce_type"] == "unknown" and got[1]["sent_id"].endswith("0001") and got[4]["bounce_type"] == "soft"
     plain = df.select("i", landed._plain_report(F.col("raw").cast("string")).isNotNull().alias("p")).collect()
     assert {r["i"] for r in plain if r["p"]} >= {0, 1, 4, 10}
+
+
+def test_mail_hosts(spark):
+    at = lambda h: datetime.datetime(2024, 3, 1) + datetime.timedelta(hours=h)
+    answers = [
+        ("acme.com", "MX", "ok", ["Mail.acme.com.", "a.acme.com."], at(0)), ("a.com", "MX", "noanswer", None, at(0)), ("a.com", "A", "ok", ["1.2.3.4"], at(0)), ("six.com", "MX", "ok", ["."], at(0)), ("six.com", "A", "nxdomain", None, at(0)), ("six.com", "AAAA", "ok", ["::1"], at(0)),
+        ("nope.invalid", "MX", "nxdomain", None, at(0)), ("empty.example", "MX", "noanswer", None, at(0)), ("empty.example", "A", "noanswer", None, at(0)), ("empty.example", "AAAA", "noanswer", None, at(0)),
+        ("slow.example", "MX", "timeout", None, at(0)), ("brk.example", "MX", "servfail", None, at(0)), ("brk.example", "MX", "timeout", None, at(7)), ("brk.example", "MX", "servfail", None, at(14)),
+        ("late.com", "MX", "servfail", None, at(0)), ("late.com", "MX", "ok", ["x.late.com"], at(6)), ("late.com", "MX", "nxdomain", None, at(99)), ("half.com", "MX", "noanswer", None, at(0)),
+    ]
+    asked = ["acme.com", " ACME.com. ", "a.com", "six.com", "nope.invalid", "empty.example", "slow.example", "brk.example", "late.com", "half.com", "never.com", "", None]
+    rows = dns.mail_hosts(spark.createDataFrame([(d,) for d in asked], "domain string"), spark.createDataFrame(answers, "domain string, type string, result string, records array<string>, asked_at timestamp_ntz"), F.expr("timestamp_ntz '2024-03-02 00:00:00'")).collect()
+    passed = {r["domain"]: r["detail"] for r in rows if r["status"] == "pass"}
+    assert passed == {"acme.com": "MX: Mail.acme.com, a.acme.com", " ACME.com. ": "MX: Mail.acme.com, a.acme.com", "a.com": "A fallback (implicit MX)", "six.com": "AAAA fallback (implicit MX)", "late.com": "MX: x.late.com"}
+    failed = {r["domain"]: r["detail"] for r in rows if r["status"] == "fail"}
+    assert failed == {"nope.invalid": "NXDOMAIN: domain does not exist", "empty.example": "no MX and no A/AAAA fallback", "": "empty domain", None: "empty domain"}
+    again = {r["domain"]: (r["detail"], r["tries"], r["retry_at"]) for r in rows if r["status"] == "retry"}
+    assert again == {"slow.example": ("MX: timeout", 1, at(6)), "brk.example": ("MX: servfail", 3, None), "half.com": ("A: not asked", 0, at(24)), "never.com": ("MX: not asked", 0, at(24))}
