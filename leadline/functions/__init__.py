@@ -133,3 +133,10 @@ def estimate(jobs, job: str, maps: str, directories: str, variants: str, tiles:
     cost = F.when(F.col(maps), searched).otherwise(F.lit(0.0)) + contacts * PER_CONTACT[0] + contacts * PER_CONTACT[1] + contacts * PER_CONTACT[2]
     c = F.col("companies")
     return out.select(job, "companies", whole(c, F.lit(85)).alias("low"), whole(c, F.lit(110)).alias("high"), F.greatest(F.lit(20).cast("long"), whole(c, F.lit(40))).alias("runtime"), F.round(cost, 2).alias("cost"))
+
+
+def same_firm(named: Column, wanted: Column) -> Column:
+    """A name on a posting is that of the firm looked for: one holds the other, case and runs of white space aside; an absent name is nobody's."""
+    plain = lambda c: F.lower(F.trim(F.regexp_replace(c, r"\s+", " ")))
+    a, b = plain(named), plain(wanted)
+    return F.coalesce((named != "") & (b != "") & (F.contains(a, b) | F.contains(b, a)), F.lit(False))

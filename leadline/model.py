@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from leadline.sources import table
 
 RULES = {
-    "companies": """SELECT c_custkey AS company_id, c_custkey % 40 AS job_id, c_name AS company_name,
+    "companies": """SELECT c_custkey AS company_id, 1 + cast(floor(c_custkey / 3) AS bigint) AS job_id, c_name AS company_name,
         CASE WHEN c_custkey % 7 <> 0 THEN lower(replace(replace(n_name, ' ', '-'), '_', '-')) || cast(c_custkey AS string) || '.example.com' END AS domain,
         CASE WHEN c_custkey % 3 = 0 THEN '+1555' || lpad(cast(c_custkey % 10000000 AS string), 7, '0') END AS phone,
         n_name AS city, CASE WHEN c_custkey % 11 <> 0 THEN c_mktsegment END AS industry,
@@ -46,11 +46,11 @@ RULES = {
     "checks": """SELECT candidate_id AS validation_id, k.contact_id, c.company_id, c.job_id, candidate_id, CASE WHEN candidate_id % 3 = 0 THEN final_email_status ELSE 'VERIFIED' END AS final_status,
         candidate_id % 4 AS retry_count, created_at AS verified_at FROM {candidates} k JOIN {contacts} c ON k.contact_id = c.contact_id""",
     "users": "SELECT s_suppkey AS user_id, s_name AS user_name, s_suppkey % 3 = 0 AS is_admin FROM {supplier}",
-    "jobs": """SELECT p_partkey % 40 AS job_id, p_name AS job_name, p_type AS company_type, p_partkey % 10 + 1 AS created_by, CASE WHEN p_partkey % 3 <> 0 THEN p_brand END AS city,
+    "jobs": """SELECT p_partkey AS job_id, p_name AS job_name, p_type AS company_type, p_partkey % 10 + 1 AS created_by, CASE WHEN p_partkey % 3 <> 0 THEN p_brand END AS city,
         CASE p_partkey % 4 WHEN 0 THEN 'USA' WHEN 1 THEN 'India' WHEN 2 THEN 'France' END AS country, CASE WHEN p_partkey % 5 <> 0 THEN p_size END AS size_min, CASE WHEN p_partkey % 7 <> 0 THEN p_size * 10 END AS size_max,
         CASE p_partkey % 3 WHEN 0 THEN 'click,view' WHEN 1 THEN 'view' ELSE 'purchase,signup,view' END AS selected_sources,
         CASE p_partkey % 5 WHEN 0 THEN 'COMPLETED' WHEN 1 THEN 'FAILED' WHEN 2 THEN 'RUNNING' WHEN 3 THEN 'QUEUED' ELSE 'COMPLETED' END AS status, p_retailprice AS radius_km, p_partkey % 101 AS progress,
-        DATE '2024-01-01' + cast(p_partkey AS int) AS created_on FROM {part} WHERE p_partkey BETWEEN 1 AND 40""",
+        DATE '2024-01-01' + cast(p_partkey % 3650 AS int) AS created_on FROM {part}""",
     "campaigns": """SELECT n_nationkey AS campaign_id, n_name AS campaign_name, n_nationkey % 40 AS job_id, 'sender' || cast(n_regionkey AS string) || '@example.com' AS from_account,
         CASE n_nationkey % 4 WHEN 0 THEN 'draft' WHEN 1 THEN 'sending' WHEN 2 THEN 'paused' ELSE 'completed' END AS status, DATE '2024-02-01' + n_nationkey AS created_on FROM {nation}""",
     "sends": """SELECT l_orderkey * 10 + l_linenumber AS message_id, l_orderkey AS contact_id, l_suppkey % 25 AS campaign_id, l_shipdate AS due_at, l_linenumber AS line,
@@ -67,8 +67,8 @@ RULES = {
         CASE contact_id % 3 WHEN 0 THEN 'manual' WHEN 1 THEN 'hard_bounce' ELSE 'unsubscribe' END AS reason, contact_id % 2 = 0 AS permanent, created_at FROM {contacts} WHERE contact_id % 29 = 0""",
     "sightings": """SELECT event_id AS sighting_id, user_id AS company_id, event_type AS source_name, CASE WHEN event_id % 4 <> 0 THEN 'https://' || event_type || '.example.com/' || cast(user_id % 5 AS string) END AS source_url,
         CASE event_type WHEN 'purchase' THEN 'red' WHEN 'click' THEN 'amber' ELSE 'green' END AS posture, ts AS seen_at FROM {events}""",
-    "signals": "SELECT event_id AS signal_id, user_id AS company_id, event_type AS source, CASE WHEN event_id % 3 <> 0 THEN 'Engineer ' || cast(event_id % 10 AS string) END AS title, ts AS posted_at FROM {events} WHERE value > 60",
-    "runs": """SELECT event_id AS run_id, event_id % 40 AS job_id, event_type AS source_name, CASE event_type WHEN 'purchase' THEN 'red' WHEN 'click' THEN 'amber' ELSE 'green' END AS posture, cast(floor(value) AS bigint) AS found,
+    "signals": "SELECT event_id AS signal_id, user_id AS company_id, event_type AS source, CASE WHEN event_id % 3 <> 0 THEN 'Engineer ' || cast(event_id % 10 AS string) END AS title, ts AS posted_at FROM {events}",
+    "runs": """SELECT event_id AS run_id, 1 + cast(floor(event_id / 5) AS bigint) AS job_id, event_type AS source_name, CASE event_type WHEN 'purchase' THEN 'red' WHEN 'click' THEN 'amber' ELSE 'green' END AS posture, cast(floor(value) AS bigint) AS found,
         cast(floor(value / 2) AS bigint) AS imported, CASE event_id % 6 WHEN 0 THEN 'failed' WHEN 1 THEN 'skipped' WHEN 2 THEN 'running' ELSE 'completed' END AS status, ts AS started_at, CASE WHEN event_id % 6 <> 2 THEN ts + INTERVAL '10' MINUTE END AS completed_at FROM {events}""",
     "leads": """SELECT contact_id AS lead_id, c.job_id, c.company_id, company_name, email, coalesce(c.phone, k.phone) AS phone, full_name, confidence, final_email_status AS validation_status, contact_id % 31 = 0 AS tombstoned, c.created_at
         FROM {contacts} c JOIN {companies} k ON c.company_id = k.company_id WHERE sales_ready""",

@@ -45,9 +45,11 @@ def suppressed(rows: DataFrame, emails: DataFrame, domains: DataFrame, email: st
 
 def slots(rows: DataFrame, group: str, order: list[Column], start: int, end: int, interval: int) -> DataFrame:
     """rows with day and minute: the k-th of a group gets the k-th slot of `interval` minutes between start and end, day after day."""
+    from leadline.operators.ordered import ranked_in
+
     per_day = (end - start) // interval + 1
-    k = F.row_number().over(Window.partitionBy(group).orderBy(*order)) - 1
-    return rows.withColumn("_k", k).withColumn("day", F.floor(F.col("_k") / per_day).cast("long")).withColumn("minute", (F.lit(start) + (F.col("_k") % per_day) * interval).cast("long")).drop("_k")
+    placed = ranked_in(rows, [group], *order, name="_k").withColumn("_k", F.col("_k") - 1)
+    return placed.withColumn("day", F.floor(F.col("_k") / per_day).cast("long")).withColumn("minute", (F.lit(start) + (F.col("_k") % per_day) * interval).cast("long")).drop("_k")
 
 
 def latest_before(asks: DataFrame, facts: DataFrame, key: str, at: str, fact_at: str, days: int, value: str) -> DataFrame:
@@ -92,11 +94,50 @@ def match_notices(notices: DataFrame, messages: DataFrame, days: int = 3) -> Dat
     return out.select("notice_id", F.coalesce("by_ref", "by_gmail", "by_time").alias("message_id"), tier.alias("tier"))
 
 
-def bounce_actions(rows: DataFrame, recipient: str, order: list[str], budget: int = 3) -> DataFrame:
-    """rows with an action: kinds that say the mailbox is lost suppress at once, soft ones when the recipient has had `budget` of them, the row's own included; the rest only count."""
-    soft = F.count_if(F.col("kind") == "soft").over(Window.partitionBy(recipient).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    lost = F.col("kind").isin("spam_rejected", "hard", "invalid_domain", "mailbox_full", "blocked")
-    return rows.withColumn("_soft", soft).withColumn("action", F.when(lost | ((F.col("kind") == "soft") & (F.col("_soft") >= budget)), "suppress").otherwise("count")).drop("_soft")
+#: Kinds of bounces that lose an address at once, what is done then, and the state that the message gets; all others are soft.
+LOST = {"spam_rejected": ("suppressed_spam", "spam_complaint"), "hard": ("suppressed_hard", "hard_bounce"), "invalid_domain": ("suppressed_hard", "hard_bounce"), "mailbox_full": ("suppressed_hard", "hard_bounce"), "blocked": ("suppressed_blocked", "blocked")}
+#: Soft bounces that an address may have before it is lost.
+BUDGET = 3
+
+
+def bounce_actions(rows: DataFrame, recipient: str, order: list[str], budget: int = BUDGET) -> DataFrame:
+    """rows (with `kind`) with action and message_status: what each bounce leads to, in the order in which they came.
+
+    Kinds of LOST suppress at once. Every other kind is retried while the recipient has had fewer than `budget` bounces of kind soft, the row's own
+    included, and suppresses from then on. Only a recipient's first `budget` soft bounces are looked for, which a task finds among its own rows
+    before any go to another, and are joined back; no recipient's bounces stand in one window.
+    """
+    at = F.struct(*order)
+    firsts = top_by(rows.where("kind = 'soft'"), [recipient], [F.col(o) for o in order], budget).groupBy(recipient).agg(F.collect_list(at).alias("_softs"))
+    from leadline.operators.ordered import grouped_join
+
+    joined = grouped_join(rows, firsts, [recipient], order[-1], how="left").withColumn("_soft", F.size(F.filter(F.coalesce("_softs", F.array()), lambda x: x <= at)))
+    k, action, status = F.col("kind"), None, None
+    for kind, (does, becomes) in LOST.items():
+        action = F.when(k == kind, does) if action is None else action.when(k == kind, does)
+        status = F.when(k == kind, becomes) if status is None else status.when(k == kind, becomes)
+    again = F.concat(F.lit("soft_retry ("), F.col("_soft"), F.lit(f"/{budget})"))
+    action = action.when(F.col("_soft") >= budget, "suppressed_soft_exhausted").otherwise(again)
+    return joined.select(*rows.columns, action.alias("action"), status.otherwise("soft_bounce").alias("message_status"))
+
+
+#: Why an address is suppressed, by what was done.
+REASONS = {"suppressed_spam": "Spam rejection", "suppressed_hard": "Hard bounce", "suppressed_blocked": "Blocked by recipient server", "suppressed_soft_exhausted": f"Repeated soft bounces ({BUDGET})"}
+
+
+def suppressed_by_bounce(actions: DataFrame, recipient: str, order: list[str]) -> DataFrame:
+    """(email, reason): addresses in lower case that a bounce suppressed, with the reason of the first that did."""
+    lost = actions.where(F.col("action").startswith("suppressed"))
+    reason = F.create_map(*[F.lit(x) for kv in REASONS.items() for x in kv])[F.col("action")]
+    return lost.groupBy(F.lower(recipient).alias("email")).agg(F.min_by(reason, F.struct(*order)).alias("reason"))
+
+
+def upsert_suppressions(there: DataFrame, lost: DataFrame) -> DataFrame:
+    """(email, reason, permanent): the list that is there (id, email, reason, permanent), one row an address whatever its case, and those that bounces
+    lost (email, reason): new ones are added, known ones keep their reason; both are permanent from then on."""
+    known = there.where("email IS NOT NULL").groupBy(F.lower("email").alias("email")).agg(F.min_by("reason", "id").alias("_reason"), F.bool_or("permanent").alias("_permanent"))
+    both = known.join(lost.withColumn("_lost", F.lit(True)), "email", "full_outer")
+    return both.select("email", F.coalesce("_reason", "reason").alias("reason"), F.coalesce(F.col("_lost"), F.col("_permanent")).alias("permanent"))
 
 
 def plan_recipients(contacts: DataFrame, messages: DataFrame, role: list[str] | None = None, exclude_keywords: list[str] | None = None, include_roles: list[str] | None = None) -> DataFrame:

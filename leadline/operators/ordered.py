@@ -76,7 +76,7 @@ def ranked_in(df: DataFrame, group: list[str], *order: str | Column, name: str =
     return grouped_join(rows, first, group).withColumn(name, F.col("_place") - F.col("_begin") + 1).drop("_place", "_begin")
 
 
-def grouped_join(rows: DataFrame, groups: DataFrame, keys: list[str], spread: str = "_place", hot: int = 1 << 20) -> DataFrame:
+def grouped_join(rows: DataFrame, groups: DataFrame, keys: list[str], spread: str = "_place", hot: int = 1 << 20, how: str = "inner") -> DataFrame:
     """rows with the columns of their group (one row a group, null-safe keys); groups of more than `hot` rows are split by `spread`.
 
     At most one group in `hot` rows can be that large, which bounds what is broadcast.
@@ -87,5 +87,5 @@ def grouped_join(rows: DataFrame, groups: DataFrame, keys: list[str], spread: st
     left = rows.join(F.broadcast(on), meet(rows), "left").withColumn("_salt", F.pmod(F.xxhash64(spread), F.coalesce("_salts", F.lit(1))).cast("int")).select(*map(quoted, rows.columns), "_salt")
     right = groups.join(F.broadcast(on), meet(groups), "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).select(*map(quoted, groups.columns), "_salt")
     right = right.withColumnsRenamed({k: f"_k{i}" for i, k in enumerate(keys)} | {"_salt": "_s"})
-    out = left.join(right, [left[quoted(k)].eqNullSafe(right[f"_k{i}"]) for i, k in enumerate(keys)] + [left["_salt"] == right["_s"]])
+    out = left.join(right, [left[quoted(k)].eqNullSafe(right[f"_k{i}"]) for i, k in enumerate(keys)] + [left["_salt"] == right["_s"]], how)
     return out.select(*map(quoted, rows.columns), *[quoted(c) for c in groups.columns if c not in keys])

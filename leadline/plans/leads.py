@@ -9,6 +9,7 @@ from leadline import functions as fn
 from leadline import operators as op
 from leadline.functions import people, web
 from leadline.model import frame, sql
+from leadline.operators.ordered import ranked_in
 from leadline.plans.checks import DECIDED, RULES, STAGED, staged
 from leadline.plans.registry import query
 
@@ -45,7 +46,7 @@ def sales_leads(spark: SparkSession, d: str) -> DataFrame:
     companies = frame(spark, d, "companies").select("company_id", F.col("phone").alias("company_phone"))
     lost = frame(spark, d, "suppressions").select(F.col("suppression_id").alias("contact_id"))
     now = frame(spark, d, "contacts").where("final_email_status = 'VERIFIED'").join(lost, "contact_id", "left_anti").join(companies, "company_id").join(seen, "company_id", "left")
-    now = op.ranked(now, ["job_id"], [F.desc("primary_contact"), F.desc("confidence"), F.col("contact_id")], "rank")
+    now = ranked_in(now, ["job_id"], F.desc("primary_contact"), F.desc("confidence"), "contact_id", name="rank")
     now = now.select("contact_id", "rank", F.coalesce("phone", "company_phone").alias("phone"), F.coalesce("source_summary", F.lit("")).alias("source_summary"), F.lit(True).alias("_now"))
     was = frame(spark, d, "contacts").where("sales_ready").select("contact_id")
     return now.join(was, "contact_id", "full_outer").select("contact_id", F.col("_now").isNull().alias("tombstoned"), "rank", "phone", "source_summary")
@@ -78,14 +79,36 @@ def schedule_summary(spark: SparkSession, d: str) -> DataFrame:
     return campaign_schedule(spark, d).groupBy("campaign_id").agg(F.count("*").alias("messages"), F.count_if("render_failed").alias("render_failed"), F.max(F.col("day") * 1440 + F.col("minute")).alias("last_minute"))
 
 
-@query(sql("""SELECT bounce_id, CASE WHEN bounce_type = 'spam_rejected' THEN 'spam' WHEN bounce_type IN ('hard', 'mailbox_full', 'invalid_domain') THEN 'hard' WHEN bounce_type = 'soft' AND softs >= 3 THEN 'budget' ELSE 'counted' END AS action, bounce_type IN ('spam_rejected', 'hard', 'mailbox_full', 'invalid_domain') OR (bounce_type = 'soft' AND softs >= 3) AS suppressed FROM (SELECT *, count(*) FILTER (bounce_type = 'soft') OVER (PARTITION BY contact_id % 50 ORDER BY detected_at, bounce_id ROWS UNBOUNDED PRECEDING) AS softs FROM bounces)"""))
+#: What each bounce of an address leads to, after the rules for bounces: softs counts its soft bounces until then.
+OUTCOME = """SELECT bounce_id, detected_at, lower(email) AS email, CASE WHEN bounce_type = 'spam_rejected' THEN 'Spam rejection' WHEN bounce_type IN ('hard', 'mailbox_full', 'invalid_domain') THEN 'Hard bounce' WHEN bounce_type = 'blocked' THEN 'Blocked by recipient server' WHEN softs >= 3 THEN 'Repeated soft bounces (3)' END AS lost, softs FROM (SELECT *, count(*) FILTER (bounce_type = 'soft') OVER (PARTITION BY lower(email) ORDER BY detected_at, bounce_id ROWS UNBOUNDED PRECEDING) AS softs FROM bounces)"""
+
+
+def outcomes(spark: SparkSession, d: str) -> DataFrame:
+    """Every bounce with what it leads to, by the address in lower case."""
+    b = frame(spark, d, "bounces").select("bounce_id", F.col("bounce_type").alias("kind"), F.lower("email").alias("email"), "detected_at")
+    return op.bounce_actions(b, "email", ["detected_at", "bounce_id"])
+
+
+@query(sql(f"""SELECT bounce_id, lost IS NOT NULL AS suppressed, CASE WHEN lost IS NULL THEN softs END AS softs FROM ({OUTCOME})"""))
 def bounce_outcomes(spark: SparkSession, d: str) -> DataFrame:
-    """OP-M15, A16: spam and hard bounces suppress at once, soft ones when the budget of three is spent; the rest only count (addresses stand together by mailbox)."""
-    b = frame(spark, d, "bounces").select("bounce_id", F.col("bounce_type").alias("kind"), (F.col("contact_id") % 50).alias("mailbox"), "detected_at")
-    out = op.bounce_actions(b, "mailbox", ["detected_at", "bounce_id"])
-    k, lost = F.col("kind"), F.col("action") == "suppress"
-    named = F.when(k == "spam_rejected", "spam").when(k.isin("hard", "mailbox_full", "invalid_domain"), "hard").when(lost, "budget").otherwise("counted")
-    return out.select("bounce_id", named.alias("action"), lost.alias("suppressed"))
+    """OP-M15, A16: whether a bounce loses its address, and if not how many soft ones it has had."""
+    lost = F.col("action").startswith("suppressed")
+    return outcomes(spark, d).select("bounce_id", lost.alias("suppressed"), F.when(~lost, F.regexp_extract("action", r"(\d+)/", 1).cast("long")).alias("softs"))
+
+
+@query(sql(f"""SELECT coalesce(s.email, n.email) AS email, coalesce(s.reason, n.reason) AS reason, n.email IS NOT NULL OR s.permanent AS permanent FROM (SELECT lower(email) AS email, arg_min(reason, suppression_id) AS reason, bool_or(permanent) AS permanent FROM suppressions WHERE email IS NOT NULL GROUP BY 1) s FULL JOIN (SELECT email, arg_min(lost, (detected_at, bounce_id)) AS reason FROM ({OUTCOME}) WHERE lost IS NOT NULL GROUP BY 1) n ON s.email = n.email"""))
+def suppression_upsert(spark: SparkSession, d: str) -> DataFrame:
+    """OP-M16: the suppression list after all bounces: spam, hard bounces, blocks and a spent budget add an address for good, or make a known one permanent."""
+    there = frame(spark, d, "suppressions").select(F.col("suppression_id").alias("id"), "email", "reason", "permanent")
+    return op.upsert_suppressions(there, op.suppressed_by_bounce(outcomes(spark, d), "email", ["detected_at", "bounce_id"]))
+
+
+@query(sql(f"""SELECT lead_id, tombstoned OR b.email IS NOT NULL AS tombstoned, CASE WHEN b.email IS NOT NULL THEN 'bounced' ELSE 'none' END AS campaign_status FROM leads l LEFT JOIN (SELECT DISTINCT email FROM ({OUTCOME}) WHERE lost IS NOT NULL) b ON lower(l.email) = b.email"""))
+def tombstones(spark: SparkSession, d: str) -> DataFrame:
+    """OP-M17: leads whose address any bounce lost are tombstoned, whatever the case of its letters."""
+    lost = op.suppressed_by_bounce(outcomes(spark, d), "email", ["detected_at", "bounce_id"]).select(F.col("email").alias("lost"))
+    out = frame(spark, d, "leads").join(lost, F.lower("email") == F.col("lost"), "left")
+    return out.select("lead_id", (F.col("tombstoned") | F.col("lost").isNotNull()).alias("tombstoned"), F.when(F.col("lost").isNotNull(), "bounced").otherwise("none").alias("campaign_status"))
 
 
 @query(sql("""SELECT audit, actor, what FROM (SELECT e.event_id AS audit, user_name AS actor, event_type AS what, ts FROM events e LEFT JOIN users u ON e.user_id = u.user_id WHERE lower(event_type) LIKE '%log%' OR lower(coalesce(props, '')) LIKE '%"k": 7%' OR lower(coalesce(event_id::VARCHAR, '')) LIKE '%99%') ORDER BY ts DESC, audit LIMIT 500"""))

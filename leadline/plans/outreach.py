@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from leadline import functions as fn
 from leadline import operators as op
 from leadline.functions import web
+from leadline.operators.ordered import ranked_in
 from leadline.plans.registry import query
 from leadline.plans.web import TITLES, pick, sql_case, sql_list, sql_pick
 from leadline.sources import table
@@ -92,20 +93,14 @@ def bounce_classify(spark: SparkSession, d: str) -> DataFrame:
     return bounces(spark, d).groupBy("kind").agg(F.count("*").alias("n"))
 
 
-ACTION = "CASE WHEN kind IN ('spam_rejected', 'hard', 'invalid_domain', 'mailbox_full', 'blocked') THEN 'suppress' WHEN kind = 'soft' AND soft >= 3 THEN 'suppress' ELSE 'count' END"
+ACTION = "CASE WHEN kind = 'spam_rejected' THEN 'suppressed_spam' WHEN kind IN ('hard', 'invalid_domain', 'mailbox_full') THEN 'suppressed_hard' WHEN kind = 'blocked' THEN 'suppressed_blocked' WHEN soft >= 3 THEN 'suppressed_soft_exhausted' ELSE 'soft_retry (' || soft || '/3)' END"
+BECOMES = "CASE WHEN kind = 'spam_rejected' THEN 'spam_complaint' WHEN kind IN ('hard', 'invalid_domain', 'mailbox_full') THEN 'hard_bounce' WHEN kind = 'blocked' THEN 'blocked' ELSE 'soft_bounce' END"
 
 
-@query(f"""SELECT message, line, kind, {ACTION} AS action FROM (SELECT message, line, kind, count(*) FILTER (kind = 'soft') OVER (PARTITION BY recipient ORDER BY seen_at, message, line ROWS UNBOUNDED PRECEDING) AS soft FROM (SELECT *, {KIND} AS kind FROM ({BOUNCE})))""")
+@query(f"""SELECT message, line, kind, {ACTION} AS action, {BECOMES} AS message_status FROM (SELECT message, line, kind, count(*) FILTER (kind = 'soft') OVER (PARTITION BY recipient ORDER BY seen_at, message, line ROWS UNBOUNDED PRECEDING) AS soft FROM (SELECT *, {KIND} AS kind FROM ({BOUNCE})))""")
 def bounce_actions(spark: SparkSession, d: str) -> DataFrame:
-    """OP-M15, A16: what a bounce leads to; the third soft one of a recipient suppresses."""
-    return op.bounce_actions(bounces(spark, d), "recipient", ["seen_at", "message", "line"]).select("message", "line", "kind", "action")
-
-
-@query(f"""SELECT recipient, arg_min(kind, (seen_at, message, line)) AS reason, bool_or(kind IN ('hard', 'spam_rejected')) AS permanent FROM (SELECT *, {KIND} AS kind FROM ({BOUNCE})) WHERE kind <> 'unknown' GROUP BY 1""")
-def suppression_upsert(spark: SparkSession, d: str) -> DataFrame:
-    """OP-M16: one row per recipient, the first reason, permanent if any was."""
-    rows = bounces(spark, d).where("kind <> 'unknown'")
-    return rows.groupBy("recipient").agg(F.min_by("kind", F.struct("seen_at", "message", "line")).alias("reason"), F.bool_or(F.col("kind").isin("hard", "spam_rejected")).alias("permanent"))
+    """OP-M15, A16: what a bounce leads to: spam, hard ones and blocks suppress at once, every other one once the recipient has had three soft ones."""
+    return op.bounce_actions(bounces(spark, d), "recipient", ["seen_at", "message", "line"]).select("message", "line", "kind", "action", "message_status")
 
 
 @query(f"""SELECT id, CASE WHEN status = 'sent' AND sent_at <= TIMESTAMP '1997-01-01' - INTERVAL 3 HOUR AND id NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R') THEN 'delivered' ELSE status END AS status FROM ({MESSAGES})""")
@@ -196,9 +191,8 @@ def sales_ready(spark: SparkSession, d: str) -> DataFrame:
     """OP-M07, W01, W03, S43: eligible contacts with their rank; those that were and no longer are become tombstones."""
     k = F.col("c_custkey")
     rows = table(spark, d, "customer").select(k.alias("id"), F.col("c_nationkey").alias("company"), F.round(F.abs("c_acctbal") / 10000, 3).alias("confidence"), (k % 5 != 0).alias("now_ok"), (k % 3 == 0).alias("was")).where("now_ok or was")
-    rank = F.row_number().over(Window.partitionBy("company").orderBy(~F.col("now_ok"), F.desc("confidence"), "id"))
-    ranked = rows.withColumn("r", rank)
-    return ranked.select("id", F.when(F.col("now_ok"), "materialised").otherwise("tombstoned").alias("state"), F.when(F.col("now_ok"), F.col("r")).alias("rank"))
+    ranked = ranked_in(rows, ["company"], ~F.col("now_ok"), F.desc("confidence"), "id", name="r")
+    return ranked.select("id", F.when(F.col("now_ok"), "materialised").otherwise("tombstoned").alias("state"), F.when(F.col("now_ok"), F.col("r")).cast("int").alias("rank"))
 
 
 @query("""SELECT o_custkey AS id, max(o_totalprice) AS confidence, arg_min(o_orderstatus, o_orderkey) FILTER (o_orderstatus <> 'P') AS title, array_to_string(list_sort(list_distinct(list(o_orderpriority))), ',') AS candidates FROM orders GROUP BY 1""")
