@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leadline.llm.common import byte_sizes, slices, tidied
+from leadline.llm.common import by_place, byte_sizes, slices, tidied
 
 NEVER = 1 << 62
 #: Pieces longer than this are merged with a heap: a scan for each merge would take quadratic time.
@@ -37,11 +37,51 @@ ODD_SPACE = regex.compile("[\x1c-\x1f]")
 SPACE = regex.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 
 
+def points(ranges: str) -> list[int]:
+    return [c for r in ranges.split() for c in range(int(r.partition("-")[0], 16), int(r.rpartition("-")[2], 16) + 1)]
+
+
+#: Where the tokenizers library's Unicode tables are not those of Unicode 15.1, which Python 3.13 has. Letters and numbers that came later;
+#: capitals of letters that came later, by ranges with the distance to their small letters; and combining marks that its composing tables,
+#: which are older, don't know (U+11930 among them, as one half of a composition).
+LATER_LETTERS = points("1C89-1C8A A7CB-A7CD A7DA-A7DC 105C0-105F3 10D4A-10D65 10D6F-10D85 10EC2-10EC4 11380-11389 1138B 1138E 11390-113B5 113B7 113D1 113D3 11BC0-11BE0 13460-143FA 16100-1611D 16D40-16D6C 18CFF 1E5D0-1E5ED 1E5F0")
+LATER_NUMBERS = points("10D40-10D49 116D0-116E3 11BF0-11BF9 16130-16139 16D70-16D79 1CCF0-1CCF9 1E5F1-1E5FA")
+LATER_LOWER = {c: c + by for r, by in (("1C89 A7CC A7CE A7D2 A7D4 A7DA", 1), ("10D50-10D65", 0x20), ("16EA0-16EB8", 0x1B)) for c in points(r)} | {0xA7CB: 0x264, 0xA7DC: 0x19B}
+UNKNOWN_MARKS = points("7FD 898-89F 8CA-8D3 9FE C3C D3B-D3C EBA 1715 1ABF-1ACE 1DF6-1DFA A82C 10D24-10D27 10EAB-10EAC 10EFD-10EFF 10F46-10F50 10F82-10F85 11070 1133B 1145E 11839-1183A 11930 1193D-1193E 11943 119E0 11A34 11A47 11A99 11D42 11D44-11D45 11D97 11F41-11F42 16FF0-16FF1 1E08F 1E130-1E136 1E2AE 1E2EC-1E2EF 1E4EC-1E4EF")
+
+
+def one_of(code_points) -> regex.Pattern:
+    return regex.compile("([" + "".join(f"\\U{c:08x}" for c in code_points) + "])")
+
+
+MARK, LATER_CAPITAL = one_of(UNKNOWN_MARKS), one_of(LATER_LOWER)
+
+
+def composed(text: str) -> str:
+    """NFC as the library composes: a mark that it doesn't know is a letter of its own to it, which neither moves nor joins others."""
+    if not MARK.search(text):
+        return unicodedata.normalize("NFC", text)
+    return "".join(part if i % 2 else unicodedata.normalize("NFC", part) for i, part in enumerate(MARK.split(text)))
+
+
+def lowered(text: str) -> str:
+    """Each letter alone in lower case: there is no final sigma."""
+    text = text.replace("Σ", "σ").lower()
+    return text.translate(LATER_LOWER) if LATER_CAPITAL.search(text) else text
+
+
 def piece_pattern() -> regex.Pattern:
-    """Letters, single digits, or anything else but white space; code points that Unicode 15 has not assigned are anything else."""
-    named = regex.compile(r"[\p{L}\p{N}]")
-    new = "".join(f"\\U{c:08x}" for c in range(0x110000) if unicodedata.category(chr(c)) == "Cn" and named.match(chr(c)))
-    letter, number = (f"[\\p{{{k}}}--[{new}]]" if new else f"\\p{{{k}}}" for k in "LN")
+    """Letters, single digits, or anything else but white space. The pattern module's tables are newer than the library's: of what Python
+    does not know as assigned, letters and numbers are those that the library takes for such."""
+    known = {"L": set(LATER_LETTERS), "N": set(LATER_NUMBERS)}
+
+    def named(kind: str) -> str:
+        here = regex.compile(f"\\p{{{kind}}}")
+        more = "".join(f"\\U{c:08x}" for c in range(0x110000) if c not in known[kind] and unicodedata.category(chr(c)) == "Cn" and here.match(chr(c)))
+        less = "".join(f"\\U{c:08x}" for c in known[kind] if not here.match(chr(c)))
+        return f"[\\p{{{kind}}}{less}--[{more}]]" if more else f"[\\p{{{kind}}}{less}]"
+
+    letter, number = named("L"), named("N")
     return regex.compile(f"(?V1)'s|'t|'re|'ve|'m|'ll|'d|{letter}+|{number}|[^\\s{letter}{number}]+")
 
 
@@ -169,9 +209,7 @@ class Bpe:
             if k % 2:
                 out.append(part)
                 continue
-            if not part.isascii():
-                part = unicodedata.normalize("NFC", part).replace("Σ", "σ")  # each letter alone: no final sigma
-            part = part.lower()
+            part = part.lower() if part.isascii() else lowered(composed(part))
             for c in part.split() if not ODD_SPACE.search(part) else SPACE.split(part):
                 if c.isalpha():
                     out.append(c)
@@ -204,9 +242,12 @@ def load(path: str) -> Bpe:
 
 
 def encode_decode(docs: DataFrame, path: str, text: str = "text", ids: str = "bpe_ids", decoded: str = "bpe_decoded") -> DataFrame:
-    """docs with the ids (array<int>) and the decoded text of each row; columns of these names are replaced.
+    """docs with the ids (array<int>) and the decoded text of each row; columns of these names are replaced, others may have any name."""
+    return by_place(docs, (ids, decoded), lambda rows, names: _encode_decode(rows, path, names[docs.columns.index(text)], ids, decoded))
+
 
-    Work is one pass without a shuffle. Output batches are cut to a few MB, so that memory doesn't
+def _encode_decode(docs: DataFrame, path: str, text: str, ids: str, decoded: str) -> DataFrame:
+    """Work is one pass without a shuffle. Output batches are cut to a few MB, so that memory doesn't
     follow the number of tokens.
     """
     kept = [f for f in docs.schema.fields if f.name not in (ids, decoded)]

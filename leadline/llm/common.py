@@ -6,6 +6,7 @@ import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -44,29 +45,53 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+class Workspace:
+    """A folder of its own for what a run writes on its way, in this thread: everything materialized inside goes when it ends.
+
+    What is materialized outside of any workspace lies in the session's folder, which goes with the session's JVM.
+    """
+
+    _held: ContextVar[str | None] = ContextVar("workspace", default=None)
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.path = spark, f"{checkpoint_dir(spark)}/{uuid.uuid4().hex}-run"
+
+    def __enter__(self) -> Workspace:
+        self._token = self._held.set(self.path)
+        return self
+
+    def __exit__(self, *_) -> None:
+        self._held.reset(self._token)
+        drop(self.spark, self.path)
+
+    @classmethod
+    def folder(cls, spark: SparkSession) -> str:
+        if held := cls._held.get():
+            return held
+        path = f"{checkpoint_dir(spark)}/session-{spark.sparkContext.applicationId}"
+        fs, p = _path(spark, path)
+        if not fs.exists(p):
+            fs.mkdirs(p)
+            fs.deleteOnExit(p)
+        return path
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Written once to the shared folder and read back: later steps neither recompute nor lose it with an executor."""
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark)}/{uuid.uuid4().hex}"
+    path = f"{Workspace.folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: Folders that materialize() wrote in this process, oldest first.
-WRITTEN: list[str] = []
-
-
-def sweep(spark: SparkSession, since: int) -> None:
-    """Deletes what materialize() wrote after the first `since` folders: for when what was made of them is itself written."""
-    for path in WRITTEN[since:]:
-        drop(spark, path)
-    del WRITTEN[since:]
+def _path(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
 def drop(spark: SparkSession, path: str) -> None:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    fs, p = _path(spark, path)
+    fs.delete(p, True)
 
 
 def by_place(df: DataFrame, made: Sequence[str], run: Callable[[DataFrame, list[str]], DataFrame]) -> DataFrame:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadline.llm.common import byte_sizes, materialize, slices, tidied, words
+from leadline.llm.common import by_place, byte_sizes, materialize, slices, tidied, words
 
 class FmIndex:
     """Over a sequence of small non-negative ints; 0 parts texts and is never searched."""
@@ -202,9 +202,14 @@ def _shard(texts: list[str | None], w: Windows) -> list[tuple[int, list[tuple[in
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", size: int = 13, shard_bytes: int = 8 << 20, block_bytes: int = 16 << 20) -> DataFrame:
-    """docs with n_words, spans (array<struct<start,end>> in words), items (array<string>, sorted) and n_hit; columns of these names are replaced.
+    """docs with n_words, spans (array<struct<start,end>> in words), items (array<string>, sorted) and n_hit; columns of these names are replaced,
+    others may have any name."""
+    made = ("n_words", "spans", "items", "n_hit")
+    return by_place(docs, made, lambda rows, names: _decontaminate(rows, benchmark, names[docs.columns.index(text)], item, item_text, size, shard_bytes, block_bytes))
 
-    One pass over the documents for each benchmark block of about `block_bytes` bytes, each merging its spans and items into
+
+def _decontaminate(docs: DataFrame, benchmark: DataFrame, text: str, item: str, item_text: str, size: int, shard_bytes: int, block_bytes: int) -> DataFrame:
+    """One pass over the documents for each benchmark block of about `block_bytes` bytes, each merging its spans and items into
     the last one's, which were written: a pass holds and sends one block. Nothing is shuffled.
     """
     sized = benchmark.select(F.col(f"`{item}`").cast("string").alias("i"), F.col(f"`{item_text}`").alias("t"))

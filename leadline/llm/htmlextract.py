@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leadline.llm.common import byte_sizes, slices, tidied
+from leadline.llm.common import by_place, byte_sizes, slices, tidied
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<raw>.*?)(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*+)(?P<attrs>(?:[^>=]++|=\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z))?+)*+)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([a-zA-Z_:][-a-zA-Z0-9_:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -425,17 +425,19 @@ def main_text(page: str | None) -> str:
 
 
 def extract(pages: DataFrame, html: str = "html", out: str = "text") -> DataFrame:
-    """pages with the main text of each; a column of that name is replaced. One pass without a shuffle."""
-    kept = [f for f in pages.schema.fields if f.name != out or f.name == html]
-    at, keep = pages.columns.index(html), [pages.columns.index(f.name) for f in kept]
-    if any(f.name == out for f in kept):
+    """pages with the main text of each; a column of that name is replaced, others may have any name. One pass without a shuffle."""
+    if html == out:
         raise ValueError("the html column can't be the output")
-    schema = T.StructType([*kept, T.StructField(out, T.StringType())])
+    return by_place(pages, (out,), lambda rows, names: _extract(rows, names[pages.columns.index(html)], out))
+
+
+def _extract(pages: DataFrame, html: str, out: str) -> DataFrame:
+    at, schema = pages.columns.index(html), T.StructType([*pages.schema.fields, T.StructField(out, T.StringType())])
 
     def run(batches):
         for b in batches:
             for i, j in slices(byte_sizes(b.column(at)), 4 << 20):
                 part = b.slice(i, j - i)
-                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keep), pa.array([main_text(x) for x in part.column(at).to_pylist()], pa.string())], schema.names)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([main_text(x) for x in part.column(at).to_pylist()], pa.string())], schema.names)
 
-    return pages.select([F.col(f"`{c}`") for c in pages.columns]).mapInArrow(tidied(run), schema)
+    return pages.mapInArrow(tidied(run), schema)

@@ -73,7 +73,7 @@ def _features(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
                 d = [digest(s) for s in sets]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([x[0] for x in d], pa.int64()), pa.array([x[1] for x in d], pa.int64()), pa.array([parity(s) for s in sets], pa.binary())], [key, "n", "d1", "d2", "bits"])
 
-    return docs.select(F.col(key).cast("long"), F.col(text)).mapInArrow(tidied(run), f"{key} long, n long, d1 long, d2 long, bits binary")
+    return docs.select(F.col(f"`{key}`").cast("long").alias(key), F.col(f"`{text}`").alias("t")).mapInArrow(tidied(run), f"`{key}` long, n long, d1 long, d2 long, bits binary")
 
 
 def _columns(docs: DataFrame, text: str, size: int, percent: int) -> DataFrame:
@@ -86,7 +86,7 @@ def _columns(docs: DataFrame, text: str, size: int, percent: int) -> DataFrame:
                 ids = np.repeat(np.array([digest(s)[0] for s in sets], np.int64), [len(x) for x in held])
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(held).view(np.int64)), pa.array(ids)], ["h", "d1"])
 
-    return docs.select(text).mapInArrow(tidied(run), "h long, d1 long")
+    return docs.select(F.col(f"`{text}`").alias("t")).mapInArrow(tidied(run), "h long, d1 long")
 
 
 def _shared(batches):
@@ -313,7 +313,7 @@ def _verify(pairs: DataFrame, reps: DataFrame, docs: DataFrame, key: str, text:
     ids = materialize(pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct())
     if ids.count() <= FEW_IDS:  # else the texts are shuffled to meet them
         ids = F.broadcast(ids)
-    texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t")).join(ids, "id", "left_semi").dropDuplicates(["id"])
+    texts = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("t")).join(ids, "id", "left_semi").dropDuplicates(["id"])
     sets = materialize(texts.mapInArrow(tidied(run), "id long, s array<long>"))
 
     def overlap(batches):
@@ -367,5 +367,5 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     more = _verify(_unlinked(sort(some, "h", "i", "j"), percent), reps, docs, key, text, size, percent)
     final = components(named.selectExpr("node as u", "component as v").union(more))
     whole = reps.join(final, F.col("rep") == F.col("node"), "left").select("d1", "d2", F.coalesce("component", "rep").alias("component"))
-    component = F.when(F.col(key).isNotNull(), F.coalesce("component", key)).alias("component_id")
+    component = F.when(F.col(f"`{key}`").isNotNull(), F.coalesce("component", key)).alias("component_id")
     return features.join(whole, ["d1", "d2"], "left").select(key, F.col("n").alias("n_shingles"), component)

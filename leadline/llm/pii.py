@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leadline.llm.common import byte_sizes, slices, tidied
+from leadline.llm.common import by_place, byte_sizes, slices, tidied
 
 KINDS = ("email", "ip", "card", "phone")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -374,7 +374,11 @@ SPAN = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start
 
 
 def find_pii(docs: DataFrame, model: BiLstmCrf | None = None, text: str = "text", out: str = "pii_spans") -> DataFrame:
-    """docs with array<struct<kind,start,end,base>> by start, then kind as listed; a column of that name is replaced."""
+    """docs with array<struct<kind,start,end,base>> by start, then kind as listed; a column of that name is replaced, others may have any name."""
+    return by_place(docs, (out,), lambda rows, names: _find_pii(rows, model, names[docs.columns.index(text)], out))
+
+
+def _find_pii(docs: DataFrame, model: BiLstmCrf | None, text: str, out: str) -> DataFrame:
     model = model or train(docs, text)
     kept = [f for f in docs.schema.fields if f.name != out]
     at, keep = docs.columns.index(text), [docs.columns.index(f.name) for f in kept]

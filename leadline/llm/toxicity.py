@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leadline.llm.common import ALNUM, byte_sizes, slices, tidied
+from leadline.llm.common import ALNUM, by_place, byte_sizes, slices, tidied
 from leadline.llm.shingles import BYTES, U, mix, powers, raw
 
 #: Code points of the word beginnings that are terms, where the word goes on.
@@ -225,11 +225,11 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     and can be broadcast: no text is shuffled. Only the terms of the sample's texts reach the driver; a second pass over all
     documents counts how many hold each of them, each partition adding up its own before they meet.
     """
-    every = labels.select(F.col(key).cast("long").alias("key"), (F.col(label).cast("int") > 0).cast("int").alias("y")).dropna().distinct().withColumn("h", F.xxhash64("key"))
+    every = labels.select(F.col(f"`{key}`").cast("long").alias("key"), (F.col(f"`{label}`").cast("int") > 0).cast("int").alias("y")).dropna().distinct().withColumn("h", F.xxhash64("key"))
     counts = {r["y"]: r["count"] for r in every.groupBy("y").count().collect()}
     last = {y: every.where(F.col("y") == y).select("h").orderBy("h").limit(max(1, sample // 2)).agg(F.max("h")).head()[0] for y in counts}
     some = every.where(F.expr("false") if not last else F.expr(" or ".join(f"(y = {y} and h <= {h})" for y, h in last.items()))).select("key", "y")
-    few = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("t")).join(F.broadcast(some), "key").select("key", "y", "t")
+    few = docs.select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{text}`").alias("t")).join(F.broadcast(some), "key").select("key", "y", "t")
 
     def counted(batches):
         for b in batches:
@@ -259,7 +259,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
     documents, frequency = 1, np.ones(len(vocabulary))
     if len(vocabulary):
-        sums = docs.select(text).mapInArrow(tidied(held), "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).toArrow()
+        sums = docs.select(F.col(f"`{text}`").alias("t")).mapInArrow(tidied(held), "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).toArrow()
         at, n = sums.column("i").to_numpy(), sums.column("n").to_numpy()
         documents = int(n[at < 0][0])
         frequency[at[at >= 0]] = n[at >= 0]
@@ -270,7 +270,11 @@ NEAR = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("cosin
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", out: str = "toxicity", evidence: str = "toxicity_evidence") -> DataFrame:
-    """docs with a score (double) and its evidence (array<struct<doc_id,cosine>>); columns of these names are replaced."""
+    """docs with a score (double) and its evidence (array<struct<doc_id,cosine>>); columns of these names are replaced, others may have any name."""
+    return by_place(docs, (out, evidence), lambda rows, names: _score(rows, model, names[docs.columns.index(text)], out, evidence))
+
+
+def _score(docs: DataFrame, model: Model, text: str, out: str, evidence: str) -> DataFrame:
     kept = [f for f in docs.schema.fields if f.name not in (out, evidence)]
     at, keep = docs.columns.index(text), [docs.columns.index(f.name) for f in kept]
     schema = T.StructType([*kept, T.StructField(out, T.DoubleType()), T.StructField(evidence, T.ArrayType(NEAR))])

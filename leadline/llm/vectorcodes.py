@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leadline.llm.common import checkpoint_dir, drop, materialize, skew_join, tidied
+from leadline.llm.common import Workspace, drop, materialize, skew_join, tidied
 
 #: Rows that a task compares at once.
 ROWS = 1 << 14
@@ -170,7 +170,7 @@ def train(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", sc
     if not books.size:
         return books
     dim = parts * books.shape[2]
-    folder = f"{checkpoint_dir(spark)}/{uuid.uuid4().hex}-lloyd"
+    folder = f"{Workspace.folder(spark)}/{uuid.uuid4().hex}-lloyd"
 
     def read(batches):
         for b in batches:

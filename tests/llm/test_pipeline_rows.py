@@ -45,10 +45,44 @@ def test_empty_table(spark, tmp_path):
 
 
 def test_clashing_names(spark):
-    names = ["toxicity", "toxicity_evidence", "n_words", "spans", "items", "n_hit", "pii_spans", "component_id", "n_shingles", "key", "h"]
+    names = ["toxicity", "toxicity_evidence", "n_words", "spans", "items", "n_hit", "pii_spans", "component_id", "n_shingles", "key", "h", "a.b", "two words", "text.x", "c0"]
     docs = table(spark, SMALL, "documents").limit(40).select("*", *[F.lit(f"own {n}").alias(n) for n in names])
     for _, stage in corpus_pipeline.STAGES[:-1]:
         docs = stage(spark, docs, SMALL)
         assert docs.columns == [*table(spark, SMALL, "documents").columns, *names]
     rows = docs.collect()
     assert rows and all(r[n] == f"own {n}" for r in rows for n in names)
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SMALL).columns[: len(docs.columns)] == docs.columns
+
+
+def test_stages_on_very_long_texts_and_ties(spark, tmp_path):
+    for name in ("labels", "benchmark"):
+        table(spark, SMALL, name).write.parquet(str(tmp_path / f"{name}.parquet"))
+    long = " ".join(f"w{i % 5003}" for i in range(300_000))
+    rows = [(1, long), (2, long), (3, "same words in all of these texts"), (4, "same words in all of these texts"), (4, "same words in all of these texts"), (None, "no id"), (5, None), (6, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], table(spark, SMALL, "documents").schema)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted((r["doc_id"] or -1, len(r["text"] or "")) for r in out) == [(-1, 5), (1, len(long)), (3, 32), (5, 0), (6, 0)]
+    assert {r["doc_id"]: r["n_tokens"] for r in out}[5] == 0
+
+
+def test_workspaces_go_and_are_apart(spark):
+    import threading
+
+    from leadline.llm.common import Workspace, materialize
+
+    seen = {}
+
+    def other():
+        seen["other"] = materialize(spark.range(3))
+
+    with Workspace(spark) as run:
+        inner = materialize(spark.range(5))
+        t = threading.Thread(target=other)
+        t.start()
+        t.join()
+        assert inner.inputFiles()[0].find(run.path.rpartition("/")[2]) > 0 and seen["other"].count() == 3
+    assert seen["other"].count() == 3
+    fs = spark._jvm.org.apache.hadoop.fs.Path(run.path).getFileSystem(spark._jsc.hadoopConfiguration())
+    assert not fs.exists(spark._jvm.org.apache.hadoop.fs.Path(run.path))

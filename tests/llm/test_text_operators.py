@@ -503,3 +503,52 @@ def test_toxicity_odd(spark):
     none = train(labelled.limit(0))
     assert one(none, "x") == 0.5 and not none.learnt and not train(labelled.where("toxic = 0")).learnt
     assert toxicity.score(odd(spark).limit(0), model).collect() == []
+
+
+# ---- the tokenizers library's Unicode
+
+
+def _library():
+    import tokenizers
+
+    return tokenizers.Tokenizer.from_file(queries.tokenizer_path())
+
+
+def _same(texts):
+    lib, own = _library(), bpe.load(queries.tokenizer_path())
+    got = own.encode(texts)
+    want = [e.ids for e in lib.encode_batch(texts, add_special_tokens=False)]
+    return [t for t, g, w in zip(texts, got, want) if np.frombuffer(g[0], np.int32).tolist() != w]
+
+
+def test_bpe_of_every_code_point():
+    every = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    assert _same([f"x{''.join(every[i : i + 8])}y {' '.join(every[i : i + 8])}" for i in range(0, len(every), 8)]) == []
+
+
+def test_bpe_of_runs_of_marks():
+    import unicodedata
+
+    marks = [chr(c) for c in range(0x20000) if unicodedata.combining(chr(c))]
+    odd = [chr(c) for c in (*bpe.UNKNOWN_MARKS, *bpe.LATER_LOWER, *bpe.LATER_LETTERS[:200], *bpe.LATER_NUMBERS)]
+    rng = np.random.default_rng(6)
+    pick = lambda xs, n: "".join(rng.choice(xs, n))
+    texts = ["e" + pick(marks, 3) + "x" for _ in range(20_000)] + [pick(odd + ["a", " ", "é", "Σ", "1", "가", "ᄀ", "ᅡ"], 5) for _ in range(10_000)]
+    texts += ["eྕ᪾x".replace("ྕ", "྇").replace("᪾", "ᪿ"), "\U00011935\U00011930", "ΑΣ ΑΣ", "İI"]
+    assert _same(texts) == []
+
+
+def test_columns_of_any_name(spark):
+    df = spark.createDataFrame([(1, "Hello a@b.org", "x", 2)], "`a.b` long, `the text` string, `c d` string, `text.x` int")
+    bench = spark.createDataFrame([(1, "hello a")], "item_id long, text string")
+    model = pii.BiLstmCrf()
+    labels = spark.createDataFrame([(1, 0)], "`a.b` long, toxic int")
+    for out in (
+        bpe.encode_decode(df, queries.tokenizer_path(), "the text"),
+        pii.find_pii(df, model, "the text"),
+        decontaminate.decontaminate(df, bench, "the text"),
+        htmlextract.extract(df, "the text"),
+        toxicity.score(df, toxicity.train(df, labels, "a.b", "the text"), "the text"),
+    ):
+        row = out.collect()[0]
+        assert out.columns[:4] == df.columns and tuple(row)[:4] == (1, "Hello a@b.org", "x", 2)
