@@ -4,18 +4,23 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leadline.llm import bpe, decontaminate, neardup, pii, toxicity
-from leadline.llm.common import WRITTEN, checkpoint_dir, drop, sweep, table
+from leadline.llm.common import Workspace, checkpoint_dir, drop, table
 from leadline.llm.queries import tokenizer_path, toxicity_model
 
 
+def quoted(columns: list[str]) -> list[Column]:
+    """Columns by their names as they are, whatever these hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in columns]
+
+
 def apart(docs: DataFrame, *names: str):
     """docs with columns of these names under others, and what gives a frame docs' columns back."""
     other = {c: f"_kept_{i}" for i, c in enumerate(docs.columns) if c in names}
-    return docs.withColumnsRenamed(other), lambda df: df.select(*[F.col(f"`{other.get(c, c)}`").alias(c) for c in docs.columns])
+    return docs.withColumnsRenamed(other), lambda df: df.select(*[x.alias(c) for x, c in zip(quoted([other.get(c, c) for c in docs.columns]), docs.columns)])
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +41,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Null and word-free texts and rows without id are in no group and stay; repeated rows of the least id all stay.
     """
     groups = neardup.near_duplicates(docs.select("doc_id", "text"))
-    return docs.join(groups.where("component_id <> doc_id").select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    return docs.join(groups.where("component_id <> doc_id").select("doc_id").distinct(), "doc_id", "left_anti").select(quoted(docs.columns))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,19 +71,16 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every stage over documents, each written as Parquet to the shared folder and read again.
 
-    A stage's own intermediate tables and its input go once its output is written; the last stage's input stays, as its result
-    is read from it.
+    A stage's own intermediate tables lie in a workspace that goes once its output is written, and its input goes with it; the last stage's
+    input stays, as its result is read from it.
     """
     docs, before = table(spark, sf_dir, "documents"), None
-    for k, (name, stage) in enumerate(STAGES):
-        mark = len(WRITTEN)
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            path = f"{checkpoint_dir(spark)}/{uuid.uuid4().hex}-{name}"
-            docs.write.parquet(path)
-            docs = spark.read.parquet(path)
-            sweep(spark, mark)
-            if before:
-                drop(spark, before)
-            before = path
-    return docs
+    for name, stage in STAGES[:-1]:
+        path = f"{checkpoint_dir(spark)}/{uuid.uuid4().hex}-{name}"
+        with Workspace(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+        if before:
+            drop(spark, before)
+        before = path
+    return STAGES[-1][1](spark, docs, sf_dir)
