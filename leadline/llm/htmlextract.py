@@ -38,10 +38,13 @@ NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 WORD = re.compile(r"\w+")
 SENTENCE = re.compile(r"[.!?。！？…:;,](?:\s|$)")
 
+#: Phrases of short blocks above and below a page's text.
+IMPRINT = re.compile(r"©|\(c\) ?(?:19|20)\d\d|\bcopyright\b|all rights reserved|privacy policy|terms of (?:use|service)|powered by|skip to content|(?:we|this site) uses? cookies|sign up for|subscribe to|log ?in\b|follow us", re.I)
+
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Read to their own end tag, whatever stands between.
 RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes".split())
-SILENT = RAW | frozenset("head svg math object select button audio video canvas map datalist meter progress".split())
+SILENT = RAW | frozenset("head svg annotation annotation-xml object select button audio video canvas map datalist meter progress".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul option caption".split()
 )
@@ -50,19 +53,24 @@ ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td",
 ENDED = {"p"}.union(*ENDS.values())
 SCOPE = frozenset("ul ol dl table div section article body html select menu nav".split())
 
-#: The strongest word against: more than any text of a block can say for it.
+#: What tags and roles that are never content say: more than any text of a block can say for it.
 AGAINST = -12.0
+#: What a word of a class or id says against: a block of prose says up to 5 for itself and its neighbours and what is around it say the rest, so
+#: that no word decides alone. Words that content is named by as well say less, least of all as a part of a longer name.
+WORD_AGAINST, DOUBTFUL, DOUBTFUL_PART = -8.0, -5.0, -2.5
 #: What an enclosing element says for (+) or against (-) content: by tag, role, and word of its class or id.
-TAG_WEIGHT = {"article": 3.0, "main": 2.5, "fieldset": -4.0} | dict.fromkeys("nav footer aside form menu dialog search".split(), AGAINST)
-ROLE_WEIGHT = {"main": 2.5, "article": 3.0} | dict.fromkeys("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar menuitem toolbar tablist status note doc-footnote".split(), AGAINST)
+TAG_WEIGHT = {"article": 5.0, "main": 4.0, "fieldset": -4.0} | dict.fromkeys("nav footer aside form menu dialog search".split(), AGAINST)
+ROLE_WEIGHT = {"main": 4.0, "article": 5.0} | dict.fromkeys("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar menuitem toolbar tablist status note doc-footnote".split(), AGAINST)
 GOOD = frozenset("article content entry main story post body text prose".split())
 BAD = frozenset(
     (
-        "ad ads adv advert advertisement advertising adverts adsense adslot banner sponsor sponsored sponsors promo promos promotion promoted teaser nav navbar navigation menu menus breadcrumb breadcrumbs crumbs sidebar aside rail footer foot masthead topbar toolbar "
-        "comment comments commentlist discussion disqus respond reply replies reviews share sharing social socials follow related recommended recommendations trending popular cookie cookies consent gdpr notice notices notification notifications alert alerts announcement disclaimer "
-        "warning popup modal overlay newsletter subscribe subscription signup signin login register paywall pagination pager paging search widget widgets tags taglist copyright legal skip offscreen"
+        "ad ads adv advert advertisement advertising adverts adsense adslot banner sponsor sponsored sponsors promo promos teaser nav navbar navigation menu menus breadcrumb breadcrumbs sidebar aside footer masthead topbar toolbar "
+        "comment comments commentlist disqus share sharing social socials related recommended recommendations trending cookie cookies consent gdpr popup modal newsletter subscribe subscription signup paywall pagination pager widget widgets offscreen "
+        "notice notices notification notifications alert alerts announcement disclaimer warning discussion respond replies reviews"
     ).split()
 )
+#: Words that name boilerplate as often as a part of the text.
+MAYBE_BAD = frozenset("promotion promoted crumbs rail foot reply follow popular overlay signin login register paging search tags taglist copyright legal skip".split())
 #: "has-sidebar" and its like speak of the page, not of the element.
 NEGATED = frozenset("has with no without".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -101,7 +109,7 @@ class Element:
 
     @property
     def against(self) -> bool:
-        return self.worst <= -4
+        return self.worst <= -4.5
 
     def _said(self, attrs: str) -> float:
         own = 0.0
@@ -113,7 +121,10 @@ class Element:
                 named = [[w.lower() for w in NAME.findall(c)] for c in value.split()]
                 said = {w for ws in named if ws and ws[0] not in NEGATED for w in ws}
                 if said & BAD:
-                    own += AGAINST
+                    own += WORD_AGAINST
+                elif said & MAYBE_BAD:
+                    inside = self.parent is not None and self.parent.best > 0
+                    own += DOUBTFUL_PART if inside or any(len(ws) > 1 for ws in named) else DOUBTFUL
                 elif "header" in said and not said & GOOD:
                     own += -2.0 if self.parent and self.parent.article else AGAINST
                 elif said & GOOD:
@@ -233,10 +244,11 @@ def blocks(page: str) -> list[Block]:
 
 
 def score(b: Block) -> float:
-    """Log-odds that a block is content, from its text alone."""
+    """Log-odds that a block is content, from its text alone: its length, sentences, links, being a heading, and phrases that stand under pages."""
     words = len(WORD.findall(b.text))
     links = b.linked / max(1, len(b.text))
-    return -0.4 + 0.75 * math.log1p(words) + (0.6 if SENTENCE.search(b.text) else 0.0) - 4.0 * links + (0.5 if b.element.heading else 0.0)
+    imprint = -3.5 if words <= 30 and IMPRINT.search(b.text) else 0.0
+    return -0.4 + 0.75 * math.log1p(words) + (0.6 if SENTENCE.search(b.text) else 0.0) - 4.0 * links + (0.5 if b.element.heading else 0.0) + imprint
 
 
 def distance(a: Element, b: Element) -> int:

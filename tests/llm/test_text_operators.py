@@ -73,6 +73,27 @@ def test_html_cases(page, text):
     assert htmlextract.main_text(page) == text
 
 
+@pytest.mark.parametrize(
+    ("page", "kept"),
+    [  # P stands for a sentence of prose
+        ("<article><p>PP<p>It is written as <math><mi>e</mi><mo>+</mo><mn>1</mn><annotation>e+1</annotation></math> and is known.</article>", "PP|It is written as e+1 and is known."),
+        ("<article><p>PPP</p><ul><li><a href=1>Home</a><li><a href=2>Another source</a></ul><p>PP</article>", "PPP|Home|Another source|PP"),
+        ("<article><p>PPP</p><p class='search-intro'>P</p><p>PP</p></article>", "PPP|P|PP"),
+        ("<div id='main-content'><p>PPP</p><div class='text-reply'>PP</div><p>PP</p></div>", "PPP|PP|PP"),
+        # nothing is named: what blocks say themselves
+        ("<body><div><a href=1>Home</a> <a href=2>About</a></div><h1>A title of words</h1><p>PPP</p><p>PPPP</p><div>Copyright 2020 All rights reserved</div></body>", "A title of words|PPP|PPPP"),
+        ("<ul><li><a href=1>Home</a><li><a href=2>About us</a><li><a href=3>Contact</a></ul><h1>Title</h1><div>PPP</div><div>PPPP</div><p><a href=x>privacy policy</a> | <a href=y>Terms of use</a> | © 2021 Firm Ltd.</p>", "Title|PPP|PPPP"),
+        # names that content never has
+        ("<div class='post-body'><p>PPP</p></div><ol class='comment-list'><li><p>PPP</p></li></ol>", "PPP"),
+        ("<div id=content><p>PPP</p></div><div id=right-sidebar><h3>About me</h3><p>PP</p></div>", "PPP"),
+        ("<div class='cookie-banner'><p>We use cookies. P</p><button>OK</button></div><main><p>PPP</p></main><div class='site-notice'><p>PP</p></div>", "PPP"),
+        ("<article><header><h1>Title of it</h1><p>By Ann Lee</p></header><p>PPP</p><footer><p>Filed under x</p></footer></article>", "Title of it|By Ann Lee|PPP"),
+    ],
+)
+def test_html_names_and_no_names(page, kept):
+    assert htmlextract.main_text(page.replace("P", PROSE)) == "\n\n".join(re.sub("P+", lambda m: (PROSE * len(m[0])).strip(), x) for x in kept.split("|"))
+
+
 def test_html_cut_is_minimal():
     rng = np.random.default_rng(0)
     for _ in range(40):
