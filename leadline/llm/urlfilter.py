@@ -9,8 +9,8 @@ Captures are first reduced to distinct (URL, day), so that copies are evaluated
 and day one entry counts (a removal goes before an addition), so an entry's history is at most one row a day.
 
 Defined results: null, empty and host-less URLs have no keys and no hits; a null day is before every
-interval; an entry holds from its day to the day before the next one of its value; entries with a null
-field count as absent; without entries nothing is hit; repeated captures all return; an empty table of captures gives an
+interval; an entry holds from its day to the day before the next one of its value; entries are read as captures are, and those
+with a null field or without a host count as absent (`unreadable` gives them); without entries nothing is hit; repeated captures all return; an empty table of captures gives an
 empty result. What stands before the last @ of the authority is no host, dots at a host's end don't count, numeric hosts and
 those in brackets have no parents. URLs are read whole, whatever their length. Columns of the outputs' names are replaced, all
 others are kept whatever their names.
@@ -21,16 +21,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from leadline.functions.urls import ascii_host, let
+
 URL = r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#]*@)?(\[[^/?#\]]*\]|[^/?#:]*)(?::[0-9]*)?([^#]*)"
 
 
 def host(url: Column) -> Column:
-    return F.regexp_replace(F.lower(F.regexp_extract(url, URL, 1)), r"\.+$", "")
+    """Lower case, other scripts in ASCII, no dots at its end; '' where there is none."""
+    return ascii_host(F.regexp_replace(F.lower(F.regexp_extract(url, URL, 1)), r"\.+$", ""))
 
 
 def keys(url: Column) -> Column:
     """d:<domain> for the host and its parents, u:<host/path> for the prefixes of the URL."""
-    h, rest = host(url), F.regexp_extract(url, URL, 2)
+    return let(F.struct(host(url).alias("h"), F.regexp_extract(url, URL, 2).alias("rest")), lambda x: _keys(x["h"], x["rest"]))
+
+
+def _keys(h: Column, rest: Column) -> Column:
     labels = F.split(h, "\\.")
     n = F.size(labels)
     parents = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), n - 1)), lambda i: F.concat(F.lit("d:"), F.array_join(F.slice(labels, i, n), ".")))
@@ -41,13 +47,29 @@ def keys(url: Column) -> Column:
     return F.when(h != "", F.array_distinct(F.concat(parents, prefixes, F.array(whole)))).otherwise(F.expr("cast(array() as array<string>)"))
 
 
+def entry_key(kind: Column, value: Column) -> Column:
+    """The key of a list entry, by the rules for captures: its host as host() reads it, with or without a scheme, user, port, dots at its ends or *. before
+    it; of a URL also the path without slashes at its end, or path and query. Null where there is no host, a domain
+    comes with a path, or the kind is another."""
+    text = F.regexp_replace(F.trim(value), r"^(?:(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//)?", "//")
+    text = F.when(kind == "domain", F.regexp_replace(text, r"^//(?:\*?\.)+", "//")).otherwise(text)
+    rest = F.regexp_extract(text, URL, 2)
+    path = F.when(rest.contains("?"), rest).otherwise(F.regexp_replace(rest, "/+$", ""))
+    named = lambda h: F.when((h == "") | ((kind == "domain") & ~rest.isin("", "/")), None).when(kind == "domain", F.concat(F.lit("d:"), h)).when(kind == "url", F.concat(F.lit("u:"), h, path))
+    return let(host(text), named)
+
+
+def unreadable(entries: DataFrame) -> DataFrame:
+    """The entries that can hit nothing: without a host or a day, of an unknown kind or action, or not on a list."""
+    bad = entry_key(F.col("kind"), F.col("value")).isNull() | F.col("list").isNull() | F.col("day").cast("date").isNull() | ~F.coalesce(F.col("action").isin("add", "remove"), F.lit(False))
+    return entries.where(bad)
+
+
 def intervals(entries: DataFrame) -> DataFrame:
-    """(list, key, since, until) from entries (list, kind 'domain' or 'url', value, action 'add' or 'remove', day); until is the first day after, null: open."""
-    # as in keys(): only the host in lower case; no slashes at the end of a path
-    front, rest = F.regexp_extract("value", "^([^/?]*)", 1), F.regexp_extract("value", "^[^/?]*(.*)", 1)
-    address = F.concat(F.lower(front), F.when(rest.contains("?"), rest).otherwise(F.regexp_replace(rest, "/+$", "")))
-    key = F.when(F.col("kind") == "domain", F.concat(F.lit("d:"), F.lower("value"))).when(F.col("kind") == "url", F.concat(F.lit("u:"), address))
-    each = entries.select("list", key.alias("key"), F.col("day").cast("date").alias("since"), (F.col("action") == "add").alias("on")).dropna()
+    """(list, key, since, until) from entries (list, kind 'domain' or 'url', value, action 'add' or 'remove', day); until is the first day after, null: open.
+    Entries that `unreadable` names count as absent."""
+    on = F.when(F.col("action").isin("add", "remove"), F.col("action") == "add")
+    each = entries.select("list", entry_key(F.col("kind"), F.col("value")).alias("key"), F.col("day").cast("date").alias("since"), on.alias("on")).dropna()
     daily = each.groupBy("list", "key", "since").agg(F.min("on").alias("on"))
     w = Window.partitionBy("list", "key").orderBy("since")
     return daily.withColumn("until", F.lead("since").over(w)).where("on").select("list", "key", "since", "until")

@@ -25,3 +25,16 @@ def test_odd_hosts(spark):
     got = urlfilter.filter_urls(captures, entries).collect()
     assert {r["url"]: len(r["url_lists"]) for r in got} == urls and {r["key"] for r in got} == {"x"}
     assert urlfilter.filter_urls(captures.limit(0), entries).collect() == []
+
+
+def test_entries_are_read_as_captures_are(spark):
+    day = datetime.date(2024, 1, 1)
+    values = [("url", "http://a.example.com/en"), ("url", "HTTPS://u:p@B.example.com:8080/Path/"), ("url", " c.example.com/x "), ("url", "//d.example.com"), ("domain", "e.example.com."), ("domain", "*.f.example.com"), ("domain", " G.example.com "), ("domain", "h.example.com:443"), ("domain", ".i.example.com"), ("domain", "bücher.de"), ("url", "xn--mller-kva.de/a")]
+    bad = [("domain", ""), ("domain", "j.example.com/path"), ("url", "/only/a/path"), ("other", "k.example.com"), ("url", None)]
+    schema = "list string, kind string, value string, action string, day date"
+    entries = spark.createDataFrame([(f"l{i}", k, v, "add", day) for i, (k, v) in enumerate(values + bad)] + [("z", "domain", "m.example.com", "odd", day), ("z", "domain", "m.example.com", "add", None)], schema)
+    urls = {"http://a.example.com/en/x": "l0", "https://b.example.com/Path": "l1", "https://b.example.com/path": "", "http://c.example.com/x": "l2", "http://w.d.example.com/": "", "http://d.example.com/q?": "l3", "http://x.e.example.com/": "l4", "http://f.example.com": "l5", "http://g.example.com:9/": "l6", "http://h.example.com": "l7", "http://y.i.example.com": "l8"}
+    urls |= {"http://www.xn--bcher-kva.de/": "l9", "http://www.bücher.de/": "l9", "http://Müller.de/a/b": "l10", "http://j.example.com/path": "", "http://k.example.com": "", "http://m.example.com": ""}
+    got = urlfilter.filter_urls(spark.createDataFrame([(u, day) for u in urls], "url string, fetched_on date"), entries).collect()
+    assert {r["url"]: ",".join(r["url_lists"]) for r in got} == urls
+    assert {(r["kind"], r["value"]) for r in urlfilter.unreadable(entries).collect()} == {*bad, ("domain", "m.example.com")}
