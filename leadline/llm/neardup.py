@@ -1,19 +1,21 @@
-"""Exact Jaccard join on word shingles as a blocked sparse matrix product (operator 10).
+"""Exact Jaccard join on word shingles by a blocked sparse matrix product (operator 10).
 
-Documents are rows and hashed n-grams are columns of an incidence matrix; documents with equal sets are
-one row. Every bound comes from sizes, and none can lose a pair:
+Documents are rows and hashed n-grams are columns of an incidence matrix; documents with equal sets are one row. The matrix is
+multiplied with its transpose a block of columns at a time, each block adding to the overlap counts of the pairs; what sizes
+ask for and the columns still to come discard pairs between blocks, and the count after the last block alone decides a link (`_links`).
+The product is taken under a mask, as the whole of it holds all pairs within every group. The mask comes from sizes alone, and no link can escape
+it:
 
 * a row keeps the `u + l` columns of least hash, u = n - ceil(t n) being what it can lack of a partner and
   l = ceil(n / 10): two partners have at least the lesser l in common among what both keep;
 * columns with one row, then rows with fewer shared columns than that, go; of the rest a row leaves out the
   fullest, one less than it must share, so that passages which many texts quote mostly bring none together;
-* columns are cut into blocks; a block's product yields pairs that meet in it, and a pair is discarded if
-  sizes differ too much, or if the rows' parity bitmaps differ in more bits than the sets may differ in
-  elements (equal elements cancel out, so the bitmaps can't differ in more).
+* a pair that meets in a kept column is left out if sizes differ too much, or if the rows' parity bitmaps differ in more
+  bits than the sets may differ in elements (equal elements cancel out, so the bitmaps can't differ in more).
 
-What is left is counted exactly. A first round pairs the rows of a column with its middle, linear in the
-entries; a second one takes all pairs whose ends are not linked yet, so that a family of n near copies costs
-about n verifications where its members are linked. Components are those of all links.
+A first mask pairs the rows of a column with its middle, linear in the entries; a second one takes all pairs whose ends are not
+linked yet, so that a family of n near copies costs about n products where its members are linked. Components are those of all
+links.
 
 Columns come sorted and are read a bounded number of entries at a time. A column of more than `TILE` rows is split: in the
 first round into tiles with middles of their own, which then meet in the column; in the second every two tiles are one
@@ -29,6 +31,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  (as pa.compute)
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,6 +43,12 @@ U = np.uint64
 SPANNED = 4
 #: Ids that may be broadcast (8 bytes each).
 FEW_IDS = 1_000_000
+#: Blocks of columns: ranges of the leading bits of their hashes.
+BLOCK_BITS = 2
+BLOCKS = 1 << BLOCK_BITS
+COUNTED_PAIRS = "u long, v long, need long, c long, ru long, rv long"
+#: Texts that a task tells apart to send the columns of each once.
+SENT = 1 << 18
 #: Rows of a column that one task compares at once.
 TILE = 1 << 14
 #: Entries of sorted columns that are read at once.
@@ -77,14 +86,23 @@ def _features(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
 
 
 def _columns(docs: DataFrame, text: str, size: int, percent: int) -> DataFrame:
-    """(h, d1): the columns that each row keeps."""
+    """(h, d1): the columns that each row keeps. Of equal sets a task sends those of one: copies cost no more than there are tasks."""
 
     def run(batches):
+        sent: set[tuple[int, int]] = set()
         for b in batches:
             for _, sets in batches_of_sets(b, 0, size):
-                held = [s[: kept_columns(len(s), percent)] for s in sets]
-                ids = np.repeat(np.array([digest(s)[0] for s in sets], np.int64), [len(x) for x in held])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(held).view(np.int64)), pa.array(ids)], ["h", "d1"])
+                held, ids = [], []
+                for s in sets:
+                    d = digest(s)
+                    if d not in sent and len(s):
+                        if len(sent) >= SENT:
+                            sent.clear()
+                        sent.add(d)
+                        held.append(s[: kept_columns(len(s), percent)])
+                        ids.append(d[0])
+                if held:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(held).view(np.int64)), pa.array(np.repeat(np.array(ids, np.int64), [len(x) for x in held]))], ["h", "d1"])
 
     return docs.select(F.col(f"`{text}`").alias("t")).mapInArrow(tidied(run), "h long, d1 long")
 
@@ -295,42 +313,89 @@ def _unlinked(entries: DataFrame, percent: int) -> DataFrame:
     return entries.select("h", "i", "j", "d1", "n", "g", "bits").mapInArrow(tidied(run), PAIRS).select("a", "b").distinct()
 
 
-def _verify(pairs: DataFrame, reps: DataFrame, docs: DataFrame, key: str, text: str, size: int, percent: int) -> DataFrame:
-    """(u, v): representatives of the pairs whose exact overlap is large enough."""
+def _block_of(h: np.ndarray) -> np.ndarray:
+    """The block of a column: a range of hashes."""
+    return (h >> U(64 - BLOCK_BITS)).astype(np.int64)
+
+
+def _incidence(docs: DataFrame, ids: DataFrame, key: str, text: str, size: int) -> DataFrame:
+    """(id, block, s): of each row asked for its sorted columns in every block in which it has any; written once."""
 
     def run(batches):
         for b in batches:
             for part, sets in batches_of_sets(b, 1, size):
-                ends = np.cumsum([0] + [len(s) for s in sets]).astype(np.int32)
-                flat = np.concatenate(sets).view(np.int64) if sets else np.empty(0, np.int64)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["id", "s"])
+                own, block, cut, flat = [], [], [0], []
+                for i, s in zip(part.column(0).to_pylist(), sets):
+                    at = np.searchsorted(_block_of(s), np.arange(BLOCKS + 1))
+                    for k in np.flatnonzero(np.diff(at)).tolist():
+                        own.append(i)
+                        block.append(k)
+                        flat.append(s[at[k] : at[k + 1]])
+                        cut.append(cut[-1] + len(flat[-1]))
+                columns = np.concatenate(flat).view(np.int64) if flat else np.empty(0, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(block, pa.int32()), pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(columns))], ["id", "block", "s"])
+
+    texts = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("t")).join(ids, "id", "left_semi").dropDuplicates(["id"])
+    return materialize(texts.mapInArrow(tidied(run), "id long, block int, s array<long>"))
+
 
+def products(x: pa.ListArray, y: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each pair of rows of a block (sorted columns, null: none) the sizes and the number of columns in common, over whole buffers.
+
+    The columns of both sides are put behind one another as (pair, column); where two neighbours in their order are equal, both rows
+    hold the column.
+    """
+    n = len(x)
+    held, sizes = [], []
+    for side in (x, y):
+        m = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(side), 0).to_numpy(zero_copy_only=False), np.int64)
+        sizes.append(m)
+        held.append((np.repeat(np.arange(n), m), side.flatten().to_numpy(zero_copy_only=False)))
+    pair, column = (np.concatenate([a, b]) for a, b in zip(*held))
+    order = np.lexsort((column, pair))
+    pair, column = pair[order], column[order]
+    same = (pair[1:] == pair[:-1]) & (column[1:] == column[:-1])
+    return sizes[0], sizes[1], np.bincount(pair[1:][same], minlength=n)
+
+
+def _links(pairs: DataFrame, reps: DataFrame, docs: DataFrame, key: str, text: str, size: int, percent: int) -> DataFrame:
+    """(u, v): representatives of possible pairs (a, b) whose accumulated overlap is large enough.
+
+    The product of the incidence matrix with itself, under the mask of these pairs, a block of columns at a time: each block adds
+    its counts to the pairs'. Between blocks a pair goes whose count and columns still to come, the fewer of both rows', stay below what its
+    sizes ask for. After the last block the count alone decides.
+    """
     pairs = materialize(pairs)
-    for digest_, own in (("a", "u"), ("b", "v")):
-        often = pairs.groupBy(digest_).agg(F.count("*").alias("often")).join(reps.selectExpr(f"d1 as {digest_}", f"rep as {own}"), digest_)
+    for digest_, own, n in (("a", "u", "nu"), ("b", "v", "nv")):
+        often = pairs.groupBy(digest_).agg(F.count("*").alias("often")).join(reps.selectExpr(f"d1 as {digest_}", f"rep as {own}", f"n as {n}"), digest_)
         pairs = skew_join(pairs, often, [digest_], "often", [c for c in pairs.columns if c != digest_]).drop("often")
-    pairs = materialize(pairs.select("u", "v"))
-    ids = materialize(pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct())
+    # least overlap: 100 * c >= percent * (nu + nv - c); ru and rv are the columns still to come
+    need = F.ceil(F.lit(percent) * (F.col("nu") + F.col("nv")) / (100 + percent)).cast("long")
+    counted = materialize(pairs.select("u", "v", need.alias("need"), F.lit(0).cast("long").alias("c"), F.col("nu").cast("long").alias("ru"), F.col("nv").cast("long").alias("rv")).where("least(ru, rv) >= need"))
+    ids = materialize(counted.select(F.col("u").alias("id")).union(counted.select("v")).distinct())
     if ids.count() <= FEW_IDS:  # else the texts are shuffled to meet them
         ids = F.broadcast(ids)
-    texts = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("t")).join(ids, "id", "left_semi").dropDuplicates(["id"])
-    sets = materialize(texts.mapInArrow(tidied(run), "id long, s array<long>"))
+    rows = _incidence(docs, ids, key, text, size)
 
-    def overlap(batches):
+    def add(batches):
         for b in batches:
-            x, y = b.column(2), b.column(3)
-            ok = []
-            for i in range(len(b)):
-                s, t = x[i].values.to_numpy(), y[i].values.to_numpy()
-                both = len(np.intersect1d(s, t, assume_unique=True))
-                ok.append(100 * both >= percent * (len(s) + len(t) - both))
-            yield b.filter(pa.array(ok, pa.bool_())).select([0, 1])
-
-    joined = pairs
-    for own, other in (("u", "v"), ("v", "u")):
-        often = pairs.groupBy(own).agg(F.count("*").alias("often")).join(sets.selectExpr(f"id as {own}", f"s as s{own}"), own)
-        joined = skew_join(joined, often, [own], "often", [other], pairs.count()).drop("often")
-    return materialize(joined.select("u", "v", "su", "sv").mapInArrow(tidied(overlap), "u long, v long"))
+            x, y = (b.column(k).combine_chunks() if isinstance(b.column(k), pa.ChunkedArray) else b.column(k) for k in (6, 7))
+            nx, ny, both = products(x, y)
+            need, c, ru, rv = (b.column(k).to_numpy() for k in (2, 3, 4, 5))
+            c, ru, rv = c + both, ru - nx, rv - ny
+            ok = c + np.minimum(ru, rv) >= need
+            kept = pa.array(np.flatnonzero(ok))
+            yield pa.RecordBatch.from_arrays([*(b.column(k).take(kept) for k in (0, 1, 2)), pa.array(c[ok]), pa.array(ru[ok]), pa.array(rv[ok])], COUNTED_PAIRS.replace(" long", "").split(", "))
+
+    total = counted.count()
+    for block in range(BLOCKS):
+        joined, here = counted, rows.where(F.col("block") == block)
+        for own, other in (("u", "v"), ("v", "u")):
+            # a row without a column in this block meets a null, so that every pair keeps its place
+            often = counted.groupBy(own).agg(F.count("*").alias("often")).join(here.selectExpr(f"id as {own}", f"s as s{own}"), own, "left")
+            joined = skew_join(joined, often, [own], "often", [other], total).drop("often")
+        counted = materialize(joined.select("u", "v", "need", "c", "ru", "rv", "su", "sv").mapInArrow(tidied(add), COUNTED_PAIRS))
+    return counted.where("c >= need").select("u", "v")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
@@ -354,7 +419,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     middles = spanned.where("b is null").select("h", F.col("a").alias("d1")).distinct().join(live.select("d1", "n", "bits"), "d1")
     middles = middles.select("h", F.lit(-1).cast("long").alias("tile"), "d1", "n", F.lit(0).cast("long").alias("g"), "bits")
     near = spanned.where("b is not null").select("a", "b").union(_spanned(sort(middles, "h", "tile"), percent).where("b is not null").select("a", "b")).distinct()
-    links = _verify(near, reps, docs, key, text, size, percent)
+    links = _links(near, reps, docs, key, text, size, percent)
     named = components(links)
     known = reps.join(named, F.col("rep") == F.col("node")).select("d1", "component")
     again = live.join(known, "d1", "left").withColumn("g", F.coalesce("component", "d1"))
@@ -364,7 +429,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     # each row goes to every pair of tiles that has its own
     own = F.pmod(F.xxhash64("d1"), F.col("tiles"))
     some = some.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1))).withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
-    more = _verify(_unlinked(sort(some, "h", "i", "j"), percent), reps, docs, key, text, size, percent)
+    more = _links(_unlinked(sort(some, "h", "i", "j"), percent), reps, docs, key, text, size, percent)
     final = components(named.selectExpr("node as u", "component as v").union(more))
     whole = reps.join(final, F.col("rep") == F.col("node"), "left").select("d1", "d2", F.coalesce("component", "rep").alias("component"))
     component = F.when(F.col(f"`{key}`").isNotNull(), F.coalesce("component", key)).alias("component_id")

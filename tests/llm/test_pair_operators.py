@@ -275,3 +275,41 @@ def test_pipeline(spark):
     for _, stage in corpus_pipeline.STAGES:
         odd = stage(spark, odd, SMALL)
     assert {"<EMAIL> x"} <= {r["text"] for r in odd.collect()}
+
+
+def test_products_of_a_block():
+    rng = np.random.default_rng(8)
+    for _ in range(20):
+        rows = lambda: [None if rng.random() < 0.2 else sorted(set(rng.integers(-20, 20, rng.integers(0, 15)).tolist())) for _ in range(12)]
+        x, y = rows(), rows()
+        nx, ny, both = neardup.products(pa.array(x, pa.list_(pa.int64())), pa.array(y, pa.list_(pa.int64())))
+        assert nx.tolist() == [len(a or []) for a in x] and ny.tolist() == [len(a or []) for a in y]
+        assert both.tolist() == [len(set(a or []) & set(b or [])) for a, b in zip(x, y)]
+        part = pa.array([*x, *y], pa.list_(pa.int64()))  # slices of one buffer
+        assert neardup.products(part.slice(0, 12), part.slice(12))[2].tolist() == both.tolist()
+
+
+def test_the_count_decides(spark):
+    """With a mask that lets every pair through the links are the same: nothing but the accumulated counts makes them."""
+    rng = np.random.default_rng(9)
+    base = [f"w{i}" for i in range(60)]
+    texts = []
+    for _ in range(40):
+        words = list(base)
+        for i in rng.choice(60, rng.integers(0, 5), replace=False):
+            words[i] = f"x{rng.integers(0, 1000)}"
+        texts.append(" ".join(words))
+    texts += ["one two", "one two", "one two three", "", None]
+    shingles = lambda t: {tuple(w[i : i + 5]) for w in [t.split()] for i in range(max(1, len(w) - 4))} if t and t.split() else set()
+    sets = [shingles(t) for t in texts]
+    edges = [(i, j) for i in range(len(texts)) for j in range(i) if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    want = least(range(len(texts)), edges)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = lambda: {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(df).collect()}
+    assert got() == want
+    features = neardup._features(df, "doc_id", "text", 5)  # the product by itself, over all pairs of rows
+    rows = features.where("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"))
+    pairs = rows.select(F.col("d1").alias("a")).join(rows.select(F.col("d1").alias("b")), F.col("a") < F.col("b"))
+    links = {frozenset(r) for r in neardup._links(pairs, rows, df, "doc_id", "text", 5, 80).collect()}
+    first = {i: min(j for j in range(len(texts)) if sets[j] == sets[i]) for i in range(len(texts)) if sets[i]}
+    assert links == {frozenset((first[i], first[j])) for i, j in edges if first[i] != first[j]}
