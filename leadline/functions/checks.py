@@ -105,3 +105,19 @@ def sales_ready(status: Column, *flags: Column) -> Column:
     for f in flags:
         ok = ok & ~F.coalesce(f, F.lit(False))
     return ok
+
+
+def granted(grants: Column, name: Column) -> Column:
+    """Whether grants hold a name, or * for all; no grants hold nothing."""
+    return F.coalesce(F.arrays_overlap(grants, F.array(F.lit("*"), name)), F.lit(False))
+
+
+def patched(rules: Column, patch: Column) -> Column:
+    """A map of rules with a settings page's patch, as `patch_rules` does for one tenant: each field under the page's name and the pipeline's, the policy of
+    retries also as a number."""
+    shown = F.create_map(*[F.lit(x) for kv in SHOWN_AS.items() for x in kv])
+    renamed = F.filter(F.transform(F.map_entries(patch), lambda e: F.struct(F.try_element_at(shown, e["key"]).alias("key"), e["value"].alias("value"))), lambda e: e["key"].isNotNull())
+    retry = F.try_element_at(patch, F.lit("unknown_retry_policy"))
+    number = F.when(retry.isNotNull(), F.array(F.struct(F.lit("unknown_retry").alias("key"), F.when(retry == "retry", "1").otherwise("0").alias("value")))).otherwise(F.slice(renamed, 1, 0))
+    new = F.map_zip_with(F.map_from_entries(F.concat(renamed, number)), patch, lambda k, a, b: F.coalesce(b, a))
+    return F.map_zip_with(rules, new, lambda k, a, b: F.coalesce(b, a))

@@ -49,6 +49,13 @@ def firm_key(kind: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(F.substring_index(kind, "(", 1), r"\s+", " ")))
 
 
+def group_of(kind: Column) -> Column:
+    """(grp, kind) of a kind of firm as it is listed, case and white space aside; null if no group lists it."""
+    listed = {t.lower(): (g, t) for g, ts in GROUPS.items() for t in ts}
+    named = F.create_map(*[x for k, (g, t) in listed.items() for x in (F.lit(k), F.struct(F.lit(g).alias("grp"), F.lit(t).alias("kind")))])
+    return F.try_element_at(named, F.lower(F.trim(F.regexp_replace(F.coalesce(kind, F.lit("")), r"\s+", " "))))
+
+
 def search_phrase(kind: Column) -> Column:
     """The text a kind of firm is searched as: by its whole name, a bracketed short form, or its first word; else itself; '' of nothing."""
     key = firm_key(kind)

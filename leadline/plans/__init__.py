@@ -129,6 +129,6 @@ def export_tabs(spark: SparkSession, d: str) -> DataFrame:
     return union_tabs({"region": region, "nation": nation})
 
 
-from leadline.plans import checks, feeds, leads, listings, mail, outreach, pages, payloads, sheets, sites, stores, tabs, web  # noqa: E402, F401  (they register their own queries)
+from leadline.plans import access, checks, feeds, leads, listings, mail, outreach, pages, payloads, sheets, sites, stores, tabs, web  # noqa: E402, F401  (they register their own queries)
 
 __all__ = ["ORACLE", "QUERIES"]

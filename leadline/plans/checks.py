@@ -65,15 +65,14 @@ def ready_contacts(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("contact_id").agg(F.count("*").alias("candidates"), F.count_if(ok).alias("ready"))
 
 
-WORDS = "array_to_string(list_filter(string_split_regex(substr(text, 1, 200), '\\s+'), lambda x: x <> '')[1:3], ' ')"
 NOT = "|".join(people.NOT_NAMES)
+NAMED = people.CANDIDATE.replace("'", "''")
 
 
-@query(rf"""SELECT doc_id, name, coalesce(length(name) <= 60 AND regexp_matches(name, '^(([A-Z][.]?){{1,2}}|[A-Z][a-z’''A-Za-z-]*)( (([A-Z][.]?){{1,2}}|[A-Z][a-z’''A-Za-z-]*)){{1,3}}$') AND NOT regexp_matches(' ' || lower(regexp_replace(name, '[.’''-]', '', 'g')) || ' ', ' ({NOT}) '), false) AS plausible, nullif(split_part(name, ' ', 1), '') AS first, CASE WHEN position(' ' IN name) > 0 THEN split_part(name, ' ', -1) END AS last FROM (SELECT doc_id, {WORDS} AS name FROM documents)""")
+@query(rf"""SELECT doc_id, name, length(name) <= 60 AND regexp_matches(name, '^(([A-Z][.]?){{1,2}}|[A-Z][a-z’''A-Za-z-]*)( +(([A-Z][.]?){{1,2}}|[A-Z][a-z’''A-Za-z-]*)){{1,3}}$') AND NOT regexp_matches(' ' || lower(regexp_replace(name, '[.’''-]', '', 'g')) || ' ', ' ({NOT}) ') AS plausible, split_part(name, ' ', 1) AS first, split_part(name, ' ', -1) AS last FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '{NAMED}', 1)) AS name FROM documents)""")
 def name_checks(spark: SparkSession, d: str) -> DataFrame:
-    """OP-S24, S26: the first words of every document as a person's name, and its first and last part."""
-    words = F.filter(F.split(F.left("text", F.lit(200)), r"\s+"), lambda w: w != "")
-    rows = frame(spark, d, "documents").select("doc_id", F.array_join(F.slice(words, 1, 3), " ").alias("name"))
+    """OP-S24, S26: every run of words of every whole text that may be a person's name, whether it can be one, and its first and last part."""
+    rows = frame(spark, d, "documents").select("doc_id", F.explode(people.candidate_names(F.col("text"))).alias("name"))
     n = F.col("name")
     return rows.select("doc_id", "name", people.plausible_name(n).alias("plausible"), people.first_name(n).alias("first"), people.last_name(n).alias("last"))
 

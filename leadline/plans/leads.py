@@ -12,6 +12,8 @@ from leadline.model import frame, sql
 from leadline.operators.ordered import ranked_in
 from leadline.plans.checks import DECIDED, RULES, STAGED, staged
 from leadline.plans.registry import query
+from leadline.plans.sites import ANCHORS
+from leadline.sources import links, table
 
 REASONS = ("SUPPRESSED", "INVALID_SYNTAX", "DISPOSABLE_REJECTED", "ROLE_BASED_REJECTED", "MX_FAILED", "LLM_LOW_CONFIDENCE", "PROVIDER_INVALID", "RISK_REVIEW", "UNKNOWN_RETRY")
 
@@ -160,11 +162,19 @@ def acceptance_checks(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
-@query(r"""SELECT page_id, path, NOT (path LIKE '/private%' OR path LIKE '/tmp/%') OR path LIKE '/private/open%' AS allowed FROM (SELECT page_id, CASE page_id % 5 WHEN 0 THEN '/private/' || page_id WHEN 1 THEN '/private/open/' || page_id WHEN 2 THEN '/tmp/x' WHEN 3 THEN '/tmpfile' ELSE coalesce(nullif(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), ''), '/') END AS path FROM pages)""")
+#: Every path that a page links to, in order, and the rules of its site by rule: the first link is closed but for what begins with its name and 'a', the second is closed with a
+#: slash behind it, the third open.
+PATHS = f"SELECT page_id, href AS path, row_number() OVER (PARTITION BY page_id ORDER BY footer, place) AS i FROM ({ANCHORS}) WHERE regexp_matches(href, '^/[^#]+$')"
+
+
+@query(f"""SELECT DISTINCT page_id, path, greatest(CASE WHEN starts_with(path, a || 'a') THEN length(a) + 1 ELSE -1 END, CASE WHEN starts_with(path, c) THEN length(c) ELSE -1 END, -1) >= greatest(CASE WHEN starts_with(path, a) THEN length(a) ELSE -1 END, CASE WHEN starts_with(path, b || '/') THEN length(b) + 1 ELSE -1 END, -1) AS allowed FROM (SELECT page_id, unnest([path, path || 'a', path || '/x']) AS path, a, b, c FROM ({PATHS}) p JOIN (SELECT page_id, max(path) FILTER (i = 1) AS a, max(path) FILTER (i = 2) AS b, max(path) FILTER (i = 3) AS c FROM ({PATHS}) GROUP BY 1 HAVING count(*) >= 3) r USING (page_id))""")
 def crawlable(spark: SparkSession, d: str) -> DataFrame:
-    """OP-I15: addresses against a site's rules: the longest rule that fits decides, what no rule names is allowed."""
-    k = F.col("page_id")
-    own = F.coalesce(F.nullif(F.regexp_extract("url", "://[^/?#]*([^?#]*)", 1), F.lit("")), F.lit("/"))
-    path = F.when(k % 5 == 0, F.concat(F.lit("/private/"), k)).when(k % 5 == 1, F.concat(F.lit("/private/open/"), k)).when(k % 5 == 2, "/tmp/x").when(k % 5 == 3, "/tmpfile").otherwise(own)
-    rules = F.lit("# rules\nUser-agent: other\nDisallow: /\n\nUser-agent: *\nDisallow: /private\nAllow: /private/open\nDisallow: /tmp/\nDisallow:\n")
-    return frame(spark, d, "pages").select("page_id", path.alias("path"), web.crawl_allowed(rules, path).alias("allowed"))
+    """OP-I15: the paths that each page links to, and some below them, against rules made of its own links: the longest rule that fits decides, an allowing one of
+    equal length first; what no rule names is allowed."""
+    found = links.anchors(table(spark, d, "pages")).where(F.col("href").rlike("^/[^#]+$"))
+    listed = found.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("footer", "place", "href"))).alias("l")).where("size(l) >= 3")
+    nth = lambda i: F.col("l")[i]["href"]
+    rules = F.concat(F.lit("# rules\nUser-agent: other\nDisallow: /\n\nUser-agent: *\nDisallow: "), nth(0), F.lit(" # closed\nAllow: "), nth(0), F.lit("a\nDisallow: "), nth(1), F.lit("/\nAllow: "), nth(2), F.lit("\nDisallow:\n"))
+    paths = F.flatten(F.transform("l", lambda x: F.array(x["href"], F.concat(x["href"], F.lit("a")), F.concat(x["href"], F.lit("/x")))))
+    rows = listed.select("page_id", rules.alias("rules"), F.explode(F.array_distinct(paths)).alias("path"))
+    return rows.select("page_id", "path", web.crawl_allowed(F.col("rules"), F.col("path")).alias("allowed"))

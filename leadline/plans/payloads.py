@@ -145,11 +145,17 @@ def firm_searches(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("p_partkey", "given", firms.search_phrase(F.col("given")).alias("phrase"), F.array_join(firms.search_variants(F.col("given"), 3), "; ").alias("variants"))
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{g}', '{t}')" for g, ts in firms.GROUPS.items() for t in ts) + ") t(grp, kind)")
+EVERY_KIND = [(g, t) for g, ts in firms.GROUPS.items() for t in ts]
+
+
+@query("SELECT grp, kind, jobs FROM (VALUES " + ", ".join(f"('{g}', '{t}', {i})" for i, (g, t) in enumerate(EVERY_KIND)) + f") t(grp, kind, i) JOIN (SELECT p_partkey % {len(EVERY_KIND) + 2} AS i, count(*) AS jobs FROM part GROUP BY 1) USING (i)")
 def firm_groups(spark: SparkSession, d: str) -> DataFrame:
-    """OP-S56: the groups of kinds, one row for each kind."""
-    table = F.create_map(*[x for g, ts in firms.GROUPS.items() for x in (F.lit(g), F.array(*map(F.lit, ts)))])
-    return spark.range(1).select(F.explode(table).alias("grp", "kinds")).select("grp", F.explode("kinds").alias("kind"))
+    """OP-S56: jobs by the group of the kind of firm that they look for, as jobs write it; kinds of no group go."""
+    kinds = F.array(*[F.lit(t) for _, t in EVERY_KIND], F.lit("Circus"), F.lit(""))
+    asked = frame(spark, d, "part").select(F.element_at(kinds, (F.col("p_partkey") % (len(EVERY_KIND) + 2) + 1).cast("int")).alias("kind"), "p_partkey")
+    said = F.when(F.col("p_partkey") % 2 == 0, F.upper("kind")).otherwise(F.concat(F.lit("  "), "kind"))
+    rows = asked.select(firms.group_of(said).alias("x")).where("x IS NOT NULL")
+    return rows.groupBy("x.grp", "x.kind").agg(F.count("*").alias("jobs"))
 
 
 @query(sql("""SELECT job_id, CASE WHEN job_id % 4 = 3 THEN 'companies' ELSE trim(concat_ws(' ', nullif(lower(company_type), ''), nullif(array_to_string(string_split(selected_sources, ',')[1:3], ' '), ''), 'in ' || coalesce(city, country))) END AS query FROM jobs"""))
@@ -168,13 +174,15 @@ def homepages(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("company_id", "base", F.array_join(firms.homepage_variants(F.col("base")), " ").alias("variants"))
 
 
-@query(sql("""SELECT message_id, CASE WHEN message_id % 3 = 0 THEN 'Hi. Opt out here.' ELSE 'Hi.' || chr(10) || chr(10) || '-- ' || chr(10) || 'Opt out' END AS body, '<lm-' || message_id || '@app.example.com>' AS reference, CASE message_id % 4 WHEN 0 THEN 30.0 WHEN 1 THEN 120.0 WHEN 2 THEN NULL ELSE 2.5 END::DOUBLE AS wait FROM messages"""))
+@query(r"""SELECT conv_id, turn, CASE WHEN contains(b, 'Opt out') THEN b ELSE regexp_replace(b, '\s+$', '') || chr(10) || chr(10) || '-- ' || chr(10) || 'Opt out' END AS body, '<lm-' || conv_id || '-' || turn || '@app.example.com>' AS reference, CASE turn % 4 WHEN 0 THEN least(n, 120) WHEN 1 THEN least(n * 0.5, 120) END::DOUBLE AS wait FROM (SELECT conv_id, turn, CASE WHEN conv_id % 3 = 0 THEN text || ' Opt out here. ' ELSE text || '  ' END AS b, length(text) AS n FROM conversations WHERE text IS NOT NULL)""")
 def outgoing(spark: SparkSession, d: str) -> DataFrame:
-    """OP-S49, S65: the way out below a text, once; the reference by which notices come back; how long a server asks to wait."""
-    k = F.col("message_id")
-    body = F.when(k % 3 == 0, "Hi. Opt out here.").otherwise("Hi.  \n ")
-    asked = F.when(k % 4 == 0, " 30 ").when(k % 4 == 1, "999").when(k % 4 == 2, "Wed, 21 Oct 2026 07:28:00 GMT").otherwise("2.5")
-    return frame(spark, d, "messages").select("message_id", firms.with_footer(body, F.lit(" Opt out ")).alias("body"), firms.mail_headers(k.cast("string"), F.lit("a@example.com"))["Message-ID"].alias("reference"), firms.retry_after(asked).alias("wait"))
+    """OP-S49, S65: the way out below every turn's whole text, once; the reference by which notices come back; how long a server asks to wait, as it says it."""
+    body = F.concat("text", F.when(F.col("conv_id") % 3 == 0, " Opt out here. ").otherwise("  "))
+    n, t = F.length("text"), F.col("turn")
+    asked = F.when(t % 4 == 0, F.concat(F.lit(" "), n, F.lit(" "))).when(t % 4 == 1, (n * 0.5).cast("string")).when(t % 4 == 2, "Wed, 21 Oct 2026 07:28:00 GMT")
+    rows = frame(spark, d, "conversations").where("text IS NOT NULL")
+    sent = F.concat(F.col("conv_id"), F.lit("-"), t)
+    return rows.select("conv_id", "turn", firms.with_footer(body, F.lit(" Opt out ")).alias("body"), firms.mail_headers(sent, F.lit("a@example.com"))["Message-ID"].alias("reference"), firms.retry_after(asked).alias("wait"))
 
 
 @payloads.source("maps", "green")

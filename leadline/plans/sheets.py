@@ -119,10 +119,18 @@ def tab_audit_log(spark: SparkSession, d: str) -> DataFrame:
     return Tab("Audit_Log").cells(e)
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{t.name}', '{t.key}', '{', '.join(t.editable) or '(none)'}', '{', '.join(t.columns)}', '')" for t in map(Tab, list(sheets.TABS)[1:])) + ") AS t(tab, key_column, editable_columns, columns, notes)")
+#: The table behind each tab.
+BEHIND = {"Mining_Jobs": "jobs", "Companies": "companies", "Contacts": "contacts", "Email_Validation": "checks", "Sales_Ready_Leads": "leads", "Outreach_Queue": "messages", "Campaigns": "campaigns", "Bounce_Log": "bounces", "Suppression_List": "suppressions", "Data_Source_Audit": "runs", "Audit_Log": "events"}
+
+
+@query(sql(" UNION ALL ".join(f"SELECT '{t.name}' AS tab, '{t.key}' AS key_column, '{', '.join(t.editable) or '(none)'}' AS editable_columns, '{', '.join(t.columns)}' AS columns, (SELECT count(*) FROM {BEHIND[t.name]}) || ' rows' AS notes" for t in map(Tab, list(sheets.TABS)[1:]))))
 def tab_readme(spark: SparkSession, d: str) -> DataFrame:
-    """OP-P15, U04: the registry as a tab of its own."""
-    return sheets.readme(spark)
+    """OP-P15, U04: the registry as a tab of its own, with the rows that each tab has now."""
+    counts = [frame(spark, d, t).agg(F.count("*").alias("n")).select(F.lit(name).alias("tab"), F.concat("n", F.lit(" rows")).alias("said")) for name, t in BEHIND.items()]
+    said = counts[0]
+    for c in counts[1:]:
+        said = said.union(c)
+    return sheets.readme(spark).drop("notes").join(said, "tab").withColumnRenamed("said", "notes")
 
 
 @query(sql("""SELECT CASE WHEN a.k IS NULL THEN 'append' WHEN b.k IS NULL THEN 'delete' WHEN a.v IS DISTINCT FROM b.v THEN 'update' ELSE 'skip' END AS action, count(*) AS n FROM (SELECT contact_id AS k, concat_ws('|', full_name, email) AS v FROM contacts WHERE contact_id % 7 <> 1) a FULL JOIN (SELECT contact_id AS k, concat_ws('|', full_name, CASE WHEN contact_id % 10 = 3 THEN upper(email) ELSE email END) AS v FROM contacts WHERE contact_id % 9 <> 2) b ON a.k = b.k GROUP BY 1"""))

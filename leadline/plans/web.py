@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leadline.functions import LEGAL_FORMS, ROLE_LOCALS, slug_name, web
+from leadline.model import frame, sql
 from leadline.plans.registry import query
 from leadline.sources import table
 
@@ -56,42 +57,56 @@ SENIORITY = sql_case([(_title_hit(w), f"'{s}'") for w, s, _ in web.DESIGNATIONS]
 ROLE = sql_case([(_title_hit(w), f"'{r}'") for w, _, r in web.DESIGNATIONS], "NULL")
 
 
-@query(f"""SELECT seniority, role, relevance, count(*) AS n FROM (SELECT seniority, role, coalesce({sql_case([(f"role = '{k}'", v) for k, v in web.RELEVANCE.items()], "NULL")}, {sql_case([(f"seniority = '{k}'", v) for k, v in web.RELEVANCE.items()], "NULL")}, 0)::INT AS relevance FROM (SELECT {SENIORITY} AS seniority, {ROLE} AS role FROM (SELECT lower({sql_pick(TITLES, 'p_partkey')}) AS t FROM part))) GROUP BY ALL""")
+ADDRESS = r"[a-z0-9._%+-]+@[a-z0-9-]+(?:\.[a-z0-9-]+)+"
+
+
+#: A title of each part: one of the above, with the part's own kind and name behind it.
+TITLED = sql_pick(TITLES, "p_partkey") + " || ', ' || p_type || ' ' || p_name"
+
+
+@query(f"""SELECT title, seniority, role, coalesce({sql_case([(f"role = '{k}'", v) for k, v in web.RELEVANCE.items()], "NULL")}, {sql_case([(f"seniority = '{k}'", v) for k, v in web.RELEVANCE.items()], "NULL")}, 0)::INT AS relevance, n FROM (SELECT title, {SENIORITY} AS seniority, {ROLE} AS role, n FROM (SELECT title, lower(title) AS t, count(*) AS n FROM (SELECT {TITLED} AS title FROM part) GROUP BY 1))""")
 def designation_class(spark: SparkSession, d: str) -> DataFrame:
     """OP-S28, W02: titles to seniority, role and relevance."""
-    x = web.designation(pick(TITLES, "p_partkey"))
-    rows = table(spark, d, "part").select(x["seniority"].alias("seniority"), x["role"].alias("role"))
-    return rows.groupBy("seniority", "role", web.relevance(F.col("role"), F.col("seniority")).cast("int").alias("relevance")).agg(F.count("*").alias("n"))
+    title = F.concat(pick(TITLES, "p_partkey"), F.lit(", "), "p_type", F.lit(" "), "p_name")
+    rows = table(spark, d, "part").groupBy(title.alias("title")).agg(F.count("*").alias("n"))
+    x = web.designation(F.col("title"))
+    rows = rows.select("title", x["seniority"].alias("seniority"), x["role"].alias("role"), "n")
+    return rows.withColumn("relevance", web.relevance(F.col("role"), F.col("seniority")).cast("int"))
 
 
-LOCALS = ("anna.lee", "bo_chen", "sales.eu", "x.y", "info", "maria-silva", "jo.van.dam", "logo@2x.png")
+FOUND = r"SELECT DISTINCT email FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z0-9._%+-]+@[a-z0-9-]+(?:\.[a-z0-9-]+)+')) AS email FROM documents UNION ALL SELECT email FROM candidates)"
 
 
-@query(f"""SELECT c_custkey, local, CASE WHEN length(list_filter(p, lambda x: regexp_matches(x, '^[a-z]{{2,}}$'))) = 2 AND length(p) = 2 THEN array_to_string(list_transform(p, lambda x: upper(x[1]) || x[2:]), ' ') END AS name, list_has_any(regexp_split_to_array(local, '[._+-]'), [{sql_list(ROLE_LOCALS)}]) AS role_based FROM (SELECT c_custkey, local, CASE WHEN contains(local, '.') THEN string_split(local, '.') WHEN contains(local, '_') THEN string_split(local, '_') WHEN contains(local, '-') THEN string_split(local, '-') END AS p FROM (SELECT c_custkey, {sql_pick(LOCALS, 'c_custkey')} AS local FROM customer))""")
+@query(sql(f"""SELECT email, CASE WHEN length(list_filter(p, lambda x: regexp_matches(x, '^[a-z]{{2,}}$'))) = 2 AND length(p) = 2 THEN array_to_string(list_transform(p, lambda x: upper(x[1]) || x[2:]), ' ') END AS name, list_has_any(regexp_split_to_array(local, '[._+-]'), [{sql_list(ROLE_LOCALS)}]) AS role_based FROM (SELECT email, local, CASE WHEN contains(local, '.') THEN string_split(local, '.') WHEN contains(local, '_') THEN string_split(local, '_') WHEN contains(local, '-') THEN string_split(local, '-') END AS p FROM (SELECT email, split_part(email, '@', 1) AS local FROM ({FOUND})))"""))
 def names_from_locals(spark: SparkSession, d: str) -> DataFrame:
-    """OP-S25, S38: names from local parts, and role mailboxes."""
-    rows = table(spark, d, "customer").select("c_custkey", pick(LOCALS, "c_custkey").alias("local"))
+    """OP-S25, S38: names from the local parts of all addresses in texts and of all candidates, and role mailboxes."""
+    found = table(spark, d, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(ADDRESS), F.lit(0))).alias("email"))
+    rows = found.union(frame(spark, d, "candidates").select("email")).distinct().withColumn("local", F.substring_index("email", "@", 1))
     roles = F.arrays_overlap(F.split("local", "[._+-]"), F.array(*map(F.lit, ROLE_LOCALS)))
-    return rows.select("c_custkey", "local", web.name_from_local(F.col("local")).alias("name"), roles.alias("role_based"))
+    return rows.select("email", web.name_from_local(F.col("local")).alias("name"), roles.alias("role_based"))
 
 
-DOMAINS = ("example.com", "acme.org", "mail.example.com", "2x.png", "sentry.io", "firm.co.uk")
+ENDINGS = ("", "", "@2x.png", "@example.com", ".css", "@sentry.io")
+VARIANT = "CASE doc_id % 6 WHEN 2 THEN split_part(e, '@', 1) || '@2x.png' WHEN 3 THEN split_part(e, '@', 1) || '@example.com' WHEN 4 THEN e || '.css' WHEN 5 THEN split_part(e, '@', 1) || '@sentry.io' ELSE e END"
 
 
-@query(f"""SELECT c_custkey, email, lower(split_part(email, '@', 2)) IN ({sql_list(web.PLACEHOLDER_DOMAINS)}) OR regexp_extract(email, '([^.]*)$', 1) IN ({sql_list(web.ASSET_TLDS)}) AS rejected FROM (SELECT c_custkey, 'u' || c_custkey || '@' || {sql_pick(DOMAINS, 'c_custkey')} AS email FROM customer)""")
+@query(rf"""SELECT doc_id, email, lower(split_part(email, '@', 2)) IN ({sql_list(web.PLACEHOLDER_DOMAINS)}) OR regexp_extract(email, '([^.]*)$', 1) IN ({sql_list(web.ASSET_TLDS)}) AS rejected FROM (SELECT DISTINCT doc_id, {VARIANT} AS email FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9._%+-]+@[a-z0-9-]+(?:\.[a-z0-9-]+)+')) AS e FROM documents))""")
 def asset_addresses(spark: SparkSession, d: str) -> DataFrame:
-    """OP-S21: file names and placeholders that look like addresses."""
-    email = F.concat(F.lit("u"), "c_custkey", F.lit("@"), pick(DOMAINS, "c_custkey"))
-    return table(spark, d, "customer").select("c_custkey", email.alias("email"), web.is_asset_or_placeholder(email).alias("rejected"))
+    """OP-S21: all addresses of texts, by turns as they stand and as file names and placeholders that look like addresses."""
+    e = table(spark, d, "documents").select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(ADDRESS), F.lit(0))).alias("e"))
+    rows = e.select("doc_id", F.expr(VARIANT.replace("split_part(e, '@', 1)", "substring_index(e, '@', 1)")).alias("email")).distinct()
+    return rows.withColumn("rejected", web.is_asset_or_placeholder(F.col("email")))
 
 
-HIDDEN = ("write anna [at] acme [dot] org now", "bo (AT) firm.net", "plain@site.com", "x &#64; y", "lee at corp dot com")
+#: The whole text of every document with its addresses hidden by turns.
+HIDE = "CASE doc_id % 4 WHEN 0 THEN text WHEN 1 THEN replace(text, '@', ' [at] ') WHEN 2 THEN replace(replace(text, '@', ' (AT) '), '.', ' {dot} ') ELSE replace(text, '@', ' at ') END"
+BARE = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(h, '\s*[\[({]\s*at\s*[\])}]\s*', '@', 'gi'), '\s*[\[({]\s*dot\s*[\])}]\s*', '.', 'gi'), '\s+at\s+', '@', 'gi'), '\s+dot\s+', '.', 'gi')"
 
 
-@query(rf"""SELECT c_custkey, regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(replace(replace(t, '&#64;', '@'), '&#46;', '.'), '&amp;', '&'), '\s*[\[({{]\s*at\s*[\])}}]\s*', '@', 'gi'), '\s*[\[({{]\s*dot\s*[\])}}]\s*', '.', 'gi'), '\s+at\s+', '@', 'gi'), '\s+dot\s+', '.', 'gi') AS text FROM (SELECT c_custkey, {sql_pick(HIDDEN, 'c_custkey')} AS t FROM customer)""")
+@query(f"""SELECT doc_id, {BARE} AS text FROM (SELECT doc_id, {HIDE} AS h FROM documents)""")
 def deobfuscated(spark: SparkSession, d: str) -> DataFrame:
-    """OP-S19: hidden addresses written out."""
-    return table(spark, d, "customer").select("c_custkey", web.deobfuscate(pick(HIDDEN, "c_custkey")).alias("text"))
+    """OP-S19: hidden addresses of whole texts written out."""
+    return table(spark, d, "documents").select("doc_id", web.deobfuscate(F.expr(HIDE)).alias("text"))
 
 
 def _hiring_hit(phrase: str) -> str:
@@ -114,9 +129,6 @@ def hiring_phrases(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "conversations").select("conv_id", "turn", F.array_join(hits, "\n").alias("signals"))
 
 
-ADDRESS = r"[a-z0-9._%+-]+@[a-z0-9-]+(?:\.[a-z0-9-]+)+"
-
-
 @query(rf"""SELECT kind, id, email FROM (SELECT 'page' AS kind, page_id AS id, unnest(list_distinct(regexp_extract_all(lower(html), '{ADDRESS}'))) AS email FROM pages UNION ALL SELECT 'document', doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '{ADDRESS}'))) FROM documents) WHERE NOT (split_part(email, '@', 2) IN ({sql_list(web.PLACEHOLDER_DOMAINS)}) OR regexp_extract(email, '([^.]*)$', 1) IN ({sql_list(web.ASSET_TLDS)}))""")
 def page_emails(spark: SparkSession, d: str) -> DataFrame:
     """OP-S18, S21: distinct addresses of every page and document that are neither file names nor placeholders."""
@@ -125,23 +137,26 @@ def page_emails(spark: SparkSession, d: str) -> DataFrame:
     return rows.where(~web.is_asset_or_placeholder(F.col("email")))
 
 
-RESULTS = (" OK ", "valid", "Catchall", "risky", "disposable", "odd", "unknown")
+RESULTS = (" OK ", "valid", "Catchall", "risky", "disposable", "unknown", "catch_all")
+SAID = "CASE WHEN c_custkey % 4 = 3 THEN c_name ELSE " + sql_pick(RESULTS, "c_custkey") + " END"
 
 
-@query(f"""SELECT status, count(*) AS n, min(c_custkey) AS first FROM (SELECT c_custkey, CASE lower(trim(r)) WHEN 'ok' THEN 'valid' WHEN 'valid' THEN 'valid' WHEN 'catchall' THEN 'catch_all' WHEN 'risky' THEN 'risk' WHEN 'disposable' THEN 'invalid' ELSE 'unknown' END AS status FROM (SELECT c_custkey, {sql_pick(RESULTS, 'c_custkey')} AS r FROM customer)) GROUP BY 1""")
+@query(f"""SELECT c_custkey, CASE lower(trim(r)) WHEN 'ok' THEN 'valid' WHEN 'valid' THEN 'valid' WHEN 'catchall' THEN 'catch_all' WHEN 'catch_all' THEN 'catch_all' WHEN 'risky' THEN 'risk' WHEN 'disposable' THEN 'invalid' ELSE 'unknown' END AS status FROM (SELECT c_custkey, {SAID} AS r FROM customer)""")
 def verifier_outcomes(spark: SparkSession, d: str) -> DataFrame:
-    """OP-I17: a verifier's words as states."""
-    rows = table(spark, d, "customer").select("c_custkey", web.verifier_status(pick(RESULTS, "c_custkey")).alias("status"))
-    return rows.groupBy("status").agg(F.count("*").alias("n"), F.min("c_custkey").alias("first"))
+    """OP-I17: a verifier's words as states; words that it never says are unknown."""
+    said = F.when(F.col("c_custkey") % 4 == 3, F.col("c_name")).otherwise(pick(RESULTS, "c_custkey"))
+    return table(spark, d, "customer").select("c_custkey", web.verifier_status(said).alias("status"))
 
 
-POSTED = ("3 days ago", "1 week ago", "Yesterday", "2 months ago", "5 hours ago", "2024-01-05", "today", "soon")
+#: What a posting says of its time: so many of some unit, by its value, or a word or day.
+N = "cast(floor(value) AS bigint)"
+POSTED = f"CASE event_id % 8 WHEN 0 THEN {N} || ' days ago' WHEN 1 THEN {N} % 9 || '+ weeks ago' WHEN 2 THEN 'Yesterday' WHEN 3 THEN 'posted ' || {N} % 30 || ' month ago' WHEN 4 THEN {N} || ' Hours  ago' WHEN 5 THEN left(cast(ts AS string), 10) WHEN 6 THEN 'today' ELSE 'soon' END"
 
 
-@query(f"""SELECT event_id, CASE event_id % 8 WHEN 0 THEN ts - INTERVAL 3 DAY WHEN 1 THEN ts - INTERVAL 7 DAY WHEN 2 THEN ts - INTERVAL 1 DAY WHEN 3 THEN ts - INTERVAL 60 DAY WHEN 4 THEN ts - INTERVAL 5 HOUR WHEN 5 THEN TIMESTAMP '2024-01-05' WHEN 6 THEN ts END AS posted_at FROM events""")
+@query("""SELECT event_id, CASE event_id % 8 WHEN 0 THEN ts - to_days(n::INT) WHEN 1 THEN ts - to_days((n % 9 * 7)::INT) WHEN 2 THEN ts - INTERVAL 1 DAY WHEN 3 THEN ts - to_days((n % 30 * 30)::INT) WHEN 4 THEN ts - to_hours(n) WHEN 5 THEN date_trunc('day', ts)::TIMESTAMP WHEN 6 THEN ts END AS posted_at FROM (SELECT *, floor(value)::BIGINT AS n FROM events)""")
 def relative_dates(spark: SparkSession, d: str) -> DataFrame:
-    """OP-S44, S45: relative dates against each row's own time."""
-    return table(spark, d, "events").select("event_id", web.relative_date(pick(POSTED, "event_id"), F.col("ts")).alias("posted_at"))
+    """OP-S44, S45: relative dates of every row against its own time."""
+    return table(spark, d, "events").select("event_id", web.relative_date(F.expr(POSTED), F.col("ts")).alias("posted_at"))
 
 
 @query(r"""SELECT doc_id, CASE WHEN length(t) > 280 THEN rtrim(t[:279]) || '…' ELSE t END AS excerpt FROM (SELECT doc_id, trim(regexp_replace(text, '[ \t\n\x0B\f\r]+', ' ', 'g')) AS t FROM documents)""")

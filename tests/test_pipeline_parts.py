@@ -233,3 +233,32 @@ def test_streams(spark, tmp_path):
     streaming.into_log(log)(spark.createDataFrame([(2, t, 1)], kind), 0)  # a batch that comes again
     assert read() == [2, 4]
     assert streaming.live(spark.read.parquet(str(tmp_path / "in")), F.lit(t + datetime.timedelta(1))).count() == 0
+
+
+def test_grants_and_patches(spark):
+    rows = spark.createDataFrame([(["*"], "x"), (["a", "b"], "b"), (["a"], "b"), ([], "b"), (None, "b"), (["a"], None)], "g array<string>, n string")
+    assert [r[0] for r in rows.select(checks.granted(F.col("g"), F.col("n"))).collect()] == [True, True, False, False, False, False]
+    rules, patches = {"catch_all_policy": "review", "a": "1"}, [{"catch_all_handling": "allow"}, {"unknown_retry_policy": "retry", "a": "2"}, {"unknown_retry_policy": "drop", "risk_handling": "x"}, {}]
+    df = spark.createDataFrame([(rules, p) for p in patches], "r map<string,string>, p map<string,string>")
+    got = [dict(r[0]) for r in df.select(checks.patched(F.col("r"), F.col("p"))).collect()]
+    assert got == [{k: str(v) for k, v in checks.patch_rules(rules, p).items()} for p in patches]
+
+
+def test_names_of_whole_texts(spark):
+    text = "x" * 500 + ". Anna Lee met J. R. Smith and Mary-Jane O'Neil\nLearn More. Émile Zola, A B C D E"
+    assert column(spark, [text, "", None], people.candidate_names) == [["Anna Lee", "J. R. Smith", "Mary-Jane O'Neil", "Learn More.", "A B C D"], [], None]
+    assert column(spark, ["Acme  Ltd", "The ACME ltd group", "Other", "", None], lambda c: fn.same_firm(c, F.lit("acme ltd"))) == [True, True, False, False, False]
+    assert column(spark, [" law  firm ", "Circus", None], firms.group_of) == [("Professional Services", "Law Firm"), None, None]
+
+
+def test_bounces_lose_addresses(spark):
+    kinds = ["soft", "unknown", "soft", "rate_limited", "soft", "unknown", "soft"]
+    rows = [(i, "a@x", k) for i, k in enumerate(kinds)] + [(20 + i, f"{k}@x", k) for i, k in enumerate(op.LOST)] + [(40, None, "soft"), (41, None, "unknown")]
+    out = op.bounce_actions(spark.createDataFrame(rows, "i int, email string, kind string"), "email", ["i"]).collect()
+    got = {r["i"]: (r["action"], r["message_status"]) for r in out}
+    assert [got[i][0] for i in range(7)] == ["soft_retry (1/3)", "soft_retry (1/3)", "soft_retry (2/3)", "soft_retry (2/3)", "suppressed_soft_exhausted", "suppressed_soft_exhausted", "suppressed_soft_exhausted"]
+    assert {got[i][1] for i in range(7)} == {"soft_bounce"} and [got[20 + i] for i in range(5)] == list(op.LOST.values()) and got[41][0] == "soft_retry (1/3)"
+    actions = spark.createDataFrame([(1, "A@x", "soft_retry (1/3)"), (2, "a@X", "suppressed_spam"), (3, "a@x", "suppressed_hard"), (4, "b@x", "suppressed_soft_exhausted")], "i int, email string, action string")
+    lost = op.suppressed_by_bounce(actions, "email", ["i"])
+    there = spark.createDataFrame([(1, "B@x", "manual", False), (2, "b@X", "other", False), (3, "c@x", "manual", False), (4, None, "domain", True)], "id int, email string, reason string, permanent boolean")
+    assert {tuple(r) for r in op.upsert_suppressions(there, lost).collect()} == {("a@x", "Spam rejection", True), ("b@x", "manual", True), ("c@x", "manual", False)}
