@@ -11,6 +11,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 
 from leadline.sources import table
+from leadline.sources.shared import written
 
 RULES = {
     "companies": """SELECT c_custkey AS company_id, 1 + cast(floor(c_custkey / 3) AS bigint) AS job_id, c_name AS company_name,
@@ -76,12 +77,22 @@ RULES = {
 NAMES = re.compile(r"\{(\w+)\}")
 
 
-def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A derived table, or a driver's one."""
+def frame(spark: SparkSession, sf_dir: str, name: str, held: dict[str, DataFrame] | None = None) -> DataFrame:
+    """A derived table, or a driver's one; tables that are held are taken as they are."""
+    if held and name in held:
+        return held[name]
     if name not in RULES:
         return table(spark, sf_dir, name)
     used = sorted(set(NAMES.findall(RULES[name])))
-    return spark.sql(RULES[name], **{n: frame(spark, sf_dir, n) for n in used})
+    return spark.sql(RULES[name], **{n: frame(spark, sf_dir, n, held) for n in used})
+
+
+def frames(spark: SparkSession, sf_dir: str, names: list[str], once: list[str]) -> dict[str, DataFrame]:
+    """Several derived tables; those of `once`, in their order, are derived one time, written, and what rests on them reads them back."""
+    held: dict[str, DataFrame] = {}
+    for name in once:
+        held[name] = written(frame(spark, sf_dir, name, held))
+    return {n: frame(spark, sf_dir, n, held) for n in names}
 
 
 def sql(query: str) -> str:

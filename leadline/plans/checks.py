@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from leadline import functions as fn
 from leadline import operators as op
 from leadline.functions import checks, people, phones, web
-from leadline.model import frame, sql
+from leadline.model import frame, frames, sql
 from leadline.plans.registry import query
 
 #: A tenant's rules as they are stored, some of them out of range.
@@ -19,7 +19,8 @@ THROWN = ["Corp.Throw.Example"]
 
 def staged(spark: SparkSession, d: str) -> DataFrame:
     """Each address with the word of every stage; the last two are asked only where no earlier one fails."""
-    a = frame(spark, d, "addresses").withColumn("email", F.lower(F.trim("raw")))
+    t = frames(spark, d, ["addresses", "suppressions"], ["contacts"])
+    a = t["addresses"].withColumn("email", F.lower(F.trim("raw")))
     e = F.col("email")
     rows = a.select("candidate_id", "contact_id", "email", checks.syntax_ok(e).alias("syntax_ok"), checks.disposable(e, THROWN).alias("disposable"), checks.role_based(e, RULES["role_keywords"]).alias("role_based"))
     rows = rows.withColumn("mx_status", checks.mx_status(e, F.col("syntax_ok")))
@@ -27,7 +28,7 @@ def staged(spark: SparkSession, d: str) -> DataFrame:
     unit = checks.stable_unit(e, F.lit("mv"))
     said = F.when(unit < 0.55, "valid").when(unit < 0.7, "catch_all").when(unit < 0.8, "risk").when(unit < 0.9, "invalid").otherwise("unknown")
     rows = rows.withColumn("llm_score", F.when(asked, F.round(checks.stable_unit(e, F.lit("llm")), 6))).withColumn("mv_status", F.when(asked, said))
-    s = frame(spark, d, "suppressions")
+    s = t["suppressions"]
     return op.suppressed(rows, s.where("email is not null").select("email"), s.where("domain is not null").select("domain"))
 
 

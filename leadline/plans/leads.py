@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from leadline import functions as fn
 from leadline import operators as op
 from leadline.functions import people, web
-from leadline.model import frame, sql
+from leadline.model import frame, frames, sql
 from leadline.operators.ordered import ranked_in
 from leadline.plans.checks import DECIDED, RULES, STAGED, staged
 from leadline.plans.registry import query
@@ -140,7 +140,7 @@ CHECKS_SQL = [
 @query(sql(" UNION ALL ".join(f"SELECT '{n}' AS name, ({q}) AS ok" for n, q in CHECKS_SQL)))
 def acceptance_checks(spark: SparkSession, d: str) -> DataFrame:
     """OP-M28: ten statements about the tables, each a row with its answer."""
-    t = {n: frame(spark, d, n) for n in ("companies", "contacts", "leads", "suppressions", "messages", "campaigns", "bounces", "sightings", "checks", "runs")}
+    t = frames(spark, d, ["companies", "contacts", "leads", "suppressions", "messages", "campaigns", "bounces", "sightings", "checks", "runs"], ["companies", "contacts", "messages"])
     none = F.count("*") == 0
     held = t["suppressions"].where("email is not null").select(F.lower("email").alias("_e"))
     said = {

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leadline.functions import web
 from leadline.model import frame, sql
 from leadline.plans.registry import query
 from leadline.sources import exports, landed
@@ -30,17 +31,25 @@ def hidden(email: F.Column, key: int = 0x42) -> F.Column:
     return F.concat(F.lit(f"{key:02x}"), F.array_join(F.transform(F.split(email, ""), lambda c: digits(F.ascii(c).bitwiseXOR(F.lit(key)))), ""))
 
 
-@query(sql("""SELECT contact_id, array_to_string(list_filter(CASE contact_id % 4 WHEN 0 THEN [e, 'b.' || e] WHEN 1 THEN ['b.' || e, e] WHEN 2 THEN [e] ELSE [e, 'b.' || e] END, lambda x: x IS NOT NULL), ' ') AS emails FROM (SELECT contact_id, replace(email, 'example', 'firm') AS e FROM contacts WHERE email IS NOT NULL)"""))
+FOUND = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
+#: A page's text as SQL reads it: without scripts, styles and tags, hidden addresses written out.
+SEEN = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(h, '(?is)<script\b.*?</script>', ' ', 'g'), '(?is)<style\b.*?</style>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '\s*[\[({]\s*at\s*[\])}]\s*', '@', 'gi'), '\s*[\[({]\s*dot\s*[\])}]\s*', '.', 'gi'), '\s+at\s+', '@', 'gi'), '\s+dot\s+', '.', 'gi')"""
+
+
+@query(rf"""SELECT kind, id, coalesce(l[1], '') AS best, array_to_string(list_sort(list_distinct(l)), ' ') AS emails FROM (SELECT kind, id, list_filter(list_concat(CASE WHEN top <> '' THEN [lower(top)] ELSE [] END, list_transform(regexp_extract_all({SEEN}, '{FOUND}'), lambda e: lower(e))), lambda e: NOT (split_part(e, '@', 2) IN ({", ".join(f"'{x}'" for x in web.PLACEHOLDER_DOMAINS)}) OR regexp_extract(e, '([^.]*)$', 1) IN ({", ".join(f"'{x}'" for x in web.ASSET_TLDS)}))) AS l
+ FROM (SELECT 'page' AS kind, page_id AS id, '' AS top, html AS h FROM pages UNION ALL SELECT 'document', doc_id, CASE WHEN doc_id % 4 >= 2 THEN regexp_extract(text, '{FOUND}') ELSE '' END, CASE WHEN doc_id % 4 = 1 THEN replace(text, '@', ' [at] ') ELSE text END FROM documents WHERE text IS NOT NULL))""")
 def page_addresses(spark: SparkSession, d: str) -> DataFrame:
-    """OP-S19, S20, S21, S22: addresses of pages in order of trust: linked, hidden by exclusive or, then written out; placeholders and file names go."""
-    k, e = F.col("contact_id"), F.regexp_replace("email", "example", "firm")
-    other = F.concat(F.lit("b."), e)
-    link = lambda x: F.concat(F.lit('<a href="mailto:'), x, F.lit('?subject=hi">mail</a>'))
-    hide = lambda x: F.concat(F.lit('<i data-cfemail="'), hidden(x), F.lit('"></i>'))
-    text = lambda x: F.concat(F.lit(" write "), F.regexp_replace(F.regexp_replace(x, "@", " [at] "), r"\.([a-z]+)$", " (dot) $1"), F.lit(" now logo@2x.png me@example.com "))
-    html = F.when(k % 4 == 0, F.concat(text(other), link(e))).when(k % 4 == 1, F.concat(hide(other), text(e))).when(k % 4 == 2, F.concat(link(e), hide(e), text(e))).otherwise(F.concat(text(other), hide(e)))
-    pages = frame(spark, d, "contacts").where("email is not null").select("contact_id", html.alias("html"))
-    return landed.page_contacts(pages, "contact_id").select("contact_id", F.array_join("emails", " ").alias("emails"))
+    """OP-S18 to S22: addresses of every whole page, and of every text as a page: by turns written out, written with [at], with its first address also as a link, or
+    hidden by exclusive or; in order of trust, linked before hidden before written; placeholders and file names go."""
+    k, text = F.col("doc_id"), F.col("text")
+    e = F.regexp_extract(text, FOUND, 0)
+    link = F.concat(text, F.lit('<a class=x href="mailto:'), e, F.lit('?subject=hi">mail</a>'))
+    hide = F.concat(text, F.lit('<i data-cfemail="'), hidden(e), F.lit('"></i>'))
+    html = F.when(k % 4 == 1, F.regexp_replace(text, "@", " [at] ")).when((k % 4 == 2) & (e != ""), link).when((k % 4 == 3) & (e != ""), hide).otherwise(text)
+    texts = frame(spark, d, "documents").where("text IS NOT NULL").select(F.lit("document").alias("kind"), k.alias("id"), html.alias("html"))
+    every = frame(spark, d, "pages").select(F.lit("page").alias("kind"), F.col("page_id").alias("id"), "html").union(texts)
+    got = landed.page_contacts(every.withColumn("key", F.struct("kind", "id")), "key")
+    return got.select("key.kind", "key.id", F.coalesce(F.get("emails", 0), F.lit("")).alias("best"), F.array_join(F.array_sort("emails"), " ").alias("emails"))
 
 
 @query(sql("""SELECT company_id, company_name AS organization, coalesce(phone, '') AS telephones, 'Way 1, ' || city AS address, coalesce(jobs, '') AS jobs FROM companies LEFT JOIN (SELECT company_id, string_agg(coalesce(title, 'Clerk'), ',' ORDER BY signal_id) AS jobs FROM signals GROUP BY 1) USING (company_id)"""))

@@ -86,7 +86,8 @@ PERSON = "status string, name string, first_name string, last_name string, curre
 def people(payloads: DataFrame, body: str = "body") -> DataFrame:
     """Looked-up people beside the other columns: the best address (work before listed ones: graded valid, then professional,
     then as listed), phone, profile, and how sure it is; a payload with none of the three gives no row."""
-    p = payloads.withColumn("_p", F.from_json(body, PERSON)).where("_p is not null and coalesce(_p.status, '') <> 'not_found'")
+    # a generator stands between the parse and its fields, or each field would parse the body again
+    p = payloads.select("*", F.explode(F.array(F.from_json(body, PERSON))).alias("_p")).where("_p is not null and coalesce(_p.status, '') <> 'not_found'")
     said = lambda x: F.nullif(F.trim(x), F.lit(""))
     good = F.array(*map(F.lit, ("valid", "a", "a+")))
     graded = F.transform(F.col("_p.emails"), lambda e, i: F.struct((~F.array_contains(good, F.lower(F.coalesce(e["smtp_valid"], e["grade"], F.lit(""))))).alias("bad"), (F.coalesce(e["type"], F.lit("")) != "professional").alias("own"), i.alias("i"), said(e["email"]).alias("email"), F.lower(F.coalesce(e["smtp_valid"], e["grade"], F.lit(""))).alias("grade")))
