@@ -127,17 +127,17 @@ def document_phones(spark: SparkSession, d: str) -> DataFrame:
     return frame(spark, d, "documents").select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), F.explode(phones.phones(F.col("text"), phones.region(country))).alias("phone"))
 
 
-TEL = r"""SELECT doc_id AS id, raw, i FROM (SELECT doc_id, unnest(l) AS raw, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(text, '(^|[^0-9])([0-9][0-9 ().-]{5,}[0-9])', 2) AS l FROM documents))"""
+#: A contact's number as a link says it: by turns whole, with the trunk digit, without either, with the prefix for calls abroad, and cut short.
+DIALLED = "CASE contact_id % 5 WHEN 0 THEN phone WHEN 1 THEN '0' || substr(phone, 4, 20) WHEN 2 THEN substr(phone, 4, 20) WHEN 3 THEN '00' || substr(phone, 2, 20) ELSE substr(phone, 1, 9) END"
 
 
-@query(sql_numbers(f"SELECT DISTINCT 'link' AS kind, id, ['IN', 'US', 'GB', 'CA', 'AU', 'DE', 'FR', 'SG', 'AE'][id % 9 + 1] AS region, CASE i % 3 WHEN 0 THEN '+' WHEN 1 THEN '0' ELSE '' END || raw AS text FROM ({TEL})").replace("unnest(regexp_extract_all(text, '" + phones.PHONE + "', 2)) AS raw", "text AS raw"))
+@query(sql(sql_numbers(f"SELECT 'link' AS kind, contact_id AS id, ['GB', 'GB', 'IN', 'US', 'GB', 'DE', 'FR', 'SG', 'AE'][contact_id % 9 + 1] AS region, {DIALLED} AS text FROM contacts WHERE phone IS NOT NULL").replace("unnest(regexp_extract_all(text, '" + phones.PHONE + "', 2)) AS raw", "text AS raw")))
 def linked_phones(spark: SparkSession, d: str) -> DataFrame:
-    """OP-S23: the runs of digits of every text as tel: links of a page in one of nine countries: by turns international, with a trunk digit and bare."""
-    runs = frame(spark, d, "documents").select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(r"(^|[^0-9])([0-9][0-9 ().-]{5,}[0-9])"), F.lit(2))).alias("i", "raw"))
-    turn = (F.col("i") + 1) % 3
-    lead = F.when(turn == 0, F.when(F.col("doc_id") % 2 == 0, "%2B").otherwise("+")).when(turn == 1, "0").otherwise("")
-    tag = F.concat(F.lit("<a class=\"x\" href='TEL:"), lead, "raw", F.lit(";ext=5'>call</a>"))
-    html = runs.groupBy("doc_id").agg(F.array_join(F.collect_list(tag), " ").alias("html"))
-    names = F.array(*map(F.lit, ("India", "usa", "UK", "Canada", "australia", "Germany", "France", "singapore", "UAE")))
-    country = F.element_at(names, (F.col("doc_id") % 9 + 1).cast("int"))
-    return html.select(F.lit("link").alias("kind"), F.col("doc_id").alias("id"), F.explode(phones.page_phones(F.col("html"), phones.region(country))).alias("phone"))
+    """OP-S23: contacts' numbers as tel: links of pages in eight countries, as people write them: those that can be dialled."""
+    k = F.col("contact_id")
+    c = frame(spark, d, "contacts").where("phone IS NOT NULL").withColumn("raw", F.expr(DIALLED))
+    raw = F.when(k % 2 == 0, F.regexp_replace("raw", "^[+]", "%2B")).otherwise(F.col("raw"))
+    html = F.concat(F.lit("<a class=\"x\" href='TEL:"), F.substring(raw, 1, 6), F.lit("-"), F.substring(raw, 7, 20), F.lit(";ext=5'>call</a>"))
+    names = F.array(*map(F.lit, ("UK", "gb", "India", "usa", "United Kingdom", "Germany", "France", "singapore", "UAE")))
+    country = F.element_at(names, (k % 9 + 1).cast("int"))
+    return c.select(F.lit("link").alias("kind"), k.alias("id"), F.explode(phones.page_phones(html, phones.region(country))).alias("phone"))
