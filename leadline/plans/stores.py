@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leadline import operators as op
-from leadline.model import frame, sql
+from leadline.model import frame, frames, sql
+from leadline.operators import jobs
 from leadline.plans.registry import query
 from leadline.sources.keyed import KeyedTable, ResultCache
 from leadline.sources.shared import scratch
@@ -44,3 +45,56 @@ def cached_lookups(spark: SparkSession, d: str) -> DataFrame:
         got = cache.through(asked.where(who), now, provider).select(F.lit(k).alias("round"), "contact_id", "namespace", "hit", "answer")
         out = got if out is None else out.union(got)
     return out
+
+
+#: Of an active job: whether a control stops it, and where.
+STEPS = (("DEDUPING", 30), ("EXTRACTING", 60), ("ENRICHING", 72), ("VALIDATING", 85), ("SALES_READY", 98))
+COUNTS = {
+    "DEDUPING": "SELECT job_id, count(*) AS n FROM companies GROUP BY 1",
+    "EXTRACTING": "SELECT job_id, count(*) AS n FROM contacts GROUP BY 1",
+    "ENRICHING": "SELECT job_id, count(*) AS n FROM contacts WHERE email IS NOT NULL GROUP BY 1",
+    "VALIDATING": "SELECT job_id, count(*) AS n FROM contacts WHERE final_email_status = 'VERIFIED' GROUP BY 1",
+    "SALES_READY": "SELECT job_id, count(*) AS n FROM leads GROUP BY 1",
+}
+
+
+def _runs_sql() -> str:
+    def step(source: str, k: int) -> str:
+        name, ends = STEPS[k]
+        stopped = "CASE WHEN status IN ('QUEUED', 'RUNNING') AND job_id % 13 = 5 THEN 'CANCELLED'" + (" WHEN status IN ('QUEUED', 'RUNNING') AND job_id % 11 = 3 THEN 'PAUSED'" if k >= 2 else "") + " ELSE status END"
+        due = f"s IN ('QUEUED', 'RUNNING') AND progress < {ends}"
+        fails = f"{due} AND job_id % 17 = 4" if name == "VALIDATING" else "false"
+        return f"SELECT job_id, CASE WHEN {fails} THEN 'FAILED' WHEN {due} THEN 'RUNNING' ELSE s END AS status, CASE WHEN {due} THEN '{name}' ELSE stage END AS stage, CASE WHEN {due} AND NOT ({fails}) THEN {ends} ELSE progress END AS progress, CASE WHEN {due} AND NOT ({fails}) THEN totals || [('{name}=' || coalesce(n, 0))] ELSE totals END AS totals FROM (SELECT *, {stopped} AS s FROM ({source})) LEFT JOIN ({COUNTS[name]}) USING (job_id)"
+
+    out = "SELECT job_id, status, NULL::VARCHAR AS stage, progress, []::VARCHAR[] AS totals FROM jobs"
+    for k in range(len(STEPS)):
+        out = step(out, k)
+    ends = "CASE WHEN status IN ('QUEUED', 'RUNNING') AND job_id % 13 = 5 THEN 'CANCELLED' WHEN status IN ('QUEUED', 'RUNNING') AND job_id % 11 = 3 THEN 'PAUSED' WHEN status IN ('QUEUED', 'RUNNING') AND progress >= 98 THEN 'COMPLETED' ELSE status END"
+    return f"SELECT job_id, f AS status, CASE WHEN f = 'COMPLETED' AND status <> 'COMPLETED' THEN 'DONE' ELSE stage END AS stage, CASE WHEN f = 'COMPLETED' AND status <> 'COMPLETED' THEN 100 ELSE progress END::INT AS progress, CASE WHEN stage = 'VALIDATING' AND f = 'FAILED' THEN 'no verifier' END AS error, array_to_string(list_sort(totals), ';') AS totals FROM (SELECT *, {ends} AS f FROM ({out}))"
+
+
+@query(sql(_runs_sql()))
+def job_runs(spark: SparkSession, d: str) -> DataFrame:
+    """OP-M23: every job through its stages from where it stands, all jobs of a stage at once, with what each stage found; some are cancelled before the first
+    stage, some paused before the third, some fail in the fourth. The driver is run twice, the second time to no effect."""
+    t = frames(spark, d, ["companies", "contacts", "leads", "jobs"], ["companies", "contacts"])
+    counted = {"DEDUPING": t["companies"], "EXTRACTING": t["contacts"], "ENRICHING": t["contacts"].where("email IS NOT NULL"), "VALIDATING": t["contacts"].where("final_email_status = 'VERIFIED'"), "SALES_READY": t["leads"]}
+
+    def work(stage: str):
+        def found(jobs: DataFrame) -> DataFrame:
+            n = counted[stage].join(jobs, "job_id", "left_semi").groupBy("job_id").agg(F.count("*").alias("found"))
+            error = F.when((F.lit(stage) == "VALIDATING") & (F.col("job_id") % 17 == 4), "no verifier")
+            return jobs.join(n, "job_id", "left").select("job_id", F.coalesce("found", F.lit(0)).alias("found"), error.alias("error"))
+
+        return found
+
+    driver = jobs.JobDriver(spark, f"{scratch(spark)}/jobs", [jobs.Step(name, work(name)) for name, _ in STEPS], buckets=4)
+    driver.submit(t["jobs"].select("job_id", "status", "progress"))
+    ids = t["jobs"].select("job_id")
+    cancelled = ids.where("job_id % 13 = 5").withColumn("action", F.lit("cancel"))
+    paused = ids.where("job_id % 11 = 3").withColumn("action", F.lit("pause"))
+    early = ("DEDUPING", "EXTRACTING")
+    for _ in range(2):
+        driver.run(lambda stage: cancelled if stage in early else cancelled.union(paused))
+    totals = F.array_join(F.array_sort(F.transform(F.map_entries("totals"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ";")
+    return driver.state.read().select("job_id", "status", "stage", "progress", "error", totals.alias("totals"))

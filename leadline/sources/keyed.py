@@ -48,8 +48,12 @@ class KeyedTable:
         found = self.versions()
         if not found:
             return {"buckets": self._buckets, "at": {}}
-        text = self.spark.read.option("wholetext", True).text(f"{self.path}/manifest-{found[-1] if version is None else version:08d}").head()[0]
-        return json.loads(text)
+        fs, p = path_of(self.spark, f"{self.path}/manifest-{found[-1] if version is None else version:08d}")
+        source = fs.open(p)
+        try:
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(source, "UTF-8"))
+        finally:
+            source.close()
 
     def _commit(self, version: int, manifest: dict) -> None:
         fs, p = path_of(self.spark, f"{self.path}/manifest-{version:08d}")
@@ -97,7 +101,8 @@ class KeyedTable:
         if changed:
             out = merged.where(F.col(BUCKET).isin(changed)).repartition(min(count, len(changed)), BUCKET)
             out.write.partitionBy(BUCKET).parquet(f"{self.path}/v{version}")
-            filled = {r[0] for r in merged.where(F.col(BUCKET).isin(changed)).select(BUCKET).distinct().collect()}
+            fs, p = path_of(self.spark, f"{self.path}/v{version}")
+            filled = {int(n.partition("=")[2]) for n in (f.getPath().getName() for f in fs.listStatus(p)) if n.startswith(f"{BUCKET}=")}
             at = {b: v for b, v in manifest["at"].items() if int(b) not in changed} | {str(b): version for b in changed if b in filled}
             self._commit(version, {"buckets": count, "at": at})
         remove(self.spark, f"{self.path}/_merging-{version}")
