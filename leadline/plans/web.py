@@ -28,15 +28,19 @@ def sql_pick(values, by: str) -> str:
     return f"[{sql_list(values)}][({by} % {len(values)}) + 1]"
 
 
-WEBSITES = """SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'https://M.Facebook.com/p' || page_id WHEN 1 THEN 'www.linkedin.com/company/x' ELSE url END AS site FROM pages"""
+HOST = "regexp_extract(lower({}), '^(?:[a-z][a-z0-9+.-]*:)?(?://)?(?:[^/@?#]*@)?([^/:?#]*)', 1)"
+NETWORK = sql_pick(web.NON_COMPANY_HOSTS, "page_id")
+#: Sites by turns: a page's own, a network's under the page's first label, a network's name before the page's host, a network's as it is typed.
+WEBSITES = f"""SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'https://' || string_split(h, '.')[1] || '.' || {NETWORK} || '/x' WHEN 1 THEN {NETWORK} || '.' || h WHEN 2 THEN 'HTTP://u@' || upper({NETWORK}) || ':80?x' WHEN 3 THEN 'not' || {NETWORK} ELSE url END AS site FROM (SELECT *, {HOST.format('url')} AS h FROM pages)"""
 
 
-@query(f"""SELECT page_id, regexp_extract(lower(site), '^(?:[a-z][a-z0-9+.-]*:)?(?://)?(?:[^/@?#]*@)?([^/:?#]*)', 1) AS host, list_bool_or(list_transform([{sql_list(web.NON_COMPANY_HOSTS)}], lambda x: '.' || regexp_extract(lower(site), '^(?:[a-z][a-z0-9+.-]*:)?(?://)?(?:[^/@?#]*@)?([^/:?#]*)', 1) LIKE '%.' || x)) AS rejected FROM ({WEBSITES})""")
+@query(f"""SELECT page_id, {HOST.format('site')} AS host, list_bool_or(list_transform([{sql_list(web.NON_COMPANY_HOSTS)}], lambda x: '.' || {HOST.format('site')} LIKE '%.' || x)) AS rejected FROM ({WEBSITES})""")
 def non_company_hosts(spark: SparkSession, d: str) -> DataFrame:
-    """OP-S07, S12: the host of each site, and whether it can't be a company's own."""
-    k = F.col("page_id")
-    site = F.when(k % 4 == 0, F.concat(F.lit("https://M.Facebook.com/p"), k)).when(k % 4 == 1, "www.linkedin.com/company/x").otherwise(F.col("url"))
-    return table(spark, d, "pages").select("page_id", web.host(site).alias("host"), web.is_non_company(site).alias("rejected"))
+    """OP-S07, S12: the host of each site, and whether it can't be a company's own: a network's or under one."""
+    k, h, n = F.col("page_id"), web.host(F.col("url")), pick(web.NON_COMPANY_HOSTS, "page_id")
+    site = F.when(k % 5 == 0, F.concat(F.lit("https://"), F.substring_index(h, ".", 1), F.lit("."), n, F.lit("/x"))).when(k % 5 == 1, F.concat(n, F.lit("."), h)).when(k % 5 == 2, F.concat(F.lit("HTTP://u@"), F.upper(n), F.lit(":80?x"))).when(k % 5 == 3, F.concat(F.lit("not"), n)).otherwise(F.col("url"))
+    rows = table(spark, d, "pages").select("page_id", site.alias("site"))
+    return rows.select("page_id", web.host(F.col("site")).alias("host"), web.is_non_company(F.col("site")).alias("rejected"))
 
 
 @query(f"""SELECT c_custkey, array_to_string(list_filter(regexp_split_to_array(lower('The ' || c_name || ' ' || c_mktsegment || ' & Holdings Co. Ltd'), '[^a-z0-9]+'), lambda x: x <> '' AND x NOT IN ({sql_list(LEGAL_FORMS)})), '-') AS slug FROM customer""")

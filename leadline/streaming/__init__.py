@@ -36,10 +36,10 @@ def live(events: DataFrame, since, at: str = "ts") -> DataFrame:
     return events.where(F.col(at) >= since)
 
 
-def periodic(rows: DataFrame, step: Callable[[DataFrame, int], None], name: str, checkpoint: str, once: bool = False, mode: str = "append") -> StreamingQuery:
-    """Runs step(batch, number) every so often, as `EVERY` says, or over all that is there and no more."""
+def periodic(rows: DataFrame, step: Callable[[DataFrame, int], None], name: str, checkpoint: str, once: bool = False, mode: str = "append", seconds: float | None = None) -> StreamingQuery:
+    """Runs step(batch, number) every so often, as `EVERY` says unless seconds are named, or over all that is there and no more."""
     writer = rows.writeStream.queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(step)
-    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=f"{EVERY.get(name, 60)} seconds")).start()
+    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=f"{EVERY.get(name, 60) if seconds is None else seconds} seconds")).start()
 
 
 def into_log(path: str) -> Callable[[DataFrame, int], None]:

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from leadline import streaming
 from leadline.operators import match_notices
+from leadline.sources.shared import exists
 from leadline.streaming import deliveries, landing, matching
 
 T0 = datetime.datetime(2024, 5, 1, tzinfo=datetime.timezone.utc)
@@ -121,3 +122,34 @@ def test_log_of_batches(spark, tmp_path):
     step(df(1, 2), 0)
     step(df(3), 1)
     assert sorted(r["k"] for r in streaming.log(spark, path, kind).collect()) == [1, 2, 3]
+
+
+def test_steps_run_again_and_again(spark, tmp_path):
+    """A running query takes what lands between its ticks, a batch each, and goes on from its checkpoint after it is stopped."""
+    import time
+
+    kind = T.StructType([T.StructField("k", T.LongType())])
+    path, log, at = str(tmp_path / "in"), str(tmp_path / "log"), str(tmp_path / "at")
+    land = lambda k: spark.createDataFrame([(k,)], kind).write.mode("append").parquet(path)
+    seen = lambda: sorted(r["k"] for r in streaming.log(spark, log, kind).collect())
+    land(1)
+
+    def until(n):
+        for _ in range(150):
+            time.sleep(0.2)
+            if exists(spark, log) and len(seen()) >= n:
+                return
+        raise AssertionError(seen())
+
+    q = streaming.periodic(spark.readStream.schema(kind).parquet(path), streaming.into_log(log), "dispatch", at, seconds=0.5)
+    until(1)
+    land(2)
+    until(2)
+    q.stop()
+    land(3)
+    q = streaming.periodic(spark.readStream.schema(kind).parquet(path), streaming.into_log(log), "dispatch", at, seconds=0.5)
+    until(3)
+    q.stop()
+    assert seen() == [1, 2, 3]
+    batches = spark.read.parquet(log).select("batch").distinct().count()
+    assert batches == 3
