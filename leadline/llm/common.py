@@ -20,14 +20,15 @@ ALNUM = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122
 SPACED = bytes(c + 32 if 65 <= c <= 90 else 32 if c in (9, 10, 11, 12, 13, 32) else c for c in range(256))
 
 
-#: Rows that go to a Python worker at once: texts are long, and a batch is held on both sides.
-BATCH = 2000
+#: Rows and bytes that go to a Python worker at once: texts and column lists are long, and a batch is held on both sides.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "8m")}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table by name. A session that has Spark's own number of rows in an Arrow batch gets a smaller one."""
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
+    """A table by name. A session that has Spark's own sizes of Arrow batches gets smaller ones."""
+    for key, (own, ours) in BATCHES.items():
+        if spark.conf.get(key, None) == own:
+            spark.conf.set(key, ours)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -35,7 +35,7 @@ import pyarrow.compute  # noqa: F401  (as pa.compute)
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadline.llm.common import components, materialize, skew_join, tidied
+from leadline.llm.common import components, materialize, skew_join, slices, tidied
 from leadline.llm.shingles import batches_of_sets, digest, mix
 
 U = np.uint64
@@ -44,9 +44,11 @@ SPANNED = 4
 #: Ids that may be broadcast (8 bytes each).
 FEW_IDS = 1_000_000
 #: Blocks of columns: ranges of the leading bits of their hashes.
-BLOCK_BITS = 2
+BLOCK_BITS = 1
 BLOCKS = 1 << BLOCK_BITS
 COUNTED_PAIRS = "u long, v long, need long, c long, ru long, rv long"
+#: Entries of both sides whose products are counted at once.
+ADDED = 1 << 19
 #: Texts that a task tells apart to send the columns of each once.
 SENT = 1 << 18
 #: Rows of a column that one task compares at once.
@@ -379,13 +381,15 @@ def _links(pairs: DataFrame, reps: DataFrame, docs: DataFrame, key: str, text: s
 
     def add(batches):
         for b in batches:
-            x, y = (b.column(k).combine_chunks() if isinstance(b.column(k), pa.ChunkedArray) else b.column(k) for k in (6, 7))
-            nx, ny, both = products(x, y)
-            need, c, ru, rv = (b.column(k).to_numpy() for k in (2, 3, 4, 5))
-            c, ru, rv = c + both, ru - nx, rv - ny
-            ok = c + np.minimum(ru, rv) >= need
-            kept = pa.array(np.flatnonzero(ok))
-            yield pa.RecordBatch.from_arrays([*(b.column(k).take(kept) for k in (0, 1, 2)), pa.array(c[ok]), pa.array(ru[ok]), pa.array(rv[ok])], COUNTED_PAIRS.replace(" long", "").split(", "))
+            entries = sum(pa.compute.fill_null(pa.compute.list_value_length(b.column(k)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for k in (6, 7))
+            for i, j in slices(entries, ADDED):
+                part = b.slice(i, j - i)
+                nx, ny, both = products(part.column(6), part.column(7))
+                need, c, ru, rv = (part.column(k).to_numpy() for k in (2, 3, 4, 5))
+                c, ru, rv = c + both, ru - nx, rv - ny
+                ok = c + np.minimum(ru, rv) >= need
+                kept = pa.array(np.flatnonzero(ok))
+                yield pa.RecordBatch.from_arrays([*(part.column(k).take(kept) for k in (0, 1, 2)), pa.array(c[ok]), pa.array(ru[ok]), pa.array(rv[ok])], COUNTED_PAIRS.replace(" long", "").split(", "))
 
     total = counted.count()
     for block in range(BLOCKS):
