@@ -17,6 +17,7 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: its tokens, and the digests of their ids and of the text decoded from them; null texts have none."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe.encode_decode(docs, tokenizer_path()).select(
         "doc_id",
@@ -27,6 +28,7 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: base spans by kind, their digest, and all spans, those of the model among them; null texts have none."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     spans = F.col("pii_spans")
     base = F.filter(spans, lambda s: s["base"])
@@ -36,6 +38,7 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: its words, those inside a benchmark window, the items met, and whether that contaminates it; null texts have no words."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
     items = F.array_join(F.array_sort(F.col("items").cast("array<string>")), ",")
@@ -48,20 +51,24 @@ def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxicit
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: whether its label was held out, its score, and what it is predicted; empty and null texts have the score of the prior."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = toxicity.score(docs, toxicity_model(spark, docs, sf_dir))
     return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted"))
 
 
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: its distinct shingles and the least id that links reach; null and word-free texts are linked with nothing."""
     return neardup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per page: its address, main text and length; null and markup-only pages have the text ''."""
     return htmlextract.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: its bytes, those removed as repeated, their runs, and the digest of what is left; null texts have no bytes."""
     done = suffixdedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     removed = F.aggregate("removed_spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
     return done.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), removed.alias("n_removed"), F.size("removed_spans").cast("long").alias("n_spans"), F.sha2("kept_bytes", 256).alias("kept_sha256"))
@@ -97,6 +104,7 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per vector: its links, the least id that they reach, and whether it is kept; unusable vectors are linked with nothing."""
     return vectordup.near_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
 
