@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leadline.llm.common import by_place, byte_sizes, slices, tidied
+from leadline.llm.common import CACHES, by_place, byte_sizes, slices, tidied
 
 NEVER = 1 << 62
 #: Pieces longer than this are merged with a heap: a scan for each merge would take quadratic time.
@@ -241,6 +241,9 @@ def load(path: str) -> Bpe:
     return Bpe(path)
 
 
+CACHES["bpe"] = load.cache_clear
+
+
 def encode_decode(docs: DataFrame, path: str, text: str = "text", ids: str = "bpe_ids", decoded: str = "bpe_decoded") -> DataFrame:
     """docs with the ids (array<int>) and the decoded text of each row; columns of these names are replaced, others may have any name."""
     return by_place(docs, (ids, decoded), lambda rows, names: _encode_decode(rows, path, names[docs.columns.index(text)], ids, decoded))
@@ -267,4 +270,4 @@ def _encode_decode(docs: DataFrame, path: str, text: str, ids: str, decoded: str
                 lists = pa.ListArray.from_arrays(pa.array(ends), flat)
                 yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keep), lists, pa.array([g[1] for g in got], pa.string())], names)
 
-    return docs.select([F.col(f"`{c}`") for c in docs.columns]).mapInArrow(tidied(run), schema)
+    return docs.select([F.col(f"`{c}`") for c in docs.columns]).mapInArrow(tidied(run, "bpe"), schema)

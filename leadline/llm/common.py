@@ -125,12 +125,30 @@ def release() -> None:
         pass
 
 
-def tidied(run: Callable) -> Callable:
-    """run, and what it freed given back at its end."""
+#: What operators keep in a worker process between their tasks, by operator, and how it is dropped.
+CACHES: dict[str, Callable[[], None]] = {}
+_LAST: list[str | None] = [None]
+
+
+def forget(keeps: str | None) -> None:
+    """Drops what other operators keep in this worker process, when the operator at work changes."""
+    if _LAST[0] != keeps:
+        for name, drop_ in CACHES.items():
+            if name != keeps:
+                drop_()
+        _LAST[0] = keeps
+        release()
+
+
+def tidied(run: Callable, keeps: str | None = None) -> Callable:
+    """run, with the caches of other operators than `keeps` dropped before it, and what it freed given back at its end."""
 
     def wrapped(batches):
+        from leadline.llm import common  # the worker's own module, not a copy that came with this function
+
+        common.forget(keeps)
         yield from run(batches)
-        release()
+        common.release()
 
     return wrapped
 

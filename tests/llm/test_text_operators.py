@@ -573,3 +573,22 @@ def test_columns_of_any_name(spark):
     ):
         row = out.collect()[0]
         assert out.columns[:4] == df.columns and tuple(row)[:4] == (1, "Hello a@b.org", "x", 2)
+
+
+def test_caches_go_with_their_operator(spark):
+    from leadline.llm import common
+
+    bpe.load(queries.tokenizer_path())
+    list(common.tidied(lambda b: iter(b), "bpe")([1]))
+    assert bpe.load.cache_info().currsize == 1
+    assert list(common.tidied(lambda b: iter(b))([1, 2])) == [1, 2] and bpe.load.cache_info().currsize == 0
+
+    def held(batches):  # in a worker: what bpe's tasks keep is gone once another operator runs there
+        from leadline.llm import bpe as there
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([there.load.cache_info().currsize])], ["n"])
+
+    docs = spark.range(1, numPartitions=1).selectExpr("id", "'some text' as text")
+    bpe.encode_decode(docs, queries.tokenizer_path()).collect()
+    assert [r["n"] for r in docs.mapInArrow(common.tidied(held), "n long").collect()] == [0]
