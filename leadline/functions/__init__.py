@@ -89,9 +89,15 @@ def decide(c: dict[str, Column], role_ok: bool = False, llm_hard: bool = True, c
     )
 
 
+def rounded(x: Column, places: int) -> Column:
+    """A double to places as SQL's round() has it: the product with the power of ten goes to the nearest whole number, so that 0.5005 becomes 0.5, where
+    Spark's own looks at the written digits."""
+    return F.round(x * 10.0**places) / 10.0**places
+
+
 def rate(part: Column, whole: Column) -> Column:
     """Per cent to two places; 0 of nothing."""
-    return F.when(whole == 0, F.lit(0.0)).otherwise(F.round(F.lit(100.0) * part / whole, 2))
+    return F.when(whole == 0, F.lit(0.0)).otherwise(rounded(F.lit(100.0) * part / whole, 2))
 
 
 def haversine_km(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Column:

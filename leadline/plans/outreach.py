@@ -41,7 +41,7 @@ def shares(spark: SparkSession, d: str) -> DataFrame:
     """OP-A25: the share of the total of each slice; the total is a scalar subquery, added up in every task."""
     rows = messages(spark, d)
     total = rows.agg(F.count("*")).scalar()
-    return rows.groupBy("campaign").agg(F.count("*").alias("n")).select("campaign", "n", F.round(100.0 * F.col("n") / total, 2).alias("share"))
+    return rows.groupBy("campaign").agg(F.count("*").alias("n")).select("campaign", "n", fn.rounded(100.0 * F.col("n") / total, 2).alias("share"))
 
 
 @query("""SELECT (SELECT count(*) FROM nation) AS companies, (SELECT count(*) FROM customer) AS contacts, count(*) AS messages, count(*) FILTER (o_orderstatus = 'F') AS delivered, round(coalesce(sum(o_totalprice), 0), 2) AS cost FROM orders""")
@@ -190,7 +190,7 @@ LEADS = "SELECT c_custkey AS id, c_nationkey AS company, round(abs(c_acctbal) /
 def sales_ready(spark: SparkSession, d: str) -> DataFrame:
     """OP-M07, W01, W03, S43: eligible contacts with their rank; those that were and no longer are become tombstones."""
     k = F.col("c_custkey")
-    rows = table(spark, d, "customer").select(k.alias("id"), F.col("c_nationkey").alias("company"), F.round(F.abs("c_acctbal") / 10000, 3).alias("confidence"), (k % 5 != 0).alias("now_ok"), (k % 3 == 0).alias("was")).where("now_ok or was")
+    rows = table(spark, d, "customer").select(k.alias("id"), F.col("c_nationkey").alias("company"), fn.rounded(F.abs("c_acctbal") / 10000, 3).alias("confidence"), (k % 5 != 0).alias("now_ok"), (k % 3 == 0).alias("was")).where("now_ok or was")
     ranked = ranked_in(rows, ["company"], ~F.col("now_ok"), F.desc("confidence"), "id", name="r")
     return ranked.select("id", F.when(F.col("now_ok"), "materialised").otherwise("tombstoned").alias("state"), F.when(F.col("now_ok"), F.col("r")).cast("int").alias("rank"))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from leadline import functions as fn
 from leadline import operators as op
 from leadline.functions import web
 from leadline.model import frame, sql
@@ -47,7 +48,7 @@ def enrichment_state(spark: SparkSession, d: str) -> DataFrame:
     needed, hit = F.col("c_custkey") % 4 != 0, F.col("s_acctbal")
     rows = table(spark, d, "customer").join(found, F.col("c_custkey") == F.col("k"), "left")
     state = F.when(~needed, "not_needed").when(F.col("k").isNull(), "no_result").when(hit < 0, "pending").otherwise("enriched")
-    return rows.select(F.col("c_custkey").alias("id"), state.alias("state"), F.when(needed & (hit >= 0), F.greatest(F.lit(0.3), F.round(hit / 10000, 3))).otherwise(F.lit(0.3)).alias("confidence"))
+    return rows.select(F.col("c_custkey").alias("id"), state.alias("state"), F.when(needed & (hit >= 0), F.greatest(F.lit(0.3), fn.rounded(hit / 10000, 3))).otherwise(F.lit(0.3)).alias("confidence"))
 
 
 @query("""SELECT l_orderkey AS site, l_returnflag AS contact, max(l_discount) AS confidence, arg_max(l_partkey, (l_discount, -l_linenumber, l_partkey)) AS page, arg_min(l_shipdate, (l_linenumber, l_shipdate)) FILTER (l_linenumber % 2 = 0) AS filled FROM lineitem GROUP BY 1, 2""")
