@@ -70,3 +70,12 @@ def test_place_search_keeps_its_searches_as_a_list(spark, tables):
     df = plans.QUERIES["place_search"](spark, sf)
     assert not multiplied(df)
     assert rows_of(df) == rows_of_sql("place_search", sf)
+
+
+def test_validation_history_is_of_all_jobs(spark):
+    """Every check of every job is a row, and each contact's newest one its first."""
+    from leadline.model import frame
+
+    got = plans.QUERIES["validation_history"](spark, SMALL)
+    assert got.count() == frame(spark, SMALL, "checks").count()
+    assert got.where("age = 1").count() == frame(spark, SMALL, "checks").select("contact_id").distinct().count()
