@@ -79,3 +79,12 @@ def test_validation_history_is_of_all_jobs(spark):
     got = plans.QUERIES["validation_history"](spark, SMALL)
     assert got.count() == frame(spark, SMALL, "checks").count()
     assert got.where("age = 1").count() == frame(spark, SMALL, "checks").select("contact_id").distinct().count()
+
+
+def test_job_results_are_of_all_jobs(spark):
+    """Every company and contact stands on a page of its job, none of more than twenty."""
+    from leadline.model import frame
+
+    got = plans.QUERIES["job_results"](spark, SMALL)
+    assert {r["kind"]: r["count"] for r in got.groupBy("kind").count().collect()} == {"company": frame(spark, SMALL, "companies").count(), "contact": frame(spark, SMALL, "contacts").count()}
+    assert got.groupBy("job_id", "kind", "page").count().where("count > 20").isEmpty() and not got.where("page = 2").isEmpty()
