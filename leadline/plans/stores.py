@@ -10,7 +10,7 @@ from leadline.model import frame, frames, sql
 from leadline.operators import jobs
 from leadline.plans.registry import query
 from leadline.sources.keyed import KeyedTable, ResultCache
-from leadline.sources.shared import scratch
+from leadline.sources.shared import scratch, written
 
 
 @query(sql("""SELECT key, source_name, coalesce(urls, '') AS urls, CASE level WHEN 2 THEN 'red' WHEN 1 THEN 'amber' ELSE 'green' END AS posture, CASE WHEN n > 1 THEN 'merged' ELSE 'unique' END AS dedupe_status FROM (SELECT key, arg_min(source_name, sighting_id) AS source_name, max(CASE posture WHEN 'red' THEN 2 WHEN 'amber' THEN 1 ELSE 0 END) AS level, count(DISTINCT sighting_id) AS n FROM (SELECT *, CASE WHEN company_id % 10 <> 0 THEN 'id:' || company_id ELSE 'row:' || sighting_id END AS key FROM sightings) GROUP BY 1)
@@ -35,10 +35,10 @@ def cached_lookups(spark: SparkSession, d: str) -> DataFrame:
     """OP-I27: contacts asked for in three rounds, 30 and 100 days after the first, through stored answers that hold 90 days (lookups) and 30 (verifications);
     'no answer' is an answer too. A question that is no hit is asked, once."""
     cache = ResultCache(spark, f"{scratch(spark)}/cache")
-    c = frame(spark, d, "contacts")
+    c = written(frame(spark, d, "contacts").select("contact_id", "company_id", F.lower(F.coalesce("email", "full_name")).alias("said")))
     both = c.withColumn("namespace", F.explode(F.array(F.lit("lookup"), F.lit("verify"))))
-    asked = both.select(cache.key(F.col("namespace"), F.col("company_id"), F.col("contact_id")).alias("key"), "namespace", "contact_id", "email", "full_name")
-    provider = lambda q: q.where("contact_id % 4 <> 3").select("key", F.lower(F.coalesce("email", "full_name")).alias("answer"))
+    asked = both.select(cache.key(F.col("namespace"), F.col("company_id"), F.col("contact_id")).alias("key"), "namespace", "contact_id", "said")
+    provider = lambda q: q.where("contact_id % 4 <> 3").select("key", F.col("said").alias("answer"))
     out = None
     for k, (days, who) in enumerate(((0, "contact_id % 2 = 0"), (30, "contact_id % 3 = 0"), (100, "contact_id % 5 <> 1")), 1):
         now = F.expr(f"timestamp '2024-01-01 00:00:00' + INTERVAL {days} DAYS")

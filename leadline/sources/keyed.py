@@ -3,7 +3,7 @@
     <path>/v<n>/_bucket=<b>/*.parquet     what write n made of bucket b
     <path>/manifest-<n>                   of every bucket the write that holds it
 
-Readers take the newest manifest. A write reads the buckets that its rows fall into, merges, and writes those alone in
+Readers take the newest manifest. A write reads the buckets that its rows fall into, merges and writes them, and keeps those alone in
 which a row came out different; then it puts down the next manifest under a name that can be taken once, so that of two writers at a time one fails
 and may try again on what the other left. A write that changes nothing leaves nothing. Lost executors cost their tasks, a lost
 driver costs a folder that no manifest names, which `clean` removes.
@@ -14,11 +14,12 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leadline.sources.shared import exists, path_of, remove, written
+from leadline.sources.shared import exists, path_of, remove, scratch, written
 
 BUCKET = "_bucket"
 
@@ -92,28 +93,38 @@ class KeyedTable:
         if not touched:
             return 0
         old = self._rows(manifest, touched)
-        merged = written(merge(old.unionByName(new)).select(*self._fields()).withColumn(BUCKET, self.bucket(count)), f"{self.path}/_merging-{version}")
-        digest = F.xxhash64(F.to_json(F.struct(*self._fields()), {"ignoreNullFields": "false"})).alias("d")
-        was = old.select(F.col(f"`{self.key}`").alias("k"), digest)
-        now = merged.select(F.col(f"`{self.key}`").alias("k"), digest, F.col(BUCKET).alias("b"))
-        gone = was.join(now, "k", "left_anti").select(F.pmod(F.xxhash64("k"), F.lit(count)).cast("int").alias("b"))
-        changed = sorted(r[0] for r in now.join(was, ["k", "d"], "left_anti").select("b").union(gone).distinct().collect())
+        at = f"{self.path}/v{version}"
+        merge(old.unionByName(new)).select(*self._fields()).withColumn(BUCKET, self.bucket(count)).write.option("compression", "zstd").partitionBy(BUCKET).parquet(at)
+        fs, p = path_of(self.spark, at)
+        filled = {int(n.partition("=")[2]) for n in (f.getPath().getName() for f in fs.listStatus(p)) if n.startswith(f"{BUCKET}=")}
+        was, now = self._digests(old, count), self._digests(self._rows({"at": {str(b): version for b in filled}}), count)
+        changed = sorted(b for b in was.keys() | now.keys() if was.get(b) != now.get(b))
+        for b in filled.difference(changed):
+            remove(self.spark, f"{at}/{BUCKET}={b}")
         if changed:
-            out = merged.where(F.col(BUCKET).isin(changed)).repartition(min(count, len(changed)), BUCKET)
-            out.write.partitionBy(BUCKET).parquet(f"{self.path}/v{version}")
-            fs, p = path_of(self.spark, f"{self.path}/v{version}")
-            filled = {int(n.partition("=")[2]) for n in (f.getPath().getName() for f in fs.listStatus(p)) if n.startswith(f"{BUCKET}=")}
-            at = {b: v for b, v in manifest["at"].items() if int(b) not in changed} | {str(b): version for b in changed if b in filled}
-            self._commit(version, {"buckets": count, "at": at})
-        remove(self.spark, f"{self.path}/_merging-{version}")
+            left = {b: v for b, v in manifest["at"].items() if int(b) not in changed}
+            self._commit(version, {"buckets": count, "at": left | {str(b): version for b in changed if b in filled}})
+        else:
+            remove(self.spark, at)
         return len(changed)
 
+    def _digests(self, rows: DataFrame, count: int) -> dict[int, tuple]:
+        """Of every bucket how many rows it has and what their digests come to in any order: one row a bucket is all that is shuffled."""
+        row = F.to_json(F.struct(*self._fields()), {"ignoreNullFields": "false"})
+        digest = rows.select(self.bucket(count).alias("b"), F.xxhash64(row).alias("d"), F.xxhash64(row, F.lit(1)).alias("e"))
+        sums = digest.groupBy("b").agg(F.count("*"), F.sum(F.col("d").cast("decimal(20,0)")), F.bit_xor("d"), F.bit_xor("e"))
+        return {r[0]: tuple(r)[1:] for r in sums.collect()}  # `buckets` at most
+
     def find(self, keys: DataFrame) -> DataFrame:
         """The table's rows of the keys in a column of the table's key's name: only buckets that hold one are read."""
-        manifest = self.manifest()
         asked = keys.select(F.col(f"`{self.key}`")).distinct()
-        touched = [r[0] for r in asked.select(self.bucket(manifest["buckets"]).alias("b")).distinct().collect()]
-        return self._rows(manifest, touched).join(asked, self.key, "left_semi")
+        return self.near(asked).join(asked, self.key, "left_semi")
+
+    def near(self, keys: DataFrame) -> DataFrame:
+        """The rows of all buckets that hold one of the keys."""
+        manifest = self.manifest()
+        touched = [r[0] for r in keys.select(self.bucket(manifest["buckets"]).alias("b")).distinct().collect()] if manifest["at"] else []
+        return self._rows(manifest, touched)
 
     def clean(self, keep: int = 1) -> None:
         """Drops all but the newest `keep` manifests, and the buckets that none of those names."""
@@ -160,14 +171,14 @@ class ResultCache:
 
     def ask(self, questions: DataFrame, now: Column) -> DataFrame:
         """questions (with `key`) and hit, answer: a known answer that holds at `now`; an empty answer is a hit without one."""
-        known = self.table.find(questions).where(F.col("expires_at") > now).select("key", "answer", F.lit(True).alias("hit"))
-        return questions.join(known, "key", "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
+        known = self.table.near(questions).where(F.col("expires_at") > now).select("key", "answer", F.lit(True).alias("hit"))
+        return questions.hint("merge").join(known, "key", "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
 
     def keep(self, answers: DataFrame, now: Column) -> int:
         """Stores answers (key, namespace, answer, null where there is none) as of now; the newest answer of a key counts."""
         days = F.create_map(*[F.lit(x) for kv in self.days.items() for x in kv])
         rows = answers.select("key", "namespace", "answer", now.cast("timestamp").alias("asked_at"), (now.cast("timestamp") + F.make_dt_interval(days=F.element_at(days, F.col("namespace")))).alias("expires_at"))
-        newest = lambda both: both.groupBy("key").agg(F.max_by(F.struct("namespace", "answer", "asked_at", "expires_at"), F.struct("asked_at", F.coalesce("answer", F.lit("")))).alias("x")).select("key", "x.*")
+        newest = lambda both: both.groupBy("key").agg(F.max(F.struct("asked_at", "answer", "namespace", "expires_at")).alias("x")).select("key", "x.*")
         return self.table.write(rows, newest)
 
     def compact(self, now: Column) -> int:
@@ -178,8 +189,15 @@ class ResultCache:
     def through(self, questions: DataFrame, now: Column, answer: Callable[[DataFrame], DataFrame]) -> DataFrame:
         """questions (key, namespace, ...) with hit and answer: those without a known answer go to `answer`, each question once, which gives (key, answer)
         or nothing; what it gives, nothing too, is kept."""
-        asked = written(self.ask(questions, now))
-        missing = asked.where(~F.col("hit")).drop("hit", "answer").dropDuplicates(["key"])
-        got = written(missing.select("key", "namespace").join(answer(missing).select("key", "answer"), "key", "left"))
-        self.keep(got, now)
-        return asked.alias("a").join(got.select("key", F.col("answer").alias("_new")), "key", "left").withColumn("answer", F.coalesce("answer", "_new")).drop("_new")
+        at = scratch(self.table.spark)
+        first = F.row_number().over(Window.partitionBy("key").orderBy("hit")) == 1  # of the rows of a question, which come to one task for `ask` already
+        asked = self.ask(questions, now).withColumn("_first", first).persist(StorageLevel.DISK_ONLY)
+        try:
+            asked.count()  # from here on what it is dealt by is known, and neither a question nor its answer is dealt again
+            new = answer(asked.where("_first AND NOT hit").drop("hit", "answer", "_first")).select("key", F.col("answer").alias("_new"))
+            said = F.when(F.col("hit"), F.col("answer")).otherwise(F.col("_new"))
+            out = written(asked.hint("merge").join(new, "key", "left").withColumn("answer", said).drop("_new"), at)
+        finally:
+            asked.unpersist()
+        self.keep(out.where("_first AND NOT hit"), now)
+        return out.drop("_first")

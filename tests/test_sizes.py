@@ -88,3 +88,17 @@ def test_job_results_are_of_all_jobs(spark):
     got = plans.QUERIES["job_results"](spark, SMALL)
     assert {r["kind"]: r["count"] for r in got.groupBy("kind").count().collect()} == {"company": frame(spark, SMALL, "companies").count(), "contact": frame(spark, SMALL, "contacts").count()}
     assert got.groupBy("job_id", "kind", "page").count().where("count > 20").isEmpty() and not got.where("page = 2").isEmpty()
+
+
+def test_a_write_deals_rows_for_its_merge_alone(spark, tmp_path, monkeypatch):
+    """What a write changed is told by sums of its buckets: rows are neither joined nor dealt by bucket; the same rows again leave nothing."""
+    from leadline.sources.keyed import KeyedTable
+
+    rows = spark.range(1000).selectExpr("cast(id as string) as k", "if(id % 3 = 0, null, id) as v")
+    newest = lambda both: both.groupBy("k").max("v").withColumnRenamed("max(v)", "v")
+    t = KeyedTable(spark, str(tmp_path / "t"), "k string, v long", "k", 4)
+    for step in ("join", "repartition"):
+        monkeypatch.setattr(type(rows), step, lambda *a, **k: pytest.fail("rows are dealt again"))
+    assert [t.write(rows, newest), t.write(rows, newest), t.write(rows.where("k = '7'").withColumn("v", rows["v"] + 1), newest)] == [4, 0, 1]
+    assert {x for x in os.listdir(tmp_path / "t") if not x.startswith(".")} == {"manifest-00000000", "manifest-00000001", "v0", "v1"}
+    assert {r["k"]: r["v"] for r in t.read().collect()} == {str(i): 8 if i == 7 else None if i % 3 == 0 else i for i in range(1000)}
