@@ -2,7 +2,8 @@
 
 The state of every job is a row of a stored table, which is written after each stage: a driver that dies goes on with the next stage, and running
 it again changes nothing. Between stages it asks which jobs were paused or cancelled meanwhile; those stay where they are. A stage is a function
-from jobs to what it found for each, or why it failed; one job's failure is no other's.
+from jobs to what it found for each, or why it failed; one job's failure is no other's. Jobs meet jobs in sorted joins, as a list of jobs can be
+small as a file and large in the driver, through which a broadcast goes.
 """
 
 from __future__ import annotations
@@ -48,14 +49,14 @@ class JobDriver:
 
     def submit(self, jobs: DataFrame) -> None:
         """Jobs (job_id, status, progress) that aren't known yet."""
-        new = jobs.join(self.state.read().select("job_id"), "job_id", "left_anti")
+        new = jobs.join(self.state.read().select("job_id").hint("merge"), "job_id", "left_anti")
         self._put(new.select("job_id", "status", F.lit(None).cast("string").alias("stage"), F.coalesce("progress", F.lit(0)).cast("int").alias("progress"), F.lit(None).cast("string").alias("error"), F.expr("cast(map() as map<string,long>)").alias("totals"), F.lit(0).cast("long").alias("seq")))
 
     def _controlled(self, asked: DataFrame) -> DataFrame:
         """The active jobs that (job_id, action) pauses or cancels, as they are from then on; cancelled ones whatever else is asked for them."""
         one = asked.where(F.col("action").isin(*CONTROLS)).groupBy("job_id").agg(F.min("action").alias("action"))  # cancel before pause
         to = F.create_map(*[F.lit(x) for kv in CONTROLS.items() for x in kv])
-        return self._active().join(one, "job_id").withColumn("status", to[F.col("action")]).withColumn("seq", F.col("seq") + 1).drop("action")
+        return self._active().join(one.hint("merge"), "job_id").withColumn("status", to[F.col("action")]).withColumn("seq", F.col("seq") + 1).drop("action")
 
     def control(self, asked: DataFrame) -> None:
         """Pauses and cancels the active jobs of (job_id, action)."""
@@ -63,7 +64,7 @@ class JobDriver:
 
     def resume(self, jobs: DataFrame) -> None:
         """Paused jobs of (job_id) go on from where they are."""
-        rows = self.state.read().where("status = 'PAUSED'").join(jobs.select("job_id").distinct(), "job_id", "left_semi")
+        rows = self.state.read().where("status = 'PAUSED'").join(jobs.select("job_id").distinct().hint("merge"), "job_id", "left_semi")
         self._put(rows.withColumn("status", F.lit("RUNNING")).withColumn("seq", F.col("seq") + 1))
 
     def _active(self) -> DataFrame:
@@ -76,13 +77,13 @@ class JobDriver:
             stopped = written(self._controlled(controls(step.stage)), f"{aside}/stopped") if controls else None
             due = self._active().where(F.col("progress") < step.ends)
             if stopped is not None:
-                due = due.join(stopped, "job_id", "left_anti")
+                due = due.join(stopped.hint("merge"), "job_id", "left_anti")
             if due.isEmpty():
                 if stopped is not None:
                     self._put(stopped)
                 continue
             done = written(step.work(due.select("job_id")).select("job_id", F.col("found").cast("long").alias("found"), F.substring("error", 1, 1000).alias("_error")), f"{aside}/done")
-            rows = due.join(done.groupBy("job_id").agg(F.sum("found").alias("found"), F.max("_error").alias("_error")), "job_id", "left")
+            rows = due.join(done.groupBy("job_id").agg(F.sum("found").alias("found"), F.max("_error").alias("_error")).hint("merge"), "job_id", "left")
             failed = F.col("_error").isNotNull()
             found = F.map_from_arrays(F.array(F.lit(step.stage)), F.array(F.coalesce("found", F.lit(0))))
             rows = rows.select(
@@ -99,6 +100,6 @@ class JobDriver:
         last = self._active().where(F.col("progress") >= self.steps[-1].ends).withColumns({"status": F.lit("COMPLETED"), "stage": F.lit("DONE"), "progress": F.lit(100), "seq": F.col("seq") + 1})
         if controls:  # what is paused or cancelled during the last stage does not end
             stopped = self._controlled(controls("DONE"))
-            last = last.join(stopped, "job_id", "left_anti").unionByName(stopped)
+            last = last.join(stopped.hint("merge"), "job_id", "left_anti").unionByName(stopped)
         self._put(last)
         self.state.clean()

@@ -102,3 +102,25 @@ def test_a_write_deals_rows_for_its_merge_alone(spark, tmp_path, monkeypatch):
     assert [t.write(rows, newest), t.write(rows, newest), t.write(rows.where("k = '7'").withColumn("v", rows["v"] + 1), newest)] == [4, 0, 1]
     assert {x for x in os.listdir(tmp_path / "t") if not x.startswith(".")} == {"manifest-00000000", "manifest-00000001", "v0", "v1"}
     assert {r["k"]: r["v"] for r in t.read().collect()} == {str(i): 8 if i == 7 else None if i % 3 == 0 else i for i in range(1000)}
+
+
+def test_jobs_are_not_broadcast(spark, tmp_path, monkeypatch):
+    """Lists of jobs that are small as files meet in sorted joins, in all stages of a driver's run."""
+    from pyspark.sql import functions as F
+
+    from leadline.operators import jobs
+
+    joins, put = [], jobs.JobDriver._put
+
+    def spied(self, rows):
+        joins.extend(x for x in rows._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in x)
+        return put(self, rows)
+
+    monkeypatch.setattr(jobs.JobDriver, "_put", spied)
+    ids = spark.range(60).select(F.col("id").alias("job_id"))
+    steps = [jobs.Step(n, lambda due: due.select("job_id", F.lit(1).alias("found"), F.lit(None).cast("string").alias("error"))) for n in ("DEDUPING", "EXTRACTING")]
+    driver = jobs.JobDriver(spark, str(tmp_path / "jobs"), steps, buckets=2)
+    driver.submit(ids.withColumn("status", F.lit("QUEUED")).withColumn("progress", F.lit(0)))
+    driver.run(lambda stage: ids.where("job_id % 5 = 0").withColumn("action", F.lit("pause")))
+    assert {r["status"]: r["count"] for r in driver.state.read().groupBy("status").count().collect()} == {"COMPLETED": 48, "PAUSED": 12}
+    assert joins and not [x for x in joins if "Broadcast" in x]
