@@ -124,3 +124,20 @@ def test_jobs_are_not_broadcast(spark, tmp_path, monkeypatch):
     driver.run(lambda stage: ids.where("job_id % 5 = 0").withColumn("action", F.lit("pause")))
     assert {r["status"]: r["count"] for r in driver.state.read().groupBy("status").count().collect()} == {"COMPLETED": 48, "PAUSED": 12}
     assert joins and not [x for x in joins if "Broadcast" in x]
+
+
+def test_only_open_notices_are_put_in_order_of_time(spark, monkeypatch):
+    """Notices with a reference or the mail system's id need no message by address, nor does the order of time hold messages to addresses of no open one."""
+    from leadline import operators as op
+
+    seen, latest = [], op.latest_before
+
+    def spied(asks, facts, *rest):
+        seen.append((asks.count(), facts.count()))
+        return latest(asks, facts, *rest)
+
+    monkeypatch.setattr(op, "latest_before", spied)
+    n = spark.sql("select id as notice_id, if(id % 3 = 0, id, null) as ref, if(id % 3 = 1, 'g' || id, null) as gmail, 'A' || id || '@x.org' as email, timestamp '2024-01-02 00:00:00' as seen_at from range(90)")
+    m = spark.sql("select id as message_id, 'g' || id as gmail_id, 'a' || id || '@X.org' as to_email, timestamp '2024-01-01 00:00:00' as sent_at from range(200)")
+    assert {tuple(r) for r in op.match_notices(n, m).collect()} == {(i, i, i % 3 + 1) for i in range(90)}
+    assert seen == [(30, 30)]
