@@ -9,6 +9,7 @@ import re
 from html.parser import HTMLParser
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -90,12 +91,18 @@ def structured(html: str | None) -> dict:
     return out
 
 
-def _structured(html: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([structured(h) for h in html], columns=["organization", "urls", "emails", "telephones", "address", "people", "jobs"])
+#: Pages that are read into Python's objects at once; an Arrow batch holds more.
+READ = 256
+_TYPE = pa.struct([("organization", pa.string()), *((n, pa.list_(pa.string())) for n in ("urls", "emails", "telephones")), ("address", pa.string()), ("people", pa.list_(pa.struct([("name", pa.string()), ("title", pa.string())]))), ("jobs", pa.list_(pa.struct([("title", pa.string()), ("posted", pa.string())])))])
+
+
+def _structured(html: pa.Array) -> pa.Array:
+    parts = [pa.array([structured(h) for h in html.slice(i, READ).to_pylist()], _TYPE) for i in range(0, len(html), READ)]
+    return pa.concat_arrays(parts) if parts else pa.array([], _TYPE)
 
 
 def structured_data(html: Column) -> Column:
-    return F.pandas_udf(_structured, STRUCTURED)(html)
+    return F.arrow_udf(_structured, STRUCTURED)(html)
 
 
 def page_contacts(pages: DataFrame, key: str = "url", html: str = "html") -> DataFrame:

@@ -141,3 +141,29 @@ def test_only_open_notices_are_put_in_order_of_time(spark, monkeypatch):
     m = spark.sql("select id as message_id, 'g' || id as gmail_id, 'a' || id || '@X.org' as to_email, timestamp '2024-01-01 00:00:00' as sent_at from range(200)")
     assert {tuple(r) for r in op.match_notices(n, m).collect()} == {(i, i, i % 3 + 1) for i in range(90)}
     assert seen == [(30, 30)]
+
+
+def test_pages_are_read_a_few_at_a_time(monkeypatch):
+    """Of an Arrow batch only some pages' objects are held at once; null pages and empty batches have their rows."""
+    import weakref
+
+    import pyarrow as pa
+
+    from leadline.sources import landed
+
+    class Told(dict):
+        pass
+
+    read, refs, most = landed.structured, [], []
+
+    def counted(html):
+        out = Told(read(html))
+        refs.append(weakref.ref(out))
+        most.append(sum(r() is not None for r in refs))
+        return out
+
+    monkeypatch.setattr(landed, "structured", counted)
+    page = '<script type="application/ld+json">{"@type": "JobPosting", "title": "t%d"}</script>'
+    got = landed._structured(pa.array([None if i % 7 == 0 else page % i for i in range(700)]))
+    assert [[j["title"] for j in r["jobs"]] for r in got.to_pylist()] == [[] if i % 7 == 0 else [f"t{i}"] for i in range(700)]
+    assert max(most) <= landed.READ + 1 and len(landed._structured(pa.array([], pa.string()))) == 0
