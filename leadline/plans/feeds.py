@@ -143,8 +143,9 @@ def notice_stream(spark: SparkSession, d: str) -> DataFrame:
 
     def start():
         stream = lambda name, df: spark.readStream.schema(df.schema).parquet(f"{at}/{name}")
-        return matching.matched(stream("n", n), stream("m", m)).writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{at}/cursor").trigger(availableNow=True).start(f"{at}/out")
+        step = matching.settle(spark, f"{at}/known", streaming.into_log(f"{at}/out"))
+        return streaming.periodic(matching.both(stream("n", n), stream("m", m)), step, "bounces", f"{at}/cursor", once=True)
 
     some = [{f"{at}/n": notices.where(F.col("part") == i).drop("part"), f"{at}/m": messages.where(F.col("part") == i).drop("part")} for i in range(len(YEARS) + 1)]
     landing.in_parts([*some, {f"{at}/{name}": df for name, df in beats.items()}], start)
-    return spark.read.schema("notice_id long, message_id long, tier int").parquet(f"{at}/out").where("notice_id >= 0")
+    return spark.read.schema("notice_id long, message_id long, tier int").parquet(f"{at}/out").select("notice_id", "message_id", "tier").where("notice_id >= 0")

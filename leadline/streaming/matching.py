@@ -4,13 +4,20 @@ A notice speaks of a message by our reference, by the mail system's id, or by it
 all three at once, one equi-join of keys within an interval of time. Both sides have a watermark, so the join forgets messages
 that no notice can reach any more, and gives out a key that found nothing when no message can come for it. The best key
 of a notice decides, of messages found by address the newest: the match comes out when the notice's time is behind the watermark.
+
+`matched` has the messages of a batch and of the days before as Spark's state, row by row and, in the default state store, in memory. `settle` is the
+same join as a step by batch: what a batch brought and what is left of the batches before lie in tables, and joins that spill meet them.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leadline.sources.shared import remove
+
 #: Which way a notice found its message, by the first letter of the key; 9 found nothing.
 TIERS = {"m": 1, "g": 2, "t": 3}
 NOTHING = 9
@@ -28,9 +35,14 @@ def matched(notices: DataFrame, messages: DataFrame, days: int = 3, late: str =
     A message counts that was sent in the `days` before the notice. A notice that finds none has nulls.
     """
     n = notices.withColumn("seen", F.col("seen_at").cast("timestamp")).withWatermark("seen", late)
+    m = messages.withColumn("sent", F.col("sent_at").cast("timestamp")).withWatermark("sent", late)
+    return _met(n, m, days)
+
+
+def _met(n: DataFrame, m: DataFrame, days: int) -> DataFrame:
+    """Notices with the time `seen` and the best of the messages, with the time `sent`, that they reach; batch or stream."""
     alone = F.array(F.concat(F.lit("n:"), F.col("notice_id").cast("string")))  # meets nothing, so that every notice has a row
     n = n.select("notice_id", "seen", F.explode(F.concat(_keys(F.col("ref"), F.col("gmail"), F.col("email")), alone)).alias("n_key"))
-    m = messages.withColumn("sent", F.col("sent_at").cast("timestamp")).withWatermark("sent", late)
     m = m.select("message_id", "sent", F.explode(_keys(F.col("message_id"), F.col("gmail_id"), F.col("to_email"))).alias("m_key"))
     met = n.join(m, F.expr(f"n_key = m_key AND sent <= seen AND sent > seen - INTERVAL {days} DAYS"), "leftOuter")
     letter = F.substring("n_key", 1, 1)
@@ -40,3 +52,41 @@ def matched(notices: DataFrame, messages: DataFrame, days: int = 3, late: str =
     best = F.min(F.struct(tier.alias("tier"), (-F.unix_micros("sent")).alias("age"), (-F.col("message_id")).alias("message")))
     out = met.groupBy("notice_id", "seen").agg(best.alias("x"))
     return out.select("notice_id", (-F.col("x.message")).alias("message_id"), F.when(F.col("x.tier") < NOTHING, F.col("x.tier")).alias("tier"))
+
+
+def both(notices: DataFrame, messages: DataFrame) -> DataFrame:
+    """Two streams as one, each row a notice or a message, for steps that take batches of both."""
+    n, m = F.struct(*notices.columns), F.struct(*messages.columns)
+    return notices.select(n.alias("notice")).unionByName(messages.select(m.alias("message")), allowMissingColumns=True)
+
+
+def settle(spark: SparkSession, path: str, step: Callable[[DataFrame, int], None], days: int = 3, late: str = "1 hour") -> Callable[[DataFrame, int], None]:
+    """A step over batches of `both`: gives `step` what `matched` would give out, each notice in the batch that takes the watermark to its time.
+
+    The folder of a batch has its notices and messages, and of those before it the notices that wait and the messages that a notice may still reach. The
+    watermark is `late` behind the newest row of the side that is behind; rows of a later batch that lie behind it are dropped, and rows without a time are.
+    A batch that comes again finds what the one before left, which goes only when the next batch is done.
+    """
+    sides = {"notice": ("seen_at", "seen", 0), "message": ("sent_at", "sent", days * 86_400_000_000)}
+    micros = lambda time: F.unix_micros(F.col(time))
+
+    def run(batch: DataFrame, number: int) -> None:
+        here, before, known, newest = f"{path}/{number}", f"{path}/{number - 1}", {}, []
+        last = spark.read.schema("mark long").parquet(f"{before}/mark").head()[0] if number else None
+        for side, (at, time, back) in sides.items():
+            rows = batch.where(F.col(side).isNotNull()).select(f"{side}.*").withColumn(time, F.col(at).cast("timestamp")).where(F.col(time).isNotNull())
+            if last is not None:
+                rows = rows.where(micros(time) > last)
+            if number:
+                left = batch.sparkSession.read.schema(rows.schema).parquet(f"{before}/{side}")
+                rows = rows.unionByName(left if last is None else left.where(micros(time) > last - back))
+            rows.write.mode("overwrite").parquet(f"{here}/{side}")
+            known[side] = spark.read.schema(rows.schema).parquet(f"{here}/{side}")
+            newest.append(known[side].agg((F.max(time) - F.expr(f"INTERVAL {late}")).alias("t")).select(micros("t")).head()[0])
+        mark = last if None in newest else min(newest) if last is None else max(last, min(newest))
+        spark.createDataFrame([(mark,)], "mark long").write.mode("overwrite").parquet(f"{here}/mark")
+        step(_met(known["notice"].where(micros("seen") <= F.lit(mark).cast("long")), known["message"], days), number)
+        if number > 1:
+            remove(spark, f"{path}/{number - 2}")
+
+    return run

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leadline import streaming
+from leadline import plans, streaming
 from leadline.operators import match_notices
 from leadline.sources.shared import exists
 from leadline.streaming import deliveries, landing, matching
@@ -162,3 +162,38 @@ def test_messages_in_flight_share_state(spark, tmp_path):
     want = deliveries.delivered_at_once(spark.createDataFrame(facts, FACTS)).collect()
     assert sorted(r for r in got if r[0] < 99_999) == sorted(tuple(r) for r in want)
     assert max(o["numRowsTotal"] for p in told for o in p["stateOperators"]) <= 1024
+
+
+NOTICE = "notice_id long, ref long, gmail string, email string, seen_at timestamp"
+MESSAGE = "message_id long, gmail_id string, to_email string, sent_at timestamp"
+
+
+def test_notices_settle_by_batch(spark, tmp_path):
+    """A batch that comes again changes nothing, a notice waits for its batch, late rows are dropped, and only what can still be reached is kept."""
+    rng = random.Random(5)
+    messages = [(i, f"g{i}" if i % 2 else None, f"P{i % 20}@x.org", after(rng.uniform(0, 400))) for i in range(1, 300)]
+    notices = []
+    for i in range(1, 200):
+        m = rng.choice(messages)
+        notices.append((i, m[0] if i % 4 == 0 else None, m[1] if i % 3 == 0 else None, m[2].lower() if i % 5 else None, m[3] + datetime.timedelta(hours=rng.uniform(0, 60))))
+    cut = lambda rows, k: [r for r in rows if after(100 * k) <= r[-1] < after(100 * k + 100)]
+    parts = [([], cut(messages, 0))] + [(cut(notices, k), cut(messages, k + 1)) for k in range(5)]
+    parts.append(([(-1, None, None, None, after(2000)), (800, None, None, None, None)], [(-1, None, None, after(2000))]))
+    parts.append(([(900, 1, None, None, after(30))], []))  # late
+    step = matching.settle(spark, str(tmp_path / "known"), streaming.into_log(str(tmp_path / "out")))
+    for k, (n, m) in enumerate(parts):
+        batch = matching.both(spark.createDataFrame(n, NOTICE), spark.createDataFrame(m, MESSAGE))
+        step(batch, k)
+        step(batch, k)
+    got = spark.read.parquet(str(tmp_path / "out")).drop("batch").collect()
+    want = match_notices(spark.createDataFrame(notices, NOTICE), spark.createDataFrame(messages, MESSAGE)).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+    assert spark.read.parquet(str(tmp_path / "known" / str(len(parts) - 1) / "message")).count() == 1
+    assert not exists(spark, str(tmp_path / "known" / "0"))
+
+
+def test_notice_stream_holds_no_rows_in_memory(spark, monkeypatch):
+    told, former = [], landing.in_parts
+    monkeypatch.setattr(landing, "in_parts", lambda *a: told.append(former(*a)) or told[-1])
+    plans.QUERIES["notice_stream"](spark, "/root/testdata/sf0.001")
+    assert told[0] and sum(o["numRowsTotal"] for p in told[0] for o in p["stateOperators"]) == 0
