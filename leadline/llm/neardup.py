@@ -35,7 +35,7 @@ import pyarrow.compute  # noqa: F401  (as pa.compute)
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadline.llm.common import components, materialize, skew_join, slices, tidied
+from leadline.llm.common import components, crowded, materialize, skew_join, slices, tidied
 from leadline.llm.shingles import batches_of_sets, digest, mix
 
 U = np.uint64
@@ -368,14 +368,25 @@ def _links(pairs: DataFrame, reps: DataFrame, docs: DataFrame, key: str, text: s
     sizes ask for. After the last block the count alone decides.
     """
     pairs = materialize(pairs)
+    ends = pairs.select(F.col("a").alias("x"), F.lit("a").alias("end")).union(pairs.select("b", F.lit("b"))).groupBy("x", "end").count()
+    most = {end: (rows, top) for end, rows, top in ends.groupBy("end").agg(F.sum("count"), F.max("count")).collect()}
+    total = most.get("a", (0, 0))[0]
+    tops = {"u": most.get("a", (0, 0))[1], "v": most.get("b", (0, 0))[1]}
+
+    def met(many: DataFrame, few: DataFrame, on: str, counts: DataFrame, spread: list[str], total: int, top: int, how: str) -> DataFrame:
+        """many joined with few on the row `on`: a plain join, where no row has so many pairs that these must be split."""
+        if top <= crowded(total):
+            return many.join(few, on, how)
+        return skew_join(many, few, [on], "often", spread, total, counts.groupBy(on).agg(F.count("*").alias("often")), how)
+
+    known = pairs
     for digest_, own, n in (("a", "u", "nu"), ("b", "v", "nv")):
-        often = pairs.groupBy(digest_).agg(F.count("*").alias("often")).join(reps.selectExpr(f"d1 as {digest_}", f"rep as {own}", f"n as {n}"), digest_)
-        pairs = skew_join(pairs, often, [digest_], "often", [c for c in pairs.columns if c != digest_]).drop("often")
+        known = met(known, reps.selectExpr(f"d1 as {digest_}", f"rep as {own}", f"n as {n}"), digest_, pairs, ["b" if digest_ == "a" else "a"], total, tops[own], "inner")
     # least overlap: 100 * c >= percent * (nu + nv - c); ru and rv are the columns still to come
     need = F.ceil(F.lit(percent) * (F.col("nu") + F.col("nv")) / (100 + percent)).cast("long")
-    counted = materialize(pairs.select("u", "v", need.alias("need"), F.lit(0).cast("long").alias("c"), F.col("nu").cast("long").alias("ru"), F.col("nv").cast("long").alias("rv")).where("least(ru, rv) >= need"))
+    counted = materialize(known.select("u", "v", need.alias("need"), F.lit(0).cast("long").alias("c"), F.col("nu").cast("long").alias("ru"), F.col("nv").cast("long").alias("rv")).where("least(ru, rv) >= need"))
     ids = materialize(counted.select(F.col("u").alias("id")).union(counted.select("v")).distinct())
-    if ids.count() <= FEW_IDS:  # else the texts are shuffled to meet them
+    if 2 * total <= FEW_IDS or ids.count() <= FEW_IDS:  # else the texts are shuffled to meet them
         ids = F.broadcast(ids)
     rows = _incidence(docs, ids, key, text, size)
 
@@ -391,13 +402,11 @@ def _links(pairs: DataFrame, reps: DataFrame, docs: DataFrame, key: str, text: s
                 kept = pa.array(np.flatnonzero(ok))
                 yield pa.RecordBatch.from_arrays([*(part.column(k).take(kept) for k in (0, 1, 2)), pa.array(c[ok]), pa.array(ru[ok]), pa.array(rv[ok])], COUNTED_PAIRS.replace(" long", "").split(", "))
 
-    total = counted.count()
     for block in range(BLOCKS):
         joined, here = counted, rows.where(F.col("block") == block)
         for own, other in (("u", "v"), ("v", "u")):
             # a row without a column in this block meets a null, so that every pair keeps its place
-            often = counted.groupBy(own).agg(F.count("*").alias("often")).join(here.selectExpr(f"id as {own}", f"s as s{own}"), own, "left")
-            joined = skew_join(joined, often, [own], "often", [other], total).drop("often")
+            joined = met(joined, here.selectExpr(f"id as {own}", f"s as s{own}"), own, counted, [other], total, tops[own], "left")
         counted = materialize(joined.select("u", "v", "need", "c", "ru", "rv", "su", "sv").mapInArrow(tidied(add), COUNTED_PAIRS))
     return counted.where("c >= need").select("u", "v")
 
