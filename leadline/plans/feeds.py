@@ -126,26 +126,31 @@ def notice_stream(spark: SparkSession, d: str) -> DataFrame:
     """OP-J10, T03: notices and messages as two streams that land in four parts, each notice matched by reference, by the mail system's id or by
     address to a message of the three days before it; nulls where there is none."""
     at, k = scratch(spark), F.col("message_id")
-    n = frame(spark, d, "bounces").select(
+    mailed = F.when(k % 2 == 0, F.concat(F.lit("g"), k)).alias("gmail_id")
+    m = frame(spark, d, "messages").where("sent_at IS NOT NULL").select("message_id", "contact_id", mailed, "to_email", "sent_at", "bounced_at")
+    with landing.settings(spark, spark__sql__maxConcurrentOutputFileWriters=str(len(YEARS) + 1)):  # all parts' files at once: no sort by part
+        messages = written(parts(m, "sent_at", YEARS), f"{at}/messages", "part")  # derived once: bounces are those of its rows
+    n = frame(spark, d, "bounces", {"messages": messages}).select(
         F.col("bounce_id").alias("notice_id"),
         F.when(k % 3 == 0, k).when((k % 3 == 2) & (k % 5 == 0), -k).alias("ref"),
         F.when(k % 3 == 1, F.concat(F.lit("g"), k)).alias("gmail"),
         F.when(k % 7 == 3, F.concat(F.lit("nobody@"), k, F.lit(".example"))).when(k % 7 != 4, F.upper("email")).alias("email"),
         (F.col("detected_at") + F.make_dt_interval(days=F.when(k % 11 == 6, 4).otherwise(0))).alias("seen_at"),
     )
-    m = frame(spark, d, "messages").where("sent_at IS NOT NULL").select("message_id", F.when(k % 2 == 0, F.concat(F.lit("g"), k)).alias("gmail_id"), "to_email", "sent_at")
-    notices, messages = written(parts(n, "seen_at", YEARS)), written(parts(m, "sent_at", YEARS))
+    m = m.drop("contact_id", "bounced_at")
+    notices = written(parts(n, "seen_at", YEARS), f"{at}/notices", "part")
     last = messages.agg(F.max("sent_at").alias("t")).join(notices.agg(F.max("seen_at").alias("u")))  # one row each
     end = last.select((F.greatest("t", "u") + F.expr("INTERVAL 30 DAYS")).alias("at"))
     beats = {"n": n.limit(0).unionByName(end.select(F.lit(-1).cast("long").alias("notice_id"), F.col("at").alias("seen_at")), allowMissingColumns=True), "m": m.limit(0).unionByName(end.select(F.col("at").alias("sent_at")), allowMissingColumns=True)}
+    beats = {f"{at}/{name}": written(df) for name, df in beats.items()}  # before what they rest on is moved
     for name, df in (("n", n), ("m", m)):
         written(df.limit(0), f"{at}/{name}")
 
     def start():
-        stream = lambda name, df: spark.readStream.schema(df.schema).parquet(f"{at}/{name}")
+        stream = lambda name, df: spark.readStream.schema(df.schema).option("recursiveFileLookup", True).parquet(f"{at}/{name}")
         step = matching.settle(spark, f"{at}/known", streaming.into_log(f"{at}/out"))
         return streaming.periodic(matching.both(stream("n", n), stream("m", m)), step, "bounces", f"{at}/cursor", once=True)
 
-    some = [{f"{at}/n": notices.where(F.col("part") == i).drop("part"), f"{at}/m": messages.where(F.col("part") == i).drop("part")} for i in range(len(YEARS) + 1)]
-    landing.in_parts([*some, {f"{at}/{name}": df for name, df in beats.items()}], start)
+    some = [{f"{at}/n": landing.moved(spark, f"{at}/notices/part={i}"), f"{at}/m": landing.moved(spark, f"{at}/messages/part={i}")} for i in range(len(YEARS) + 1)]
+    landing.in_parts([*some, beats], start)
     return spark.read.schema("notice_id long, message_id long, tier int").parquet(f"{at}/out").select("notice_id", "message_id", "tier").where("notice_id >= 0")

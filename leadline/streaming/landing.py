@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterable
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming.query import StreamingQuery
 
+from leadline.sources.shared import exists, move
+
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -25,15 +28,20 @@ def settings(spark: SparkSession, **conf: str):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def in_parts(parts: Iterable[dict[str, DataFrame]], start: Callable[[], StreamingQuery]) -> list[dict]:
-    """Lands each part (folder: rows) and runs the query to the end of what is there, from its checkpoint on; what all runs told of their batches.
+def moved(spark: SparkSession, staged: str) -> Callable[[str], None]:
+    """Lands a folder that is written already as one within another, by its name alone; one that isn't there lands nothing."""
+    return lambda path: move(spark, staged, f"{path}/{uuid.uuid4().hex}") if exists(spark, staged) else None
+
+
+def in_parts(parts: Iterable[dict[str, DataFrame | Callable[[str], None]]], start: Callable[[], StreamingQuery]) -> list[dict]:
+    """Lands each part (folder: rows, or what lands them there) and runs the query to the end of what is there, from its checkpoint on; what all runs told of their batches.
 
     Folders should hold a file before the first start; a part may leave a folder out.
     """
     told: list[dict] = []
     for part in parts:
         for path, rows in part.items():
-            rows.write.mode("append").parquet(path)
+            rows.write.mode("append").parquet(path) if isinstance(rows, DataFrame) else rows(path)
         query = start()
         query.awaitTermination()
         told += [p if isinstance(p, dict) else p.__dict__ for p in query.recentProgress]

@@ -197,3 +197,59 @@ def test_notice_stream_holds_no_rows_in_memory(spark, monkeypatch):
     monkeypatch.setattr(landing, "in_parts", lambda *a: told.append(former(*a)) or told[-1])
     plans.QUERIES["notice_stream"](spark, "/root/testdata/sf0.001")
     assert told[0] and sum(o["numRowsTotal"] for p in told[0] for o in p["stateOperators"]) == 0
+
+
+def most_rows(spark, run) -> int:
+    """Rows that the step of most rows gave out, of all plans that ran in run()."""
+    store, bus = spark._jsparkSession.sharedState().statusStore(), spark.sparkContext._jsc.sc().listenerBus()
+    listed = lambda: (lambda x: [x.apply(i) for i in range(x.size())])(store.executionsList())
+    bus.waitUntilEmpty()
+    last, most = max((e.executionId() for e in listed()), default=-1), 0
+    run()
+    bus.waitUntilEmpty()
+    for e in listed():
+        if e.executionId() > last:
+            told, metrics = store.executionMetrics(e.executionId()), e.metrics()
+            named = [m for m in (metrics.apply(i) for i in range(metrics.size())) if m.name() == "number of output rows"]
+            most = max([most] + [int(told.apply(m.accumulatorId()).replace(",", "")) for m in named if told.contains(m.accumulatorId())])
+    return most
+
+
+def test_notices_of_one_address_make_no_pairs(spark, tmp_path):
+    """Thousands of messages and notices of one address are put in order of time, not met pair by pair; three days are over to the moment, and of messages
+    of one time the greatest counts."""
+    messages = [(i, None, "Info@x.org", after(i % 240)) for i in range(1, 2000)]
+    notices = [(i, None, None, "info@X.org", after(i % 300 + i % 2 / 2)) for i in range(1, 2000)]
+    old = -500_000  # before 1970
+    messages += [(3000 + i, None, f"old{i}@x.org", after(old + 24 * i)) for i in range(40)]
+    notices += [(3000 + i, None, None, f"OLD{i}@x.org", after(old + 24 * i + 72) - datetime.timedelta(microseconds=i % 2)) for i in range(40)]
+    notices += [(4000 + i, 3000 + i, None, None, after(old + 24 * i) - datetime.timedelta(microseconds=i % 2)) for i in range(40)]
+    beat = [(-1, None, None, None, after(2000))], [(-1, None, None, after(2000))]
+    step = matching.settle(spark, str(tmp_path / "known"), streaming.into_log(str(tmp_path / "out")))
+
+    def run():
+        for k, (n, m) in enumerate([(notices, messages), beat]):
+            step(matching.both(spark.createDataFrame(n, NOTICE), spark.createDataFrame(m, MESSAGE)), k)
+
+    most = most_rows(spark, run)
+    hours = lambda i: i % 300 + i % 2 / 2
+    want = {}
+    for i in range(1, 2000):
+        last = min(int(hours(i)), 239)
+        want[i] = (max(m for m in range(1, 2000) if m % 240 == last), 3) if last > hours(i) - 72 else (None, None)
+    for i in range(40):
+        want[3000 + i] = (3000 + i, 3) if i % 2 else (None, None)
+        want[4000 + i] = (None, None) if i % 2 else (3000 + i, 1)
+    assert {r["notice_id"]: (r["message_id"], r["tier"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == want
+    assert len(messages) < most < 10 * len(messages)
+
+
+def test_notice_stream_derives_messages_once(spark, monkeypatch):
+    """Bounces are those of the messages that were written, and what a part holds lands as it was written."""
+    from leadline.plans import feeds
+
+    derived, former = [], feeds.frame
+    monkeypatch.setattr(feeds, "frame", lambda spark, d, name, held=None: derived.append((name, sorted(held or {}))) or former(spark, d, name, held))
+    got = plans.QUERIES["notice_stream"](spark, "/root/testdata/sf0.001")
+    assert derived == [("messages", []), ("bounces", ["messages"])]
+    assert got.count() == former(spark, "/root/testdata/sf0.001", "bounces").count()
